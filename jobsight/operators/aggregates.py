@@ -81,7 +81,7 @@ def platform_country_heatmap(df: DataFrame, pairs: int = 50, rows: int = 10,
         F.col("platform").isNotNull() & F.col("country").isNotNull())
     grid = kept.groupBy("country").pivot("platform", platforms).agg(F.first("n"))
     cols = [c for c in grid.columns if c != "country"]
-    grid = grid.fillna(0, subset=cols)
+    grid = grid.select("country", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in cols])
     total = sum((F.col(f"`{c}`") for c in cols), F.lit(0))
     return (grid.withColumn("_total", total)
             .orderBy(F.col("_total").desc(), F.col("country").asc())

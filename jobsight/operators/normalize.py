@@ -218,7 +218,7 @@ def normalize_mixed(df: DataFrame, column_maps: dict, platform_col: str = "platf
     for p, rules in RULES.items():
         m = {src: F.col(f"`{col}`") for col, src in column_maps.get(p, [])}
         per_source[p] = dict(rules(lambda name, m=m: m.get(name)))
-    names = [n for n, _ in glints_rules(lambda _: None)]
+    names = [n for n, _ in next(iter(per_source.values())).items()]
     exprs = []
     for n in names:
         groups: dict = {}

@@ -168,9 +168,21 @@ FROM {name}_sal"""
 {name} AS ({body})"""
 
 
-def with_jobs(select_sql: str) -> str:
-    """A full query: the jobs CTE, then ``select_sql`` over ``jobs``."""
-    return f"WITH {jobs_cte()}\n{select_sql}"
+def with_jobs(select_sql: str, *ctes: str) -> str:
+    """A full query: the jobs CTE (plus ``ctes``), then ``select_sql``."""
+    extra = "".join(f",\n{c}" for c in ctes)
+    return f"WITH {jobs_cte()}{extra}\n{select_sql}"
+
+
+def docs_cte(name: str = "docs") -> str:
+    """Flattened documents: jobs plus salary_avg (avg only with both ends)."""
+    return (f"{name} AS (SELECT *, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL "
+            f"THEN (salary_min + salary_max) / 2 END AS salary_avg FROM jobs)")
+
+
+def top(metric: str, *keys: str, n=None) -> str:
+    order = ", ".join([f"{metric} DESC"] + [f"{k} ASC NULLS FIRST" for k in keys])
+    return f"ORDER BY {order}" + (f" LIMIT {n}" if n else "")
 
 
 def money(x: str) -> str:
