@@ -166,7 +166,7 @@ def map_years(c) -> Column:
 
 def strip_html(c) -> Column:
     """F8: tags -> space, three entities decoded, space runs collapsed, trimmed."""
-    s = F.regexp_replace(col_(c), r"<.*?>", " ")
+    s = F.regexp_replace(col_(c), r"<[^\n]*?>", " ")   # "." of Python: all but \n
     for entity, repl in HTML_ENTITIES:
         s = F.replace(s, F.lit(entity), F.lit(repl))
     s = py_strip(F.regexp_replace(s, r" {2,}", " "))

@@ -303,15 +303,17 @@ def recent_projection(df: DataFrame) -> DataFrame:
     return df.select(*RECENT_COLUMNS)
 
 
-def flatten_detail(joined: DataFrame) -> DataFrame:
+def flatten_detail(joined: DataFrame, keep=()) -> DataFrame:
     """A listing joined with its detail -> the Karir raw record.
 
     Detail location is preferred to the listing's when truthy; missing years
     count as 0; missing degrees give ""."""
+    loc = "detail_location" if "detail_location" in joined.columns else "location"
     return joined.select(
+        *keep,
         strip_html(F.col("job_position")).alias("job_title"),
         strip_html(F.col("company_name")).alias("company_name"),
-        strip_html(first_truthy(F.col("detail_location"), F.col("location_name"))).alias("location"),
+        strip_html(first_truthy(F.col(loc), F.col("location_name"))).alias("location"),
         strip_html(F.col("job_type")).alias("job_type"),
         years_label(F.col("work_experience")).alias("experience_level"),
         join_degrees(F.col("degrees")).alias("education_req"),

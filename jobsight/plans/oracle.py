@@ -70,7 +70,7 @@ def years(x: str) -> str:
 
 
 def strip_html(x: str) -> str:
-    s = f"regexp_replace({x}, '<.*?>', ' ', 'g')"
+    s = f"regexp_replace({x}, '<[^\\n]*?>', ' ', 'g')"
     for ent, rep in HTML_ENTITIES:
         s = f"replace({s}, {q(ent)}, {q(rep)})"
     s = strip(f"regexp_replace({s}, ' {{2,}}', ' ', 'g')")
@@ -187,3 +187,48 @@ def top(metric: str, *keys: str, n=None) -> str:
 
 def money(x: str) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,6)), 2) AS DOUBLE)"
+
+
+# --- twins of the other adapters in sources/testbed.py -------------------------------
+TITLES = "CASE mod({k},4) WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Web Developer' WHEN 2 THEN 'QA Engineer' ELSE 'Data Analyst' END"
+
+LISTING = f"""SELECT o.o_orderkey AS id,
+ '<b>' || {TITLES.format(k='o.o_orderkey')} || '</b>&nbsp;' AS job_position,
+ c.c_name AS company_name,
+ 'Kota ' || o.o_orderstatus AS location_name,
+ CASE mod(o.o_orderkey,3) WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(floor(o.o_totalprice / 100) AS BIGINT) * 1000 END AS salary_lower,
+ CAST(floor(o.o_totalprice / 100) AS BIGINT) * 1000 * 2 AS salary_upper,
+ CASE WHEN mod(o.o_orderkey,7) = 0 THEN NULL ELSE strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS posted_at
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
+
+DETAIL = """SELECT l_orderkey AS id,
+ CASE mod(l_orderkey,4) WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Gedung ' || status END AS location,
+ CASE WHEN mod(l_orderkey,5) = 0 THEN NULL ELSE '<p>Kontrak</p>' || '&amp; ' || status END AS job_type,
+ CASE WHEN mod(l_orderkey,6) = 0 THEN NULL ELSE CAST(n_lines AS BIGINT) END AS work_experience,
+ list_transform(flags, lambda f: 'S' || f) AS degrees,
+ '<ul><li>' || CAST(CAST(floor(qty) AS BIGINT) AS VARCHAR) || ' unit</li>  <li>&quot;SQL&quot;</li></ul>' AS requirements,
+ CASE WHEN mod(l_orderkey,2) = 0 THEN '<p></p>' ELSE '<p>Build &amp; ship</p>' END AS responsibilities
+FROM (SELECT l_orderkey, max(l_linenumber) AS n_lines, list_sort(list_distinct(list(l_returnflag))) AS flags,
+        min(l_linestatus) AS status, sum(l_quantity) AS qty FROM lineitem GROUP BY l_orderkey) g"""
+
+
+def _hit_sql(k: str) -> str:
+    t = "('Engineer ' || o.o_orderpriority)"
+    return f"""('{{' ||
+ CASE mod({k},4) WHEN 0 THEN '"title":null,"name":"Alt ' || {t} || '",' WHEN 1 THEN '"title":"","name":"Alt ' || {t} || '",'
+   WHEN 2 THEN '"title":"' || {t} || '",' ELSE '' END ||
+ CASE mod({k},4) WHEN 0 THEN '"company":{{"name":"' || c.c_name || '"}},' WHEN 1 THEN '"company":{{}},'
+   WHEN 2 THEN '"company":null,' ELSE '"company":{{"name":null}},' END ||
+ CASE mod({k},2) WHEN 0 THEN '"city":{{"country_name":"' || n.n_name || '"}},' ELSE '"city":{{"country_name":null}},' END ||
+ CASE mod({k},3) WHEN 0 THEN '"work_country_name":"Singapore",' ELSE '' END ||
+ CASE mod({k},3) WHEN 0 THEN '"job_type":{{"name":"Full-time"}},' WHEN 1 THEN '"job_type":"Kontrak",' ELSE '' END ||
+ CASE mod({k},3) WHEN 0 THEN '"job_skills":[{{"name":"SQL"}},{{"name":"Spark"}}],'
+   WHEN 1 THEN '"job_skills":[],"skills":[{{"name":"Python"}},"Go"],' ELSE '' END ||
+ CASE WHEN mod({k},7) = 0 THEN '' ELSE '"experience_min":' || CAST(mod({k},5) AS VARCHAR) || ',' END ||
+ CASE WHEN mod({k},10) = 0 THEN '"published_at":null' ELSE '"published_at":"' || CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) || '"' END ||
+ '}}')"""
+
+
+PAYLOADS = f"""SELECT o.o_orderkey AS payload_id,
+ '{{"results":[{{"hits":[' || {_hit_sql('o.o_orderkey')} || ',' || {_hit_sql('(o.o_orderkey + 1)')} || ']}}]}}' AS payload
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""

@@ -170,8 +170,50 @@ def karir_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(k, F.lit(6)) == 0, F.lit(None).cast("bigint"))
          .otherwise(F.col("n_lines").cast("bigint")).alias("work_experience"),
         F.transform(F.col("flags"), lambda f: F.concat(F.lit("S"), f)).alias("degrees"),
-        F.concat(F.lit("<ul><li>"), F.col("qty").cast("bigint").cast("string"),
+        F.concat(F.lit("<ul><li>"), F.floor(F.col("qty")).cast("string"),
                  F.lit(" unit</li>  <li>&quot;SQL&quot;</li></ul>")).alias("requirements"),
         F.when(F.pmod(k, F.lit(2)) == 0, F.lit("<p></p>"))
          .otherwise(F.lit("<p>Build &amp; ship</p>")).alias("responsibilities"),
     )
+
+
+def _hit(k, title, company, country, date) -> Column:
+    """JSON text of one search hit; ``k`` picks which optional shapes occur."""
+    q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
+    return F.concat(
+        F.lit("{"),
+        _pick(k, 4, [F.concat(F.lit('"title":null,"name":'), q(F.concat(F.lit("Alt "), title)), F.lit(",")),
+                     F.concat(F.lit('"title":"","name":'), q(F.concat(F.lit("Alt "), title)), F.lit(",")),
+                     F.concat(F.lit('"title":'), q(title), F.lit(",")),
+                     F.lit("")]),
+        _pick(k, 4, [F.concat(F.lit('"company":{"name":'), q(company), F.lit("},")),
+                     F.lit('"company":{},'), F.lit('"company":null,'), F.lit('"company":{"name":null},')]),
+        _pick(k, 2, [F.concat(F.lit('"city":{"country_name":'), q(country), F.lit("},")),
+                     F.lit('"city":{"country_name":null},')]),
+        _pick(k, 3, [F.lit('"work_country_name":"Singapore",'), F.lit(""), F.lit("")]),
+        _pick(k, 3, [F.lit('"job_type":{"name":"Full-time"},'), F.lit('"job_type":"Kontrak",'), F.lit("")]),
+        _pick(k, 3, [F.lit('"job_skills":[{"name":"SQL"},{"name":"Spark"}],'),
+                     F.lit('"job_skills":[],"skills":[{"name":"Python"},"Go"],'), F.lit("")]),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.lit("")).otherwise(
+            F.concat(F.lit('"experience_min":'), F.pmod(k, F.lit(5)).cast("string"), F.lit(","))),
+        F.when(F.pmod(k, F.lit(10)) == 0, F.lit('"published_at":null')).otherwise(
+            F.concat(F.lit('"published_at":'), q(date))),
+        F.lit("}"),
+    )
+
+
+def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search-API response per order with two hits built from the order,
+    its customer and nation (JSON text, as the API returns it)."""
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+    k = F.col("o_orderkey")
+    title = F.concat(F.lit("Engineer "), F.col("o_orderpriority"))
+    date = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+    hits = [_hit(k + i, title, F.col("c_name"), F.col("n_name"), date) for i in (0, 1)]
+    payload = F.concat(F.lit('{"results":[{"hits":['), hits[0], F.lit(","), hits[1], F.lit("]}]}"))
+    return j.select(k.alias("payload_id"), payload.alias("payload"))
