@@ -217,3 +217,44 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = [_hit(k + i, title, F.col("c_name"), F.col("n_name"), date) for i in (0, 1)]
     payload = F.concat(F.lit('{"results":[{"hits":['), hits[0], F.lit(","), hits[1], F.lit("]}]}"))
     return j.select(k.alias("payload_id"), payload.alias("payload"))
+
+
+def job_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8 job events derived from the ``events`` table (``event_type`` ->
+    platform, ``user_id`` -> keyword, ``ts`` -> event time), with the stream's
+    awkward cases: null platform / keyword / country, missing salaries, and
+    unparsable event times. ``job_url`` carries the event id."""
+    from jobsight.streaming.events import iso_utc
+
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e, u = F.col("event_id"), F.col("user_id")
+    salary = F.when(F.pmod(e, F.lit(5)) == 0, F.lit(None).cast("double")).otherwise(F.col("value") * 1_000_000.0)
+    return ev.select(
+        e.alias("event_id"),
+        F.concat(F.lit("Job "), F.col("event_type")).alias("job_title"),
+        F.concat(F.lit("Company "), F.pmod(u, F.lit(50)).cast("string")).alias("company_name"),
+        _pick(e, 4, [None, "Jakarta", "Manila", "TOKYO"]).alias("location"),
+        F.when(F.pmod(e, F.lit(7)) == 0, F.lit(None).cast("string"))
+         .otherwise(_pick(e, 4, [None, "Indonesia", "Philippines", "Japan"])).alias("country"),
+        F.lit("Full-time").alias("job_type"),
+        F.lit("Tidak dicantumkan").alias("experience"),
+        F.lit("Tidak dicantumkan").alias("education"),
+        salary.alias("salary_min"),
+        (salary * 2).alias("salary_max"),
+        F.when(F.pmod(u, F.lit(13)) == 0, F.lit(None).cast("string")).otherwise(u.cast("string")).alias("keyword"),
+        F.when(F.pmod(e, F.lit(11)) == 0, F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("platform"),
+        F.date_format(F.col("ts"), "yyyy-MM-dd").alias("post_date"),
+        F.concat(F.lit("event://"), e.cast("string")).alias("job_url"),
+        F.when(F.pmod(e, F.lit(17)) == 0, F.lit("not-a-time")).otherwise(iso_utc(F.col("ts"))).alias("event_time"),
+    )
+
+
+def job_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic's message values: JSON text per event; every 19th message is
+    malformed (not JSON)."""
+    from jobsight.streaming.events import to_events
+
+    rows = job_event_rows(spark, sf_dir).withColumn(
+        "_bad", F.pmod(F.col("event_id"), F.lit(19)) == 0)
+    ev = to_events(rows, event_time=F.col("event_time"), keep=["_bad"])
+    return ev.select(F.when(F.col("_bad"), F.lit("garbage{")).otherwise(F.col("value")).alias("value"))
