@@ -28,4 +28,4 @@ def register(name: str, sql: Optional[str] = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from jobsight.plans import queries_batch, queries_rows, queries_stream  # noqa: F401
+    from jobsight.plans import queries_batch, queries_io, queries_rows, queries_stream  # noqa: F401

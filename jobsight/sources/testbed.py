@@ -122,6 +122,16 @@ def source_frame(raw: DataFrame, platform: str, keep_id: bool = True) -> DataFra
     return raw.where(F.col("platform") == platform).select(*cols)
 
 
+def source_frame_full(raw: DataFrame, platform: str, schema) -> DataFrame:
+    """``source_frame`` with every column of the scraper's schema (absent
+    ones null), i.e. the file that scraper writes."""
+    have = dict((b, a) for a, b in SOURCE_COLUMNS[platform])
+    cols = [F.col("job_id")] + [
+        (F.col(have[f.name]) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields]
+    return raw.where(F.col("platform") == platform).select(*cols)
+
+
 def karir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing rows of the Karir API (one per order): id, title, company,
     location, salary bounds, ISO timestamp. Some bounds are null or 0."""
