@@ -111,10 +111,11 @@ def with_parsed_salary(df: DataFrame, source: str, out: str = "salary") -> DataF
     gone = text.isNull() | F.col("_s_missing")
     lo_out = F.when(gone, null).when(n == 1, v0).when(n == 2, lo).otherwise(null)
     hi_out = F.when(gone, null).when(n == 1, v0).when(n == 2, hi).otherwise(null)
-    # The last step is a generator (inline of a one-element array): a filter on
-    # the parsed values stays above it, so the optimizer never substitutes the
-    # whole parser into a pushed-down predicate (which re-inflates the tree).
-    one = F.inline(F.array(F.struct(lo_out.alias("_s_min"), hi_out.alias("_s_max"))))
-    g = s.select(*[F.col(f"`{c}`") for c in base], one)
-    return g.select(*[F.col(f"`{c}`") for c in base],
-                    F.struct(F.col("_s_min").alias("min"), F.col("_s_max").alias("max")).alias(out))
+    # Fence: the parsed struct goes through a non-deterministic identity.
+    # Catalyst does not push a predicate through a projection with a
+    # non-deterministic field, so a filter on the salary never gets the whole
+    # parser substituted into it (which re-inflates the expression tree); yet
+    # the field is still pruned, parser and all, when nothing reads it.
+    parsed = F.struct(lo_out.alias("min"), hi_out.alias("max"))
+    fenced = F.when(F.spark_partition_id() >= 0, parsed)
+    return s.select(*[F.col(f"`{c}`") for c in base], fenced.alias(out))

@@ -51,16 +51,30 @@ def page_info(df: DataFrame, page: int, page_size: int = 500) -> DataFrame:
         start.alias("start_idx"), F.least(start + page_size, F.col("total_rows")).alias("end_idx"))
 
 
+TOPK_PAGE_LIMIT = 100_000
+
+
 def paginate(df: DataFrame, order_key: str, page: int, page_size: int = 500,
-             n_ranges: int = 0) -> DataFrame:
+             n_ranges: int = 0, topk_limit: int = TOPK_PAGE_LIMIT) -> DataFrame:
     """Rows [start, end) of ``df`` ordered by a unique ``order_key``.
 
-    Distributed ranking instead of OFFSET: rows are range-partitioned on the
-    key, each range counts its rows (one small row per range), a cumulative
-    sum over those counts gives every range's first global position, and only
-    the ranges that overlap the page number their rows locally. No task ever
-    holds more than one range, whatever the page number.
+    Shallow pages (end <= ``topk_limit``): ORDER BY + OFFSET/LIMIT, which
+    plans as a top-k (each task keeps at most ``end`` rows; one pass).
+
+    Deep pages: distributed ranking instead of OFFSET, so no task holds all
+    rows before the page: rows are range-partitioned on the key, each range
+    counts its rows (one small row per range), a cumulative sum over those
+    counts gives every range's first global position, and only the ranges
+    that overlap the page number their rows locally.
     """
+    start = (max(page, 1) - 1) * page_size
+    if start + page_size <= topk_limit:
+        return df.orderBy(F.col(order_key).asc()).offset(start).limit(page_size)
+    return _paginate_ranked(df, order_key, page, page_size, n_ranges)
+
+
+def _paginate_ranked(df: DataFrame, order_key: str, page: int, page_size: int,
+                     n_ranges: int) -> DataFrame:
     spark = df.sparkSession
     parts = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = (max(page, 1) - 1) * page_size

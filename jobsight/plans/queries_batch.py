@@ -15,10 +15,10 @@ from jobsight.operators import ordering as T
 from jobsight.operators.dedup import dedup_keep_first, dedup_keep_last, dedup_normalized
 from jobsight.operators.normalize import flatten_documents, merge_master
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import job_documents, unified_jobs, unified_jobs_by_union
+from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs, unified_jobs_by_union
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
-from jobsight.sources.testbed import raw_jobs, source_frame
+from jobsight.sources.testbed import source_frame
 
 
 def _jobs(spark, sf_dir):
@@ -209,7 +209,7 @@ def a18_integration_report(spark, sf_dir):
 
 
 def _glints_dedup(spark, sf_dir):
-    g = source_frame(raw_jobs(spark, sf_dir), "Glints")
+    g = source_frame(cached_raw_jobs(spark, sf_dir), "Glints")
     g = g.withColumn("Nama Perusahaan", W_default_company(F.col("`Nama Perusahaan`")))
     return dedup_normalized(g, ["Judul Posisi", "Nama Perusahaan", "Keyword"], "job_id")
 
@@ -348,7 +348,7 @@ _LINKEDIN = ("li AS (SELECT job_id, keyword AS searched_keyword, job_title, comp
     "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY job_title, company_name "
     "ORDER BY job_id) AS rn FROM li) r WHERE rn = 1", _LINKEDIN))
 def n02_dedup_keep_first(spark, sf_dir):
-    li = source_frame(raw_jobs(spark, sf_dir), "LinkedIn")
+    li = source_frame(cached_raw_jobs(spark, sf_dir), "LinkedIn")
     return dedup_keep_first(li, ["job_title", "company_name"], "job_id")
 
 
@@ -362,7 +362,7 @@ _KARIR = ("ka AS (SELECT job_id, job_title, company_name, location, job_type_raw
     "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY job_title, company_name, location "
     "ORDER BY job_id DESC) AS rn FROM ka) r WHERE rn = 1", _KARIR))
 def n03_dedup_keep_last(spark, sf_dir):
-    ka = source_frame(raw_jobs(spark, sf_dir), "Karir.com")
+    ka = source_frame(cached_raw_jobs(spark, sf_dir), "Karir.com")
     return dedup_keep_last(ka, ["job_title", "company_name", "location"], "job_id")
 
 
@@ -400,13 +400,19 @@ def u01_merge_sources(spark, sf_dir):
     return unified_jobs_by_union(spark, sf_dir)
 
 
+@register("u01_merge_sources_one_scan", with_jobs(f"SELECT {_ALL} FROM jobs"))
+def u01_merge_sources_one_scan(spark, sf_dir):
+    """The same merge with the five source rules fused into one projection."""
+    return unified_jobs(spark, sf_dir)
+
+
 @register("u02_merge_master", with_jobs(
     "SELECT * EXCLUDE (rn, batch) FROM (SELECT *, row_number() OVER (PARTITION BY job_title, company_name, "
     "location ORDER BY batch DESC, job_id DESC) AS rn FROM "
     "(SELECT *, CASE WHEN coalesce(posted_date < '1998-01-01', false) THEN 0 ELSE 1 END AS batch FROM ka) b) r "
     "WHERE rn = 1", _KARIR))
 def u02_merge_master(spark, sf_dir):
-    ka = source_frame(raw_jobs(spark, sf_dir), "Karir.com")
+    ka = source_frame(cached_raw_jobs(spark, sf_dir), "Karir.com")
     old_rows = F.coalesce(F.col("posted_date") < "1998-01-01", F.lit(False))
     return merge_master(ka.where(old_rows), ka.where(~old_rows),
                         ["job_title", "company_name", "location"], "job_id")

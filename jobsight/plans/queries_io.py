@@ -9,12 +9,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from jobsight import schemas as S
 from jobsight.operators.normalize import NORMALIZERS, flatten_documents
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import job_documents, unified_jobs
+from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import JOB_COLS, q, with_jobs
 from jobsight.session import scratch_path
 from jobsight.sinks.files import write_csv, write_documents
 from jobsight.sources import files as SRC
-from jobsight.sources.testbed import raw_jobs, source_frame, source_frame_full
+from jobsight.sources.testbed import source_frame, source_frame_full
 
 _FILES: dict = {}
 
@@ -72,7 +72,7 @@ def s02_read_jobs_csv_inferred(spark, sf_dir):
 
 def _source_files(spark, sf_dir):
     def write(base):
-        raw = raw_jobs(spark, sf_dir)
+        raw = cached_raw_jobs(spark, sf_dir)
         for p, schema in RAW_SCHEMAS.items():
             write_csv(source_frame_full(raw, p, schema), f"{base}/{SLUGS[p]}")
     return _once(spark, sf_dir, "sources", write)
@@ -111,14 +111,14 @@ def s05_read_documents(spark, sf_dir):
     "UNION ALL SELECT 'merged' AS dataset, count(*) AS rows FROM jobs "
     "UNION ALL SELECT 'TOTAL' AS dataset, count(*) AS rows FROM jobs_raw"))
 def s07_record_counts(spark, sf_dir):
-    raw = raw_jobs(spark, sf_dir)
+    raw = cached_raw_jobs(spark, sf_dir)
     named = [(p, source_frame(raw, p)) for p in RAW_SCHEMAS] + [("merged", unified_jobs(spark, sf_dir))]
     return SRC.record_counts(named, exclude_from_total=["merged"])
 
 
 def _sniff_files(spark, sf_dir):
     def write(base):
-        raw = raw_jobs(spark, sf_dir)
+        raw = cached_raw_jobs(spark, sf_dir)
         for p, d in SNIFF_DELIMITERS.items():
             df = source_frame_full(raw, p, RAW_SCHEMAS[p])
             df.write.mode("overwrite").options(sep=d, header="true", escape='"').csv(f"{base}/{SLUGS[p]}")

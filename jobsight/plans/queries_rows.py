@@ -18,7 +18,7 @@ from jobsight.operators.normalize import (
 )
 from jobsight.operators.payloads import flatten_search_hits
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import job_documents, unified_jobs
+from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import (
     DETAIL,
     JOB_COLS,
@@ -36,11 +36,11 @@ from jobsight.plans.oracle import (
 )
 from jobsight.schemas import NOT_STATED, UNDISCLOSED_COMPANY, UNKNOWN_TAG
 from jobsight.session import read_table
-from jobsight.sources.testbed import karir_detail, karir_listing, raw_jobs, search_payloads, source_frame
+from jobsight.sources.testbed import karir_detail, karir_listing, search_payloads, source_frame
 
 
 def _raw(spark, sf_dir):
-    return raw_jobs(spark, sf_dir)
+    return cached_raw_jobs(spark, sf_dir)
 
 
 # --- F1-F7, F17, F19, F20 over the raw postings --------------------------------------
@@ -95,7 +95,7 @@ def f07_map_years(spark, sf_dir):
 
 @register("f08_strip_html", f"SELECT page_id, {strip_html('html')} AS text FROM pages")
 def f08_strip_html(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", R.strip_html("html").alias("text"))
+    return read_table(spark, sf_dir, "pages", spread=True).select("page_id", R.strip_html("html").alias("text"))
 
 
 @register("f08_strip_html_skills", with_jobs(
@@ -308,14 +308,14 @@ c AS (SELECT page_id, url, card_no, hrefs[card_no + 1] AS href, {strip('titles[c
 
 @register("p14_extract_cards", _CARDS + "SELECT * FROM c WHERE coalesce(title <> '', false)")
 def p14_extract_cards(spark, sf_dir):
-    return PG.extract_cards(read_table(spark, sf_dir, "pages"), CARD_FAMILIES)
+    return PG.extract_cards(read_table(spark, sf_dir, "pages", spread=True), CARD_FAMILIES)
 
 
 @register("f18_absolute_url", _CARDS + (
     "SELECT *, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href "
     "WHEN starts_with(href, 'http') THEN href END AS job_url FROM c WHERE coalesce(title <> '', false)"))
 def f18_absolute_url(spark, sf_dir):
-    return PG.cards_with_links(PG.extract_cards(read_table(spark, sf_dir, "pages"), CARD_FAMILIES))
+    return PG.cards_with_links(PG.extract_cards(read_table(spark, sf_dir, "pages", spread=True), CARD_FAMILIES))
 
 
 _FIELDS = [r"<h1>([^<]*)</h1>", r"<title>([^<]*)</title>"]
@@ -332,7 +332,7 @@ _AD = [r'<div class="ad">([^<]*)</div>']
 @register("p15_card_field",
           f"SELECT page_id, {_first_sql(_FIELDS)} AS heading, {_first_sql(_AD)} AS ad_text FROM pages")
 def p15_card_field(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     return p.select("page_id", PG.card_field("html", _FIELDS, NOT_STATED).alias("heading"),
                     PG.card_field("html", _AD, NOT_STATED).alias("ad_text"))
 
@@ -344,7 +344,7 @@ _TAGS = f"regexp_extract_all(html, {q(PG.NAV_CARD)}, 2)"
     f"coalesce(list_filter(list_transform({_TAGS}, lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, '+'))[{i + 1}], "
     f"{q(UNKNOWN_TAG)}) AS {n}" for i, n in enumerate(["job_type", "experience", "education"])) + " FROM pages")
 def p16_tag_positions(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     tags = F.regexp_extract_all(F.col("html"), F.lit(PG.NAV_CARD), 2)
     jt, ex, ed = tag_positions(tags)
     return p.select("page_id", jt.alias("job_type"), ex.alias("experience"), ed.alias("education"))
@@ -357,7 +357,7 @@ def _count_sql(rx):
 @register("a20_selector_counts", "SELECT page_id, " + ", ".join(
     f"{_count_sql(PG.selector_regex(s))} AS {n}" for n, s in PG.CHECK_SELECTORS) + " FROM pages")
 def a20_selector_counts(spark, sf_dir):
-    return PG.selector_counts(read_table(spark, sf_dir, "pages"))
+    return PG.selector_counts(read_table(spark, sf_dir, "pages", spread=True))
 
 
 def _w11_sql():
@@ -374,7 +374,7 @@ def _w11_sql():
 
 @register("w11_blocked_pages", _w11_sql())
 def w11_blocked_pages(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
+    p = read_table(spark, sf_dir, "pages", spread=True)
     fams = list(PG.INDEED_CARD_FAMILIES) + [PG.INDEED_SLIDER_ITEM]
     p = p.select("page_id", "url", "html", PG.card_count("html", fams).alias("n_cards"),
                  PG.page_number("url").alias("page_no"))

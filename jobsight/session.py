@@ -38,8 +38,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table; ``spread`` for fact tables feeding CPU-heavy row work."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return ensure_parallelism(df) if spread else df
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
+    partitions than there are cores (e.g. one small file = one task).
+
+    A no-op for real inputs: a large table already splits into at least one
+    task per core, and no shuffle is added then. For a small input the
+    shuffle is as small as the input and buys full parallelism for the
+    per-row work that follows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -5,9 +5,10 @@ adapters derive equivalent raw inputs (every salary, country, job-type and
 null rule occurs) from ``orders ⋈ customer ⋈ nation`` so that all work grows
 with the tables. The same derivation is written in SQL for the oracle.
 
-Plan at scale: ``customer ⋈ nation`` first (nation is a 25-row dimension that
-the planner broadcasts on its statistics), then one shuffle join with orders on
-``o_custkey``; only 4+3+2 columns are read from the three scans.
+Plan at scale: orders (the fact table) is the probe side of a join with
+customer (a shuffle join at scale, a broadcast when the planner's size check
+allows) and then with nation (a 25-row dimension, broadcast); only 4+3+2
+columns are read from the three scans.
 """
 
 from __future__ import annotations
@@ -28,15 +29,20 @@ def _pick(key: Column, modulus: int, values) -> Column:
     return expr
 
 
-def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw posting per order (FIXTURES.md section 5); ``job_id`` is unique."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+def _orders_customer_nation(spark: SparkSession, sf_dir: str, order_cols) -> DataFrame:
+    """orders ⋈ customer ⋈ nation, fact table first: the dimensions are the
+    build sides (broadcast when the planner's size check allows, shuffle
+    join otherwise) and the probe side keeps the orders partitioning."""
+    orders = read_table(spark, sf_dir, "orders", spread=True).select(*order_cols)
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
-    j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+    j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+    return j.join(nation, j.c_nationkey == nation.n_nationkey, "inner")
+
 
+def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw posting per order (FIXTURES.md section 5); ``job_id`` is unique."""
+    j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     salary = _pick(ok, 13, [
         None,
@@ -135,7 +141,7 @@ def source_frame_full(raw: DataFrame, platform: str, schema) -> DataFrame:
 def karir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing rows of the Karir API (one per order): id, title, company,
     location, salary bounds, ISO timestamp. Some bounds are null or 0."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = read_table(spark, sf_dir, "orders", spread=True).select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
@@ -215,12 +221,7 @@ def _hit(k, title, company, country, date) -> Column:
 def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search-API response per order with two hits built from the order,
     its customer and nation (JSON text, as the API returns it)."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
-    j = orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
+    j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
     k = F.col("o_orderkey")
     title = F.concat(F.lit("Engineer "), F.col("o_orderpriority"))
     date = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
@@ -236,7 +237,7 @@ def job_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     unparsable event times. ``job_url`` carries the event id."""
     from jobsight.streaming.events import iso_utc
 
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = read_table(spark, sf_dir, "events", spread=True).select("event_id", "ts", "user_id", "event_type", "value")
     e, u = F.col("event_id"), F.col("user_id")
     salary = F.when(F.pmod(e, F.lit(5)) == 0, F.lit(None).cast("double")).otherwise(F.col("value") * 1_000_000.0)
     return ev.select(
