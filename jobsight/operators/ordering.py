@@ -61,11 +61,12 @@ def paginate(df: DataFrame, order_key: str, page: int, page_size: int = 500,
     Shallow pages (end <= ``topk_limit``): ORDER BY + OFFSET/LIMIT, which
     plans as a top-k (each task keeps at most ``end`` rows; one pass).
 
-    Deep pages: distributed ranking instead of OFFSET, so no task holds all
-    rows before the page: rows are range-partitioned on the key, each range
-    counts its rows (one small row per range), a cumulative sum over those
-    counts gives every range's first global position, and only the ranges
-    that overlap the page number their rows locally.
+    Deep pages (numeric or temporal keys): distributed ranking instead of
+    OFFSET, so no task holds all rows before the page: rows are bucketed by
+    approximate key quantiles, each bucket counts its rows (one small row per
+    bucket), a cumulative sum over those counts gives every bucket's first
+    global position, and only the buckets that overlap the page number their
+    rows locally.
     """
     start = (max(page, 1) - 1) * page_size
     if start + page_size <= topk_limit:
@@ -79,14 +80,23 @@ def _paginate_ranked(df: DataFrame, order_key: str, page: int, page_size: int,
     parts = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = (max(page, 1) - 1) * page_size
     end = start + page_size
-    ranged = df.repartitionByRange(parts, F.col(order_key)).withColumn(
-        "_range", F.spark_partition_id())
+    key = F.col(order_key)
+    # Range bounds: approximate quantiles of the key (one small aggregation;
+    # at most ``parts - 1`` values reach the driver). The bucket id is a pure
+    # function of the key, so every branch of the plan agrees on it.
+    qs = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, qs, 10_000)).first()[0] or []))
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (key > F.lit(b)).cast("int")
+    ranged = df.withColumn("_range", bucket)
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_range", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_first"))
     wanted = offsets.where((F.col("_first") < end) & (F.col("_first") + F.col("_n") > start))
     local = Window.partitionBy("_range").orderBy(order_key)
+    # ``wanted`` has at most ``parts`` rows: a proven bound for the broadcast
     picked = (ranged.join(F.broadcast(wanted.select("_range", "_first")), "_range")
               .withColumn("_pos", F.col("_first") + F.row_number().over(local) - 1)
               .where((F.col("_pos") >= start) & (F.col("_pos") < end)))
