@@ -105,3 +105,10 @@ def test_stream_is_live_and_total(spark):
     counts = spark.createDataFrame([("A", 3), ("B", 4)], "platform string, stream_count long")
     from jobsight.operators.aggregates import stream_total
     assert rows(stream_total(counts)) == [(7,)]
+
+
+def test_kafka_source_options():
+    from jobsight.streaming.events import kafka_options
+    assert kafka_options("broker:9092", "it-jobs") == {
+        "kafka.bootstrap.servers": "broker:9092", "subscribe": "it-jobs",
+        "startingOffsets": "latest", "failOnDataLoss": "false"}
