@@ -76,6 +76,36 @@ REMOTE_MARKERS = ["remote", "wfh", "work from home", "kerja dari rumah"]
 HTML_ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"')]
 
 
+class shared_rules:
+    """Scope in which a rule applied to the *same* Column object returns the
+    same Column (built once). Used when the five source rule sets are fused:
+    e.g. the country rule on ``location`` is then built once, not five times
+    (each Column node is a Python->JVM call). Inputs are kept referenced for
+    the scope's lifetime, so object identities cannot be reused inside it."""
+
+    active = None
+
+    def __enter__(self):
+        self._prev, shared_rules.active = shared_rules.active, {}
+        return self
+
+    def __exit__(self, *exc):
+        shared_rules.active = self._prev
+
+
+def _shared(fn):
+    def wrapper(*args):
+        memo = shared_rules.active
+        if memo is None:
+            return fn(*args)
+        key = (fn.__name__,) + tuple(id(a) if isinstance(a, Column) else a for a in args)
+        if key not in memo:
+            memo[key] = (fn(*args), args)
+        return memo[key][0]
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -85,6 +115,7 @@ def any_contains(c: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(n) for n in needles])
 
 
+@_shared
 def py_strip(c) -> Column:
     """Python ``str.strip()``: trim all Unicode whitespace at both ends."""
     return F.regexp_replace(col_(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
@@ -108,6 +139,7 @@ def default_text(c, default: str) -> Column:
     return F.coalesce(F.nullif(py_strip(c), F.lit("")), F.lit(default))
 
 
+@_shared
 def detect_country(c) -> Column:
     """first country key (in list order) found in the lower-cased location."""
     low = F.lower(col_(c))
@@ -118,6 +150,7 @@ def detect_country(c) -> Column:
     return F.when(low.isNull(), DEFAULT_COUNTRY).otherwise(expr.otherwise(DEFAULT_COUNTRY))
 
 
+@_shared
 def clean_unstated(c) -> Column:
     """stripped text; null or an "unknown" phrase becomes the sentinel."""
     s = py_strip(c)
@@ -136,6 +169,7 @@ def _first_marker(low: Column, markers, fallback: Column) -> Column:
     return expr.otherwise(fallback)
 
 
+@_shared
 def normalize_job_type(c) -> Column:
     """contract type by marker precedence; null and unknown are Full-time."""
     low = F.lower(col_(c))
@@ -143,6 +177,7 @@ def normalize_job_type(c) -> Column:
         _first_marker(low, JOB_TYPE_MARKERS, F.lit(DEFAULT_JOB_TYPE)))
 
 
+@_shared
 def indeed_job_type(salary_raw, job_type) -> Column:
     """contract hints in the salary snippet win over the card's job type."""
     low = F.lower(col_(salary_raw))
@@ -152,6 +187,7 @@ def indeed_job_type(salary_raw, job_type) -> Column:
         _first_marker(low, SNIPPET_JOB_TYPE_MARKERS, fallback))
 
 
+@_shared
 def map_years(c) -> Column:
     """minimum years -> label; numbers are truncated, other text kept as is."""
     text = col_(c).cast("string")

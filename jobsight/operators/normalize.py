@@ -15,6 +15,7 @@ from typing import Callable, Optional
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsight.functions.text import shared_rules
 from jobsight.functions import (
     clean_education,
     clean_experience,
@@ -214,17 +215,21 @@ def normalize_mixed(df: DataFrame, column_maps: dict, platform_col: str = "platf
     e.g. the salary parser appears once for the two sources that have one.
     """
     plat = F.col(platform_col)
+    cols = {c: F.col(f"`{c}`") for c in df.columns}     # one Column object per input column
     per_source = {}
-    for p, rules in RULES.items():
-        m = {src: F.col(f"`{col}`") for col, src in column_maps.get(p, [])}
-        per_source[p] = dict(rules(lambda name, m=m: m.get(name)))
+    with shared_rules():
+        for p, rules in RULES.items():
+            m = {src: cols[col] for col, src in column_maps.get(p, [])}
+            per_source[p] = dict(rules(lambda name, m=m: m.get(name)))
     names = [n for n, _ in next(iter(per_source.values())).items()]
     exprs = []
     for n in names:
         groups: dict = {}
+        by_id: dict = {}
         for p in PLATFORMS:
             e = per_source[p][n]
-            groups.setdefault(str(e), (e, []))[1].append(p)
+            key = by_id.setdefault(id(e), str(e))        # shared objects: one toString
+            groups.setdefault(key, (e, []))[1].append(p)
         expr = None
         for e, ps in groups.values():
             cond = plat == ps[0] if len(ps) == 1 else plat.isin(ps)

@@ -19,7 +19,7 @@ from jobsight.schemas import NOT_STATED
 from jobsight.session import scratch_path
 from jobsight.sources.testbed import job_event_values
 from jobsight.streaming import live as L
-from jobsight.streaming.events import file_job_stream, parse_events, write_events
+from jobsight.streaming.events import file_job_stream, parse_events, utc_wall_clock, write_events
 
 _RUNS: dict = {}
 
@@ -72,7 +72,7 @@ _WINDOWS = ("SELECT date_trunc('minute', event_ts) AS window_start, "
 
 def _parsed(spark, sf_dir):
     p = parse_events(job_event_values(spark, sf_dir))
-    return p.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    return p.withColumn("event_ts", utc_wall_clock("event_ts"))
 
 
 @register("p10_parse_events", _EV + "SELECT * EXCLUDE (event_id) FROM evp")

@@ -19,9 +19,23 @@ from pyspark.sql import functions as F
 from jobsight.session import read_table
 
 
-def _pick(key: Column, modulus: int, values) -> Column:
-    """CASE mod(key, modulus) WHEN i THEN values[i] ... (None -> NULL)."""
-    m = F.pmod(key, F.lit(modulus))
+def _sql_text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _pick(key, modulus: int, values) -> Column:
+    """CASE pmod(key, modulus) WHEN i THEN values[i] ... END (None -> NULL).
+
+    With a column name and values that are literals or ``SQL(...)`` fragments,
+    the CASE is one SQL expression (one call to build); with Column values it
+    is composed node by node."""
+    if isinstance(key, str) and not any(isinstance(v, Column) for v in values):
+        whens = " ".join(
+            f"WHEN {i} THEN {'CAST(NULL AS STRING)' if v is None else (v.text if isinstance(v, SQL) else _sql_text(v))}"
+            for i, v in enumerate(values))
+        return F.expr(f"CASE pmod(`{key}`, {modulus}) {whens} END")
+    k = F.col(key) if isinstance(key, str) else key
+    m = F.pmod(k, F.lit(modulus))
     expr = None
     for i, v in enumerate(values):
         val = v if isinstance(v, Column) else F.lit(v).cast("string")
@@ -29,6 +43,13 @@ def _pick(key: Column, modulus: int, values) -> Column:
     return expr
 
 
+class SQL:
+    """A Spark SQL fragment used as a ``_pick`` value."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
 def _orders_customer_nation(spark: SparkSession, sf_dir: str, order_cols) -> DataFrame:
     """orders ⋈ customer ⋈ nation, fact table first: the dimensions are the
     build sides (broadcast when the planner's size check allows, shuffle
@@ -44,13 +65,12 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One raw posting per order (FIXTURES.md section 5); ``job_id`` is unique."""
     j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
-    salary = _pick(ok, 13, [
+    salary = _pick("o_orderkey", 13, [
         None,
         "Gaji Tidak Ditampilkan",
         "6,5 jt - 7,5 jt",
         "5 jt",
-        F.concat(F.lit("Rp "), (F.pmod(ok, F.lit(9)) + 1).cast("string"),
-                 F.lit(".000.000 - Rp 12.500.000")),
+        SQL("concat('Rp ', CAST(pmod(o_orderkey, 9) + 1 AS STRING), '.000.000 - Rp 12.500.000')"),
         "$1,000 - $2,000",
         "Rp 3,000,000",
         "500 rb - 700",
@@ -62,22 +82,22 @@ def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
     return j.select(
         ok.alias("job_id"),
-        _pick(ok, 4, ["Data Engineer", "Web Developer", "QA Engineer", "Data Analyst"]).alias("job_title"),
+        _pick("o_orderkey", 4, ["Data Engineer", "Web Developer", "QA Engineer", "Data Analyst"]).alias("job_title"),
         F.when(F.pmod(ck, F.lit(11)) == 0, F.lit(None).cast("string"))
          .otherwise(F.col("c_name")).alias("company_name"),
-        _pick(ck, 7, [None, "Nusa Dua, Bali", "London, Singapore", "Indianapolis", "Jakarta",
-                      "Manila", F.concat(F.lit("TOKYO "), F.col("n_name"))]).alias("location"),
-        _pick(ok, 9, [None, "Penuh Waktu", "Kontrak", "International", "Freelance", "part-time",
-                      "Remote", "Full-time contract", "Shift"]).alias("job_type_raw"),
-        _pick(ok, 6, [None, " Apa Saja ", "tidak diketahui", " 1 - 3 tahun", "3 Tahun",
-                      "Fresh Graduate"]).alias("experience_raw"),
-        _pick(ck, 4, [None, "S1", "Tidak Disebutkan", "SMA "]).alias("education_raw"),
-        _pick(ok, 8, [None, "0", "abc"] + [F.pmod(ok, F.lit(8)).cast("string")] * 5
+        _pick("o_custkey", 7, [None, "Nusa Dua, Bali", "London, Singapore", "Indianapolis", "Jakarta",
+                               "Manila", SQL("concat('TOKYO ', n_name)")]).alias("location"),
+        _pick("o_orderkey", 9, [None, "Penuh Waktu", "Kontrak", "International", "Freelance", "part-time",
+                                "Remote", "Full-time contract", "Shift"]).alias("job_type_raw"),
+        _pick("o_orderkey", 6, [None, " Apa Saja ", "tidak diketahui", " 1 - 3 tahun", "3 Tahun",
+                                "Fresh Graduate"]).alias("experience_raw"),
+        _pick("o_custkey", 4, [None, "S1", "Tidak Disebutkan", "SMA "]).alias("education_raw"),
+        _pick("o_orderkey", 8, [None, "0", "abc"] + [SQL("CAST(pmod(o_orderkey, 8) AS STRING)")] * 5
               ).alias("experience_years_raw"),
         salary.alias("salary_raw"),
-        _pick(ok, 3, ["<p>SQL &amp; Spark</p>", None, "<b>Python</b>  <i>remote</i>"]).alias("skills_html"),
+        _pick("o_orderkey", 3, ["<p>SQL &amp; Spark</p>", None, "<b>Python</b>  <i>remote</i>"]).alias("skills_html"),
         F.col("o_orderpriority").alias("keyword"),
-        _pick(ok, 5, ["Glints", "Karir.com", "LinkedIn", "Tech In Asia", "Indeed"]).alias("platform"),
+        _pick("o_orderkey", 5, ["Glints", "Karir.com", "LinkedIn", "Tech In Asia", "Indeed"]).alias("platform"),
         F.when(F.pmod(ok, F.lit(10)) == 0, F.lit(None).cast("string"))
          .otherwise(F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")).alias("post_date_raw"),
     )

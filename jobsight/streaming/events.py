@@ -20,9 +20,16 @@ from jobsight.schemas import JOB_EVENT
 EVENT_FIELDS = [f.name for f in JOB_EVENT.fields if f.name != "event_time"]
 
 
+def utc_wall_clock(ts) -> Column:
+    """A TIMESTAMP instant as its UTC wall-clock TIMESTAMP_NTZ, whatever the
+    session time zone (a plain cast would use the session zone)."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    return F.to_utc_timestamp(t, F.current_timezone()).cast("timestamp_ntz")
+
+
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text of a UTC timestamp with microseconds and offset, the
-    format of a producer's ``datetime.now(timezone.utc).isoformat()``."""
+    """ISO-8601 text of a UTC wall-clock TIMESTAMP_NTZ with microseconds and
+    offset, the format of ``datetime.now(timezone.utc).isoformat()``."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
@@ -39,7 +46,7 @@ def to_events(jobs: DataFrame, event_time: Optional[Column] = None,
         if f in ("salary_min", "salary_max") and f in src.columns:
             c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
         fields.append(c.alias(f))
-    et = event_time if event_time is not None else iso_utc(F.current_timestamp())
+    et = event_time if event_time is not None else iso_utc(utc_wall_clock(F.current_timestamp()))
     return src.select(*keep, F.to_json(F.struct(*fields, et.alias("event_time"))).alias("value"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from jobsight.operators.ordering import recent_k, top_k
 from jobsight.schemas import RECENT_COLUMNS
-from jobsight.streaming.events import parse_events
+from jobsight.streaming.events import parse_events, utc_wall_clock
 
 LIVE_TABLES = ("platform_counts", "keyword_counts", "recent_jobs")
 
@@ -61,8 +61,8 @@ def windowed_counts(events: DataFrame, window: str = "1 minute",
          .withWatermark("event_ts", watermark)
          .groupBy(F.window("event_ts", window), F.col("platform"))
          .agg(F.count(F.lit(1)).alias("jobs_per_minute")))
-    return w.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+    return w.select(utc_wall_clock(F.col("window.start")).alias("window_start"),
+                    utc_wall_clock(F.col("window.end")).alias("window_end"),
                     "platform", "jobs_per_minute")
 
 

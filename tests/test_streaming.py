@@ -112,3 +112,15 @@ def test_kafka_source_options():
     assert kafka_options("broker:9092", "it-jobs") == {
         "kafka.bootstrap.servers": "broker:9092", "subscribe": "it-jobs",
         "startingOffsets": "latest", "failOnDataLoss": "false"}
+
+
+def test_outputs_independent_of_session_time_zone(spark):
+    from jobsight.streaming.events import utc_wall_clock
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Jakarta")
+        raw = spark.createDataFrame([(_event("L", "2026-01-01T10:00:30+00:00"),)], "value string")
+        ts = parse_events(raw).select(utc_wall_clock("event_ts")).collect()[0][0]
+        assert ts == dt.datetime(2026, 1, 1, 10, 0, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
