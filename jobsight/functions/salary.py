@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions.text import any_contains, col_, py_strip
+from jobsight.functions.text import any_contains, py_strip
 
 # --- fixed values: salary parsing vocabulary ------------------------------------
 SALARY_MISSING_MARKERS = [

@@ -249,10 +249,12 @@ def remote_flag(location, snippet) -> Column:
     return F.when(any_contains(text, REMOTE_MARKERS), "Remote").otherwise("")
 
 
-def absolute_url(href, origin: str) -> Column:
-    """root-relative links get the origin, http(s) links stay, others null."""
+def absolute_url(href, origin) -> Column:
+    """root-relative links get the origin (text or a Column, e.g. each
+    page's own origin), http(s) links stay, others null."""
     h = col_(href)
-    return (F.when(h.startswith("/"), F.concat(F.lit(origin), h))
+    o = origin if isinstance(origin, Column) else F.lit(origin)
+    return (F.when(h.startswith("/"), F.concat(o, h))
             .when(h.startswith("http"), h))
 
 

@@ -86,10 +86,7 @@ def extract_cards(pages: DataFrame, families: Sequence[tuple], html: str = "html
 
 def cards_with_links(cards: DataFrame, url: str = "url") -> DataFrame:
     """F18 applied to cards: root-relative links resolved against the page origin."""
-    origin = page_origin(url)
-    h = F.col("href")
-    link = F.when(h.startswith("/"), F.concat(origin, h)).when(h.startswith("http"), h)
-    return cards.withColumn("job_url", link)
+    return cards.withColumn("job_url", absolute_url("href", page_origin(url)))
 
 
 def card_field(html, patterns: Sequence[str], default=None) -> Column:

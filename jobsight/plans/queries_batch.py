@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobsight.functions import default_text
 from jobsight.operators import aggregates as A
 from jobsight.operators import filters as W
 from jobsight.operators import ordering as T
@@ -209,16 +210,13 @@ def a18_integration_report(spark, sf_dir):
 
 
 def _glints_dedup(spark, sf_dir):
+    """Glints cards with the scraper's company default, deduplicated by the
+    lower-cased (title, company, keyword) key, first card wins (N4)."""
     g = source_frame(cached_raw_jobs(spark, sf_dir), "Glints")
-    g = g.withColumn("Nama Perusahaan", W_default_company(F.col("`Nama Perusahaan`")))
+    g = g.withColumn("Nama Perusahaan", default_text(F.col("`Nama Perusahaan`"), UNDISCLOSED_COMPANY))
     return dedup_normalized(g, ["Judul Posisi", "Nama Perusahaan", "Keyword"], "job_id")
 
 
-def W_default_company(c):
-    from jobsight.functions import default_text
-    return default_text(c, UNDISCLOSED_COMPANY)
-
-
 _GLINTS_DEDUP_CTES = (
     f"g AS (SELECT job_id, job_title AS \"Judul Posisi\", "
     f"coalesce(nullif({strip('company_name')}, ''), {q(UNDISCLOSED_COMPANY)}) AS \"Nama Perusahaan\", "

@@ -10,8 +10,6 @@ under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from jobsight.operators.aggregates import stream_total
 from jobsight.operators.normalize import recent_projection
 from jobsight.plans.catalog import register
