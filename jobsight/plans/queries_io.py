@@ -60,7 +60,8 @@ def s01_read_jobs_csv(spark, sf_dir):
 
 # Spark's CSV reader with default options reads an empty field as null but
 # keeps "NA"-like text (unlike pandas): that is the batch job's view.
-_EMPTY_SQL = with_jobs("SELECT job_id, " + ", ".join(
+# (inferred types: ids below 2^31 are read as int)
+_EMPTY_SQL = with_jobs("SELECT CAST(job_id AS INTEGER) AS job_id, " + ", ".join(
     f"nullif({c}, '') AS {c}" if c in _STR_COLS else c
     for c in [f.name for f in S.JOBS.fields]) + " FROM jobs")
 

@@ -272,7 +272,7 @@ h AS (SELECT payload_id, payload, unnest(range(CAST(json_array_length(payload, '
 hh AS (SELECT payload_id, hit_no, json_extract(payload, '$.results[0].hits[' || hit_no || ']') AS hit FROM h),
 arr AS (SELECT *, CASE WHEN coalesce(json_array_length(hit, '$.job_skills'), 0) > 0 THEN json_extract(hit, '$.job_skills')
                        WHEN coalesce(json_array_length(hit, '$.skills'), 0) > 0 THEN json_extract(hit, '$.skills') END AS sk FROM hh)
-SELECT payload_id, hit_no,
+SELECT payload_id, CAST(hit_no AS INTEGER) AS hit_no,
  coalesce(nullif(hit->>'title', ''), nullif(hit->>'name', ''), {q(NOT_STATED)}) AS job_title,
  CASE WHEN json_type(hit, '$.company.name') IS NULL THEN {q(NOT_STATED)} ELSE hit->'company'->>'name' END AS company_name,
  coalesce(nullif(hit->'city'->>'country_name', ''), nullif(hit->>'work_country_name', ''), {q(NOT_STATED)}) AS location,
@@ -302,7 +302,7 @@ _CARDS = f"""WITH x AS (SELECT page_id, url,
 y AS (SELECT page_id, url, CASE WHEN len(t1) > 0 THEN h1 ELSE list_transform(t2, lambda z: NULL::VARCHAR) END AS hrefs,
         CASE WHEN len(t1) > 0 THEN t1 ELSE t2 END AS titles FROM x),
 z AS (SELECT page_id, url, hrefs, titles, unnest(range(len(titles))) AS card_no FROM y),
-c AS (SELECT page_id, url, card_no, hrefs[card_no + 1] AS href, {strip('titles[card_no + 1]')} AS title FROM z)
+c AS (SELECT page_id, url, CAST(card_no AS INTEGER) AS card_no, hrefs[card_no + 1] AS href, {strip('titles[card_no + 1]')} AS title FROM z)
 """
 
 
