@@ -115,10 +115,15 @@ def any_contains(c: Column, needles) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(n) for n in needles])
 
 
+# The same set as characters, derived from Python's own definition of space.
+PY_SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 @_shared
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: trim all Unicode whitespace at both ends."""
-    return F.regexp_replace(col_(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """Python ``str.strip()``: trim all Unicode whitespace at both ends
+    (``trim`` with a character set: no regex per row)."""
+    return F.trim(col_(c), F.lit(PY_SPACE_CHARS))
 
 
 def blank_to_null(c) -> Column:
