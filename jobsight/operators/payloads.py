@@ -1,8 +1,9 @@
 """Search-API payloads -> one row per hit (Tech in Asia raw record, D4).
 
-``results[0].hits`` is read as an array of raw JSON strings and exploded;
-each hit is then parsed once into a VARIANT, which keeps missing keys apart
-from explicit nulls (F13) and objects apart from strings (F14).
+The payload is parsed once into a VARIANT; ``results[0].hits`` is taken as
+an array of VARIANT values and exploded, so no hit is re-serialised or parsed
+twice. VARIANT keeps missing keys apart from explicit nulls (F13) and objects
+apart from strings (F14).
 """
 
 from __future__ import annotations
@@ -11,15 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.functions import dict_or_string, first_truthy, get_or_default, join_names
-from jobsight.schemas import NOT_STATED, SEARCH_PAYLOAD
+from jobsight.schemas import NOT_STATED
 
 
 def flatten_search_hits(payloads: DataFrame, payload: str = "payload",
                         keep=("payload_id",), platform: str = "Tech In Asia") -> DataFrame:
-    results = F.from_json(F.col(payload), SEARCH_PAYLOAD)["results"]
-    hits = F.get(results, 0)["hits"]          # get(): null, not an error, when empty
-    rows = payloads.select(*keep, F.posexplode(hits).alias("hit_no", "hit"))
-    v = rows.select(*keep, "hit_no", F.parse_json(F.col("hit")).alias("v"))
+    doc = F.try_parse_json(F.col(payload))                 # malformed -> null, no error
+    hits = F.try_variant_get(doc, "$.results[0].hits", "array<variant>")
+    v = payloads.select(*keep, F.posexplode(hits).alias("hit_no", "v"))
     s = lambda path: F.try_variant_get(F.col("v"), path, "string")
     company = get_or_default("v", "$.company.name", NOT_STATED)  # {} / null / missing -> default
     return v.select(

@@ -27,6 +27,11 @@ def cached_raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_memo("raw", spark, sf_dir, lambda: raw_jobs(spark, sf_dir))
 
 
+def cached(kind: str, builder):
+    """``plan_memo`` for an adapter ``builder(spark, sf_dir)``."""
+    return lambda spark, sf_dir: plan_memo(kind, spark, sf_dir, lambda: builder(spark, sf_dir))
+
+
 def unified_jobs(spark: SparkSession, sf_dir: str, keep_id: bool = True) -> DataFrame:
     """D6 for every posting, all five source rules fused into one projection
     over one scan of the raw postings (``job_id`` kept as the row sequence)."""

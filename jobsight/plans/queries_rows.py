@@ -18,7 +18,7 @@ from jobsight.operators.normalize import (
 )
 from jobsight.operators.payloads import flatten_search_hits
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
+from jobsight.plans.jobs import cached, cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import (
     DETAIL,
     JOB_COLS,
@@ -36,7 +36,12 @@ from jobsight.plans.oracle import (
 )
 from jobsight.schemas import NOT_STATED, UNDISCLOSED_COMPANY, UNKNOWN_TAG
 from jobsight.session import read_table
-from jobsight.sources.testbed import karir_detail, karir_listing, search_payloads, source_frame
+from jobsight.sources import testbed as TB
+from jobsight.sources.testbed import source_frame
+
+karir_listing = cached("listing", TB.karir_listing)
+karir_detail = cached("detail", TB.karir_detail)
+search_payloads = cached("payloads", TB.search_payloads)
 
 
 def _raw(spark, sf_dir):

@@ -15,11 +15,13 @@ from jobsight.operators.normalize import recent_projection
 from jobsight.plans.catalog import register
 from jobsight.schemas import NOT_STATED
 from jobsight.session import scratch_path
-from jobsight.sources.testbed import job_event_values
+from jobsight.plans.jobs import cached
+from jobsight.sources import testbed as TB
 from jobsight.streaming import live as L
 from jobsight.streaming.events import file_job_stream, parse_events, utc_wall_clock, write_events
 
 _RUNS: dict = {}
+job_event_values = cached("events", TB.job_event_values)
 
 
 def live_run(spark, sf_dir):

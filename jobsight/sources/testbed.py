@@ -213,40 +213,33 @@ def karir_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _hit(k, title, company, country, date) -> Column:
-    """JSON text of one search hit; ``k`` picks which optional shapes occur."""
-    q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
-    return F.concat(
-        F.lit("{"),
-        _pick(k, 4, [F.concat(F.lit('"title":null,"name":'), q(F.concat(F.lit("Alt "), title)), F.lit(",")),
-                     F.concat(F.lit('"title":"","name":'), q(F.concat(F.lit("Alt "), title)), F.lit(",")),
-                     F.concat(F.lit('"title":'), q(title), F.lit(",")),
-                     F.lit("")]),
-        _pick(k, 4, [F.concat(F.lit('"company":{"name":'), q(company), F.lit("},")),
-                     F.lit('"company":{},'), F.lit('"company":null,'), F.lit('"company":{"name":null},')]),
-        _pick(k, 2, [F.concat(F.lit('"city":{"country_name":'), q(country), F.lit("},")),
-                     F.lit('"city":{"country_name":null},')]),
-        _pick(k, 3, [F.lit('"work_country_name":"Singapore",'), F.lit(""), F.lit("")]),
-        _pick(k, 3, [F.lit('"job_type":{"name":"Full-time"},'), F.lit('"job_type":"Kontrak",'), F.lit("")]),
-        _pick(k, 3, [F.lit('"job_skills":[{"name":"SQL"},{"name":"Spark"}],'),
-                     F.lit('"job_skills":[],"skills":[{"name":"Python"},"Go"],'), F.lit("")]),
-        F.when(F.pmod(k, F.lit(7)) == 0, F.lit("")).otherwise(
-            F.concat(F.lit('"experience_min":'), F.pmod(k, F.lit(5)).cast("string"), F.lit(","))),
-        F.when(F.pmod(k, F.lit(10)) == 0, F.lit('"published_at":null')).otherwise(
-            F.concat(F.lit('"published_at":'), q(date))),
-        F.lit("}"),
-    )
+def _hit_sql(k: str) -> str:
+    """Spark SQL text building the JSON of one search hit; ``k`` (an integer
+    expression) picks which optional shapes occur."""
+    t = "concat('Engineer ', o_orderpriority)"
+    return f"""concat('{{',
+ CASE pmod({k}, 4) WHEN 0 THEN concat('"title":null,"name":"Alt ', {t}, '",')
+   WHEN 1 THEN concat('"title":"","name":"Alt ', {t}, '",') WHEN 2 THEN concat('"title":"', {t}, '",') ELSE '' END,
+ CASE pmod({k}, 4) WHEN 0 THEN concat('"company":{{"name":"', c_name, '"}},') WHEN 1 THEN '"company":{{}},'
+   WHEN 2 THEN '"company":null,' ELSE '"company":{{"name":null}},' END,
+ CASE pmod({k}, 2) WHEN 0 THEN concat('"city":{{"country_name":"', n_name, '"}},') ELSE '"city":{{"country_name":null}},' END,
+ CASE pmod({k}, 3) WHEN 0 THEN '"work_country_name":"Singapore",' ELSE '' END,
+ CASE pmod({k}, 3) WHEN 0 THEN '"job_type":{{"name":"Full-time"}},' WHEN 1 THEN '"job_type":"Kontrak",' ELSE '' END,
+ CASE pmod({k}, 3) WHEN 0 THEN '"job_skills":[{{"name":"SQL"}},{{"name":"Spark"}}],'
+   WHEN 1 THEN '"job_skills":[],"skills":[{{"name":"Python"}},"Go"],' ELSE '' END,
+ CASE WHEN pmod({k}, 7) = 0 THEN '' ELSE concat('"experience_min":', CAST(pmod({k}, 5) AS STRING), ',') END,
+ CASE WHEN pmod({k}, 10) = 0 THEN '"published_at":null'
+   ELSE concat('"published_at":"', date_format(o_orderdate, 'yyyy-MM-dd'), '"') END,
+ '}}')"""
 
 
 def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search-API response per order with two hits built from the order,
     its customer and nation (JSON text, as the API returns it)."""
     j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    payload = F.expr(f"""concat('{{"results":[{{"hits":[', {_hit_sql("o_orderkey")}, ',',
+                                {_hit_sql("(o_orderkey + 1)")}, ']}}]}}')""")
     k = F.col("o_orderkey")
-    title = F.concat(F.lit("Engineer "), F.col("o_orderpriority"))
-    date = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
-    hits = [_hit(k + i, title, F.col("c_name"), F.col("n_name"), date) for i in (0, 1)]
-    payload = F.concat(F.lit('{"results":[{"hits":['), hits[0], F.lit(","), hits[1], F.lit("]}]}"))
     return j.select(k.alias("payload_id"), payload.alias("payload"))
 
 
