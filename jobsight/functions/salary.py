@@ -17,12 +17,9 @@ Rule (compat mode, the behaviour the cleaned table was produced with):
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from jobsight.functions.text import any_contains, py_strip
+from jobsight.functions.text import PY_SPACE_CHARS
 
 # --- fixed values: salary parsing vocabulary ------------------------------------
 SALARY_MISSING_MARKERS = [
@@ -40,45 +37,33 @@ UNIT_REPAIR = [("jt", 1_000_000.0), ("rb", 1_000.0)]   # first applicable wins
 REPAIR_SPREAD = 1000.0                    # hi > lo * spread triggers the min repair
 
 
-def _currency_factor(text: Column) -> Column:
-    expr = None
-    for needles, factor in CURRENCY_FACTORS:
-        cond = any_contains(text, needles)
-        expr = F.when(cond, factor) if expr is None else expr.when(cond, factor)
-    return expr.otherwise(1.0)
-
-
-def _part_stage(i: int, parts: str, currency: str):
-    """Two projections' worth of columns for range part ``i``."""
-    p = F.col(f"_s_p{i}")
-    unit = (F.when(any_contains(p, MILLION_MARKERS), 1_000_000.0)
-            .when(any_contains(p, THOUSAND_MARKERS), 1_000.0)
-            .otherwise(1.0))
-    runs = F.regexp_extract_all(p, F.lit(r"(\d+)"), 1)
-    # digit runs after the first that are not exactly 3 long
-    odd_tail = F.filter(runs, lambda x, j: (j > 0) & (F.length(x) != 3))
-    joinable = (F.size(runs) > 1) & (F.size(odd_tail) == 0)
-    normalized = (F.when(p.contains(","),
-                         F.replace(F.replace(p, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-                  .when(joinable, F.array_join(runs, ""))
-                  .otherwise(p))
-    number = F.regexp_extract(normalized, r"\d+(\.\d+)?", 0)
-    first = [py_strip(F.get(F.col(parts), i)).alias(f"_s_p{i}"),
-             F.get(F.col(parts), i).alias(f"_s_r{i}")]
-    second = [unit.alias(f"_s_u{i}"), number.alias(f"_s_n{i}")]
-    num = F.col(f"_s_n{i}")
-    third = [F.when((F.col(f"_s_p{i}") != "") & (num != ""),
-                    num.cast("double") * F.col(f"_s_u{i}") * F.col(currency)).alias(f"_s_v{i}")]
-    return first, second, third
-
-
-def _repair(cond_side: Column, other_side: Column) -> Column:
+def _lit(v: str) -> str:
+    """Spark SQL string literal (backslashes and quotes escaped)."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any(col: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_lit(n)})" for n in needles) + ")"
+
+
+def _strip(expr: str) -> str:
+    return f"trim(BOTH {_lit(PY_SPACE_CHARS)} FROM {expr})"
+
+
+def _dbl(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _first_factor(col: str, groups, default: float = 1.0) -> str:
+    whens = " ".join(f"WHEN {_any(col, needles)} THEN {_dbl(f)}" for needles, f in groups)
+    return f"CASE {whens} ELSE {_dbl(default)} END"
+
+
+def _repair(cond_side: str, other_side: str) -> str:
     """Factor for the first unit present in ``cond_side`` but not in ``other_side``."""
-    expr = None
-    for unit, factor in UNIT_REPAIR:
-        cond = cond_side.contains(unit) & ~other_side.contains(unit)
-        expr = F.when(cond, factor) if expr is None else expr.when(cond, factor)
-    return expr.otherwise(1.0)
+    whens = " ".join(f"WHEN contains({cond_side}, {_lit(u)}) AND NOT contains({other_side}, {_lit(u)}) "
+                     f"THEN {_dbl(f)}" for u, f in UNIT_REPAIR)
+    return f"CASE {whens} ELSE 1.0D END"
 
 
 def with_parsed_salary(df: DataFrame, source: str, out: str = "salary") -> DataFrame:
@@ -89,33 +74,46 @@ def with_parsed_salary(df: DataFrame, source: str, out: str = "salary") -> DataF
     referenced by name: one large nested expression would repeat its shared
     parts at every use (Catalyst expressions are trees), which makes planning
     and code generation explode; separate projections keep it linear and all
-    of it stays in one whole-stage-codegen stage.
+    of it stays in one whole-stage-codegen stage. Each stage is one SQL
+    projection (built in one call).
     """
-    base = df.columns
-    s = df.withColumn("_s_txt", py_strip(F.lower(F.col(f"`{source}`"))))
-    text = F.col("_s_txt")
-    missing = reduce(lambda a, b: a | b,
-                     [text.contains(m) for m in SALARY_MISSING_MARKERS]) | (text == "")
-    s = s.select("*", missing.alias("_s_missing"), _currency_factor(text).alias("_s_cur"),
-                 F.split(text, RANGE_SEPARATORS, -1).alias("_s_parts"))
-    stages = [_part_stage(i, "_s_parts", "_s_cur") for i in (0, 1)]
-    for k in range(3):
-        s = s.select("*", *[c for st in stages for c in st[k]])
-    v0, v1 = F.col("_s_v0"), F.col("_s_v1")
-    r0, r1 = F.col("_s_r0"), F.col("_s_r1")
-    both = v0.isNotNull() & v1.isNotNull()
-    lo = F.when(both & ~(v0 > v1) & (v1 > v0 * REPAIR_SPREAD), v0 * _repair(r1, r0)).otherwise(v0)
-    hi = F.when(both & (v0 > v1), v1 * _repair(r0, r1)).otherwise(v1)
-    n = F.size(F.col("_s_parts"))
-    null = F.lit(None).cast("double")
-    gone = text.isNull() | F.col("_s_missing")
-    lo_out = F.when(gone, null).when(n == 1, v0).when(n == 2, lo).otherwise(null)
-    hi_out = F.when(gone, null).when(n == 1, v0).when(n == 2, hi).otherwise(null)
+    keep = [f"`{c}`" for c in df.columns]
+    stages = [
+        [f"{_strip(f'lower(`{source}`)')} AS _s_txt"],
+        [f"({' OR '.join(f'contains(_s_txt, {_lit(m)})' for m in SALARY_MISSING_MARKERS)} OR _s_txt = '') AS _s_missing",
+         f"{_first_factor('_s_txt', CURRENCY_FACTORS)} AS _s_cur",
+         f"split(_s_txt, {_lit(RANGE_SEPARATORS)}, -1) AS _s_parts"],
+    ]
+    stages.append([e for i in (0, 1) for e in (f"{_strip(f'get(_s_parts, {i})')} AS _s_p{i}",
+                                               f"get(_s_parts, {i}) AS _s_r{i}")])
+    units = [([*MILLION_MARKERS], 1_000_000.0), ([*THOUSAND_MARKERS], 1_000.0)]
+    part = []
+    for i in (0, 1):
+        p = f"_s_p{i}"
+        runs = f"regexp_extract_all({p}, '(\\\\d+)', 1)"
+        # digit runs after the first that are not exactly 3 long
+        joinable = f"(size({runs}) > 1 AND size(filter({runs}, (x, j) -> j > 0 AND length(x) != 3)) = 0)"
+        normalized = (f"CASE WHEN contains({p}, ',') THEN replace(replace({p}, '.', ''), ',', '.') "
+                      f"WHEN {joinable} THEN array_join({runs}, '') ELSE {p} END")
+        part += [f"{_first_factor(p, units)} AS _s_u{i}",
+                 f"regexp_extract({normalized}, '\\\\d+(\\\\.\\\\d+)?', 0) AS _s_n{i}"]
+    stages.append(part)
+    stages.append([f"CASE WHEN _s_p{i} != '' AND _s_n{i} != '' THEN CAST(_s_n{i} AS DOUBLE) * _s_u{i} * _s_cur END AS _s_v{i}"
+                   for i in (0, 1)])
+    s = df
+    for stage in stages:
+        s = s.selectExpr("*", *stage)
+    both = "_s_v0 IS NOT NULL AND _s_v1 IS NOT NULL"
+    lo = (f"CASE WHEN {both} AND NOT (_s_v0 > _s_v1) AND _s_v1 > _s_v0 * {_dbl(REPAIR_SPREAD)} "
+          f"THEN _s_v0 * ({_repair('_s_r1', '_s_r0')}) ELSE _s_v0 END")
+    hi = f"CASE WHEN {both} AND _s_v0 > _s_v1 THEN _s_v1 * ({_repair('_s_r0', '_s_r1')}) ELSE _s_v1 END"
+    pick = lambda e: (f"CASE WHEN _s_txt IS NULL OR _s_missing THEN CAST(NULL AS DOUBLE) "
+                      f"WHEN size(_s_parts) = 1 THEN _s_v0 WHEN size(_s_parts) = 2 THEN {e} "
+                      f"ELSE CAST(NULL AS DOUBLE) END")
     # Fence: the parsed struct goes through a non-deterministic identity.
     # Catalyst does not push a predicate through a projection with a
     # non-deterministic field, so a filter on the salary never gets the whole
     # parser substituted into it (which re-inflates the expression tree); yet
     # the field is still pruned, parser and all, when nothing reads it.
-    parsed = F.struct(lo_out.alias("min"), hi_out.alias("max"))
-    fenced = F.when(F.spark_partition_id() >= 0, parsed)
-    return s.select(*[F.col(f"`{c}`") for c in base], fenced.alias(out))
+    parsed = f"named_struct('min', {pick(lo)}, 'max', {pick(hi)})"
+    return s.selectExpr(*keep, f"CASE WHEN spark_partition_id() >= 0 THEN {parsed} END AS `{out}`")
