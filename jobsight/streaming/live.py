@@ -96,14 +96,20 @@ def _now_iso() -> str:
     return _dt.datetime.now(_dt.timezone.utc).isoformat()
 
 
-def _write_summary(spark: SparkSession, paths: LivePaths, batch_id: int, metrics: dict) -> None:
-    """K6: one row per metric (rows written) with the update time; the latest
-    value per metric is read back with ``read_summary``. Append-only, so
+def _write_summary(paths: LivePaths, batch_id: int, outputs: dict) -> None:
+    """K6: one row per metric (rows written) with the update time, computed
+    from the (persisted, small) outputs in one job; the latest value per
+    metric is read back with ``read_summary``. Append-only per batch, so
     concurrent writers never lose each other's updates."""
+    from functools import reduce
+
     now = _now_iso()
-    rows = [(m, int(v), now, int(batch_id)) for m, v in metrics.items()]
-    df = spark.createDataFrame(rows, "metric string, value long, last_updated string, batch_id long")
-    df.coalesce(1).write.mode("overwrite").parquet(f"{paths.summary}/batch={batch_id}/{'_'.join(metrics)}")
+    counts = [out.agg(F.count(F.lit(1)).alias("value"))
+              .select(F.lit(m).alias("metric"), "value") for m, out in outputs.items()]
+    summary = reduce(lambda a, b: a.unionByName(b), counts).select(
+        "metric", "value", F.lit(now).alias("last_updated"), F.lit(int(batch_id)).cast("long").alias("batch_id"))
+    summary.coalesce(1).write.mode("overwrite").parquet(
+        f"{paths.summary}/batch={batch_id}/{'_'.join(outputs)}")
 
 
 def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50):
@@ -112,15 +118,17 @@ def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50
         if batch.isEmpty():
             return                      # an empty batch leaves the live tables
         batch.persist()
+        outputs = {"platform_counts": platform_counts(batch),
+                   "keyword_counts": keyword_counts(batch, keywords_n),
+                   "recent_jobs": recent_jobs(batch, recent_n)}
         try:
-            written = {}
-            for name, out in (("platform_counts", platform_counts(batch)),
-                              ("keyword_counts", keyword_counts(batch, keywords_n)),
-                              ("recent_jobs", recent_jobs(batch, recent_n))):
+            for name, out in outputs.items():
+                out.persist()           # small: <= platforms, 20 and 50 rows
                 out.coalesce(1).write.mode("overwrite").parquet(paths.table(name))
-                written[name] = batch.sparkSession.read.parquet(paths.table(name)).count()
-            _write_summary(batch.sparkSession, paths, batch_id, written)
+            _write_summary(paths, batch_id, outputs)
         finally:
+            for out in outputs.values():
+                out.unpersist()
             batch.unpersist()
     return write
 
@@ -131,11 +139,13 @@ def windowed_batch_writer(paths: LivePaths, n: int = 20):
         if batch.isEmpty():
             return
         batch.persist()
+        latest = latest_windows(batch, n).persist()
         try:
             batch.write.mode("overwrite").parquet(f"{paths.window_history}/batch_id={batch_id}")
-            latest_windows(batch, n).coalesce(1).write.mode("overwrite").parquet(paths.window_live)
-            _write_summary(batch.sparkSession, paths, batch_id, {"windowed_platform": latest_windows(batch, n).count()})
+            latest.coalesce(1).write.mode("overwrite").parquet(paths.window_live)
+            _write_summary(paths, batch_id, {"windowed_platform": latest})
         finally:
+            latest.unpersist()
             batch.unpersist()
     return write
 
