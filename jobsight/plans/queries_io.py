@@ -108,12 +108,18 @@ def s05_read_documents(spark, sf_dir):
 
 
 @register("s07_record_counts", with_jobs(
-    "SELECT platform AS dataset, count(*) AS rows FROM jobs_raw GROUP BY platform "
-    "UNION ALL SELECT 'merged' AS dataset, count(*) AS rows FROM jobs "
-    "UNION ALL SELECT 'TOTAL' AS dataset, count(*) AS rows FROM jobs_raw"))
+    "SELECT platform AS dataset, count(*) AS rows, 'ok' AS status FROM jobs_raw GROUP BY platform "
+    "UNION ALL SELECT 'merged' AS dataset, count(*) AS rows, 'ok' AS status FROM jobs "
+    "UNION ALL SELECT 'archive' AS dataset, CAST(NULL AS BIGINT) AS rows, 'missing' AS status "
+    "UNION ALL SELECT 'TOTAL' AS dataset, count(*) AS rows, 'ok' AS status FROM jobs_raw"))
 def s07_record_counts(spark, sf_dir):
-    raw = cached_raw_jobs(spark, sf_dir)
-    named = [(p, source_frame(raw, p)) for p in RAW_SCHEMAS] + [("merged", unified_jobs(spark, sf_dir))]
+    """Counts of the five source files (as written by the scrapers), the merged
+    table, and one expected file that does not exist."""
+    base = _source_files(spark, sf_dir)
+    named = [(p, SRC.read_if_present(spark, f"{base}/{SLUGS[p]}", _with_id(schema)))
+             for p, schema in RAW_SCHEMAS.items()]
+    named.append(("archive", SRC.read_if_present(spark, f"{base}/archive", _with_id(S.GLINTS_RAW))))
+    named.append(("merged", unified_jobs(spark, sf_dir)))
     return SRC.record_counts(named, exclude_from_total=["merged"])
 
 

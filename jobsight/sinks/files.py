@@ -16,8 +16,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
-def write_outputs(outputs: Mapping[str, DataFrame], out_dir: str) -> None:
-    """K2: each named result replaces ``out_dir/<name>``."""
+def write_outputs(outputs: Mapping[str, DataFrame], out_dir: str, clear: bool = True) -> None:
+    """K2: the output folder is cleared (tables of earlier runs vanish), then
+    each named result is written to ``out_dir/<name>``."""
+    if outputs and clear:
+        first = next(iter(outputs.values()))
+        # an overwrite of the folder with an empty table removes what was there
+        first.sparkSession.createDataFrame([], "cleared int").coalesce(1).write.mode("overwrite").csv(out_dir)
     for name, df in outputs.items():
         write_csv(df, f"{out_dir.rstrip('/')}/{name}")
 

@@ -82,15 +82,35 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def record_counts(named: Sequence[tuple], exclude_from_total: Sequence[str] = ()) -> DataFrame:
     """Rows per named dataset plus a TOTAL row over the datasets not
-    excluded (e.g. the merged set). One count job per dataset, unioned."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("dataset"), "rows")
-             for n, df in named]
+    excluded (e.g. the merged set). A dataset given as None (its file is
+    missing) is listed with null rows and status "missing"; present ones have
+    status "ok". One count job per dataset, unioned."""
+    present = [(n, df) for n, df in named if df is not None]
+    missing = [n for n, df in named if df is None]
+    if not present:
+        raise ValueError("no dataset to count")
+    spark = present[0][1].sparkSession
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(n).alias("dataset"), "rows", F.lit("ok").alias("status")) for n, df in present]
+    if missing:
+        parts.append(spark.createDataFrame([(n, None, "missing") for n in missing],
+                                           "dataset string, rows long, status string"))
     counts = reduce(lambda a, b: a.unionByName(b), parts)
     total = (counts.where(~F.col("dataset").isin(list(exclude_from_total)) if exclude_from_total else counts)
-             .agg(F.sum("rows").alias("rows")).select(F.lit("TOTAL").alias("dataset"), "rows"))
+             .agg(F.sum("rows").alias("rows"))
+             .select(F.lit("TOTAL").alias("dataset"), "rows", F.lit("ok").alias("status")))
     return counts.unionByName(total)
 
 
+def read_if_present(spark: SparkSession, path: str, schema: StructType) -> Optional[DataFrame]:
+    """S1 reader that returns None for a missing path (for S7's flags)."""
+    try:
+        header_columns(spark, path)
+    except AnalysisException:
+        return None
+    return read_jobs_csv(spark, path, schema)
+
+
 def detect_delimiter(header) -> F.Column:
     """The candidate delimiter occurring most often in a header line
     (ties: earlier candidate)."""

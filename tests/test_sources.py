@@ -67,8 +67,10 @@ def test_load_first_available(spark, tmp_path):
 
 def test_record_counts(spark):
     a, b, m = spark.range(3), spark.range(4), spark.range(7)
-    out = dict(rows(SRC.record_counts([("a", a), ("b", b), ("merged", m)], ["merged"])))
-    assert out == {"a": 3, "b": 4, "merged": 7, "TOTAL": 7}
+    out = {r[0]: (r[1], r[2]) for r in rows(SRC.record_counts(
+        [("a", a), ("b", b), ("gone", None), ("merged", m)], ["merged"]))}
+    assert out == {"a": (3, "ok"), "b": (4, "ok"), "gone": (None, "missing"), "merged": (7, "ok"),
+                   "TOTAL": (7, "ok")}
 
 
 def test_count_records_detect_delim(spark, tmp_path):
@@ -83,7 +85,9 @@ def test_count_records_detect_delim(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("k1", 2), ("k2", 1)], "keyword string, total_jobs long")
+    write_outputs({"stale": df}, str(tmp_path / "out"))
     write_outputs({"job_demand": df, "other": df}, str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "stale").exists()
     back = SRC.read_jobs_csv(spark, str(tmp_path / "out" / "job_demand"),
                              StructType([StructField("keyword", StringType()), StructField("total_jobs", StringType())]))
     assert sorted(rows(back)) == [("k1", "2"), ("k2", "1")]
