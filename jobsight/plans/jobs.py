@@ -56,3 +56,28 @@ def job_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     field; queries drop it, as the dashboard does)."""
     return plan_memo("documents", spark, sf_dir, lambda: to_documents(
         unified_jobs(spark, sf_dir), imported_at=F.lit("2026-01-01 00:00:00").cast("timestamp")))
+
+
+def materialize_jobs(spark: SparkSession, sf_dir: str, path: str = None) -> str:
+    """Clean once, analyse many times: write the unified jobs table (D6 +
+    job_id) once, partitioned by platform and sorted by (country, keyword)
+    within files, to ``path`` or a fresh folder under ``spark.checkpoint.dir``.
+    Returns the path; ``jobs_table`` reads it. The write also cuts the
+    lineage: later queries start from the table, not from the raw scans."""
+    from jobsight.session import scratch_path
+    from jobsight.sinks.files import write_documents
+
+    target = path or scratch_path(spark, "jobs_table")
+    write_documents(unified_jobs(spark, sf_dir), target)
+    return target
+
+
+def jobs_table(spark: SparkSession, path: str) -> DataFrame:
+    """The materialised unified jobs table (columns in D6 order + job_id)."""
+    df = spark.read.parquet(path)
+    return df.select("job_id", *[c for c in unified_jobs_columns() if c != "job_id"])
+
+
+def unified_jobs_columns():
+    from jobsight.schemas import JOB_COLUMNS
+    return ["job_id"] + JOB_COLUMNS

@@ -166,3 +166,11 @@ def test_aggregate_edge_cases(spark):
     df = spark.createDataFrame([("A", 1.005, 1.005), ("A", 1.0, 1.0)], "keyword string, salary_min double, salary_max double")
     out = rows(A.salary_by_role(df))
     assert out == [("A", 2, 1.0, 1.0, 1.0)]   # 1.0025 -> 1.0 (half-up at 2 decimals)
+
+
+def test_materialized_jobs_table_equals_lazy(spark):
+    from jobsight.plans.jobs import jobs_table, materialize_jobs
+    t = jobs_table(spark, materialize_jobs(spark, SF_SMALL))
+    lazy = unified_jobs(spark, SF_SMALL)
+    assert t.columns == lazy.columns
+    assert t.exceptAll(lazy).count() == 0 and lazy.exceptAll(t).count() == 0
