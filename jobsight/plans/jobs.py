@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsight.operators.normalize import NORMALIZERS, merge_sources, normalize_mixed, to_documents
+from jobsight.session import app_key
 from jobsight.sources.testbed import SOURCE_COLUMNS, raw_jobs, source_frame
 
 
@@ -17,7 +18,7 @@ def plan_memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """Reuse a lazily built DataFrame (a logical plan, not data) for the same
     session and tables: building the normalisation expressions costs
     thousands of Python->JVM calls, the plan itself is immutable."""
-    key = (kind, spark.sparkContext.applicationId, id(spark), sf_dir)
+    key = (kind, app_key(spark), id(spark), sf_dir)
     if key not in _PLANS:
         _PLANS[key] = build()
     return _PLANS[key]

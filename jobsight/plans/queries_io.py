@@ -11,7 +11,7 @@ from jobsight.operators.normalize import NORMALIZERS, flatten_documents
 from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import JOB_COLS, q, with_jobs
-from jobsight.session import scratch_path
+from jobsight.session import app_key, scratch_path
 from jobsight.sinks.files import write_csv, write_documents
 from jobsight.sources import files as SRC
 from jobsight.sources.testbed import source_frame, source_frame_full
@@ -33,7 +33,7 @@ def _with_id(schema: StructType) -> StructType:
 
 
 def _once(spark, sf_dir, name, write):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (app_key(spark), sf_dir, name)
     if key not in _FILES:
         path = scratch_path(spark, name)
         write(path)

@@ -14,7 +14,7 @@ from jobsight.operators.aggregates import stream_total
 from jobsight.operators.normalize import recent_projection
 from jobsight.plans.catalog import register
 from jobsight.schemas import NOT_STATED
-from jobsight.session import scratch_path
+from jobsight.session import app_key, scratch_path
 from jobsight.plans.jobs import cached
 from jobsight.sources import testbed as TB
 from jobsight.streaming import live as L
@@ -26,7 +26,7 @@ job_event_values = cached("events", TB.job_event_values)
 
 def live_run(spark, sf_dir):
     """Run the live job once per (application, tables) and return its paths."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_key(spark), sf_dir)
     if key not in _RUNS:
         base = scratch_path(spark, "live")
         events_dir = f"{base}/events"

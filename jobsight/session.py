@@ -44,6 +44,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     return ensure_parallelism(df) if spread else df
 
 
+def app_key(spark: SparkSession) -> str:
+    """Identity of the running application (for per-session plan reuse)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:                      # e.g. a Spark Connect session
+        return f"session-{id(spark)}"
+
+
 def ensure_parallelism(df: DataFrame) -> DataFrame:
     """Round-robin ``df`` over the cluster's cores when its scan yields fewer
     partitions than there are cores (e.g. one small file = one task).
@@ -51,11 +59,14 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     A no-op for real inputs: a large table already splits into at least one
     task per core, and no shuffle is added then. For a small input the
     shuffle is as small as the input and buys full parallelism for the
-    per-row work that follows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    per-row work that follows. Without access to partition counts (Spark
+    Connect) the input is left as it is."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -65,14 +76,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     on a cluster the setting names shared storage and is used as is.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jdir = spark.sparkContext.getCheckpointDir()
-        root = jdir if jdir else None
+    try:
+        sc = spark.sparkContext
+    except Exception:                      # e.g. a Spark Connect session
+        sc = None
+    if not root and sc is not None:
+        root = sc.getCheckpointDir() or None
     if not root:
         root = tempfile.mkdtemp(prefix="jobsight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
