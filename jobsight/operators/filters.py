@@ -176,8 +176,11 @@ def blocked_pages(pages: DataFrame, n_cards: str = "n_cards", html: str = "html"
 def stream_is_live(summary: DataFrame, now: Optional[Column] = None,
                    max_age_s: int = 120, col: str = "last_updated") -> DataFrame:
     """Adds ``is_live``: last update younger than ``max_age_s``;
-    unparsable or missing -> false."""
+    unparsable, missing, or without a zone offset (a naive time cannot be
+    compared with the current UTC instant) -> false."""
     now = now if now is not None else F.current_timestamp()
-    ts = F.try_to_timestamp(F.col(col))
+    text = F.col(col)
+    zoned = F.coalesce(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+    ts = F.try_to_timestamp(text)
     age = F.unix_micros(now) - F.unix_micros(ts)
-    return summary.withColumn("is_live", F.coalesce(age < max_age_s * 1_000_000, F.lit(False)))
+    return summary.withColumn("is_live", zoned & F.coalesce(age < max_age_s * 1_000_000, F.lit(False)))

@@ -98,10 +98,10 @@ def test_restart_from_checkpoint_processes_only_new_files(spark, tmp_path):
 
 def test_stream_is_live_and_total(spark):
     now = dt.datetime(2026, 1, 1, 12, 0, 0, tzinfo=dt.timezone.utc)
-    df = spark.createDataFrame([("2026-01-01T11:59:00+00:00",), ("2026-01-01T11:50:00+00:00",), ("garbage",), (None,)],
-                               "last_updated string")
+    df = spark.createDataFrame([("2026-01-01T11:59:00+00:00",), ("2026-01-01T11:50:00+00:00",), ("garbage",), (None,),
+                                ("2026-01-01T11:59:30Z",), ("2026-01-01T11:59:30",)], "last_updated string")
     got = [r[0] for r in stream_is_live(df, now=F.lit(now)).select("is_live").collect()]
-    assert got == [True, False, False, False]
+    assert got == [True, False, False, False, True, False]
     counts = spark.createDataFrame([("A", 3), ("B", 4)], "platform string, stream_count long")
     from jobsight.operators.aggregates import stream_total
     assert rows(stream_total(counts)) == [(7,)]
