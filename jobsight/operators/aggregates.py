@@ -187,25 +187,31 @@ def salary_coverage(df: DataFrame) -> DataFrame:
 def dashboard_kpis(df: DataFrame) -> DataFrame:
     """One row: total, with salary, percent, average pay ((avg min +
     avg max)/2 over rows with both ends), top platform with its count and share.
-    Two aggregations joined on a constant: both sides are one row."""
+
+    Two-level aggregation, no join: partial sums per platform (few rows),
+    then one global aggregate over them that also picks the top platform."""
     both = F.col("salary_min").isNotNull() & F.col("salary_max").isNotNull()
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.count("salary_min").alias("jobs_with_salary"),
-        F.avg(F.when(both, F.col("salary_min"))).alias("_amin"),
-        F.avg(F.when(both, F.col("salary_max"))).alias("_amax"),
+    per = df.groupBy("platform").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("salary_min").alias("ws"),
+        F.sum(F.when(both, F.col("salary_min"))).alias("smin"),
+        F.sum(F.when(both, F.col("salary_max"))).alias("smax"),
+        F.count(F.when(both, F.lit(1))).alias("nb"),
+    )
+    g = per.agg(
+        F.sum("n").alias("total_jobs"),
+        F.sum("ws").alias("jobs_with_salary"),
+        F.try_divide(F.sum("smin"), F.sum("nb")).alias("_amin"),
+        F.try_divide(F.sum("smax"), F.sum("nb")).alias("_amax"),
+        F.min(F.struct((-F.col("n")).alias("m"), F.col("platform").alias("p"))).alias("_t"),
     )
-    top = (count_by(df, "platform", "top_platform_count")
-           .agg(F.min(F.struct((-F.col("top_platform_count")).alias("m"),
-                               F.col("platform").alias("p"))).alias("_t"))
-           .select(F.col("_t.p").alias("top_platform"),
-                   (-F.col("_t.m")).alias("top_platform_count")))
-    return totals.crossJoin(top).select(
+    return g.select(
         "total_jobs", "jobs_with_salary",
         F.try_divide(F.col("jobs_with_salary").cast("double") * 100.0, F.col("total_jobs")).alias("salary_pct"),
         money((F.col("_amin") + F.col("_amax")) / 2.0).alias("avg_salary"),
-        "top_platform", "top_platform_count",
-        F.try_divide(F.col("top_platform_count").cast("double") * 100.0, F.col("total_jobs")).alias("top_platform_pct"),
+        F.col("_t.p").alias("top_platform"),
+        (-F.col("_t.m")).alias("top_platform_count"),
+        F.try_divide((-F.col("_t.m")).cast("double") * 100.0, F.col("total_jobs")).alias("top_platform_pct"),
     )
 
 
