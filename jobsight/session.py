@@ -39,7 +39,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table; ``spread`` for fact tables feeding CPU-heavy row work."""
+    """A driver table; ``spread`` for fact tables whose rows get CPU-heavy
+    per-row work before the first shuffle."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return ensure_parallelism(df) if spread else df
 
