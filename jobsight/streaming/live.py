@@ -115,9 +115,10 @@ def _write_summary(paths: LivePaths, batch_id: int, outputs: dict) -> None:
 def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50):
     """K5 for X1-X3: the foreachBatch function of the ``live`` query."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()                 # before any action: the batch is computed once
         if batch.isEmpty():
+            batch.unpersist()
             return                      # an empty batch leaves the live tables
-        batch.persist()
         outputs = {"platform_counts": platform_counts(batch),
                    "keyword_counts": keyword_counts(batch, keywords_n),
                    "recent_jobs": recent_jobs(batch, recent_n)}
@@ -136,9 +137,12 @@ def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50
 def windowed_batch_writer(paths: LivePaths, n: int = 20):
     """K5 for X4/X5: the foreachBatch function of the ``windowed`` query."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        # persist before any action: the stateful aggregation behind this
+        # batch must not be evaluated twice (emptiness check, then writes)
+        batch.persist()
         if batch.isEmpty():
+            batch.unpersist()
             return
-        batch.persist()
         latest = latest_windows(batch, n).persist()
         try:
             batch.write.mode("overwrite").parquet(f"{paths.window_history}/batch_id={batch_id}")
