@@ -82,3 +82,12 @@ def jobs_table(spark: SparkSession, path: str) -> DataFrame:
 def unified_jobs_columns():
     from jobsight.schemas import JOB_COLUMNS
     return ["job_id"] + JOB_COLUMNS
+
+
+def register_views(spark: SparkSession, sf_dir: str, jobs_path: str = None) -> None:
+    """SQL surface: temp views ``jobs`` (D6 + job_id; the materialised table
+    when ``jobs_path`` is given) and ``job_documents`` (D7), so the
+    operators' questions can also be asked with ``spark.sql``."""
+    jobs = jobs_table(spark, jobs_path) if jobs_path else unified_jobs(spark, sf_dir)
+    jobs.createOrReplaceTempView("jobs")
+    job_documents(spark, sf_dir).createOrReplaceTempView("job_documents")

@@ -174,3 +174,12 @@ def test_materialized_jobs_table_equals_lazy(spark):
     lazy = unified_jobs(spark, SF_SMALL)
     assert t.columns == lazy.columns
     assert t.exceptAll(lazy).count() == 0 and lazy.exceptAll(t).count() == 0
+
+
+def test_sql_surface_views(spark):
+    from jobsight.plans.jobs import register_views
+    register_views(spark, SF_SMALL)
+    by_sql = sorted(rows(spark.sql("SELECT platform, count(*) AS total_jobs FROM jobs GROUP BY platform")))
+    assert by_sql == sorted(rows(A.jobs_by_platform(unified_jobs(spark, SF_SMALL))))
+    n = spark.sql("SELECT count(*) FROM job_documents WHERE salary.avg IS NOT NULL").collect()[0][0]
+    assert n == W.with_salary(unified_jobs(spark, SF_SMALL)).count()
