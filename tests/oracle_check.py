@@ -62,7 +62,7 @@ def main():
     filters = sys.argv[2:]
     import __spark_entry__ as E
 
-    spark = build_session()
+    spark = build_session(shuffle_partitions=int(os.environ.get("SHUFFLE_PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
