@@ -1 +1,2 @@
-"""jobsight package."""
+"""DataFrame -> DataFrame operators: normalisation, filters, joins,
+aggregations, dedup, ordering and paging, page and payload extraction."""

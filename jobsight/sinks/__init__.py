@@ -1,0 +1 @@
+"""File sinks: CSV outputs, the document table, appends."""
