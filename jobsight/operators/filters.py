@@ -4,6 +4,7 @@ expressions, so Catalyst pushes the simple ones into the parquet scan."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -72,12 +73,17 @@ def contains_ci(df: DataFrame, query: str, fields=("job_title", "company_name"))
     return df.where(cond)
 
 
-def search_tokens(c) -> Column:
-    """Lower-cased, accent-folded word tokens of a text column (stop words out)."""
+def folded_text(c) -> Column:
+    """Lower-cased, accent-folded text whose tokens (letter/digit runs) are
+    separated by single spaces."""
     col = F.col(c) if isinstance(c, str) else c
-    folded = F.lower(F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), _ACCENTED, _PLAIN),
-                                      r"[^\p{L}\p{N}]+", " "))
-    words = F.split(F.trim(folded), " ")
+    return F.lower(F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), _ACCENTED, _PLAIN),
+                                    r"[^\p{L}\p{N}]+", " "))
+
+
+def search_tokens(c) -> Column:
+    """The word tokens of a text column, stop words out (as an array)."""
+    words = F.split(F.trim(folded_text(c)), " ")
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
@@ -108,15 +114,24 @@ def text_search(df: DataFrame, query: Optional[str], fields=TEXT_FIELDS) -> Data
     terms, phrases, negated = parse_text_query(query)
     if not terms and not phrases:          # only exclusions select nothing
         return df.where(F.lit(False))
-    tokens = F.flatten(F.array(*[search_tokens(f) for f in fields]))
+    # Token membership in one regex pass per field, without rewriting the
+    # text or building token arrays: a term is a token when no letter or
+    # digit touches it on either side. Query terms never are stop words, so
+    # stop words need not be removed from the text.
+    low = [F.lower(F.translate(F.coalesce(F.col(f), F.lit("")), _ACCENTED, _PLAIN)) for f in fields]
+
+    def any_token(words) -> Column:
+        rx = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])"
+        return reduce(lambda a, b: a | b, [x.rlike(rx) for x in low])
+
     cond = F.lit(True)
     if terms:
-        cond = cond & F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in terms]))
+        cond = cond & any_token(terms)
     text = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
     for p in phrases:
         cond = cond & text.contains(p)
     if negated:
-        cond = cond & ~F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in negated]))
+        cond = cond & ~any_token(negated)
     return df.where(F.coalesce(cond, F.lit(False)))
 
 

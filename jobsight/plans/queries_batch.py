@@ -19,6 +19,7 @@ from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs, unified_jobs_by_union
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
+from jobsight.session import read_table
 from jobsight.sources.testbed import source_frame
 
 
@@ -300,6 +301,15 @@ def w07_text_search(spark, sf_dir):
     return W.text_search(_jobs(spark, sf_dir), _SEARCH)
 
 
+@register("w07_text_search_documents",
+          f"SELECT doc_id, lang, source, n_chars FROM (SELECT *, {_tokens_sql(['text'])} AS toks FROM documents) t "
+          f"WHERE (list_contains(toks, 'les') OR list_contains(toks, 'der')) AND NOT list_contains(toks, 'und')")
+def w07_text_search_documents(spark, sf_dir):
+    """W7 over whole document texts (the volume case of the text search)."""
+    docs = read_table(spark, sf_dir, "documents", spread=True)
+    return W.text_search(docs, "les der -und", fields=["text"]).select("doc_id", "lang", "source", "n_chars")
+
+
 @register("w08_search_jobs_documents", with_jobs(
     f"SELECT {_ALL}, salary_avg FROM (SELECT *, {_tokens_sql(W.TEXT_FIELDS)} AS toks FROM docs) t "
     f"WHERE platform IN ('Karir.com', 'Glints') "
