@@ -73,20 +73,6 @@ def contains_ci(df: DataFrame, query: str, fields=("job_title", "company_name"))
     return df.where(cond)
 
 
-def folded_text(c) -> Column:
-    """Lower-cased, accent-folded text whose tokens (letter/digit runs) are
-    separated by single spaces."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), _ACCENTED, _PLAIN),
-                                    r"[^\p{L}\p{N}]+", " "))
-
-
-def search_tokens(c) -> Column:
-    """The word tokens of a text column, stop words out (as an array)."""
-    words = F.split(F.trim(folded_text(c)), " ")
-    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
-
-
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
