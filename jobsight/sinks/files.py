@@ -33,10 +33,13 @@ def write_documents(docs: DataFrame, path: str) -> None:
     platform prune folders and filters on country / keyword skip row groups
     (the role the store's indexes played).
 
-    No shuffle by platform: every task writes its own rows (at most one file
-    per platform per task), so a platform holding a third of the rows is
-    still written by all tasks in parallel."""
-    (docs.sortWithinPartitions("platform", "country", "keyword")
+    Rows are rebalanced by platform (the REBALANCE hint): adaptive execution
+    groups each platform's rows into few tasks, so each folder gets few
+    large files instead of one small file per input task, and it splits a
+    platform that holds a third of the rows over several tasks (skew-aware),
+    so no single task writes it all."""
+    (docs.hint("rebalance", "platform")
+     .sortWithinPartitions("platform", "country", "keyword")
      .write.mode("overwrite").partitionBy("platform").parquet(path))
 
 
