@@ -183,3 +183,24 @@ def test_sql_surface_views(spark):
     assert by_sql == sorted(rows(A.jobs_by_platform(unified_jobs(spark, SF_SMALL))))
     n = spark.sql("SELECT count(*) FROM job_documents WHERE salary.avg IS NOT NULL").collect()[0][0]
     assert n == W.with_salary(unified_jobs(spark, SF_SMALL)).count()
+
+
+def test_merge_sources_and_event_limit(spark):
+    import pytest
+    from jobsight.operators.normalize import merge_sources
+    from jobsight.streaming.events import to_events
+    with pytest.raises(ValueError):
+        merge_sources([None, None])
+    a = spark.createDataFrame([("Dev", "L")], "job_title string, platform string")
+    assert merge_sources([a, None, a]).count() == 2
+    jobs = spark.range(10).select(F.col("id").cast("string").alias("job_title"))
+    assert to_events(jobs, limit=3).count() == 3
+
+
+def test_text_search_phrase_and_accents(spark):
+    j = _jobs_frame(spark)
+    ids = lambda q: sorted(r[0] for r in rows(W.text_search(j, q), "id"))
+    assert ids('"analytics co"') == [4]      # phrase over the raw text
+    assert ids("ÉCLAIR") == [2]              # query folded like the text
+    assert ids("sql") == [1]                 # token inside markup
+    assert ids("sq") == []                   # whole tokens only
