@@ -215,7 +215,26 @@ def normalize_mixed(df: DataFrame, column_maps: dict, platform_col: str = "platf
     e.g. the salary parser appears once for the two sources that have one.
     """
     plat = F.col(platform_col)
-    cols = {c: F.col(f"`{c}`") for c in df.columns}     # one Column object per input column
+    key = (_session_key(df), tuple(df.columns), repr(sorted(column_maps.items())), platform_col)
+    if key not in _FUSED:
+        _FUSED[key] = _fused_exprs(df.columns, column_maps, plat)
+    keep = [c for c in keep if c in df.columns]
+    staged = df.where(plat.isin(PLATFORMS)).select(*keep, *_FUSED[key])
+    return _flatten_salary(staged, keep)
+
+
+# Fused rule expressions reference input columns by name only, so they are
+# built once per session and input layout, then reused for any input frame.
+_FUSED: dict = {}
+
+
+def _session_key(df: DataFrame):
+    from jobsight.session import app_key
+    return app_key(df.sparkSession)
+
+
+def _fused_exprs(columns, column_maps: dict, plat: Column) -> list:
+    cols = {c: F.col(f"`{c}`") for c in columns}        # one Column object per input column
     per_source = {}
     with shared_rules():
         for p, rules in RULES.items():
@@ -235,9 +254,7 @@ def normalize_mixed(df: DataFrame, column_maps: dict, platform_col: str = "platf
             cond = plat == ps[0] if len(ps) == 1 else plat.isin(ps)
             expr = F.when(cond, e) if expr is None else expr.when(cond, e)
         exprs.append(expr.alias(n))
-    keep = [c for c in keep if c in df.columns]
-    staged = df.where(plat.isin(PLATFORMS)).select(*keep, *exprs)
-    return _flatten_salary(staged, keep)
+    return exprs
 
 
 # --- U1 / U2 ------------------------------------------------------------------------
