@@ -1,10 +1,10 @@
 """Streaming queries (X1-X6, A19) and the event encode/parse queries (P10,
 P11, T2), over job events derived from the ``events`` table.
 
-A registered streaming query replays the whole events table through the
-file-stream source with an ``availableNow`` trigger (one micro-batch: the
-oracle compares against the whole table), then returns the live tables the
-foreachBatch writers produced. Checkpoints and outputs go to a fresh folder
+A registered streaming query publishes the whole events table as JSON
+messages, consumes them with an ``availableNow`` trigger (one micro-batch:
+the oracle compares against the whole table), then returns the live tables
+the foreachBatch writers produced. Checkpoints and outputs go to a fresh folder
 under ``spark.checkpoint.dir``.
 """
 
@@ -25,7 +25,10 @@ job_event_values = cached("events", TB.job_event_values)
 
 
 def live_run(spark, sf_dir):
-    """Run the live job once per (application, tables) and return its paths."""
+    """Run the live job once per (application, tables) and return its paths.
+
+    The events are first published as JSON messages (K4, one file per
+    partition, standing in for the topic), then consumed by the live job."""
     key = (app_key(spark), sf_dir)
     if key not in _RUNS:
         base = scratch_path(spark, "live")

@@ -245,14 +245,30 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(k.alias("payload_id"), payload.alias("payload"))
 
 
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a streaming source (parquet file source,
+    schema taken from the table; only ``events.parquet`` in the folder)."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf_dir).select(*EVENT_COLUMNS))
+
+
 def job_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8 job events derived from the ``events`` table (``event_type`` ->
-    platform, ``user_id`` -> keyword, ``ts`` -> event time), with the stream's
-    awkward cases: null platform / keyword / country, missing salaries, and
-    unparsable event times. ``job_url`` carries the event id."""
+    """``job_event_rows_from`` over the events table (batch)."""
+    return job_event_rows_from(read_table(spark, sf_dir, "events", spread=True).select(*EVENT_COLUMNS))
+
+
+def job_event_rows_from(ev: DataFrame) -> DataFrame:
+    """D8 job events derived from ``events`` rows, batch or streaming
+    (``event_type`` -> platform, ``user_id`` -> keyword, ``ts`` -> event
+    time), with the stream's awkward cases: null platform / keyword /
+    country, missing salaries, and unparsable event times. ``job_url``
+    carries the event id."""
     from jobsight.streaming.events import iso_utc
 
-    ev = read_table(spark, sf_dir, "events", spread=True).select("event_id", "ts", "user_id", "event_type", "value")
     e, u = F.col("event_id"), F.col("user_id")
     salary = F.when(F.pmod(e, F.lit(5)) == 0, F.lit(None).cast("double")).otherwise(F.col("value") * 1_000_000.0)
     return ev.select(
@@ -276,11 +292,15 @@ def job_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``job_event_values_from`` over the events table (batch)."""
+    return job_event_values_from(job_event_rows(spark, sf_dir))
+
+
+def job_event_values_from(rows: DataFrame) -> DataFrame:
     """The topic's message values: JSON text per event; every 19th message is
-    malformed (not JSON)."""
+    malformed (not JSON). Works on a batch or a streaming frame."""
     from jobsight.streaming.events import to_events
 
-    rows = job_event_rows(spark, sf_dir).withColumn(
-        "_bad", F.pmod(F.col("event_id"), F.lit(19)) == 0)
+    rows = rows.withColumn("_bad", F.pmod(F.col("event_id"), F.lit(19)) == 0)
     ev = to_events(rows, event_time=F.col("event_time"), keep=["_bad"])
     return ev.select(F.when(F.col("_bad"), F.lit("garbage{")).otherwise(F.col("value")).alias("value"))

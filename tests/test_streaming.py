@@ -124,3 +124,13 @@ def test_outputs_independent_of_session_time_zone(spark):
         assert ts == dt.datetime(2026, 1, 1, 10, 0, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_events_table_as_stream_source(spark, tmp_path):
+    from conftest import SF_SMALL
+    from jobsight.sources import testbed as TB
+    values = TB.job_event_values_from(TB.job_event_rows_from(TB.events_stream(spark, SF_SMALL)))
+    paths = L.LivePaths(str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    L.run_until_idle(L.start_live(spark, values, paths, available_now=True), 300)
+    total = L.read_live(spark, paths, "platform_counts").agg(F.sum("stream_count")).collect()[0][0]
+    assert total == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
