@@ -14,7 +14,7 @@ from jobsight.plans.oracle import JOB_COLS, q, with_jobs
 from jobsight.session import app_key, scratch_path
 from jobsight.sinks.files import write_csv, write_documents
 from jobsight.sources import files as SRC
-from jobsight.sources.testbed import source_frame, source_frame_full
+from jobsight.sources.testbed import source_frame_full
 
 _FILES: dict = {}
 
