@@ -62,7 +62,14 @@ def main():
     filters = sys.argv[2:]
     import __spark_entry__ as E
 
-    spark = build_session(shuffle_partitions=int(os.environ.get("SHUFFLE_PARTITIONS", "8")))
+    if os.environ.get("PLAIN"):             # a bare session, as a driver might pass
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
+                 .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                 .getOrCreate())
+    else:
+        spark = build_session(shuffle_partitions=int(os.environ.get("SHUFFLE_PARTITIONS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
