@@ -204,3 +204,22 @@ def test_text_search_phrase_and_accents(spark):
     assert ids("ÉCLAIR") == [2]              # query folded like the text
     assert ids("sql") == [1]                 # token inside markup
     assert ids("sq") == []                   # whole tokens only
+
+
+def test_blocked_pages_and_selector_boundaries(spark):
+    from jobsight.operators import pages as PG
+    pages = spark.createDataFrame([
+        (1, "https://x.example/jobs?page=3", "<html>Please complete the CAPTCHA</html>"),
+        (2, "https://x.example/jobs", "<html>nothing here</html>"),
+        (3, "https://x.example/jobs?page=2", "<html>nothing here</html>"),
+        (4, "https://x.example/jobs", '<div class="job_seen_beacon big">card</div>'),
+    ], "page_id int, url string, html string")
+    fams = list(PG.INDEED_CARD_FAMILIES) + [PG.INDEED_SLIDER_ITEM]
+    p = pages.select("page_id", "url", "html", PG.card_count("html", fams).alias("n_cards"),
+                     PG.page_number("url").alias("page_no"))
+    assert sorted(r[0] for r in rows(W.blocked_pages(p), "page_id")) == [1, 2]
+    counts = spark.createDataFrame([
+        (1, '<a class="x tapItem y" href="#">a</a><a class="tapItemX">b</a><div class="jobsearch-SerpJobCard">c</div>'),
+    ], "page_id int, html string")
+    out = rows(PG.selector_counts(counts))
+    assert out == [(1, 1, 1, 0, 0)]
