@@ -53,3 +53,13 @@ def test_nation_is_broadcast_and_orders_probe(spark):
     # orders is never the broadcast (build) side
     build_sides = [seg for seg in p.split("BroadcastExchange")[1:]]
     assert all("o_orderkey" not in seg.split("Scan")[1][:200] for seg in build_sides if "Scan" in seg)
+
+
+def test_platform_filter_prunes_document_partitions(spark, tmp_path):
+    from jobsight.plans.jobs import job_documents
+    from jobsight.sinks.files import write_documents
+    from jobsight.sources.files import read_documents
+    path = str(tmp_path / "docs")
+    write_documents(job_documents(spark, SF_SMALL), path)
+    p = plan(read_documents(spark, path).where(F.col("platform") == "Glints").select("job_title"))
+    assert "PartitionFilters: [isnotnull(platform" in p and "(platform" in p and "Glints" in p
