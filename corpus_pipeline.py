@@ -11,6 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from jobsight.llm.common import materialise, read
 
 
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    from jobsight.llm.ngram_join import jaccard_components, keep_one
+
+    return keep_one(docs, materialise(jaccard_components(docs), "classes"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     from jobsight.llm.winnowing import contamination
@@ -28,6 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("deduplicate", deduplicate),
     ("decontaminate", decontaminate),
     ("pack", pack),
 ]

@@ -19,7 +19,6 @@ import base64
 import re
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
 from typing import Iterator
 
 import pandas as pd
@@ -91,11 +90,6 @@ class ByteBpe:
         return first + b"".join(map(self.memo.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(json_path: str, rank_path: str | None) -> ByteBpe:
-    return ByteBpe(json_path, rank_path)
-
-
 class Packer:
     """Open windows of one partition. A piece is (key, start, ids bytes, doc tokens)."""
 
@@ -194,7 +188,7 @@ def pack_documents(docs: DataFrame, json_path: str, rank_path: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer, sent = byte_bpe(json_path, rank_path), Packer(window, max_open, slack), 0
+        encode, packer, sent = ByteBpe(json_path, rank_path), Packer(window, max_open, slack), 0
 
         def rows(pieces: list, partial: bool = False) -> list[tuple]:
             nonlocal sent

@@ -38,6 +38,12 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(read(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.ngram_join import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.extendible_sharding import shard
 
@@ -51,10 +57,11 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_packing, op4_arc_to_warc, op9_extendible_sharding, op10_winnowing)}
+    op2_token_counts, op3_packing, op4_arc_to_warc, op7_ngram_jaccard_join, op9_extendible_sharding, op10_winnowing)}
 
 ORACLE = {
     "op4_arc_to_warc": sql.OP4,
+    "op7_ngram_jaccard_join": sql.OP7,
     "op9_extendible_sharding": sql.op9(SHARD_BYTES),
     "op10_winnowing": sql.OP10,
 }

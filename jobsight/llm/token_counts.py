@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
@@ -130,17 +129,12 @@ class RankMerges:
         return [m.encode() for m in self.split.findall(text)]
 
 
-@lru_cache(maxsize=4)
-def merges_of(path: str) -> RankMerges:
-    return RankMerges(path)
-
-
 class TextCounter:
     """Counts of whole texts. A text is cut at single spaces, where no
     pre-token can span, and counts of recurring chunks are remembered."""
 
     def __init__(self, path: str):
-        self.merges, self.memo = merges_of(path), {}
+        self.merges, self.memo = RankMerges(path), {}
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         docs, extra = [], []
