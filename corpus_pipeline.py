@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from jobsight.llm.common import materialise, read
 
 
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the network learns from labelled rows of ``docs``."""
+    from jobsight.llm.toxicity_rnn import THRESHOLD, fit, score_rows
+
+    net = fit(docs, read(spark, sf_dir, "labels"))
+    return score_rows(docs, net).where(f"score < {THRESHOLD}").select("row.*")
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
     from jobsight.llm.ngram_join import jaccard_components, keep_one
@@ -35,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("detoxify", detoxify),
     ("deduplicate", deduplicate),
     ("decontaminate", decontaminate),
     ("pack", pack),

@@ -75,8 +75,10 @@ def word_count_table(docs: DataFrame) -> np.ndarray:
              pa.array([x.tobytes() for x in low], pa.binary())], ["part", "block", "counts"])
 
     schema = "part bigint, block int, counts binary"
-    tables = docs.select("text").mapInArrow(run, schema)
-    for _ in range(3):                                    # _FAN_IN ** 3 partitions and more
+    tables = materialise(docs.select("text").mapInArrow(run, schema), "word-counts")
+    parts = (tables.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        parts = -(-parts // _FAN_IN)
         tables = (tables.withColumn("part", F.expr(f"part DIV {_FAN_IN}"))
                   .groupBy("block", "part").applyInPandas(_add_tables, schema))
     out = np.zeros((_BLOCKS, (1 << COUNT_BITS) // _BLOCKS), dtype=np.uint64)

@@ -19,6 +19,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.html_mincut import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.token_counts import token_counts
 
@@ -38,12 +44,32 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(read(spark, sf_dir, "pages"))
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.brown_lm import learn, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, *learn(docs))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.toxicity_rnn import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.ngram_join import jaccard_components
 
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op8_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.posting_ann import search
+
+    return search(read(spark, sf_dir, "embeddings"))
+
+
 def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.extendible_sharding import shard
 
@@ -57,7 +83,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_packing, op4_arc_to_warc, op7_ngram_jaccard_join, op9_extendible_sharding, op10_winnowing)}
+    op1_html_mincut, op2_token_counts, op3_packing, op4_arc_to_warc, op5_brown_lm, op6_toxicity,
+    op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing)}
 
 ORACLE = {
     "op4_arc_to_warc": sql.OP4,

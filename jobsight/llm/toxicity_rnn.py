@@ -297,17 +297,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score, predicted per row of docs."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _scored(rows: DataFrame, net: Network | None) -> DataFrame:
+    """(row, score) of rows (row, text)."""
+    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net is not None else None
         for batch in slices(batches, 128):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scorer(texts) if scorer else [0.0] * len(texts), pa.float64())], [id_col, "score"])
+                [batch.column(0), pa.array(scorer(texts) if scorer else [0.0] * len(texts), pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(run, f"row {kind}, score double")
+
 
-    return (docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
-            .select(id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
-                    "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+def score_rows(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """(row, score): whole rows of ``docs`` as one struct, so no column name can clash."""
+    return _scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), net)
+
+
+def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, score, predicted per row of docs."""
+    return _scored(docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text")), net).select(
+        F.col("row").alias(id_col), F.coalesce(F.crc32(F.col("row").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
