@@ -32,7 +32,8 @@ EMBED, HIDDEN = 12, 8
 NGRAM_BITS = 15
 GRAMS = (3, 4, 5)
 PER_CLASS, TRAIN_CHARS = 3000, 20_000
-EPOCHS = 6
+#: Windows a step, and least number of steps (small samples are gone through more often).
+BATCH, STEPS = 128, 400
 THRESHOLD = 0.3
 #: Words whose inputs a task remembers.
 MEMO_LIMIT = 150_000
@@ -186,7 +187,7 @@ class Network:
         return g
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network | None:
+def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Network | None:
     """A network fitted to labelled texts; None without both labels."""
     docs = [text_words(t) for t in texts]
     docs, y = [d for d in docs if d], np.array([t for d, t in zip(docs, toxic) if d], np.float32)
@@ -215,9 +216,10 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step = 0
-    for epoch in range(epochs):
-        if epoch > 1:                                     # windows as the network sees them now
+    step = epoch = 0
+    while step < steps:
+        epoch += 1
+        if epoch > 2:                                     # windows as the network sees them now
             x = net.inputs(np.concatenate([np.zeros((1, EMBED), np.float32), net.embed(net.features(words))]))
             flat = net.logits(x, np.concatenate(wins))
             edge = np.cumsum([0] + [len(w) for w in wins])
@@ -230,8 +232,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
                 target.append(label)
         at, target = np.array(at), np.array(target, np.float32)
         order = rng.permutation(len(at))
-        for i in range(0, len(order), 256):
-            part, want = at[order[i:i + 256]], target[order[i:i + 256]]
+        for i in range(0, len(order), BATCH):
+            part, want = at[order[i:i + BATCH]], target[order[i:i + BATCH]]
             used, inverse = np.unique(np.append(0, part.ravel()), return_inverse=True)
             f = net.features([words[k - 1] for k in used[1:]])
             g = net.gradients(f, inverse[1:].reshape(part.shape), want, np.full(len(want), 1 / len(want), np.float32))
@@ -293,7 +295,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
-    rows = sorted(training_sample(docs, labels).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    rows = training_sample(docs, labels).select("text", "toxic").distinct().collect()     # a copy teaches nothing new
+    rows.sort(key=lambda r: (r["text"], r["toxic"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
