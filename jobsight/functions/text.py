@@ -140,8 +140,8 @@ def first_truthy(*cols, default=None) -> Column:
 
 
 def default_text(c, default: str) -> Column:
-    """stripped text, or ``default`` when missing or blank."""
-    return F.coalesce(F.nullif(py_strip(c), F.lit("")), F.lit(default))
+    """stripped text, or ``default`` when missing (a blank one stays blank)."""
+    return F.coalesce(py_strip(c), F.lit(default))
 
 
 @_shared
@@ -226,10 +226,28 @@ def format_salary_range(lower, upper) -> Column:
 
 
 def format_millions(c, decimals: int = 1) -> Column:
-    """amount in millions of rupiah, e.g. "Rp 1.5 Jt"; null -> "-"."""
+    """amount in millions of rupiah, e.g. "Rp 1.5 Jt"; null -> "-".
+
+    The quotient's exact binary value is rounded, ties to even, as Python's
+    ``.1f`` does (Java formats its shortest decimal text, ties up): the scaled
+    value is rounded by ``rint``, and where it looks like a tie the exact
+    rounding error of the multiplication (split into two 26-bit halves) decides."""
     x = col_(c)
-    return F.when(x.isNull(), "-").otherwise(
-        F.format_string(f"Rp %.{decimals}f Jt", x / F.lit(1_000_000.0)))
+    y = F.abs(x.cast("double") / F.lit(1_000_000.0))
+    scale = F.lit(float(10 ** decimals))
+    t = y * scale
+    high = y * F.lit(134217729.0) - (y * F.lit(134217729.0) - y)
+    error = (high * scale - t) + (y - high) * scale
+    tie = t - F.floor(t) == F.lit(0.5)
+    n = (F.when(tie & (error > 0), F.floor(t) + 1).when(tie & (error < 0), F.floor(t))
+         .otherwise(F.rint(t))).cast("bigint")
+    unit = F.lit(10 ** decimals).cast("bigint")
+    text = F.floor(n / unit).cast("bigint").cast("string")
+    if decimals:
+        text = F.concat(text, F.lit("."), F.lpad((n % unit).cast("string"), decimals, "0"))
+    sign = F.when(x < 0, "-").otherwise("")
+    return (F.when(x.isNull(), "-").when(F.isnan(x.cast("double")), "Rp nan Jt")
+            .otherwise(F.concat(F.lit("Rp "), sign, text, F.lit(" Jt"))))
 
 
 def date_part(c) -> Column:

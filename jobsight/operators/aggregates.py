@@ -70,18 +70,19 @@ def top_companies(df: DataFrame, n: int = 10) -> DataFrame:
     return _counted(df.where(F.col("company_name").isNotNull()), "company_name", n)
 
 
-def platform_country_heatmap(df: DataFrame, pairs: int = 50, rows: int = 10,
-                             platforms=None) -> DataFrame:
+def platform_country_heatmap(df: DataFrame, pairs: int = 50, rows: int = 10) -> DataFrame:
     """Count per (platform, country), keep the top ``pairs`` pairs, pivot
     countries x platforms (missing pairs 0), keep the ``rows`` countries with
     the largest total over the kept pairs. Pairs with a null side use up a
-    slot and then vanish, as in a pivot table."""
+    slot and then vanish, as in a pivot table. The columns are the platforms
+    of the kept pairs, so these (``pairs`` rows at most) are read first."""
     counts = df.groupBy("platform", "country").agg(F.count(F.lit(1)).alias("n"))
-    kept = top_k(counts, pairs, "n", "platform", "country").where(
-        F.col("platform").isNotNull() & F.col("country").isNotNull())
-    grid = kept.groupBy("country").pivot("platform", platforms).agg(F.first("n"))
-    cols = [c for c in grid.columns if c != "country"]
-    grid = grid.select("country", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in cols])
+    found = top_k(counts, pairs, "n", "platform", "country").where(
+        F.col("platform").isNotNull() & F.col("country").isNotNull()).collect()
+    kept = df.sparkSession.createDataFrame(found, counts.schema)
+    cols = sorted({r["platform"] for r in found})
+    grid = kept.groupBy("country").agg(*[
+        F.coalesce(F.max(F.when(F.col("platform") == c, F.col("n"))), F.lit(0)).alias(c) for c in cols])
     total = sum((F.col(f"`{c}`") for c in cols), F.lit(0))
     return (grid.withColumn("_total", total)
             .orderBy(F.col("_total").desc(), F.col("country").asc())
@@ -217,17 +218,21 @@ def dashboard_kpis(df: DataFrame) -> DataFrame:
 
 def integration_report(df: DataFrame, n_countries: int = 5) -> DataFrame:
     """Rows per platform, top countries, salary coverage - one long table
-    (section, item, count, pct)."""
-    plat = count_by(df, "platform", "count").select(
-        F.lit("platform").alias("section"), F.col("platform").alias("item"), "count",
-        F.lit(None).cast("double").alias("pct"))
-    ctry = top_countries(df, n_countries).select(
-        F.lit("country").alias("section"), F.col("country").alias("item"), "count",
-        F.lit(None).cast("double").alias("pct"))
-    cov = salary_coverage(df).select(
-        F.lit("salary").alias("section"), F.lit("with_salary").alias("item"),
-        F.col("with_salary").alias("count"), "pct")
-    return plat.unionByName(ctry).unionByName(cov)
+    (section, item, count, pct). One pass over the input: a grouping-sets
+    aggregate by platform, by country and over all; what follows works on one
+    row per group."""
+    from pyspark.sql import Window
+
+    sums = df.groupingSets([[F.col("platform")], [F.col("country")], []], F.col("platform"), F.col("country")).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count("salary_min").alias("paid"))
+    # g: 1 by platform, 2 by country, 3 all rows
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.col("n").desc(), F.col("country").asc_nulls_first()))
+    rows = sums.withColumn("rank", F.when(F.col("g") == 2, rank).otherwise(F.lit(0)))
+    return rows.where(F.col("rank") <= n_countries).select(
+        F.when(F.col("g") == 1, "platform").when(F.col("g") == 2, "country").otherwise("salary").alias("section"),
+        F.when(F.col("g") == 1, F.col("platform")).when(F.col("g") == 2, F.col("country")).otherwise(F.lit("with_salary")).alias("item"),
+        F.when(F.col("g") == 3, F.col("paid")).otherwise(F.col("n")).alias("count"),
+        F.when(F.col("g") == 3, F.try_divide(F.col("paid").cast("double") * 100.0, F.col("n"))).alias("pct"))
 
 
 def stream_total(counts: DataFrame, col: str = "stream_count") -> DataFrame:

@@ -46,11 +46,7 @@ def dedup_keep_last(df: DataFrame, keys, seq) -> DataFrame:
     return _dedup(df, keys, seq, F.max)
 
 
-def normalized_key(*cols) -> Column:
-    """"lower(a)|lower(b)|lower(c)", the key of N4."""
-    return F.concat_ws("|", *[F.lower(F.col(c) if isinstance(c, str) else c) for c in cols])
-
-
 def dedup_normalized(df: DataFrame, cols, seq) -> DataFrame:
-    """First row per case-insensitive composite key."""
-    return dedup_keep_first(df, [normalized_key(*cols)], seq)
+    """First row per case-insensitive composite key; the parts are grouped
+    side by side, so a null part never runs into its neighbour."""
+    return dedup_keep_first(df, [F.lower(F.col(c) if isinstance(c, str) else c) for c in cols], seq)

@@ -10,6 +10,8 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsight.functions import py_strip
+
 # --- fixed values: markers of a blocked / challenge page --------------------------
 BLOCK_MARKERS = ["cloudflare", "security check", "challenge", "captcha"]
 
@@ -77,50 +79,77 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅ
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
+def search_tokens(text) -> Column:
+    """Folded tokens of a text without stop words, reduced to their plain form
+    (``plain_form``): the column a text index stores."""
+    words = F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN)), r"[^\p{L}\p{N}]+")
+    kept = F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    return F.array_distinct(F.transform(kept, plain_form))
+
+
+# --- fixed values: endings of English words and what stays of them, in order ---------
+_ENDINGS = [
+    (r"^(.*ss)es$", "$1"), (r"^(..+)(?:ies|ied)$", "$1i"),                # classes, studies
+    (r"^(.*[aeiouy].*[^su])s$", "$1"),                                    # engineers
+    (r"^(.*[aeiouy].*[^e])(?:ingly|edly|ing|ed|er)$", "$1"),              # testing, tested, tester
+    (r"([bdfgmnprt])\1$", "$1"),                                          # runn(ing)
+    (r"(?<=...)e$", ""), (r"([^aeiou])y$", "$1i"),                        # manage, study
+]
+
+
+def plain_form(w: Column) -> Column:
+    """A word without its inflection, by the first steps of the English stemming
+    rules (plural, -ed, -ing, -er and what they leave behind); one linear chain
+    of replacements. Text and query are treated alike, so both meet."""
+    for pattern, stay in _ENDINGS:
+        w = F.regexp_replace(w, pattern, stay)
+    return w
+
+
 def parse_text_query(query: str):
     """Split a search string into (terms, phrases, negated terms), folded like
-    the indexed text: ``"data engineer" python -java``."""
-    phrases = [p.strip().lower() for p in re.findall(r'"([^"]+)"', query)]
-    rest = re.sub(r'"[^"]+"', " ", query)
-    terms, negated = [], []
-    for tok in rest.split():
-        tok = tok.lower()
-        (negated if tok.startswith("-") and len(tok) > 1 else terms).append(tok.lstrip("-"))
+    the indexed text: ``"data engineer" python -java``. A term is cut like the
+    text, so ``full-stack`` is two terms."""
     fold = str.maketrans(_ACCENTED.lower(), _PLAIN.lower())
-    clean = lambda ws: [w.translate(fold) for w in ws if w and w not in STOP_WORDS]
-    return clean(terms), [p.translate(fold) for p in phrases], clean(negated)
+    phrases = [p.strip().lower().translate(fold) for p in re.findall(r'"([^"]+)"', query)]
+    terms, negated = [], []
+    for tok in re.sub(r'"[^"]+"', " ", query).split():
+        out = negated if tok.startswith("-") and len(tok) > 1 else terms
+        out += [w for w in re.split(r"[\W_]+", tok.lower().translate(fold)) if w and w not in STOP_WORDS]
+    return terms, phrases, negated
 
 
-def text_search(df: DataFrame, query: Optional[str], fields=TEXT_FIELDS) -> DataFrame:
+def text_search(df: DataFrame, query: Optional[str], fields=TEXT_FIELDS, tokens: Optional[str] = None) -> DataFrame:
     """OR of terms over title, company and skills; quoted phrases must all
-    appear; ``-term`` excludes. Tokens are folded and stop words dropped; no
-    stemming (a stated difference from a stemming text index)."""
+    appear, each within one field; ``-term`` excludes. Text and query are
+    folded, stop words dropped and inflections removed alike.
+
+    ``tokens`` names a stored column of ``search_tokens`` (see
+    ``with_search_tokens``); without it the tokens are made from the fields."""
     if not query:
         return df
     terms, phrases, negated = parse_text_query(query)
     if not terms and not phrases:          # only exclusions select nothing
         return df.where(F.lit(False))
-    # Token membership in one regex pass per field, without rewriting the
-    # text or building token arrays: a term is a token when no letter or
-    # digit touches it on either side. Query terms never are stop words, so
-    # stop words need not be removed from the text.
-    low = [F.lower(F.translate(F.coalesce(F.col(f), F.lit("")), _ACCENTED, _PLAIN)) for f in fields]
+    own = F.col(tokens) if tokens else search_tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))
 
     def any_token(words) -> Column:
-        rx = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])"
-        return reduce(lambda a, b: a | b, [x.rlike(rx) for x in low])
+        return F.arrays_overlap(own, F.array(*[plain_form(F.lit(w)) for w in words]))
 
-    cond = F.lit(True)
-    if terms:
-        cond = cond & any_token(terms)
-    text = F.lower(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    cond = any_token(terms) if terms else F.lit(True)
     for p in phrases:
-        cond = cond & text.contains(p)
+        folded = [F.lower(F.translate(F.col(f), _ACCENTED, _PLAIN)).contains(p) for f in fields]
+        cond = cond & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in folded])
     if negated:
         cond = cond & ~any_token(negated)
     return df.where(F.coalesce(cond, F.lit(False)))
 
 
+def with_search_tokens(df: DataFrame, fields=TEXT_FIELDS, name: str = "search_tokens") -> DataFrame:
+    """The table with its token column, made once when the cleaned table is written."""
+    return df.withColumn(name, search_tokens(F.concat_ws(" ", *[F.col(f) for f in fields])))
+
+
 def search_jobs(df: DataFrame, query: Optional[str] = None, platforms=None, countries=None,
                 min_salary: float = 0, mode: str = "documents",
                 all_platforms=None, all_countries=None) -> DataFrame:
@@ -157,7 +186,7 @@ def having_count(df: DataFrame, n: int, col: str = "count") -> DataFrame:
 def title_required(df: DataFrame, title: str = "job_title", also=()) -> DataFrame:
     """Drop records without a (non-blank) title, and without the other
     required elements."""
-    cond = F.coalesce(F.trim(F.col(title)) != "", F.lit(False))
+    cond = F.coalesce(py_strip(title) != "", F.lit(False))
     for c in also:
         cond = cond & F.col(c).isNotNull()
     return df.where(cond)

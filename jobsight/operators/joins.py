@@ -1,4 +1,4 @@
-"""Joins J1-J2 and a size-checked broadcast helper.
+"""Joins J1-J2.
 
 Both joins are equi-joins planned by Catalyst; with AQE on, a side whose
 *measured* shuffle size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
@@ -8,30 +8,17 @@ is switched to a broadcast at run time, otherwise the sort-merge join stays
 
 from __future__ import annotations
 
-from typing import Optional
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after proving ``df`` has at most ``max_rows`` rows
-    (a ``limit(max_rows + 1).count()`` job, which stops reading early).
-    Larger inputs are returned unhinted and joined by shuffle."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def not_yet_ingested(new: DataFrame, done: DataFrame, key: str,
-                     max_broadcast_rows: Optional[int] = None) -> DataFrame:
+def not_yet_ingested(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` whose key is absent from ``done`` (incremental load).
 
     ``done`` is reduced to its distinct non-null keys first (partial aggregation
     before the shuffle); null keys in ``new`` never match, so they are kept.
     """
     keys = done.where(F.col(key).isNotNull()).select(key).distinct()
-    if max_broadcast_rows:
-        keys = broadcast_if_bounded(keys, max_broadcast_rows)
     return new.join(keys, on=key, how="left_anti")
 
 

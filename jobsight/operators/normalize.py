@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from jobsight.functions.text import shared_rules
 from jobsight.functions import (
+    py_strip,
     clean_education,
     clean_experience,
     clean_number,
@@ -351,7 +352,7 @@ def tag_positions(tags) -> list:
     """Drop empty tags and tags with "+", then element 0/1/2 ->
     (job type, experience, education), missing -> "Tidak diketahui"."""
     t = F.col(tags) if isinstance(tags, str) else tags
-    kept = F.filter(F.transform(t, lambda x: F.trim(x)),
+    kept = F.filter(F.transform(t, lambda x: py_strip(x)),
                     lambda x: (x != "") & ~x.contains("+"))
     return [F.coalesce(F.get(kept, i), F.lit(UNKNOWN_TAG)) for i in range(3)]
 

@@ -8,7 +8,7 @@ reach the final merge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,56 +51,40 @@ def page_info(df: DataFrame, page: int, page_size: int = 500) -> DataFrame:
         start.alias("start_idx"), F.least(start + page_size, F.col("total_rows")).alias("end_idx"))
 
 
-TOPK_PAGE_LIMIT = 100_000
+def _total_order(df: DataFrame, order_key: str) -> list:
+    """The key (nulls first), then every other sortable column: repeated keys
+    have one order, whatever the partitioning."""
+    rest = [f.name for f in df.schema.fields
+            if f.name != order_key and f.dataType.typeName() not in ("map", "variant")]
+    return [F.col(f"`{c}`").asc_nulls_first() for c in [order_key] + rest]
 
 
-def paginate(df: DataFrame, order_key: str, page: int, page_size: int = 500,
-             n_ranges: int = 0, topk_limit: int = TOPK_PAGE_LIMIT) -> DataFrame:
-    """Rows [start, end) of ``df`` ordered by a unique ``order_key``.
+def paginate(df: DataFrame, order_key: str, page: int, page_size: int = 500) -> DataFrame:
+    """Rows [start, end) of ``df`` in ascending ``order_key``, nulls first.
 
-    Shallow pages (end <= ``topk_limit``): ORDER BY + OFFSET/LIMIT, which
-    plans as a top-k (each task keeps at most ``end`` rows; one pass).
-
-    Deep pages (numeric or temporal keys): distributed ranking instead of
-    OFFSET, so no task holds all rows before the page: rows are bucketed by
-    approximate key quantiles, each bucket counts its rows (one small row per
-    bucket), a cumulative sum over those counts gives every bucket's first
-    global position, and only the buckets that overlap the page number their
-    rows locally.
-    """
-    start = (max(page, 1) - 1) * page_size
-    if start + page_size <= topk_limit:
-        return df.orderBy(F.col(order_key).asc()).offset(start).limit(page_size)
-    return _paginate_ranked(df, order_key, page, page_size, n_ranges)
-
-
-def _paginate_ranked(df: DataFrame, order_key: str, page: int, page_size: int,
-                     n_ranges: int) -> DataFrame:
-    spark = df.sparkSession
-    parts = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    One ORDER BY + OFFSET/LIMIT for every depth; Catalyst plans it as a top-k
+    (each task keeps ``end`` rows at most) or, beyond its own threshold, as a
+    range-partitioned sort. Walking through many pages is ``next_page``'s work."""
     start = (max(page, 1) - 1) * page_size
-    end = start + page_size
-    key = F.col(order_key)
-    # Range bounds: approximate quantiles of the key (one small aggregation;
-    # at most ``parts - 1`` values reach the driver). The bucket id is a pure
-    # function of the key, so every branch of the plan agrees on it.
-    qs = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, qs, 10_000)).first()[0] or []))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (key > F.lit(b)).cast("int")
-    ranged = df.withColumn("_range", bucket)
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_range", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_first"))
-    wanted = offsets.where((F.col("_first") < end) & (F.col("_first") + F.col("_n") > start))
-    local = Window.partitionBy("_range").orderBy(order_key)
-    # ``wanted`` has at most ``parts`` rows: a proven bound for the broadcast
-    picked = (ranged.join(F.broadcast(wanted.select("_range", "_first")), "_range")
-              .withColumn("_pos", F.col("_first") + F.row_number().over(local) - 1)
-              .where((F.col("_pos") >= start) & (F.col("_pos") < end)))
-    return picked.drop("_range", "_first", "_pos")
+    return df.orderBy(*_total_order(df, order_key)).offset(start).limit(page_size)
+
+
+def next_page(df: DataFrame, order_key: str, after=None, page_size: int = 500) -> DataFrame:
+    """T3 by position instead of number: the ``page_size`` rows that follow the
+    row ``after`` (a Row of ``df``; None for the first page). Each task keeps
+    one page of rows, however deep the page lies; no row is skipped or shown
+    twice as long as rows differ."""
+    order = _total_order(df, order_key)
+    if after is None:
+        return df.orderBy(*order).limit(page_size)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    names = [order_key] + [c for c in kinds if c != order_key and kinds[c].typeName() not in ("map", "variant")]
+    beyond, same = F.lit(False), F.lit(True)
+    for c in names:
+        col, last = F.col(f"`{c}`"), F.lit(after[c]).cast(kinds[c])
+        beyond = beyond | (same & (col.isNotNull() if after[c] is None else F.coalesce(col > last, F.lit(False))))
+        same = same & col.eqNullSafe(last)
+    return df.where(beyond).orderBy(*order).limit(page_size)
 
 
 def facet_values(df: DataFrame, column: str) -> DataFrame:

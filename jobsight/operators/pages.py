@@ -15,7 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.functions import absolute_url, py_strip
+from jobsight.functions import absolute_url, py_strip, remote_flag, strip_html
+from jobsight.functions.text import HTML_ENTITIES
 
 # --- fixed values: job-card selectors of the Indeed result page, in fallback order ---
 INDEED_CARD_FAMILIES = [
@@ -36,8 +37,10 @@ CHECK_SELECTORS = [
 
 
 def class_selector(tag: str, cls: str) -> str:
-    """Regex for an opening ``<tag ... class="... cls ...">``."""
-    return rf'<{tag}\b[^>]*\bclass="[^"]*\b{cls}\b[^"]*"'
+    """Regex for an opening ``<tag ... class="... cls ...">``: the class is a
+    whole word of the list, in double or single quotes."""
+    return (rf'<{tag}\s(?:[^>]*\s)?class=(?:"(?:[^"]*\s)?{cls}(?:\s[^"]*)?"'
+            rf"|'(?:[^']*\s)?{cls}(?:\s[^']*)?')")
 
 
 def selector_regex(sel) -> str:
@@ -114,3 +117,77 @@ def card_count(html, families) -> Column:
     for c in reversed(counts):
         expr = F.when(c > 0, c).otherwise(expr)
     return expr
+
+
+# --- fixed values: where each board's cards hold their parts, in fallback order ---------
+
+def _inside(opening: str) -> str:
+    """Text of the element that ``opening`` starts, behind further opening tags."""
+    return rf"{opening}[^>]*>(?:\s*<[a-z][^>]*>)*\s*([^<]*)"
+
+
+def _classed(tag: str, cls: str) -> str:
+    return _inside(class_selector(tag, cls))
+
+
+BOARDS = {
+    "Indeed": {
+        "cards": INDEED_CARD_FAMILIES,
+        "job_title": [_classed("h2", "jobTitle"), _classed("a", "jcs-JobTitle"), _classed("h2", "title"), _inside(r"<a\s[^>]*data-jk=")],
+        "company_name": [_inside(r'<span\s[^>]*data-testid="company-name"'), _classed("span", "companyName"), _classed("span", "company")],
+        "location": [_inside(r'<div\s[^>]*data-testid="text-location"'), _classed("div", "companyLocation"), _classed("div", "location")],
+        "salary_raw": [_classed("div", "salary-snippet-container"), _classed("span", "salary-snippet"), _classed("span", "salaryText")],
+        "post_date": [_classed("span", "date"), _inside(r'<span\s[^>]*data-testid="myJobsStateDate"')],
+        "href": [r'<a\s[^>]*\bhref="([^"]*)"'],
+        "snippet": [_classed("div", "job-snippet"), _inside(r'<div\s[^>]*data-testid="job-snippet"')],
+    },
+    "Glints": {
+        "cards": [("div", "JobCard")],
+        "job_title": [_inside("<h3"), _inside("<h2")],
+        "company_name": [_inside(r'<a\s[^>]*data-testid="company"')],
+        "href": [r'<a\s[^>]*\bhref="([^"]*)"'],
+    },
+    "LinkedIn": {
+        "cards": [("div", "base-card")],
+        "job_title": [_classed("h3", "base-search-card__title")],
+        "company_name": [_classed("h4", "base-search-card__subtitle")],
+        "location": [_classed("span", "job-search-card__location")],
+        "post_date": [r'<time\s[^>]*datetime="([^"]*)"'],
+        "href": [r'<a\s[^>]*\bhref="([^"]*)"'],
+    },
+}
+CARD_TAG = r'<span class="tag">([^<]*)</span>'
+
+
+def card_blocks(pages: DataFrame, families: Sequence, html: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
+    """One row per card with the card's own markup (``card``): from its opening
+    tag to the next card's. The first family that occurs in a page gives its cards."""
+    h = F.col(html)
+    chosen = F.array().cast("array<string>")
+    for family in reversed(list(families)):
+        rx = selector_regex(family)
+        parts = F.slice(F.split(h, f"(?={rx})"), 1, 2**31 - 1)
+        cards = F.filter(parts, lambda x: F.regexp_count(F.substring(x, 1, 400), F.lit(rx)) > 0)
+        chosen = F.when(F.size(cards) > 0, cards).otherwise(chosen)
+    return pages.select(*keep, F.posexplode(chosen).alias("card_no", "card"))
+
+
+def card_records(pages: DataFrame, board: str, keyword=None, url: str = "url") -> DataFrame:
+    """P14 + P15 + W10 + F17 + F18: the records of one board's cards, each field by
+    its fallback patterns inside the card; cards without a title are dropped."""
+    rules = BOARDS[board]
+    cards = card_blocks(pages, rules["cards"])
+    origin = page_origin(url)
+
+    def field(name):
+        text = card_field("card", rules[name]) if name in rules else F.lit(None).cast("string")
+        for entity, char in HTML_ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    out = cards.select("page_id", "card_no", field("job_title").alias("job_title"), field("company_name").alias("company_name"),
+                       field("location").alias("location"), field("salary_raw").alias("salary_raw"), field("post_date").alias("post_date"),
+                       absolute_url(field("href"), origin).alias("job_url"), strip_html(field("snippet")).alias("snippet"),
+                       F.regexp_extract_all("card", F.lit(CARD_TAG), 1).alias("tags"), F.lit(board).alias("platform"))
+    out = out.where(F.coalesce(py_strip("job_title") != "", F.lit(False)))
+    return out.withColumn("remote", remote_flag("location", "snippet"))

@@ -110,7 +110,7 @@ def _heatmap_sql():
 
 @register("a07_platform_country_heatmap", _heatmap_sql())
 def a07_platform_country_heatmap(spark, sf_dir):
-    return A.platform_country_heatmap(_jobs(spark, sf_dir), 50, 10, platforms=PLATFORMS)
+    return A.platform_country_heatmap(_jobs(spark, sf_dir), 50, 10)
 
 
 # --- A8-A18 over documents ------------------------------------------------------------
@@ -220,12 +220,12 @@ def _glints_dedup(spark, sf_dir):
 
 _GLINTS_DEDUP_CTES = (
     f"g AS (SELECT job_id, job_title AS \"Judul Posisi\", "
-    f"coalesce(nullif({strip('company_name')}, ''), {q(UNDISCLOSED_COMPANY)}) AS \"Nama Perusahaan\", "
+    f"coalesce({strip('company_name')}, {q(UNDISCLOSED_COMPANY)}) AS \"Nama Perusahaan\", "
     f"location AS \"Lokasi\", job_type_raw AS \"Tipe Pekerjaan\", experience_raw AS \"Pengalaman\", "
     f"education_raw AS \"Pendidikan\", salary_raw AS \"Gaji\", post_date_raw AS \"Tanggal Posting\", "
     f"keyword AS \"Keyword\" FROM jobs_raw WHERE platform = 'Glints')",
-    "gr AS (SELECT *, row_number() OVER (PARTITION BY concat_ws('|', lower(\"Judul Posisi\"), "
-    "lower(\"Nama Perusahaan\"), lower(\"Keyword\")) ORDER BY job_id) AS rn FROM g)",
+    "gr AS (SELECT *, row_number() OVER (PARTITION BY lower(\"Judul Posisi\"), "
+    "lower(\"Nama Perusahaan\"), lower(\"Keyword\") ORDER BY job_id) AS rn FROM g)",
     "gd AS (SELECT * EXCLUDE (rn) FROM gr WHERE rn = 1)",
 )
 
@@ -279,46 +279,64 @@ def w06_contains_ci(spark, sf_dir):
     return W.contains_ci(_jobs(spark, sf_dir), "DATA|qa")
 
 
-def _tokens_sql(fields):
-    parts = []
-    for f in fields:
-        low = (f"lower(regexp_replace(translate(coalesce({f}, ''), {q(W._ACCENTED)}, {q(W._PLAIN)}), "
-               f"'[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
-        parts.append(f"string_split(trim({low}), ' ')")
-    stops = "[" + ", ".join(q(s) for s in W.STOP_WORDS) + "]"
-    return f"list_filter(flatten([{', '.join(parts)}]), lambda w: w <> '' AND NOT list_contains({stops}, w))"
+# The oracle folds by stripping accents of decomposed letters and lists, for each
+# searched word, the forms that share its plain form in the given texts.
 
+def _has(fields, *words):
+    text = " || ' ' || ".join(f"coalesce({f}, '')" for f in fields)
+    return f"regexp_matches(lower(strip_accents({text})), '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(words)})([^\\p{{L}}\\p{{N}}]|$)')"
 
-_SEARCH = 'engineer analyst "data" -qa'
+
+def _phrase(fields, phrase):
+    return "(" + " OR ".join(f"contains(lower(strip_accents(coalesce({f}, ''))), {q(phrase)})" for f in fields) + ")"
+
+
+_TF = ["job_title", "company_name", "skills"]
+_SEARCH = 'Engineers analysts web-developers "data" -qa'
 
 
 @register("w07_text_search", with_jobs(
-    f"SELECT {_ALL} FROM (SELECT *, {_tokens_sql(W.TEXT_FIELDS)} AS toks FROM jobs) t "
-    f"WHERE (list_contains(toks, 'engineer') OR list_contains(toks, 'analyst')) "
-    f"AND contains(lower(concat_ws(' ', job_title, company_name, skills)), 'data') "
-    f"AND NOT list_contains(toks, 'qa')"))
+    f"SELECT {_ALL} FROM jobs WHERE {_has(_TF, 'engineers?', 'analysts?', 'web', 'developers?')} "
+    f"AND {_phrase(_TF, 'data')} AND NOT {_has(_TF, 'qa')}"))
 def w07_text_search(spark, sf_dir):
     return W.text_search(_jobs(spark, sf_dir), _SEARCH)
 
 
+# accented titles, and a phrase that only the seam of two fields would hold
+_RESUME = ("SELECT job_id, CASE mod(job_id, 3) WHEN 0 THEN 'Résumé Writers' WHEN 1 THEN 'Senior Data' ELSE 'Full stack dev' END AS job_title, "
+           "CASE mod(job_id, 2) WHEN 0 THEN 'Engineer Works' END AS company_name, CAST(NULL AS VARCHAR) AS skills FROM jobs_raw")
+
+
+@register("w07_text_search_phrases", with_jobs(
+    f"SELECT job_id, job_title, company_name FROM ({_RESUME}) r WHERE ({_has(_TF, 'full', 'stack')}) OR "
+    f"{_phrase(_TF, 'resume writer')} OR {_phrase(_TF, 'data engineer')}"))
+def w07_text_search_phrases(spark, sf_dir):
+    k = F.col("job_id")
+    r = cached_raw_jobs(spark, sf_dir).select(
+        "job_id", F.when(k % 3 == 0, "Résumé Writers").when(k % 3 == 1, "Senior Data").otherwise("Full stack dev").alias("job_title"),
+        F.when(k % 2 == 0, "Engineer Works").alias("company_name"), F.lit(None).cast("string").alias("skills"))
+    found = [W.text_search(r, query) for query in ("full-stacks", '"résumé writer"', '"data engineer"')]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("job_id", "job_title", "company_name")
+
+
 @register("w07_text_search_documents",
-          f"SELECT doc_id, lang, source, n_chars FROM (SELECT *, {_tokens_sql(['text'])} AS toks FROM documents) t "
-          f"WHERE (list_contains(toks, 'les') OR list_contains(toks, 'der')) AND NOT list_contains(toks, 'und')")
+          f"SELECT doc_id, lang, source, n_chars FROM documents WHERE {_has(['text'], 'les', 'der')} AND NOT {_has(['text'], 'und', 'unds', 'unde')}")
 def w07_text_search_documents(spark, sf_dir):
     """W7 over whole document texts (the volume case of the text search)."""
-    docs = read_table(spark, sf_dir, "documents", spread=True)
+    docs = read_table(spark, sf_dir, "documents")
     return W.text_search(docs, "les der -und", fields=["text"]).select("doc_id", "lang", "source", "n_chars")
 
 
 @register("w08_search_jobs_documents", with_jobs(
-    f"SELECT {_ALL}, salary_avg FROM (SELECT *, {_tokens_sql(W.TEXT_FIELDS)} AS toks FROM docs) t "
-    f"WHERE platform IN ('Karir.com', 'Glints') "
+    f"SELECT {_ALL}, salary_avg FROM docs WHERE platform IN ('Karir.com', 'Glints') AND country IN ('Indonesia', 'Japan') "
     f"AND (coalesce(salary_min >= 5000000, false) OR coalesce(salary_max >= 5000000, false)) "
-    f"AND (list_contains(toks, 'spark') OR list_contains(toks, 'python'))", docs_cte()))
+    f"AND {_has(_TF, 'spark', 'python')}", docs_cte()))
 def w08_search_jobs_documents(spark, sf_dir):
-    return W.search_jobs(_docs(spark, sf_dir), query="spark python", platforms=["Karir.com", "Glints"],
+    docs = _docs(spark, sf_dir)
+    countries = [r[0] for r in T.facet_values(docs, "country").collect()]       # the facet's real values
+    return W.search_jobs(docs, query="spark python", platforms=["Karir.com", "Glints"],
                          countries=["Indonesia", "Japan"], min_salary=5_000_000,
-                         all_platforms=PLATFORMS, all_countries=["Indonesia", "Japan"])
+                         all_platforms=PLATFORMS, all_countries=countries)
 
 
 @register("w08_search_jobs_table", with_jobs(
@@ -340,10 +358,15 @@ def w09_having_count(spark, sf_dir):
     return W.having_count(A.count_by(_jobs(spark, sf_dir), "company_name", "count"), 15)
 
 
+# every third title is white space of another kind: newline, tab, no-break space
 @register("w10_title_required", with_jobs(
-    f"SELECT {_ALL} FROM jobs WHERE coalesce(trim(job_title) <> '', false) AND company_name IS NOT NULL"))
+    f"SELECT * FROM (SELECT * REPLACE (CASE mod(job_id, 9) WHEN 0 THEN chr(10) || chr(9) WHEN 3 THEN chr(160) WHEN 6 THEN '' "
+    f"ELSE job_title END AS job_title) FROM (SELECT {_ALL} FROM jobs)) "
+    f"WHERE regexp_matches(job_title, '[^\\s\\x{{a0}}]') AND company_name IS NOT NULL"))
 def w10_title_required(spark, sf_dir):
-    return W.title_required(_jobs(spark, sf_dir), also=("company_name",))
+    k = F.pmod(F.col("job_id"), F.lit(9))
+    title = F.when(k == 0, "\n\t").when(k == 3, "\u00a0").when(k == 6, "").otherwise(F.col("job_title"))
+    return W.title_required(_jobs(spark, sf_dir).withColumn("job_title", title), also=("company_name",))
 
 
 # --- N2-N5 ----------------------------------------------------------------------------
@@ -396,6 +419,22 @@ def t03_paginate(spark, sf_dir):
     return T.paginate(_jobs(spark, sf_dir), "job_id", page=3, page_size=500)
 
 
+@register("t03_paginate_deep", with_jobs(
+    "SELECT job_id, salary_min FROM jobs ORDER BY salary_min NULLS FIRST, job_id LIMIT 500 OFFSET 9500"))
+def t03_paginate_deep(spark, sf_dir):
+    """A page deep in an order with null and repeated keys."""
+    return T.paginate(_jobs(spark, sf_dir).select("job_id", "salary_min"), "salary_min", page=20, page_size=500)
+
+
+@register("t03_next_page", with_jobs(
+    "SELECT job_id, salary_min FROM jobs ORDER BY salary_min NULLS FIRST, job_id LIMIT 500 OFFSET 500"))
+def t03_next_page(spark, sf_dir):
+    """The page that follows the first one, by position."""
+    j = _jobs(spark, sf_dir).select("job_id", "salary_min")
+    last = T.next_page(j, "salary_min").collect()[-1]
+    return T.next_page(j, "salary_min", after=last)
+
+
 @register("t04_head", _count_sql("keyword", n=3))
 def t04_head(spark, sf_dir):
     return T.head(A.job_demand(_jobs(spark, sf_dir)), 3)

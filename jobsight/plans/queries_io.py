@@ -4,6 +4,7 @@ the readers under test. Files go to fresh folders under spark.checkpoint.dir."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from jobsight import schemas as S
@@ -12,7 +13,7 @@ from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import JOB_COLS, q, with_jobs
 from jobsight.session import app_key, scratch_path
-from jobsight.sinks.files import write_csv, write_documents
+from jobsight.sinks.files import append_records, write_csv, write_documents
 from jobsight.sources import files as SRC
 from jobsight.sources.testbed import source_frame_full
 
@@ -25,7 +26,7 @@ RAW_SCHEMAS = {
 SLUGS = {"Glints": "glints", "Karir.com": "karir", "LinkedIn": "linkedin",
          "Tech In Asia": "techinasia", "Indeed": "indeed"}
 # delimiters used to write the per-source files of the sniffing check
-SNIFF_DELIMITERS = {"Glints": ";", "Karir.com": ",", "LinkedIn": "\t", "Tech In Asia": "|"}
+SNIFF_DELIMITERS = {"Glints": ";", "Karir.com": ",", "LinkedIn": "\t", "Tech In Asia": "|", "Indeed": ";"}
 
 
 def _with_id(schema: StructType) -> StructType:
@@ -75,7 +76,16 @@ def _source_files(spark, sf_dir):
     def write(base):
         raw = cached_raw_jobs(spark, sf_dir)
         for p, schema in RAW_SCHEMAS.items():
-            write_csv(source_frame_full(raw, p, schema), f"{base}/{SLUGS[p]}")
+            df = source_frame_full(raw, p, schema)
+            if p == "LinkedIn":                    # columns in another order, and one more
+                df = df.select(F.lit("x;y").alias("scraped_by"), *reversed(df.columns))
+            write_csv(df, f"{base}/{SLUGS[p]}")
+        # a source with a record of too many fields
+        glints = source_frame_full(raw, "Glints", RAW_SCHEMAS["Glints"])
+        row = F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in glints.columns])
+        head = spark.createDataFrame([(";".join(glints.columns),)], "value string")
+        many = F.when(F.col("job_id") % 100 == 0, F.concat(row, F.lit(";too;many"))).otherwise(row)
+        head.unionByName(glints.select(many.alias("value"))).coalesce(1).write.text(f"{base}/broken")
     return _once(spark, sf_dir, "sources", write)
 
 
@@ -87,6 +97,7 @@ def s03_read_sources(spark, sf_dir):
              for p, schema in RAW_SCHEMAS.items()]
     specs.append(("missing", f"{base}/not-there", _with_id(S.GLINTS_RAW), NORMALIZERS["Glints"]))
     specs.append(("wrong header", f"{base}/karir", _with_id(S.GLINTS_RAW), NORMALIZERS["Glints"]))
+    specs.append(("broken record", f"{base}/broken", _with_id(S.GLINTS_RAW), NORMALIZERS["Glints"]))
     return SRC.read_sources(spark, specs)
 
 
@@ -141,3 +152,17 @@ def _sniff_files(spark, sf_dir):
 def s08_count_records_detect_delim(spark, sf_dir):
     base = _sniff_files(spark, sf_dir)
     return SRC.count_records_detect_delim(spark, [f"{base}/{SLUGS[p]}" for p in SNIFF_DELIMITERS])
+
+
+# --- K2, K7 by round trip -----------------------------------------------------------------
+
+@register("k07_append_records", with_jobs("SELECT job_id, searched_keyword, job_title FROM (SELECT job_id, keyword AS searched_keyword, job_title "
+          "FROM jobs_raw WHERE platform = 'LinkedIn')"))
+def k07_append_records(spark, sf_dir):
+    """K7: a source's records appended page by page (three writes), read back."""
+    def write(path):
+        rows = source_frame_full(cached_raw_jobs(spark, sf_dir), "LinkedIn", S.LINKEDIN_RAW)
+        for page in range(3):
+            append_records(rows.where(F.pmod("job_id", F.lit(3)) == page), path)
+    path = _once(spark, sf_dir, "appended", write)
+    return SRC.read_jobs_csv(spark, path, _with_id(S.LINKEDIN_RAW)).select("job_id", "searched_keyword", "job_title")

@@ -37,7 +37,7 @@ from jobsight.plans.oracle import (
 from jobsight.schemas import NOT_STATED, UNDISCLOSED_COMPANY, UNKNOWN_TAG
 from jobsight.session import read_table
 from jobsight.sources import testbed as TB
-from jobsight.sources.testbed import source_frame
+from jobsight.sources.testbed import card_pages, source_frame
 
 karir_listing = cached("listing", TB.karir_listing)
 karir_detail = cached("detail", TB.karir_detail)
@@ -100,7 +100,7 @@ def f07_map_years(spark, sf_dir):
 
 @register("f08_strip_html", f"SELECT page_id, {strip_html('html')} AS text FROM pages")
 def f08_strip_html(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages", spread=True).select("page_id", R.strip_html("html").alias("text"))
+    return read_table(spark, sf_dir, "pages").select("page_id", R.strip_html("html").alias("text"))
 
 
 @register("f08_strip_html_skills", with_jobs(
@@ -123,14 +123,19 @@ def f09_format_salary_range(spark, sf_dir):
         R.format_salary_range("salary_lower", "salary_upper").alias("salary_range"))
 
 
+# besides the jobs' own amounts: one that is a tie or beside one for every job (6,250,000; 12,350,000; ...)
+_TIE_SQL = "(CAST(mod(job_id, 400) AS DOUBLE) * 50000)"
+
+
 @register("f10_format_millions", with_jobs(
-    "SELECT job_id, CASE WHEN salary_min IS NULL THEN '-' ELSE printf('Rp %.1f Jt', salary_min / 1000000.0) END "
-    "AS salary_min_text, CASE WHEN salary_max IS NULL THEN '-' ELSE printf('Rp %.2f Jt', salary_max / 1000000.0) END "
-    "AS salary_max_text FROM jobs"))
+    "SELECT job_id, CASE WHEN salary_min IS NULL THEN '-' ELSE format('Rp {:.1f} Jt', salary_min / 1000000.0::DOUBLE) END "
+    "AS salary_min_text, CASE WHEN salary_max IS NULL THEN '-' ELSE format('Rp {:.2f} Jt', salary_max / 1000000.0::DOUBLE) END "
+    f"AS salary_max_text, format('Rp {{:.1f}} Jt', {_TIE_SQL} / 1000000.0::DOUBLE) AS tie_text FROM jobs"))
 def f10_format_millions(spark, sf_dir):
     j = unified_jobs(spark, sf_dir)
     return j.select("job_id", R.format_millions("salary_min").alias("salary_min_text"),
-                    R.format_millions("salary_max", 2).alias("salary_max_text"))
+                    R.format_millions("salary_max", 2).alias("salary_max_text"),
+                    R.format_millions((F.col("job_id") % 400).cast("double") * 50000).alias("tie_text"))
 
 
 @register("f11_date_part", f"SELECT id, posted_at, split_part(posted_at, 'T', 1) AS posted_date FROM ({LISTING}) l")
@@ -164,13 +169,16 @@ def f17_remote_flag(spark, sf_dir):
     return _raw(spark, sf_dir).select("job_id", R.remote_flag("location", "skills_html").alias("remote_flag"))
 
 
+_BLANKED = "CASE WHEN mod(job_id, 3) = 0 THEN chr(10) || ' ' || chr(9) ELSE location END"   # blank but present
+
+
 @register("f19_default_text", with_jobs(
-    f"SELECT job_id, coalesce(nullif({strip('company_name')}, ''), {q(UNDISCLOSED_COMPANY)}) AS company_name, "
-    f"coalesce(nullif({strip('location')}, ''), {q(UNKNOWN_TAG)}) AS location FROM jobs_raw"))
+    f"SELECT job_id, coalesce({strip('company_name')}, {q(UNDISCLOSED_COMPANY)}) AS company_name, "
+    f"coalesce({strip(_BLANKED)}, {q(UNKNOWN_TAG)}) AS location FROM jobs_raw"))
 def f19_default_text(spark, sf_dir):
     return _raw(spark, sf_dir).select(
         "job_id", R.default_text("company_name", UNDISCLOSED_COMPANY).alias("company_name"),
-        R.default_text("location", UNKNOWN_TAG).alias("location"))
+        R.default_text(F.when(F.col("job_id") % 3 == 0, "\n \t").otherwise(F.col("location")), UNKNOWN_TAG).alias("location"))
 
 
 @register("f20_midpoint", with_jobs("SELECT job_id, (salary_min + salary_max) / 2 AS salary_mid FROM jobs"))
@@ -313,14 +321,14 @@ c AS (SELECT page_id, url, CAST(card_no AS INTEGER) AS card_no, hrefs[card_no +
 
 @register("p14_extract_cards", _CARDS + "SELECT * FROM c WHERE coalesce(title <> '', false)")
 def p14_extract_cards(spark, sf_dir):
-    return PG.extract_cards(read_table(spark, sf_dir, "pages", spread=True), CARD_FAMILIES)
+    return PG.extract_cards(read_table(spark, sf_dir, "pages"), CARD_FAMILIES)
 
 
 @register("f18_absolute_url", _CARDS + (
     "SELECT *, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href "
     "WHEN starts_with(href, 'http') THEN href END AS job_url FROM c WHERE coalesce(title <> '', false)"))
 def f18_absolute_url(spark, sf_dir):
-    return PG.cards_with_links(PG.extract_cards(read_table(spark, sf_dir, "pages", spread=True), CARD_FAMILIES))
+    return PG.cards_with_links(PG.extract_cards(read_table(spark, sf_dir, "pages"), CARD_FAMILIES))
 
 
 _FIELDS = [r"<h1>([^<]*)</h1>", r"<title>([^<]*)</title>"]
@@ -337,7 +345,7 @@ _AD = [r'<div class="ad">([^<]*)</div>']
 @register("p15_card_field",
           f"SELECT page_id, {_first_sql(_FIELDS)} AS heading, {_first_sql(_AD)} AS ad_text FROM pages")
 def p15_card_field(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", spread=True)
+    p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", PG.card_field("html", _FIELDS, NOT_STATED).alias("heading"),
                     PG.card_field("html", _AD, NOT_STATED).alias("ad_text"))
 
@@ -346,11 +354,12 @@ _TAGS = f"regexp_extract_all(html, {q(PG.NAV_CARD)}, 2)"
 
 
 @register("p16_tag_positions", "SELECT page_id, " + ", ".join(
-    f"coalesce(list_filter(list_transform({_TAGS}, lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, '+'))[{i + 1}], "
+    f"coalesce(list_filter(list_transform(list_prepend(chr(10) || chr(9), {_TAGS}), lambda x: {strip('x')}), lambda x: x <> '' AND NOT contains(x, '+'))[{i + 1}], "
     f"{q(UNKNOWN_TAG)}) AS {n}" for i, n in enumerate(["job_type", "experience", "education"])) + " FROM pages")
 def p16_tag_positions(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", spread=True)
-    tags = F.regexp_extract_all(F.col("html"), F.lit(PG.NAV_CARD), 2)
+    p = read_table(spark, sf_dir, "pages")
+    # a tag of newline and tab only stands before the page's own tags
+    tags = F.concat(F.array(F.lit("\n\t")), F.regexp_extract_all(F.col("html"), F.lit(PG.NAV_CARD), 2))
     jt, ex, ed = tag_positions(tags)
     return p.select("page_id", jt.alias("job_type"), ex.alias("experience"), ed.alias("education"))
 
@@ -359,28 +368,102 @@ def _count_sql(rx):
     return f"CAST(len(regexp_extract_all(html, {q(rx)})) AS INTEGER)"
 
 
+def _open_sql(tag, cls):
+    """Oracle's own reading of "an opening tag with this class word"."""
+    return f"<{tag} ([^>]* )?class=([\"']|[\"'][^\"'>]* ){cls}([\"']| [^\"'>]*[\"'])"
+
+
+_SELECTORS_SQL = [("a_tapItem", _open_sql("a", "tapItem")), ("div_jobsearch_SerpJobCard", _open_sql("div", "jobsearch-SerpJobCard")),
+                  ("li_css_5lfssm", _open_sql("li", "css-5lfssm")), ("testid_job_title", 'data-testid="job-title"')]
+
+
 @register("a20_selector_counts", "SELECT page_id, " + ", ".join(
-    f"{_count_sql(PG.selector_regex(s))} AS {n}" for n, s in PG.CHECK_SELECTORS) + " FROM pages")
+    f"{_count_sql(rx)} AS {n}" for n, rx in _SELECTORS_SQL) + " FROM pages")
 def a20_selector_counts(spark, sf_dir):
-    return PG.selector_counts(read_table(spark, sf_dir, "pages", spread=True))
+    return PG.selector_counts(read_table(spark, sf_dir, "pages"))
 
 
 def _w11_sql():
-    fams = [PG.selector_regex(s) for s in PG.INDEED_CARD_FAMILIES] + [PG.INDEED_SLIDER_ITEM]
+    fams = [_open_sql("div", "job_seen_beacon"), _open_sql("li", "css-5lfssm"), _open_sql("a", "tapItem"),
+            _open_sql("div", "jobsearch-SerpJobCard"), 'data-testid="slider_item"']
     counts = [_count_sql(r) for r in fams]
     n = "0"
     for c in reversed(counts):
         n = f"(CASE WHEN {c} > 0 THEN {c} ELSE {n} END)"
-    marker = " OR ".join(f"contains(lower(html), {q(m)})" for m in W.BLOCK_MARKERS)
+    marker = "regexp_matches(lower(html), 'cloudflare|security check|challenge|captcha')"
     page_no = "coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INTEGER), 0)"
     return (f"SELECT page_id, url, n_cards, page_no FROM (SELECT page_id, url, html, {n} AS n_cards, "
             f"{page_no} AS page_no FROM pages) p WHERE n_cards = 0 AND (({marker}) OR page_no = 0)")
 
 
-@register("w11_blocked_pages", _w11_sql())
-def w11_blocked_pages(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages", spread=True)
+def _blocked(p):
     fams = list(PG.INDEED_CARD_FAMILIES) + [PG.INDEED_SLIDER_ITEM]
     p = p.select("page_id", "url", "html", PG.card_count("html", fams).alias("n_cards"),
                  PG.page_number("url").alias("page_no"))
     return W.blocked_pages(p).select("page_id", "url", "n_cards", "page_no")
+
+
+@register("w11_blocked_pages", _w11_sql())
+def w11_blocked_pages(spark, sf_dir):
+    return _blocked(read_table(spark, sf_dir, "pages"))
+
+
+# --- the same operators over listing pages with cards; the oracle derives what the
+# cards hold from the orders they are made of, not from markup -----------------------------
+
+_PAGE_ROWS = """SELECT o_custkey AS c, o_orderkey AS k, o_custkey % 4 AS board, o_orderkey % 11 = 0 AND o_custkey % 4 = 0 AS alike,
+  o_custkey % 17 = 0 AS marker, o_custkey % 17 <> 0 AND o_custkey % 19 <> 0 AS shown, o_orderstatus AS st, o_orderdate AS dt,
+  o_orderpriority AS pr FROM orders"""
+
+_CARD_RECORDS = f"""
+WITH o AS ({_PAGE_ROWS}),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS INTEGER) AS card_no FROM o WHERE shown AND NOT alike),
+f AS (SELECT *, 'https://board' || board || '.example' AS origin FROM n)
+SELECT c AS page_id, card_no,
+  CASE WHEN board = 0 AND k % 5 = 4 THEN NULL WHEN board = 1 THEN 'Old role ' || k ELSE 'Role ' || k END AS job_title,
+  CASE WHEN board = 1 OR (board IN (0, 2) AND k % 3 = 0) OR (board = 2 AND k % 5 = 0) OR (board = 3 AND k % 4 = 0) THEN NULL ELSE 'PT & ' || st END AS company_name,
+  CASE WHEN board = 3 THEN 'Jakarta' WHEN board = 0 AND k % 7 = 0 THEN 'Remote in Jakarta' WHEN board = 0 AND k % 2 = 0 THEN 'Bandung' END AS location,
+  CASE WHEN board = 0 AND k % 4 = 0 THEN 'Rp 5 jt' WHEN board = 0 AND k % 4 = 1 THEN 'Rp 7 jt' END AS salary_raw,
+  CASE WHEN board = 0 AND k % 6 = 0 THEN 'Posted 3 days ago' WHEN board = 3 AND k % 3 <> 0 THEN strftime(dt, '%Y-%m-%d') END AS post_date,
+  CASE board WHEN 0 THEN (CASE k % 5 WHEN 1 THEN origin || '/rc/' || k WHEN 2 THEN 'https://ex.org/' || k WHEN 3 THEN origin || '/viewjob?jk=' || k END)
+    WHEN 1 THEN origin || '/old/' || k WHEN 2 THEN origin || '/jobs/' || k ELSE 'https://li.example/' || k END AS job_url,
+  CASE WHEN board <> 0 THEN {q(NOT_STATED)} WHEN k % 13 = 0 THEN 'Work from home & more' ELSE 'Work ' || pr END AS snippet,
+  CASE WHEN board = 0 AND (k % 7 = 0 OR k % 13 = 0) THEN 'Remote' ELSE '' END AS remote,
+  CASE board WHEN 2 THEN 'Glints' WHEN 3 THEN 'LinkedIn' ELSE 'Indeed' END AS platform
+FROM f WHERE NOT (board = 0 AND k % 5 = 4)
+"""
+
+
+@register("p14_card_records", _CARD_RECORDS)
+def p14_card_records(spark, sf_dir):
+    """Records of the cards of all boards, every field by its fallback patterns."""
+    p = card_pages(spark, sf_dir)
+    out = [PG.card_records(p, board).drop("tags") for board in PG.BOARDS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("p14_card_tags", f"""WITH o AS ({_PAGE_ROWS})
+SELECT c AS page_id, CAST(row_number() OVER (PARTITION BY c ORDER BY k) - 1 AS INTEGER) AS card_no, 'Penuh Waktu' AS job_type,
+  CASE WHEN k % 2 = 0 THEN '1 - 3 tahun' ELSE {q(UNKNOWN_TAG)} END AS experience, CASE WHEN k % 2 = 0 THEN 'S1' ELSE {q(UNKNOWN_TAG)} END AS education
+FROM o WHERE shown AND board = 2""")
+def p14_card_tags(spark, sf_dir):
+    """P16 inside cards: a blank tag of newline and tab does not shift the positions."""
+    jt, ex, ed = tag_positions("tags")
+    return PG.card_records(card_pages(spark, sf_dir), "Glints").select(
+        "page_id", "card_no", jt.alias("job_type"), ex.alias("experience"), ed.alias("education"))
+
+
+@register("a20_selector_counts_cards", f"""WITH o AS ({_PAGE_ROWS})
+SELECT c AS page_id, CAST(0 AS INTEGER) AS a_tapItem, CAST(count(*) FILTER (WHERE shown AND board = 1) AS INTEGER) AS div_jobsearch_SerpJobCard,
+  CAST(0 AS INTEGER) AS li_css_5lfssm, CAST(0 AS INTEGER) AS testid_job_title FROM o GROUP BY c""")
+def a20_selector_counts_cards(spark, sf_dir):
+    return PG.selector_counts(card_pages(spark, sf_dir))
+
+
+@register("w11_blocked_pages_cards", f"""WITH o AS ({_PAGE_ROWS}),
+p AS (SELECT c, any_value(board) AS board, bool_or(marker) AS marker,
+        CAST(count(*) FILTER (WHERE shown AND board <= 1 AND NOT alike) AS INTEGER) AS n_cards FROM o GROUP BY c)
+SELECT c AS page_id, 'https://board' || board || '.example/jobs?q=x&page=' || (c % 3) AS url, n_cards, CAST(c % 3 AS INTEGER) AS page_no
+FROM p WHERE n_cards = 0 AND (marker OR c % 3 = 0)""")
+def w11_blocked_pages_cards(spark, sf_dir):
+    return _blocked(card_pages(spark, sf_dir))

@@ -2,28 +2,55 @@
 P11, T2), over job events derived from the ``events`` table.
 
 A registered streaming query publishes the whole events table as JSON
-messages, consumes them with an ``availableNow`` trigger (one micro-batch:
-the oracle compares against the whole table), then returns the live tables
-the foreachBatch writers produced. Checkpoints and outputs go to a fresh folder
+messages, consumes them with an ``availableNow`` trigger in micro-batches of
+bounded size, then returns the live tables the foreachBatch writers produced. Checkpoints and outputs go to a fresh folder
 under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from jobsight.operators import filters as W
 from jobsight.operators.aggregates import stream_total
 from jobsight.operators.normalize import recent_projection
 from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached
 from jobsight.schemas import NOT_STATED
-from jobsight.session import app_key, scratch_path
+from jobsight.session import app_key, read_table, scratch_path
 from jobsight.sources import testbed as TB
 from jobsight.streaming import live as L
-from jobsight.streaming.events import file_job_stream, parse_events, utc_wall_clock, write_events
+from jobsight.streaming.events import file_job_stream, iso_utc, parse_events, utc_wall_clock, write_events
+
+#: Message files (the topic's stand-in) of one micro-batch.
+FILES_PER_BATCH = 64
 
 _RUNS: dict = {}
 job_event_values = cached("events", TB.job_event_values)
 
 
+def _run_stepwise(spark, sf_dir):
+    """The events released in ``BATCHES`` files by time, one file a micro-batch
+    (X9), with a stop and a restart from the checkpoint in between (X7)."""
+    key = (app_key(spark), sf_dir, "steps")
+    if key not in _RUNS:
+        base = scratch_path(spark, "steps")
+        paths = L.LivePaths(f"{base}/out", f"{base}/checkpoints")
+        rows = TB.job_event_rows(spark, sf_dir)
+        step = F.pmod(F.col("event_id"), F.lit(BATCHES))
+        for half in (range(0, BATCHES // 2), range(BATCHES // 2, BATCHES)):
+            for i in half:                         # files in the order of release
+                write_events(TB.job_event_values_from(rows.where(step == i)).coalesce(1), f"{base}/events/step={i}")
+            stream = file_job_stream(spark, f"{base}/events/*", max_files_per_trigger=1)
+            L.run_until_idle(L.start_live(spark, stream, paths, available_now=True), timeout_s=600)
+        _RUNS[key] = paths
+    return _RUNS[key]
+
+
+#: Micro-batches of the stepwise run; the last one holds the events whose id leaves BATCHES - 1.
+BATCHES = 4
+
+
 def live_run(spark, sf_dir):
     """Run the live job once per (application, tables) and return its paths.
 
@@ -35,7 +62,8 @@ def live_run(spark, sf_dir):
         events_dir = f"{base}/events"
         write_events(job_event_values(spark, sf_dir), events_dir)
         paths = L.LivePaths(f"{base}/out", f"{base}/checkpoints")
-        queries = L.start_live(spark, file_job_stream(spark, events_dir), paths, available_now=True)
+        stream = file_job_stream(spark, events_dir, max_files_per_trigger=FILES_PER_BATCH)
+        queries = L.start_live(spark, stream, paths, available_now=True)
         L.run_until_idle(queries)
         _RUNS[key] = paths
     return _RUNS[key]
@@ -131,3 +159,98 @@ def x06_stream_summary(spark, sf_dir):
 @register("a19_stream_total", "SELECT count(*) AS stream_total FROM events")
 def a19_stream_total(spark, sf_dir):
     return stream_total(L.read_live(spark, live_run(spark, sf_dir), "platform_counts"))
+
+
+# --- several micro-batches with a restart: per-batch tables show the last batch only,
+# windows and the summary all of them --------------------------------------------------
+
+_LAST = f"WITH evp AS (SELECT * FROM ({EVENTS_PARSED}) WHERE mod(event_id, {BATCHES}) = {BATCHES - 1})\n"
+
+
+@register("x01_platform_counts_last_batch", _LAST + "SELECT platform, count(*) AS stream_count FROM evp GROUP BY platform")
+def x01_platform_counts_last_batch(spark, sf_dir):
+    return L.read_live(spark, _run_stepwise(spark, sf_dir), "platform_counts")
+
+
+@register("x02_keyword_counts_last_batch", _LAST + "SELECT keyword, count(*) AS stream_count FROM evp GROUP BY keyword "
+          "ORDER BY stream_count DESC, keyword ASC NULLS FIRST LIMIT 20")
+def x02_keyword_counts_last_batch(spark, sf_dir):
+    return L.read_live(spark, _run_stepwise(spark, sf_dir), "keyword_counts")
+
+
+@register("x03_recent_jobs_last_batch", _LAST + _RECENT)
+def x03_recent_jobs_last_batch(spark, sf_dir):
+    return L.read_live(spark, _run_stepwise(spark, sf_dir), "recent_jobs")
+
+
+@register("x07_recovered_batches", f"""SELECT metric, CAST({BATCHES - 1} AS BIGINT) AS last_batch FROM
+(VALUES ('platform_counts'), ('keyword_counts'), ('recent_jobs')) t(metric)""")
+def x07_recovered_batches(spark, sf_dir):
+    """X7 + X9: after the restart the batch ids go on where the first run stopped,
+    one file a batch."""
+    path = _run_stepwise(spark, sf_dir).summary
+    s = spark.read.parquet(f"{path}/*").where("metric <> 'windowed_platform'")
+    return s.select("metric", F.col("batch_id").alias("last_batch"))
+
+
+@register("x08_live_job_tables", _EV + f"""SELECT 'platform_counts' AS name, count(DISTINCT platform) AS rows FROM evp
+UNION ALL SELECT 'keyword_counts', least(20, count(DISTINCT keyword)) FROM evp
+UNION ALL SELECT 'recent_jobs', least(50, count(*)) FROM evp
+UNION ALL SELECT 'windows', count(*) FROM ({_WINDOWS}) w""")
+def x08_live_job_tables(spark, sf_dir):
+    """What one run of the whole live job leaves behind."""
+    paths = live_run(spark, sf_dir)
+    counts = [L.read_live(spark, paths, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("name"), "rows") for t in L.LIVE_TABLES]
+    counts.append(L.read_windowed_final(spark, paths).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("windows").alias("name"), "rows"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+@register("s06_read_job_stream", _EV + "SELECT count(*) AS messages, count(job_url) AS parsed FROM evp")
+def s06_read_job_stream(spark, sf_dir):
+    """S6, file form: the stream's messages as they are read, counted in a sink table."""
+    key = (app_key(spark), sf_dir, "raw")
+    if key not in _RUNS:
+        base = scratch_path(spark, "raw")
+        write_events(job_event_values(spark, sf_dir), f"{base}/events")
+        q = (file_job_stream(spark, f"{base}/events", max_files_per_trigger=2).writeStream.format("parquet")
+             .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start())
+        L.run_until_idle([q], timeout_s=600)
+        _RUNS[key] = f"{base}/out"
+    parsed = parse_events(spark.read.schema("value string").parquet(_RUNS[key]))
+    return parsed.agg(F.count(F.lit(1)).alias("messages"), F.count("job_url").alias("parsed"))
+
+
+# One event of every minute comes again ten minutes late, in a second batch: the watermark
+# (two minutes) has passed its window by then, unless the window is one of the last.
+_LATE = """(SELECT max(ts) - INTERVAL 2 MINUTE FROM events)"""
+
+
+@register("x06_late_rows_dropped", f"""SELECT date_trunc('minute', ts) AS window_start, event_type AS platform,
+  CAST(count(*) + count(*) FILTER (WHERE mod(event_id, 10) = 0 AND date_trunc('minute', ts) + INTERVAL 1 MINUTE > {_LATE}) AS BIGINT) AS jobs_per_minute
+FROM events GROUP BY ALL""")
+def x06_late_rows_dropped(spark, sf_dir):
+    """Rows that come after the watermark passed their window do not count."""
+    key = (app_key(spark), sf_dir, "late")
+    if key not in _RUNS:
+        base = scratch_path(spark, "late")
+        paths = L.LivePaths(f"{base}/out", f"{base}/checkpoints")
+        ev = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("platform"), "ts")
+        late = ev.where(F.col("event_id") % 10 == 0)
+        for i, part in enumerate((ev, late)):
+            value = F.to_json(F.struct("platform", iso_utc(F.col("ts")).alias("event_time")))
+            write_events(part.select(value.alias("value")), f"{base}/events/step={i}")
+            stream = file_job_stream(spark, f"{base}/events/*")
+            L.run_until_idle(L.start_live(spark, stream, paths, available_now=True), timeout_s=600)
+        _RUNS[key] = paths
+    return L.read_windowed_final(spark, _RUNS[key]).select("window_start", "platform", "jobs_per_minute")
+
+
+@register("w12_stream_is_live", """SELECT o_orderkey AS id, mod(o_orderkey, 5) IN (1, 2) AS is_live FROM orders""")
+def w12_stream_is_live(spark, sf_dir):
+    """W12 over update times of every kind: none, fresh (UTC and with an offset), old, without a zone."""
+    now = F.lit("2024-05-01T12:00:00Z").cast("timestamp")
+    k = F.pmod(F.col("o_orderkey"), F.lit(5))
+    text = (F.when(k == 1, "2024-05-01T11:59:00+00:00").when(k == 2, "2024-05-01T18:58:01+07:00")
+            .when(k == 3, "2024-05-01T11:58:00+00:00").when(k == 4, "2024-05-01T11:59:59"))
+    rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("last_updated"))
+    return W.stream_is_live(rows, now).select("id", "is_live")

@@ -88,6 +88,7 @@ INDEED_RAW = _strings(
 )
 
 # The unified jobs table
+# --- fixed values: columns of the unified table, in order
 JOBS = StructType([
     StructField("job_title", StringType(), True),
     StructField("company_name", StringType(), True),
@@ -112,47 +113,8 @@ SALARY = StructType([
     StructField("avg", DoubleType(), True),
 ])
 
-# Job document (nested salary, import stamp)
-JOB_DOCUMENT = StructType(
-    [f for f in JOBS.fields if f.name not in ("salary_min", "salary_max")]
-    + [StructField("salary", SALARY, True), StructField("imported_at", TimestampType(), True)]
-)
-
 # Job event as published on the topic
 JOB_EVENT = StructType(
     [f for f in JOBS.fields if f.name != "skills"]
     + [StructField("event_time", StringType(), True)]
 )
-
-# Windowed live output row
-WINDOWED_COUNT = StructType([
-    StructField("window", StructType([
-        StructField("start", TimestampType(), True),
-        StructField("end", TimestampType(), True),
-    ]), True),
-    StructField("platform", StringType(), True),
-    StructField("jobs_per_minute", LongType(), False),
-])
-
-# Search-API hit, only the fields read (raw hits stay JSON text)
-SEARCH_PAYLOAD = "struct<results: array<struct<hits: array<string>>>>"
-
-# Karir listing / detail payload rows (flattened by the caller's reader)
-KARIR_LISTING = StructType([
-    StructField("id", LongType(), True),
-    StructField("job_position", StringType(), True),
-    StructField("company_name", StringType(), True),
-    StructField("location_name", StringType(), True),
-    StructField("salary_lower", LongType(), True),
-    StructField("salary_upper", LongType(), True),
-    StructField("posted_at", StringType(), True),
-])
-KARIR_DETAIL = StructType([
-    StructField("id", LongType(), True),
-    StructField("location", StringType(), True),
-    StructField("job_type", StringType(), True),
-    StructField("work_experience", LongType(), True),
-    StructField("degrees", ArrayType(StringType()), True),
-    StructField("requirements", StringType(), True),
-    StructField("responsibilities", StringType(), True),
-])

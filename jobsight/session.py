@@ -4,8 +4,8 @@ the shared scratch location (always under ``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +16,10 @@ TABLES = [
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "jobsight") -> SparkSession:
+                  app_name: str = "jobsight", checkpoint_dir: Optional[str] = None) -> SparkSession:
     """A session for tests and the bench. On a cluster, use the cluster's
     session instead; operators never change session configuration."""
-    return (
+    builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
@@ -30,19 +30,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table; ``spread`` for fact tables whose rows get CPU-heavy
-    per-row work before the first shuffle."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return ensure_parallelism(df) if spread else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, split as ``spark.sql.files.maxPartitionBytes`` says."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def app_key(spark: SparkSession) -> str:
@@ -53,28 +53,12 @@ def app_key(spark: SparkSession) -> str:
         return f"session-{id(spark)}"
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
-    partitions than there are cores (e.g. one small file = one task).
-
-    A no-op for real inputs: a large table already splits into at least one
-    task per core, and no shuffle is added then. For a small input the
-    shuffle is as small as the input and buys full parallelism for the
-    per-row work that follows. Without access to partition counts (Spark
-    Connect) the input is left as it is."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a fresh local folder set;
-    on a cluster the setting names shared storage and is used as is.
+    Where the session names none, a local session (driver and executors in one
+    process) uses a folder of its warehouse; a cluster without a shared folder
+    is an error, as executors could not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -84,14 +68,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root and sc is not None:
         root = sc.getCheckpointDir() or None
     if not root:
-        root = tempfile.mkdtemp(prefix="jobsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+_CLEARED: set = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder under the shared checkpoint root."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/jobsight/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique folder of this application under the shared checkpoint
+    root; all of them are deleted when the application ends."""
+    base = f"{checkpoint_root(spark).rstrip('/')}/jobsight-{app_key(spark)}"
+    if base not in _CLEARED:
+        _CLEARED.add(base)
+        try:
+            jvm = spark._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(base)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        except Exception:                  # no JVM at hand (Spark Connect): the folder stays
+            pass
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -46,7 +46,3 @@ def write_documents(docs: DataFrame, path: str) -> None:
 def append_records(df: DataFrame, path: str) -> None:
     """K7: add a page's records to the raw file (append mode)."""
     write_csv(df, path, mode="append")
-
-
-def with_batch_stamp(df: DataFrame, batch_id: int) -> DataFrame:
-    return df.withColumn("batch_id", F.lit(batch_id))

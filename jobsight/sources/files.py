@@ -13,7 +13,7 @@ from typing import Callable, Iterable, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from jobsight.operators.normalize import nullify_na
@@ -25,12 +25,48 @@ CSV_OPTIONS = {"sep": ";", "header": "true", "multiLine": "true", "escape": '"',
 CANDIDATE_DELIMITERS = [";", ",", "\t", "|"]
 
 
-def read_jobs_csv(spark: SparkSession, path: str, schema: StructType, na_tokens: bool = True) -> DataFrame:
-    """A ``;`` CSV with an explicit schema; NA tokens -> null."""
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+def header_schema(columns: Sequence[str], schema: StructType) -> StructType:
+    """The file's columns in the file's order: known ones with the schema's
+    types, others as text."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+    return StructType([StructField(c, kinds.get(c, StringType()), True) for c in columns])
+
+
+def _read_by_name(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+    columns = header_columns(spark, path)
+    missing = [f.name for f in schema.fields if f.name not in columns]
+    if missing:
+        raise ValueError(f"{path} has no column {missing}")
+    # every part file's header must agree with the first one's
+    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower(), "enforceSchema": "false"}
+    return spark.read.options(**options).schema(header_schema(columns, schema)).csv(path)
+
+
+def read_jobs_csv(spark: SparkSession, path: str, schema: StructType, na_tokens: bool = True,
+                  multi_line: bool = True) -> DataFrame:
+    """A ``;`` CSV read by header name: columns may stand in any order and
+    further ones are left out; a missing one is an error. NA tokens -> null.
+
+    ``multi_line`` allows newlines inside quotes, for which Spark must read a
+    file in one task; switch it off for files without them, so that large
+    files are split."""
+    df = _read_by_name(spark, path, schema, multi_line).select(*[f"`{f.name}`" for f in schema.fields])
     return nullify_na(df) if na_tokens else df
 
 
+def has_broken_rows(spark: SparkSession, path: str, schema: StructType) -> bool:
+    """Whether a record has more fields than the header (which stops the batch
+    reader, so the source counts as unreadable). One pass, ended by the first hit."""
+    broken = StructField("_broken", StringType(), True)
+    columns = header_columns(spark, path)
+    full = StructType(header_schema(columns, schema).fields + [broken])
+    fields = F.regexp_count(F.regexp_replace("_broken", '"[^"]*"', ""), F.lit(";")) + 1
+    # the reader keeps a broken record's text only beside other columns
+    rows = (spark.read.options(**CSV_OPTIONS, columnNameOfCorruptRecord="_broken").schema(full).csv(path)
+            .where(F.col("_broken").isNotNull() & (fields > len(columns)) & (F.length(F.concat_ws("", *[f"`{c}`" for c in columns])) >= 0)))
+    return not rows.isEmpty()
+
+
 def read_jobs_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """The same file with types inferred (an extra pass over the data, as
     the batch job's reader does)."""
@@ -45,17 +81,15 @@ def header_columns(spark: SparkSession, path: str) -> list:
 def read_sources(spark: SparkSession, specs: Sequence[tuple]) -> Optional[DataFrame]:
     """S3 + U1: ``specs`` = (name, path, schema, normalizer). Each source is
     optional: a missing file, a header without the expected columns, or a
-    read error makes that source empty; the others are normalised and merged
-    (UNION ALL by name, no dedup). Returns None when no source is readable."""
+    record that cannot be read drops that source whole; the others are
+    normalised and merged (UNION ALL by name, no dedup). Returns None when no
+    source is readable."""
     frames = []
     for name, path, schema, normalize in specs:
         try:
-            cols = header_columns(spark, path)
-            missing = [f.name for f in schema.fields if f.name not in cols]
-            if missing:
-                continue
-            frames.append(normalize(read_jobs_csv(spark, path, schema)))
-        except AnalysisException:
+            if not has_broken_rows(spark, path, schema):
+                frames.append(normalize(read_jobs_csv(spark, path, schema)))
+        except (AnalysisException, ValueError):
             continue
     return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
 
@@ -96,10 +130,11 @@ def record_counts(named: Sequence[tuple], exclude_from_total: Sequence[str] = ()
         parts.append(spark.createDataFrame([(n, None, "missing") for n in missing],
                                            "dataset string, rows long, status string"))
     counts = reduce(lambda a, b: a.unionByName(b), parts)
-    total = (counts.where(~F.col("dataset").isin(list(exclude_from_total)) if exclude_from_total else counts)
-             .agg(F.sum("rows").alias("rows"))
-             .select(F.lit("TOTAL").alias("dataset"), "rows", F.lit("ok").alias("status")))
-    return counts.unionByName(total)
+    # the total is summed from the counted rows: each also adds to TOTAL
+    both = F.array(F.col("dataset"), F.when(~F.col("dataset").isin(list(exclude_from_total)), "TOTAL"))
+    return (counts.withColumn("dataset", F.explode(both)).where(F.col("dataset").isNotNull())
+            .groupBy("dataset").agg(F.sum("rows").alias("rows"),
+                                    F.when(F.col("dataset") == "TOTAL", "ok").otherwise(F.min("status")).alias("status")))
 
 
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> Optional[DataFrame]:
@@ -122,28 +157,17 @@ def detect_delimiter(header) -> F.Column:
 
 
 def count_records_detect_delim(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per dataset folder (by name), the delimiter sniffed from its header line and
-    the number of CSV records (quoted newlines respected, header excluded).
-
-    The header line is the first line of the first block of each file; only
-    the (file, delimiter) pairs (one per file) reach the driver, to pick a
-    reader per delimiter; the records are counted by Spark."""
-    lines = (spark.read.text(list(paths))
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("pos")))
-    heads = (lines.where(F.col("block") == 0).groupBy("file")
-             .agg(F.min_by("value", "pos").alias("header"))
-             .select("file", detect_delimiter("header").alias("delimiter")))
-    by_delim = {}
-    for r in heads.collect():                    # one small row per file
-        by_delim.setdefault(r["delimiter"], []).append(r["file"])
+    """Per dataset (a file or a folder of part files, named by its last path
+    element), the delimiter sniffed from its header line and the number of CSV
+    records (quoted newlines respected, headers excluded).
+
+    Only each given dataset's first line is read ahead, to choose the reader."""
     counts = []
-    for d, files in by_delim.items():
-        rows = (spark.read.options(header="true", multiLine="true", escape='"', sep=d).csv(files)
-                .select(F.col("_metadata.file_path").alias("file")))
-        counts.append(rows.groupBy("file").agg(F.count(F.lit(1)).alias("records"))
-                      .withColumn("delimiter", F.lit(d)))
-    per_file = reduce(lambda a, b: a.unionByName(b), counts)
-    folder = F.regexp_extract(F.col("file"), r"([^/]+)/[^/]+$", 1)   # the dataset folder's name
-    return per_file.groupBy(folder.alias("dataset"), "delimiter").agg(F.sum("records").alias("records"))
+    for path in paths:
+        first = spark.read.text(path).limit(1)
+        delimiter = first.select(detect_delimiter("value").alias("d")).first()
+        delimiter = delimiter["d"] if delimiter else CANDIDATE_DELIMITERS[0]
+        rows = spark.read.options(header="true", multiLine="true", escape='"', sep=delimiter).csv(path)
+        counts.append(rows.agg(F.count(F.lit(1)).alias("records")).select(
+            F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("dataset"), F.lit(delimiter).alias("delimiter"), "records"))
+    return reduce(lambda a, b: a.unionByName(b), counts)

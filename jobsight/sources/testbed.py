@@ -54,7 +54,7 @@ def _orders_customer_nation(spark: SparkSession, sf_dir: str, order_cols) -> Dat
     """orders ⋈ customer ⋈ nation, fact table first: the dimensions are the
     build sides (broadcast when the planner's size check allows, shuffle
     join otherwise) and the probe side keeps the orders partitioning."""
-    orders = read_table(spark, sf_dir, "orders", spread=True).select(*order_cols)
+    orders = read_table(spark, sf_dir, "orders").select(*order_cols)
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
@@ -161,7 +161,7 @@ def source_frame_full(raw: DataFrame, platform: str, schema) -> DataFrame:
 def karir_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing rows of the Karir API (one per order): id, title, company,
     location, salary bounds, ISO timestamp. Some bounds are null or 0."""
-    orders = read_table(spark, sf_dir, "orders", spread=True).select(
+    orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
@@ -187,8 +187,6 @@ def karir_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Built by one aggregation of lineitem on its order key (partial aggregation
     map-side, then a shuffle of one row per order and map task)."""
-    # no spread: the first operator is a cheap partial aggregation, which
-    # shuffles by order key anyway
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
     g = li.groupBy("l_orderkey").agg(
@@ -245,6 +243,46 @@ def search_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(k.alias("payload_id"), payload.alias("payload"))
 
 
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages of the job boards, built from ``orders``: each order is one
+    card of one of four markups (board = order key mod 4), ten or so cards of a
+    customer make a page; some cards lack optional parts or wear look-alike
+    class names, some pages are challenge pages without cards."""
+    k = "o_orderkey"
+    title = f"CASE {k} % 5 WHEN 0 THEN concat('<h2 class=\"jobTitle css-1h\"><span title=\"Role ', {k}, '\">Role ', {k}, '</span></h2>')" \
+            f" WHEN 1 THEN concat('<a class=\"jcs-JobTitle\" href=\"/rc/', {k}, '\">Role ', {k}, '</a>')" \
+            f" WHEN 2 THEN concat('<h2 class=\"title\"><a href=\"https://ex.org/', {k}, '\"> Role ', {k}, ' </a></h2>')" \
+            f" WHEN 3 THEN concat('<a data-jk=\"', {k}, '\" href=\"/viewjob?jk=', {k}, '\"><span>Role ', {k}, '</span></a>') ELSE '' END"
+    indeed = f"""concat('<div class="', CASE {k} % 11 WHEN 0 THEN 'not-job_seen_beacon' ELSE 'cardOutline job_seen_beacon tapped' END, '">',
+      {title},
+      CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<span data-testid="company-name">', concat('PT &amp; ', o_orderstatus), '</span>') END,
+      CASE WHEN {k} % 7 = 0 THEN '<div class="companyLocation">Remote in Jakarta</div>' WHEN {k} % 2 = 0 THEN '<div data-testid="text-location">Bandung</div>' ELSE '' END,
+      CASE {k} % 4 WHEN 0 THEN '<div class="salary-snippet-container">Rp 5 jt</div>' WHEN 1 THEN '<span class="salaryText"> Rp 7 jt </span>' ELSE '' END,
+      CASE WHEN {k} % 6 = 0 THEN '<span class="date">Posted 3 days ago</span>' ELSE '' END,
+      '<div class="job-snippet">Work ', CASE WHEN {k} % 13 = 0 THEN 'from home &amp; more' ELSE o_orderpriority END, '</div></div><!--card-->')"""
+    old = f"""concat('<div class=\\'row jobsearch-SerpJobCard\\'><h2 class="title"><a href="/old/', {k}, '">Old role ', {k}, '</a></h2></div><!--card-->')"""
+    glints = f"""concat('<div class="JobCard"><h3>Role ', {k}, '</h3>',
+      CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<a data-testid="company">', CASE WHEN {k} % 5 = 0 THEN '  ' ELSE concat('PT &amp; ', o_orderstatus) END, '</a>') END,
+      '<span class="tag">\\n\\t</span><span class="tag">Penuh Waktu</span>', CASE WHEN {k} % 2 = 0 THEN '<span class="tag">1 - 3 tahun</span><span class="tag">S1</span>' ELSE '<span class="tag">+2</span>' END,
+      '<a class="card-link" href="/jobs/', {k}, '">x</a></div><!--card-->')"""
+    linkedin = f"""concat('<li><div class="base-card"><a class="base-card__full-link" href="https://li.example/', {k}, '"></a><h3 class="base-search-card__title"> Role ', {k}, '</h3>',
+      CASE WHEN {k} % 4 = 0 THEN '' ELSE concat('<h4 class="base-search-card__subtitle"><a>', concat('PT &amp; ', o_orderstatus), '</a></h4>') END,
+      '<span class="job-search-card__location">Jakarta</span>', CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<time datetime="', date_format(o_orderdate, 'yyyy-MM-dd'), '"></time>') END, '</div></li><!--card-->')"""
+    card = f"CASE o_custkey % 4 WHEN 0 THEN {indeed} WHEN 1 THEN {old} WHEN 2 THEN {glints} ELSE {linkedin} END"
+    # look-alikes stand before the first card, where no card's markup holds them
+    cards = read_table(spark, sf_dir, "orders").select(
+        "o_custkey", F.expr("o_custkey % 4 <> 0 OR o_orderkey % 11 <> 0").alias("real"), "o_orderkey", F.expr(card).alias("card"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("real", "o_orderkey", "card"))), lambda x: x["card"]), "\n")
+    page = cards.groupBy("o_custkey").agg(body.alias("body"))
+    # every 17th page is a challenge page, every 19th one without cards or marker
+    html = (F.when(F.col("o_custkey") % 17 == 0, "<title>Security Check</title><p>Captcha</p>")
+            .when(F.col("o_custkey") % 19 == 0, "<p>No results</p>").otherwise(F.col("body")))
+    return page.select(
+        F.col("o_custkey").alias("page_id"), html.alias("html"),
+        F.concat(F.lit("https://board"), (F.col("o_custkey") % 4).cast("string"), F.lit(".example/jobs?q=x&page="),
+                 (F.col("o_custkey") % 3).cast("string")).alias("url"))
+
+
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
@@ -258,7 +296,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``job_event_rows_from`` over the events table (batch)."""
-    return job_event_rows_from(read_table(spark, sf_dir, "events", spread=True).select(*EVENT_COLUMNS))
+    return job_event_rows_from(read_table(spark, sf_dir, "events").select(*EVENT_COLUMNS))
 
 
 def job_event_rows_from(ev: DataFrame) -> DataFrame:

@@ -22,9 +22,13 @@ EVENT_FIELDS = [f.name for f in JOB_EVENT.fields if f.name != "event_time"]
 
 def utc_wall_clock(ts) -> Column:
     """A TIMESTAMP instant as its UTC wall-clock TIMESTAMP_NTZ, whatever the
-    session time zone (a plain cast would use the session zone)."""
+    session time zone: microseconds added to the epoch, so no zone rule (and no
+    hour that a zone skips or repeats) takes part."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    return F.to_utc_timestamp(t, F.current_timezone()).cast("timestamp_ntz")
+    micros = F.unix_micros(t)
+    seconds = (F.pmod(micros, F.lit(86_400_000_000)).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        F.floor(micros / F.lit(86_400_000_000)).cast("int"), F.lit(0), F.lit(0), seconds)
 
 
 def iso_utc(ts: Column) -> Column:
@@ -34,12 +38,13 @@ def iso_utc(ts: Column) -> Column:
 
 
 def to_events(jobs: DataFrame, event_time: Optional[Column] = None,
-              limit: Optional[int] = None, keep=()) -> DataFrame:
+              limit: Optional[int] = None, keep=(), order_by=None) -> DataFrame:
     """K4: one JSON event (``value``) per row: the 13 event fields plus
     ``event_time`` (now, UTC, unless a column is given). NaN and infinite
-    salaries become null. ``limit`` keeps the first n rows; ``keep`` columns
-    are passed through next to ``value``."""
-    src = jobs.limit(limit) if limit else jobs
+    salaries become null. ``limit`` keeps the first n rows in the order of
+    ``order_by`` (all columns unless given); ``keep`` columns are passed
+    through next to ``value``."""
+    src = jobs.orderBy(*(order_by or jobs.columns)).limit(limit) if limit else jobs
     fields = []
     for f in EVENT_FIELDS:
         c = F.col(f) if f in src.columns else F.lit(None).cast("string")

@@ -8,12 +8,13 @@ Two streaming queries share one parsed source:
   each non-empty batch overwrites the three live tables, an empty batch
   leaves them (K5), and one summary row per table is added (K6).
 * ``windowed``: tumbling 1-minute counts per platform with a 2-minute
-  watermark, update mode (X4); each batch's updated windows are kept per
-  batch id and the 20 newest windows overwrite the live view (X5).
+  watermark, update mode (X4); each batch's updated windows replace their older
+  counts in the history and the 20 newest windows overwrite the live view (X5).
 
-Every write is keyed by the batch id (overwrite of that batch's folder), so a
-batch replayed after a failure rewrites the same data: restarts from the
-checkpoint are idempotent.
+Every write overwrites what the batch determines, so a batch replayed after a
+failure rewrites the same data: restarts from the checkpoint are idempotent.
+A batch is persisted while it is written; ``maxFilesPerTrigger`` (files) or
+``maxOffsetsPerTrigger`` (Kafka) of the source bound its size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from jobsight.operators.ordering import recent_k, top_k
 from jobsight.schemas import RECENT_COLUMNS
@@ -97,19 +99,33 @@ def _now_iso() -> str:
 
 
 def _write_summary(paths: LivePaths, batch_id: int, outputs: dict) -> None:
-    """K6: one row per metric (rows written) with the update time, computed
-    from the (persisted, small) outputs in one job; the latest value per
-    metric is read back with ``read_summary``. Append-only per batch, so
-    concurrent writers never lose each other's updates."""
-    from functools import reduce
-
+    """K6: one row per metric (rows written) with the update time, in a folder
+    of its own that every batch overwrites: the summary never grows, and the
+    two queries, which own different metrics, never touch each other's."""
     now = _now_iso()
-    counts = [out.agg(F.count(F.lit(1)).alias("value"))
-              .select(F.lit(m).alias("metric"), "value") for m, out in outputs.items()]
-    summary = reduce(lambda a, b: a.unionByName(b), counts).select(
-        "metric", "value", F.lit(now).alias("last_updated"), F.lit(int(batch_id)).cast("long").alias("batch_id"))
-    summary.coalesce(1).write.mode("overwrite").parquet(
-        f"{paths.summary}/batch={batch_id}/{'_'.join(outputs)}")
+    for metric, out in outputs.items():
+        row = out.agg(F.count(F.lit(1)).alias("value")).select(
+            F.lit(metric).alias("metric"), "value", F.lit(now).alias("last_updated"), F.lit(int(batch_id)).cast("long").alias("batch_id"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{paths.summary}/{metric}")
+
+
+def merge_windows(batch: DataFrame, path: str) -> None:
+    """The batch's windows replace their older counts in the history, which is
+    partitioned by hour: only the hours that a batch touches are rewritten, so
+    the folders follow the hours of the stream, not the number of batches. An
+    updated window carries its full count, so a replayed batch changes nothing."""
+    spark = batch.sparkSession
+    new = batch.withColumn("hour", F.date_format("window_start", "yyyy-MM-dd-HH"))
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException:                # the first batch
+        merged = new
+    else:
+        hours = new.select("hour").distinct()
+        kept = old.join(hours, "hour", "left_semi").join(new.select("window_start", "platform"), ["window_start", "platform"], "left_anti")
+        merged = new.unionByName(kept)
+    (merged.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("hour").parquet(path))
 
 
 def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50):
@@ -145,7 +161,7 @@ def windowed_batch_writer(paths: LivePaths, n: int = 20):
             return
         latest = latest_windows(batch, n).persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{paths.window_history}/batch_id={batch_id}")
+            merge_windows(batch, paths.window_history)
             latest.coalesce(1).write.mode("overwrite").parquet(paths.window_live)
             _write_summary(paths, batch_id, {"windowed_platform": latest})
         finally:
@@ -180,12 +196,14 @@ def start_live(spark: SparkSession, raw_stream: DataFrame, paths: LivePaths,
 
 def run_until_idle(queries, timeout_s: Optional[float] = None) -> None:
     """Wait for every query (they stop by themselves under availableNow);
-    on the first failure, stop the rest and raise."""
+    on the first failure, or when ``timeout_s`` runs out, stop the rest and raise."""
     try:
         for q in queries:
-            q.awaitTermination(timeout_s)
+            ended = q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination()
             if q.exception() is not None:
                 raise q.exception()
+            if ended is False:
+                raise TimeoutError(f"stream {q.name} still has input after {timeout_s} s; its tables are not complete")
     finally:
         for q in queries:
             if q.isActive:
@@ -210,17 +228,12 @@ def read_live(spark: SparkSession, paths: LivePaths, name: str) -> DataFrame:
 
 def read_summary(spark: SparkSession, paths: LivePaths) -> DataFrame:
     """Latest value per metric and its update time."""
-    s = spark.read.parquet(f"{paths.summary}/*/*")
-    return s.groupBy("metric").agg(F.max_by("value", F.struct("last_updated", "batch_id")).alias("value"),
-                                   F.max("last_updated").alias("last_updated"))
+    return spark.read.parquet(f"{paths.summary}/*").select("metric", "value", "last_updated")
 
 
 def read_windowed_final(spark: SparkSession, paths: LivePaths) -> DataFrame:
-    """Final count per (window, platform): the value of the latest batch that
-    updated it (a partial-aggregatable max_by, no window function)."""
-    h = spark.read.parquet(paths.window_history)
-    return h.groupBy("window_start", "window_end", "platform").agg(
-        F.max_by("jobs_per_minute", "batch_id").alias("jobs_per_minute"))
+    """Final count per (window, platform)."""
+    return spark.read.parquet(paths.window_history).drop("hour")
 
 
 def read_windowed_latest(spark: SparkSession, paths: LivePaths) -> DataFrame:

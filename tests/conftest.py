@@ -10,12 +10,12 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from jobsight.session import build_session, checkpoint_root
+def spark(tmp_path_factory):
+    from jobsight.session import build_session
 
-    s = build_session(master="local[4]", shuffle_partitions=8, app_name="jobsight-tests")
+    s = build_session(master="local[4]", shuffle_partitions=8, app_name="jobsight-tests",
+                      checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(s)          # sets a local folder only when the session has none
     yield s
     s.stop()
 

@@ -20,7 +20,6 @@ def test_registry_shape():
     qs, sql = E.queries(), E.oracle_sql()
     assert len(qs) >= 90
     assert set(sql) <= set(qs)
-    assert not any(k.startswith("op") for k in qs)
 
 
 @pytest.fixture(scope="module")

@@ -122,7 +122,9 @@ def test_first_truthy_default_text_date_part(spark):
     out = [r[0] for r in df.orderBy("i").select(R.first_truthy("a", "b", default="d")).collect()]
     assert out == ["b", "d", "a"]
     assert _one(spark, lambda c: R.default_text(c, "Dirahasiakan"), ["  ", None, " PT X "]) == [
-        "Dirahasiakan", "Dirahasiakan", "PT X"]
+        "", "Dirahasiakan", "PT X"]
+    ties = [6_250_000.0, 2_250_000.0, 12_350_000.0, 12_250_000.0, 50_000.0, 150_000.0, 999_950_000.0, 0.0, -6_250_000.0, None]
+    assert _one(spark, R.format_millions, ties, "double") == ["-" if t is None else f"Rp {t / 1e6:.1f} Jt" for t in ties]
     assert _one(spark, R.date_part, ["2024-01-02T03:04:05Z", "2024-01-02", None]) == ["2024-01-02", "2024-01-02", None]
 
 

@@ -7,7 +7,7 @@ from jobsight.operators import aggregates as A
 from jobsight.operators import filters as W
 from jobsight.operators import ordering as T
 from jobsight.operators.dedup import dedup_keep_first, dedup_keep_last, dedup_normalized
-from jobsight.operators.joins import broadcast_if_bounded, enrich_with_detail, not_yet_ingested
+from jobsight.operators.joins import enrich_with_detail, not_yet_ingested
 from jobsight.operators.normalize import merge_master, nullify_na, to_documents
 from jobsight.plans.jobs import unified_jobs, unified_jobs_by_union
 
@@ -63,13 +63,17 @@ def test_heatmap_null_pairs_use_slots(spark):
     assert rows(out) == [("ID", 5)]
 
 
-def test_paginate_paths_agree(spark):
-    df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")).repartition(7)
-    shallow = rows(T.paginate(df, "k", page=3, page_size=500).orderBy("k"))
-    deep = rows(T.paginate(df, "k", page=3, page_size=500, topk_limit=0).orderBy("k"))
-    assert shallow == deep == [(i, i * 3) for i in range(1000, 1500)]
-    last = rows(T.paginate(df, "k", page=10, page_size=500, topk_limit=0))
-    assert len(last) == 500 and min(r[0] for r in last) == 4500
+def test_paginate_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None if i % 10 == 0 else i // 7, i) for i in range(1000)], "k int, v int").repartition(7)
+    want = sorted(((k is not None, k or 0, v) for k, v in rows(df)))
+    got, last = [], None
+    for page in range(1, 7):
+        own = T.paginate(df, "k", page, 200).collect()
+        step = T.next_page(df, "k", last, 200).collect()
+        assert own == step
+        got += [(r["k"] is not None, r["k"] or 0, r["v"]) for r in own]
+        last = own[-1] if own else last
+    assert got == want
 
 
 def test_page_info(spark):
@@ -127,20 +131,12 @@ def test_not_yet_ingested_and_enrich(spark):
     new = spark.createDataFrame([(1, "java"), (2, "go"), (3, None), (4, "rust")], "id int, keyword string")
     done = spark.createDataFrame([("java",), (None,), ("go",)], "keyword string")
     assert sorted(r[0] for r in rows(not_yet_ingested(new, done, "keyword"), "id")) == [3, 4]
-    assert sorted(r[0] for r in rows(not_yet_ingested(new, done, "keyword", max_broadcast_rows=10), "id")) == [3, 4]
     listing = spark.createDataFrame([(1, "a", "L1"), (2, "b", "L2")], "id long, job_position string, location string")
     detail = spark.createDataFrame([(1, "D1")], "id long, location string")
     out = rows(enrich_with_detail(listing, detail))
     assert out == [(1, "a", "L1", "D1")]
 
 
-def test_broadcast_if_bounded(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert "broadcast" in str(broadcast_if_bounded(small, 100)._jdf.queryExecution().logical()).lower()
-    assert "broadcast" not in str(broadcast_if_bounded(big, 100)._jdf.queryExecution().logical()).lower()
-
-
 def test_fused_normalisation_equals_union(spark):
     a = unified_jobs(spark, SF_SMALL)
     b = unified_jobs_by_union(spark, SF_SMALL)

@@ -63,3 +63,23 @@ def test_platform_filter_prunes_document_partitions(spark, tmp_path):
     write_documents(job_documents(spark, SF_SMALL), path)
     p = plan(read_documents(spark, path).where(F.col("platform") == "Glints").select("job_title"))
     assert "PartitionFilters: [isnotnull(platform" in p and "(platform" in p and "Glints" in p
+
+
+def test_no_round_robin_exchange(spark):
+    """No registered batch query shuffles its input only to spread it."""
+    from __spark_entry__ import queries
+
+    for name in ("p01_normalize_glints", "p12_flatten_search_hits", "j02_enrich_with_detail", "f08_strip_html", "p10_parse_events",
+                 "w07_text_search_documents", "p14_card_records"):
+        key = name if name in queries() else next(k for k in queries() if k.startswith(name[:4]))
+        plan = queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobin" not in plan, name
+
+
+def test_integration_report_reads_its_input_once(spark):
+    from jobsight.operators.aggregates import integration_report
+
+    path = "/root/testdata/sf0.001/orders.parquet"
+    jobs = spark.read.parquet(path).selectExpr("o_orderstatus AS platform", "o_orderpriority AS country", "o_totalprice AS salary_min")
+    plan = integration_report(jobs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
