@@ -47,7 +47,11 @@ def join_names(v, paths, default: str, sep: str = ", ") -> Column:
     """the first non-empty array among ``paths``; names of its object items
     joined by ``sep`` (an object without a name counts as ""); none -> default."""
     v = col_(v)
-    arr = F.coalesce(*[_truthy_array(v, p) for p in paths])
+    return names_of(F.coalesce(*[_truthy_array(v, p) for p in paths]), default, sep)
+
+
+def names_of(arr: Column, default: str, sep: str = ", ") -> Column:
+    """F15 on the chosen array of variants (null -> default)."""
     names = F.transform(F.filter(arr, is_object),
                         lambda x: F.coalesce(F.try_variant_get(x, "$.name", "string"), F.lit("")))
     return F.when(arr.isNull(), F.lit(default)).otherwise(F.array_join(names, sep))

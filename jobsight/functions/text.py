@@ -207,7 +207,8 @@ def map_years(c) -> Column:
 
 def strip_html(c) -> Column:
     """F8: tags -> space, three entities decoded, space runs collapsed, trimmed."""
-    s = F.regexp_replace(col_(c), r"<[^\n]*?>", " ")   # "." of Python: all but \n
+    # "." of Python is all but \n; texts without markup skip the pattern
+    s = F.when(col_(c).contains("<"), F.regexp_replace(col_(c), r"<[^\n]*?>", " ")).otherwise(col_(c))
     for entity, repl in HTML_ENTITIES:
         s = F.replace(s, F.lit(entity), F.lit(repl))
     s = py_strip(F.regexp_replace(s, r" {2,}", " "))

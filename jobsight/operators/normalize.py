@@ -330,7 +330,8 @@ def flatten_detail(joined: DataFrame, keep=()) -> DataFrame:
     """A listing joined with its detail -> the Karir raw record.
 
     Detail location is preferred to the listing's when truthy; missing years
-    count as 0; missing degrees give ""."""
+    count as 0; missing degrees and a missing or null ``posted_at`` give "" (a
+    stated difference for the explicit null)."""
     loc = "detail_location" if "detail_location" in joined.columns else "location"
     return joined.select(
         *keep,

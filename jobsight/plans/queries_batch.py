@@ -16,7 +16,7 @@ from jobsight.operators import ordering as T
 from jobsight.operators.dedup import dedup_keep_first, dedup_keep_last, dedup_normalized
 from jobsight.operators.normalize import flatten_documents, merge_master
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs, unified_jobs_by_union
+from jobsight.plans.jobs import cached_raw_jobs, cleaned_jobs, job_documents, unified_jobs, unified_jobs_by_union
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
 from jobsight.session import read_table
@@ -27,6 +27,10 @@ def _jobs(spark, sf_dir):
     return unified_jobs(spark, sf_dir)
 
 
+def _table(spark, sf_dir):
+    return cleaned_jobs(spark, sf_dir)
+
+
 def _docs(spark, sf_dir):
     return flatten_documents(job_documents(spark, sf_dir))
 
@@ -245,7 +249,7 @@ _ALL = f"job_id, {JOB_COLS}"
 @register("w01_with_salary", with_jobs(
     f"SELECT {_ALL} FROM jobs WHERE salary_min IS NOT NULL AND salary_max IS NOT NULL"))
 def w01_with_salary(spark, sf_dir):
-    return W.with_salary(_jobs(spark, sf_dir))
+    return W.with_salary(_table(spark, sf_dir))
 
 
 @register("w02_with_avg_salary", with_jobs(
@@ -256,27 +260,27 @@ def w02_with_avg_salary(spark, sf_dir):
 
 @register("w03_company_known", with_jobs(f"SELECT {_ALL} FROM jobs WHERE company_name IS NOT NULL"))
 def w03_company_known(spark, sf_dir):
-    return W.company_known(_jobs(spark, sf_dir))
+    return W.company_known(_table(spark, sf_dir))
 
 
 @register("w04_platform_country_in", with_jobs(
     f"SELECT {_ALL} FROM jobs WHERE platform IN ('LinkedIn', 'Glints') AND country IN ('Japan', 'Indonesia')"))
 def w04_platform_country_in(spark, sf_dir):
-    j = W.value_in(_jobs(spark, sf_dir), "platform", ["LinkedIn", "Glints"])
+    j = W.value_in(_table(spark, sf_dir), "platform", ["LinkedIn", "Glints"])
     return W.value_in(j, "country", ["Japan", "Indonesia"])
 
 
 @register("w05_salary_at_least", with_jobs(
     f"SELECT {_ALL} FROM jobs WHERE coalesce(salary_min >= 10000000, false) OR coalesce(salary_max >= 10000000, false)"))
 def w05_salary_at_least(spark, sf_dir):
-    return W.salary_at_least(_jobs(spark, sf_dir), 10_000_000)
+    return W.salary_at_least(_table(spark, sf_dir), 10_000_000)
 
 
 @register("w06_contains_ci", with_jobs(
     f"SELECT {_ALL} FROM jobs WHERE coalesce(regexp_matches(job_title, 'DATA|qa', 'i'), false) "
     f"OR coalesce(regexp_matches(company_name, 'DATA|qa', 'i'), false)"))
 def w06_contains_ci(spark, sf_dir):
-    return W.contains_ci(_jobs(spark, sf_dir), "DATA|qa")
+    return W.contains_ci(_table(spark, sf_dir), "DATA|qa")
 
 
 # The oracle folds by stripping accents of decomposed letters and lists, for each
@@ -299,7 +303,7 @@ _SEARCH = 'Engineers analysts web-developers "data" -qa'
     f"SELECT {_ALL} FROM jobs WHERE {_has(_TF, 'engineers?', 'analysts?', 'web', 'developers?')} "
     f"AND {_phrase(_TF, 'data')} AND NOT {_has(_TF, 'qa')}"))
 def w07_text_search(spark, sf_dir):
-    return W.text_search(_jobs(spark, sf_dir), _SEARCH)
+    return W.text_search(_table(spark, sf_dir), _SEARCH)
 
 
 # accented titles, and a phrase that only the seam of two fields would hold
@@ -312,7 +316,7 @@ _RESUME = ("SELECT job_id, CASE mod(job_id, 3) WHEN 0 THEN 'Résumé Writers' WH
     f"{_phrase(_TF, 'resume writer')} OR {_phrase(_TF, 'data engineer')}"))
 def w07_text_search_phrases(spark, sf_dir):
     k = F.col("job_id")
-    r = cached_raw_jobs(spark, sf_dir).select(
+    r = cached_raw_table(spark, sf_dir).select(
         "job_id", F.when(k % 3 == 0, "Résumé Writers").when(k % 3 == 1, "Senior Data").otherwise("Full stack dev").alias("job_title"),
         F.when(k % 2 == 0, "Engineer Works").alias("company_name"), F.lit(None).cast("string").alias("skills"))
     found = [W.text_search(r, query) for query in ("full-stacks", '"résumé writer"', '"data engineer"')]
@@ -346,7 +350,7 @@ def w08_search_jobs_documents(spark, sf_dir):
     f"OR coalesce(regexp_matches(company_name, 'engineer', 'i'), false)) "
     f"AND (coalesce(salary_min >= 1000000, false) OR coalesce(salary_max >= 1000000, false))"))
 def w08_search_jobs_table(spark, sf_dir):
-    return W.search_jobs(_jobs(spark, sf_dir), query="engineer",
+    return W.search_jobs(_table(spark, sf_dir), query="engineer",
                          platforms=["Karir.com", "Glints", "Indeed"],
                          countries=["Indonesia", "Japan", "Singapore"], min_salary=1_000_000,
                          mode="table")
@@ -355,7 +359,7 @@ def w08_search_jobs_table(spark, sf_dir):
 @register("w09_having_count", with_jobs(
     "SELECT company_name, count(*) AS count FROM jobs GROUP BY company_name HAVING count(*) >= 15"))
 def w09_having_count(spark, sf_dir):
-    return W.having_count(A.count_by(_jobs(spark, sf_dir), "company_name", "count"), 15)
+    return W.having_count(A.count_by(_table(spark, sf_dir), "company_name", "count"), 15)
 
 
 # every third title is white space of another kind: newline, tab, no-break space
@@ -366,7 +370,7 @@ def w09_having_count(spark, sf_dir):
 def w10_title_required(spark, sf_dir):
     k = F.pmod(F.col("job_id"), F.lit(9))
     title = F.when(k == 0, "\n\t").when(k == 3, "\u00a0").when(k == 6, "").otherwise(F.col("job_title"))
-    return W.title_required(_jobs(spark, sf_dir).withColumn("job_title", title), also=("company_name",))
+    return W.title_required(_table(spark, sf_dir).withColumn("job_title", title), also=("company_name",))
 
 
 # --- N2-N5 ----------------------------------------------------------------------------
@@ -409,28 +413,28 @@ def n04_dedup_normalized(spark, sf_dir):
     "least((least(3, greatest(1, CAST(ceil(total_rows / 500) AS BIGINT))) - 1) * 500 + 500, total_rows) AS end_idx "
     "FROM (SELECT count(*) AS total_rows FROM jobs WHERE platform IN ('Glints', 'Karir.com')) c"))
 def n05_page_info(spark, sf_dir):
-    return T.page_info(W.value_in(_jobs(spark, sf_dir), "platform", ["Glints", "Karir.com"]), 3, 500)
+    return T.page_info(W.value_in(_table(spark, sf_dir), "platform", ["Glints", "Karir.com"]), 3, 500)
 
 
 # --- T3, T4 ---------------------------------------------------------------------------
 
 @register("t03_paginate", with_jobs(f"SELECT {_ALL} FROM jobs ORDER BY job_id LIMIT 500 OFFSET 1000"))
 def t03_paginate(spark, sf_dir):
-    return T.paginate(_jobs(spark, sf_dir), "job_id", page=3, page_size=500)
+    return T.paginate(_table(spark, sf_dir), "job_id", page=3, page_size=500)
 
 
 @register("t03_paginate_deep", with_jobs(
     "SELECT job_id, salary_min FROM jobs ORDER BY salary_min NULLS FIRST, job_id LIMIT 500 OFFSET 9500"))
 def t03_paginate_deep(spark, sf_dir):
     """A page deep in an order with null and repeated keys."""
-    return T.paginate(_jobs(spark, sf_dir).select("job_id", "salary_min"), "salary_min", page=20, page_size=500)
+    return T.paginate(_table(spark, sf_dir).select("job_id", "salary_min"), "salary_min", page=20, page_size=500)
 
 
 @register("t03_next_page", with_jobs(
     "SELECT job_id, salary_min FROM jobs ORDER BY salary_min NULLS FIRST, job_id LIMIT 500 OFFSET 500"))
 def t03_next_page(spark, sf_dir):
     """The page that follows the first one, by position."""
-    j = _jobs(spark, sf_dir).select("job_id", "salary_min")
+    j = _table(spark, sf_dir).select("job_id", "salary_min")
     last = T.next_page(j, "salary_min").collect()[-1]
     return T.next_page(j, "salary_min", after=last)
 
@@ -468,4 +472,4 @@ def u02_merge_master(spark, sf_dir):
 @register("u03_facet_values", with_jobs(
     "SELECT DISTINCT country FROM jobs WHERE country IS NOT NULL"))
 def u03_facet_values(spark, sf_dir):
-    return T.facet_values(_jobs(spark, sf_dir), "country")
+    return T.facet_values(_table(spark, sf_dir), "country")
