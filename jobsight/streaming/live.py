@@ -111,21 +111,21 @@ def _write_summary(paths: LivePaths, batch_id: int, outputs: dict) -> None:
 
 def merge_windows(batch: DataFrame, path: str) -> None:
     """The batch's windows replace their older counts in the history, which is
-    partitioned by hour: only the hours that a batch touches are rewritten, so
-    the folders follow the hours of the stream, not the number of batches. An
+    partitioned by day: only the days that a batch touches are rewritten, so
+    the folders follow the days of the stream, not the number of batches. An
     updated window carries its full count, so a replayed batch changes nothing."""
     spark = batch.sparkSession
-    new = batch.withColumn("hour", F.date_format("window_start", "yyyy-MM-dd-HH"))
+    new = batch.withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
     try:
         old = spark.read.schema(new.schema).parquet(path)
     except AnalysisException:                # the first batch
         merged = new
     else:
-        hours = new.select("hour").distinct()
-        kept = old.join(hours, "hour", "left_semi").join(new.select("window_start", "platform"), ["window_start", "platform"], "left_anti")
+        days = new.select("day").distinct()
+        kept = old.join(days, "day", "left_semi").join(new.select("window_start", "platform"), ["window_start", "platform"], "left_anti")
         merged = new.unionByName(kept)
-    (merged.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("hour").parquet(path))
+    (merged.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(path))
 
 
 def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50):
@@ -233,7 +233,7 @@ def read_summary(spark: SparkSession, paths: LivePaths) -> DataFrame:
 
 def read_windowed_final(spark: SparkSession, paths: LivePaths) -> DataFrame:
     """Final count per (window, platform)."""
-    return spark.read.parquet(paths.window_history).drop("hour")
+    return spark.read.parquet(paths.window_history).drop("day")
 
 
 def read_windowed_latest(spark: SparkSession, paths: LivePaths) -> DataFrame:
