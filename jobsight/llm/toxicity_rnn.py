@@ -35,6 +35,8 @@ PER_CLASS, TRAIN_CHARS = 3000, 20_000
 #: Windows a step, and least number of steps (small samples are gone through more often).
 BATCH, STEPS = 128, 400
 THRESHOLD = 0.3
+#: Bytes of words whose n-grams are embedded at once.
+CHUNK_BYTES = 1 << 16
 #: Words whose inputs a task remembers.
 MEMO_LIMIT = 150_000
 _NOT_WORD = bytes(32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -57,13 +59,25 @@ def char_ngrams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code = (code[:-1] << np.uint64(8)) | framed[n - 1:]
         if n in GRAMS:
             ok = left[:len(code)] >= n
-            slot.append((mix(code[ok] + np.uint64(n)) >> np.uint64(64 - NGRAM_BITS)).astype(np.int64))
-            who.append(owner[:len(code)][ok])
+            slot.append((mix(code[ok] + np.uint64(n)) >> np.uint64(64 - NGRAM_BITS)).astype(np.int32))
+            who.append(owner[:len(code)][ok].astype(np.int32))
     slot, who = np.concatenate(slot), np.concatenate(who)
     order = np.argsort(who, kind="stable")
     return slot[order], np.bincount(who, minlength=len(ws))
 
 
+def in_chunks(ws: list[bytes]) -> Iterator[list[bytes]]:
+    """Words in runs whose n-grams fit small arrays (very long words alone)."""
+    start = size = 0
+    for i, w in enumerate(ws):
+        if i > start and size + len(w) > CHUNK_BYTES:
+            yield ws[start:i]
+            start, size = i, 0
+        size += len(w) + 2
+    if start < len(ws):
+        yield ws[start:]
+
+
 def window_starts(n: int) -> np.ndarray:
     """Starts of the windows over ``n`` words; the last one ends with the text."""
     if n <= SPAN:
@@ -78,6 +92,11 @@ def window_matrix(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return rows[starts[:, None] + np.arange(SPAN)]
 
 
+def scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values`` rows by their place."""
+    return np.stack([np.bincount(at, weights=values[:, d], minlength=rows) for d in range(values.shape[1])], axis=1).astype(values.dtype)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -102,7 +121,7 @@ class Network:
         seen = self.known[slot]
         ends = np.cumsum(count)
         n = np.add.reduceat(seen, ends - count)
-        return np.array([self.vocab.get(w, 0) for w in ws]), slot, count, seen / np.repeat(np.maximum(n, 1), count)
+        return np.array([self.vocab.get(w, 0) for w in ws]), slot, count, seen / np.repeat(np.maximum(n, 1), count).astype(seen.dtype)
 
     def embed(self, f: tuple) -> np.ndarray:
         row, slot, count, weight = f
@@ -112,6 +131,12 @@ class Network:
     def inputs(self, e: np.ndarray) -> list[np.ndarray]:
         return [e @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"]
 
+    def word_inputs(self, ws: list[bytes]) -> list[np.ndarray]:
+        """Inputs of both directions for any number of words, in bounded memory; row 0 is padding."""
+        parts = [self.inputs(np.zeros((1, EMBED), np.float32))]
+        parts += [self.inputs(self.embed(self.features(c))) for c in in_chunks(ws)]
+        return [np.concatenate(x) for x in zip(*parts)]
+
     def steps(self, d: str, x: np.ndarray, at: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Attention logits and output terms [windows, SPAN] of one direction; ``x`` are
         the inputs of the words, ``at`` the windows' word rows."""
@@ -160,7 +185,7 @@ class Network:
         de = np.zeros_like(e)
         for k, d in enumerate("fb"):
             half = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
-            u, dx = self.p["u" + d], np.zeros_like(x[k])
+            u, flows = self.p["u" + d], []
             g["u" + d] = np.zeros_like(u)
             dh = np.zeros((len(at), HIDDEN), np.float32)
             for t, h, z, r, n, hn in reversed(kept[d]):
@@ -173,17 +198,16 @@ class Network:
                 dr = dn * hn * r * (1 - r)
                 flow = np.concatenate([dz, dr, dn * r], axis=1)
                 g["u" + d] += h.T @ flow
-                np.add.at(dx, at[:, t], np.concatenate([dz, dr, dn], axis=1))
+                flows.append((at[:, t], np.concatenate([dz, dr, dn], axis=1)))
                 dh = z * dh + flow @ u.T
+            dx = scatter(*map(np.concatenate, zip(*flows)), len(e))
             g["x" + d], g["c" + d] = e.T @ dx, dx.sum(axis=0)
             de += dx @ self.p["x" + d].T
         row, slot, count, share = f
         de = de[1:]
-        g["word"] = np.zeros_like(self.p["word"])
-        np.add.at(g["word"], row, de)
+        g["word"] = scatter(row, de, len(self.p["word"]))
         g["word"][0] = 0
-        g["gram"] = np.zeros_like(self.p["gram"])
-        np.add.at(g["gram"], slot, np.repeat(de, count, axis=0) * share[:, None].astype(np.float32))
+        g["gram"] = scatter(slot, np.repeat(de, count, axis=0) * share[:, None], 1 << NGRAM_BITS)
         return g
 
 
@@ -195,10 +219,11 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7)
         return None
     words = sorted(set().union(*docs))
     number = {w: i for i, w in enumerate(words)}
-    rows = [np.array([number[w] for w in d]) for d in docs]
+    rows = [np.array([number[w] for w in d], dtype=np.int32) for d in docs]
+    del docs, number
     # words and n-grams of at least three texts have a parameter of their own
     seen = np.zeros((2, len(words)))
-    slot, count = char_ngrams(words)
+    slot, count = (np.concatenate(x) for x in zip(*map(char_ngrams, in_chunks(words))))
     ends = np.cumsum(count)
     grams_seen = np.zeros((2, 1 << NGRAM_BITS))
     for r, label in zip(rows, y.astype(int)):
@@ -209,8 +234,9 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7)
     vocab = {w: i + 1 for i, w in enumerate(w for k, w in enumerate(words) if seen[:, k].sum() >= 3)}
     net = Network(vocab, (grams_seen.sum(axis=0) >= 3).astype(np.float32), seed)
     rate = np.array([(y == 0).sum(), (y == 1).sum()])[:, None]
-    odds = (lambda s: np.log((s[1] + .2) / (rate[1] + .4)) - np.log((s[0] + .2) / (rate[0] + .4)))
+    odds = (lambda s: (np.log((s[1] + .2) / (rate[1] + .4)) - np.log((s[0] + .2) / (rate[0] + .4))).astype(np.float32))
     suspect = np.maximum(odds(seen), np.maximum.reduceat(odds(grams_seen)[slot], ends - count)) * (seen.sum(axis=0) >= 2)
+    del slot, count, ends, grams_seen
     wins = [window_matrix(r + 1, window_starts(len(r))) for r in rows]
     best = [int(np.argmax(np.append(0, suspect)[w].max(axis=1))) for w in wins]
     rng = np.random.default_rng(seed)
@@ -220,10 +246,12 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7)
     while step < steps:
         epoch += 1
         if epoch > 2:                                     # windows as the network sees them now
-            x = net.inputs(np.concatenate([np.zeros((1, EMBED), np.float32), net.embed(net.features(words))]))
-            flat = net.logits(x, np.concatenate(wins))
-            edge = np.cumsum([0] + [len(w) for w in wins])
-            best = [int(flat[a:b].argmax()) for a, b in zip(edge, edge[1:])]
+            x = net.word_inputs(words)
+            best = []
+            for i in range(0, len(wins), 64):
+                part = wins[i:i + 64]
+                flat = net.logits(x, np.concatenate(part))
+                best += [int(f.argmax()) for f in np.split(flat, np.cumsum([len(w) for w in part])[:-1])]
         at, target = [], []
         for w, b, label in zip(wins, best, y):
             take = [b] if label else {b, *rng.integers(0, len(w), 2).tolist()}
@@ -265,7 +293,7 @@ class Scorer:
         if new:
             base = len(self.rows) + 1
             self.rows.update(zip(new, range(base, base + len(new))))
-            for k, x in enumerate(self.net.inputs(self.net.embed(self.net.features(new)))):
+            for k, x in enumerate(x[1:] for x in self.net.word_inputs(new)):
                 if base + len(new) > len(self.x[k]):
                     self.x[k] = np.concatenate([self.x[k], np.empty((base + len(new), x.shape[1]), np.float32)])
                 self.x[k][base:base + len(new)] = x
