@@ -13,12 +13,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, comp) of all nodes of ``edges`` (a, b: long, a <> b) that are not the
     smallest of their component; ``comp`` is the smallest node of the component."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     while True:
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if before == now:
+        # done when all nodes hang on a root by one edge
+        twice = e.groupBy("u").count().where("count > 1")
+        inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u", "left_semi")
+        if twice.select("u").unionByName(inner).isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -6,18 +6,20 @@ prefix kept, long enough that two sets of the wanted similarity share a prefix
 shingle. The order is by the count of a shingle's least frequent word, an upper
 bound of the shingle's own frequency, taken from a table of fixed size over all
 words of all documents. Nodes of equal prefix and size form one group; an
-inverted index over groups gives group pairs, filtered by size and position,
-then expanded to members. Members are compared by parity bitmaps (their Hamming
-distance never exceeds the sets' difference, so no link is lost), and what
-passes is verified exactly on the sets.
-
-Components do not need all pairs of a large class of near copies. Each round
-takes, per member and posting list, the first partners of *another* component
-that pass the bitmaps, verifies them and merges components; posting lists
-inside one component need no further pair. Rounds go on, with more partners a
-member, until no pair between different components is left unverified, so the
-components are those of all links. Posting lists longer than ``BLOCK`` are
-dealt to pairs of blocks, so no task holds a whole hot list.
+inverted index over groups, kept apart by size bands (sets of the wanted
+similarity lie in the same or in neighbouring bands), gives group pairs,
+filtered by size and position, then expanded to members. Members are compared
+by parity bitmaps (their Hamming distance never exceeds the sets' difference,
+so no link is lost), and what passes is verified exactly on the sets.
+
+Components do not need all pairs of a large class of near copies. In the first
+round a posting list gives a spanning forest of the pairs that pass the
+bitmaps. Where all its pairs prove to be links, the list is done: whatever else
+passes lies inside one component. Lists with a refuted pair come again: per
+member the first partners of another component that are not yet refuted, more
+of them in every round, until each such pair between different components has
+been verified. So the components are those of all links. Posting lists longer
+than ``BLOCK`` are dealt to pairs of blocks, so no task holds a whole hot list.
 
 Edge cases: a text of fewer than three words is one shingle, its whole
 sequence; null and empty texts have no shingles and link with nothing; repeated
@@ -28,6 +30,7 @@ Hashes of 64 bits stand for shingles: the odds of a wrong comparison are about
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -46,8 +49,10 @@ SHINGLE = 3
 COUNT_BITS = 20
 _BLOCKS = 16                       # rows in which a partition hands over its table
 _FAN_IN = 64
+#: Bits of the smallest bitmap.
+MIN_BITS = 512
 #: Members of a posting list that are compared in one task's block.
-BLOCK = 2000
+BLOCK = 1000
 
 
 # ------------------------------------------------------------ word count table
@@ -108,8 +113,10 @@ def overlap_needed(na: int, nb: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap of a set: at least two bits a shingle, a power of two."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Parity bitmap of a set: a power of two of bits, at least one a shingle (a set
+    travels with each of its prefix shingles) and MIN_BITS, so that small sets,
+    where few shingles decide, are told apart well."""
+    bits = max(MIN_BITS, 1 << (len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1,
                        bitorder="little").tobytes()
 
@@ -156,89 +163,129 @@ def _describe(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 # ------------------------------------------------------------- candidate pairs
 
-def candidates_of(groups: list[tuple], percent: int, most: int, two_sides: bool) -> Iterator[tuple]:
-    """Pairs of one posting list (or pair of its blocks). ``groups``: (n, pos, members),
-    a member being (nid, comp, bits, bitmap, side). Yields (a, b, cut): cut where a
-    member stopped after ``most`` partners with others left to look at."""
-    for j, (nj, pj, mj) in enumerate(groups):
-        near = []
-        for i in range(j + 1):
-            ni, pi, mi = groups[i]
-            if 100 * min(ni, nj) < percent * max(ni, nj):
-                continue
-            if min(pi, pj) + 1 + min(ni - pi - 1, nj - pj - 1) >= (need := overlap_needed(ni, nj, percent)):
-                near.append((mi, ni + nj - 2 * need, i == j))
-        for at, (b, cb, wb, xb, sb) in enumerate(mj):
-            found = 0
-            for mi, limit, own in near:
-                for a, ca, wa, xa, sa in (mi[:at] if own else mi):
-                    if ca == cb or two_sides and sa == sb:
-                        continue
-                    if found == most:
-                        found += 1
-                        break
-                    if not far_apart(xa, xb, wa, wb, limit):
-                        found += 1
-                        yield a, b, False
+class Member:
+    __slots__ = ("n", "pos", "nid", "comp", "width", "bits", "old", "refuted")
+
+    def __init__(self, n, pos, nid, comp, bits, old, refuted):
+        self.n, self.pos, self.nid, self.comp, self.old = n, pos, nid, comp, old
+        self.width, self.bits, self.refuted = len(bits) * 8, int.from_bytes(bits, "little"), frozenset(refuted or ())
+
+
+def may_link(a: Member, b: Member, percent: int) -> bool:
+    """Size, position and bitmap filters of a pair of one posting list; pairs of the
+    older band meet in that band's own list."""
+    if a.old and b.old or 100 * min(a.n, b.n) < percent * max(a.n, b.n):
+        return False
+    need = overlap_needed(a.n, b.n, percent)
+    if min(a.pos, b.pos) + 1 + min(a.n - a.pos - 1, b.n - b.pos - 1) < need:
+        return False
+    return not far_apart(a.bits, b.bits, a.width, b.width, a.n + b.n - 2 * need)
+
+
+def forest(members: list[Member], percent: int) -> Iterator[tuple]:
+    """(a, b, False): pairs that pass the filters and connect all that any passing pair connects."""
+    comps: list[list[Member]] = []
+    for m in members:
+        mine, rest = [m], []
+        for c in comps:
+            hit = next((x for x in c if may_link(x, m, percent)), None)
+            if hit is None:
+                rest.append(c)
+            else:
+                yield hit.nid, m.nid, False
+                mine = c + mine
+        comps = rest + [mine]
+
+
+def partners(members: list[Member], percent: int, most: int) -> Iterator[tuple]:
+    """(a, b, cut): for every member its first ``most`` passing, unrefuted partners of other
+    components; cut where there are more."""
+    for j, m in enumerate(members):
+        found = 0
+        for x in members[:j]:
+            if x.comp != m.comp and x.nid not in m.refuted and may_link(x, m, percent):
+                found += 1
                 if found > most:
-                    yield b, b, True
+                    yield m.nid, m.nid, True
                     break
+                yield x.nid, m.nid, False
 
 
 def _candidates(entries: DataFrame, percent: int, most: int) -> DataFrame:
-    """Distinct (a, b, cut) of all posting lists. ``entries``: token, x, y (block pair),
-    side, pos, grp, n, nid, comp, bits; sorted by list within its partition."""
+    """(token, band, a, b, cut) of all posting lists. ``entries``: token, band, x, y (block
+    pair), grp, n, pos, nid, comp, old, bits, refuted. ``most`` 0: a spanning forest."""
+    names = ["token", "band", "x", "y", "n", "pos", "nid", "comp", "old", "bits", "refuted"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(rows: list[tuple]) -> Iterator[tuple]:
-            groups, last = [], None
-            for _, x, y, grp, n, pos, nid, comp, bits, side in rows:
-                if (grp, n) != last:
-                    groups.append((n, pos, []))
-                    last = (grp, n)
-                groups[-1][2].append((nid, comp, len(bits) * 8, int.from_bytes(bits, "little"), side))
-            return candidates_of(groups, percent, most, rows[0][1] != rows[0][2])
-
-        def batch_of(out: set) -> pa.RecordBatch:
-            cols = list(zip(*out)) if out else [[], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], ["a", "b", "cut"])
-
-        held, out = [], set()
-        for batch in slices(batches, 4096):
+        def pairs_of(rows: list[tuple]) -> list[tuple]:
+            members = [Member(n, pos, nid, comp, bits, old, refuted) for _, _, _, _, n, pos, nid, comp, old, bits, refuted in rows]
+            found = partners(members, percent, most) if most else forest(members, percent)
+            return [(rows[0][0], rows[0][1], a, b, cut) for a, b, cut in found]
+
+        def batch_of(out: list) -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["token", "band", "a", "b", "cut"])
+
+        held, out = [], []
+        for batch in slices(batches, 1024):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    if len(held) > 1:
-                        out.update(pairs_of(held))
+                if held and held[0][:4] != row[:4]:
+                    out += pairs_of(held)
                     held = []
                 held.append(row)
             if len(out) > 50_000:
                 yield batch_of(out)
-                out = set()
-        if len(held) > 1:
-            out.update(pairs_of(held))
+                out = []
+        if held:
+            out += pairs_of(held)
         yield batch_of(out)
 
-    cols = ["token", "x", "y", "grp", "n", "pos", "nid", "comp", "bits", "side"]
-    dealt = (entries.select(*cols).repartition("token", "x", "y")
-             .sortWithinPartitions("token", "x", "y", "grp", "n", "nid"))
-    return dealt.mapInArrow(run, "a bigint, b bigint, cut boolean").distinct()
+    dealt = (entries.select(*names).repartition("token", "band", "x", "y")
+             .sortWithinPartitions("token", "band", "x", "y", "n", "nid"))
+    return dealt.mapInArrow(run, "token bigint, band int, a bigint, b bigint, cut boolean")
 
 
-def _entries(lists: DataFrame, nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of posting lists that span more than one component, long lists dealt to pairs of blocks."""
-    members = lists.join(nodes.select("grp", "n", "nid"), ["grp", "n"])
+def posting_lists(nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, band, old, grp, n, pos, m): inverted index over groups, of the lists that hold
+    two members of fitting sizes; ``m`` members in all. ``old``: the group's own band is
+    the one below."""
+    groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
+    # one narrow row a posting: token, group, size and position packed, members
+    postings = (groups.select("grp", "n", "members", F.posexplode("prefix").alias("pos", "token"))
+                .select("token", "grp", F.expr("n * 4294967296 + pos").alias("at"), F.col("members").cast("int").alias("members"))
+                .repartition("token"))                    # serves the counts and the join
+    shared = postings.groupBy("token").agg(F.sum("members").alias("m")).where("m > 1").select("token")
+    width = math.log(100 / percent) * 1.001               # sizes of a link differ by less than one band
+    own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+    lists = (postings.join(shared, "token")
+             .select("token", "grp", F.expr("at DIV 4294967296").alias("n"), F.expr("cast(at % 4294967296 AS INT)").alias("pos"), "members")
+             .withColumn("old", F.explode(F.array(F.lit(False), F.lit(True))))
+             .withColumn("band", own_band + F.col("old").cast("int")))
+    lists = lists.repartition("token", "band")
+    open_lists = (lists.groupBy("token", "band").agg(F.sum("members").alias("m"), F.min("old").alias("only_old"))
+                  .where("m > 1 AND NOT only_old").drop("only_old"))
+    return lists.drop("members").join(open_lists, ["token", "band"])
+
+
+def _entries(lists: DataFrame, nodes: DataFrame, comps: DataFrame | None, refuted: DataFrame | None) -> DataFrame:
+    """Members of posting lists, long lists dealt to pairs of blocks; in later rounds only of
+    lists that still span several components."""
+    members = lists.join(nodes.select("grp", "n", "nid", "bits"), ["grp", "n"])
     if comps is None:
-        members = members.withColumn("comp", F.col("nid"))
+        members = members.withColumn("comp", F.col("nid")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
     else:
         members = members.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    open_lists = (members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-                  .where("lo < hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(open_lists, "token").withColumn("side", F.expr("cast(pmod(xxhash64(nid), blocks) AS INT)"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
-        "token", "pos", "grp", "n", "nid", "comp", "side",
-        F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    return dealt.join(nodes.select("nid", "bits"), "nid")
+        spans = (members.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("lo < hi").select("token", "band"))
+        members = members.join(spans, ["token", "band"])
+        both = refuted.select(F.col("a").alias("nid"), F.col("b").alias("other")).unionByName(
+            refuted.select(F.col("b").alias("nid"), F.col("a").alias("other")))
+        members = members.join(both.groupBy("nid").agg(F.collect_set("other").alias("refuted")), "nid", "left")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    side = F.expr(f"cast(pmod(xxhash64(nid), cast(ceil(m / {BLOCK}) AS INT)) AS INT)")
+    return (members.withColumn("side", side).withColumn("other_side", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("x", F.least("side", "other_side")).withColumn("y", F.greatest("side", "other_side")))
 
 
 # ------------------------------------------------------------------- verifying
@@ -293,30 +340,32 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
                   F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
              .withColumn("nid", F.monotonically_increasing_id()))
     nodes = materialise(nodes, "nodes")
-
-    groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    postings = groups.select("grp", "n", "members", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.sum("members").alias("m")).where("m > 1").select("token")
-    lists = materialise(postings.drop("members").join(shared, "token"), "posting-lists")
-
-    comps, links, tested, most = None, None, None, 1
+    lists = materialise(posting_lists(nodes, percent), "lists")
+    comps, tested, refuted, most = None, None, None, 0
     while True:
-        found = materialise(_candidates(_entries(lists, nodes, comps), percent, most), "candidates")
+        found = materialise(_candidates(_entries(lists, nodes, comps, refuted), percent, most), "candidates")
         pairs = found.where("NOT cut").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        nothing = pairs.isEmpty()
-        if nothing and found.where("cut").isEmpty():
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "label", "node"), "nid")
+            checked = materialise(_verify(pairs, materialise(_sets(docs, wanted), "sets"), percent), "checked")
+            tested = checked if tested is None else tested.unionByName(checked)
+            refuted = tested.where("NOT link").select("a", "b")
+            comps = connected_components(tested.where("link").select("a", "b"))
+        if tested is None:
+            break
+        # lists come again that stopped early, or (after the forest) that held a refuted pair
+        again = found.where("cut").select("token", "band")
+        if most == 0:
+            ends = found.where("NOT cut").select("token", "band", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            again = ends.join(refuted, ["a", "b"]).select("token", "band")
+        again = materialise(again.distinct(), "again")
+        if again.isEmpty():
             break
-        most *= 8
-        if nothing:
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "label", "node"), "nid")
-        checked = materialise(_verify(pairs, materialise(_sets(docs, wanted), "sets"), percent), "checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = tested.where("link").select("a", "b")
-        comps = connected_components(links)
+        lists = materialise(lists.join(again, ["token", "band"]), "lists")
+        most = 8 * most or 4
 
     classes = nodes.select("node", "nid", "label")
     if comps is not None:
