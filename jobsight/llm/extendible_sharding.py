@@ -10,11 +10,12 @@ their shard up by joins with the pages, so the directory is never held whole
 by the driver or a task. DataFrame functions only.
 
 Edge cases: a null key hashes as a value of its own; a null text has 0 bytes;
-rows of one key cannot be told apart by hash bits, so a bucket that is too
-large at the last bit holds rows of one key (or one huge row) and is cut into
-numbered parts by a second hash over the whole row (``part`` > 0); identical
-copies of a row beyond that are the only rows that may share an oversized
-shard, which ``shard_bytes`` shows. An empty table has no shards.
+rows of one key cannot be told apart by its hash bits, so a bucket that is too
+large at the last bit is a directory of its own, whose pages go over the bits of
+a hash of the whole row and its number, so that identical rows part too. Its
+shards have ``part`` = 1 followed by the bits used; which of its rows meet
+depends on the numbers, so on how the input was read. A shard above the limit
+holds a single row. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -36,50 +37,64 @@ def hash_bits(key) -> "F.Column":
 
 
 def _page(rows: DataFrame, low: int, limit: int) -> DataFrame:
-    """Leaves of one page of the directory: rows (bits, n_bytes), all of which sit in
-    prefixes of ``low`` bits that are too large (or low = 0)."""
+    """Leaves of one page of each directory: rows (root, bits, n_bytes), all of which sit
+    in prefixes of ``low`` bits that are too large (or low = 0)."""
     high = min(low + PAGE_BITS, MAX_BITS)
-    sums = (rows.groupBy(F.shiftright("bits", MAX_BITS - high).alias("prefix"))
+    sums = (rows.groupBy("root", F.shiftright("bits", MAX_BITS - high).alias("prefix"))
             .agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_rows")))
     # every entry of the page counts towards its ancestors: depth low .. high
-    up = (sums.select("prefix", "n_bytes", "n_rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-          .withColumn("bucket", F.expr(f"shiftright(prefix, {high} - depth)"))
-          .groupBy("depth", "bucket").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows")))
-    fits = up.where((F.col("shard_bytes") <= limit) | (F.col("depth") == MAX_BITS))
-    tried = sums.select("prefix", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn(
+    tried = sums.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn(
         "bucket", F.expr(f"shiftright(prefix, {high} - depth)"))
+    up = (tried.groupBy("root", "depth", "bucket")
+          .agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows")))
+    fits = up.where((F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.col("depth") == MAX_BITS))
     # the pointer of an entry goes to its shallowest bucket that fits
-    return (tried.join(fits, ["depth", "bucket"])
-            .groupBy("prefix").agg(F.min(F.struct("depth", "bucket", "shard_bytes", "shard_rows")).alias("leaf"))
-            .select(F.lit(high).alias("bits_used"), "prefix", "leaf.*"))
+    return (tried.select("root", "prefix", "depth", "bucket").join(fits, ["root", "depth", "bucket"])
+            .groupBy("root", "prefix").agg(F.min(F.struct("depth", "bucket", "shard_bytes", "shard_rows")).alias("leaf"))
+            .select("root", "prefix", "leaf.*"))
 
 
-def _placed(docs: DataFrame, row: "F.Column", limit_bytes: int, key_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(
-        row.alias("row"), hash_bits(F.col(key_col)).alias("bits"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        F.xxhash64(text_col).alias("text_hash"))
-    rows = materialise(rows, "shard-rows")
+def _leaves(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """(rows with depth, bucket, shard_bytes, shard_rows of their leaf in the directory
+    ``root``, whether any was followed to its last bit)."""
     left, found, low = rows, None, 0
     while True:
-        page = materialise(_page(left.select("bits", "n_bytes"), low, limit_bytes), "shard-page")
+        page = materialise(_page(left.select("root", "bits", "n_bytes"), low, limit), "shard-page")
         high = min(low + PAGE_BITS, MAX_BITS)
         hit = left.withColumn("prefix", F.shiftright("bits", MAX_BITS - high)).join(
-            page.drop("bits_used"), "prefix", "left").drop("prefix")
+            page, ["root", "prefix"], "left").drop("prefix")
         done = hit.where("depth IS NOT NULL")
         found = done if found is None else found.unionByName(done)
         if high == MAX_BITS:
-            break
+            return found, True
         rest = hit.where("depth IS NULL").select(left.columns)
         if rest.isEmpty():
-            break
+            return found, False
         left, low = materialise(rest, "shard-rest"), high
-    over = (F.col("depth") == MAX_BITS) & (F.col("shard_bytes") > limit_bytes) & (F.col("shard_rows") > 1)
-    parts = F.when(over, F.ceil(2 * F.col("shard_bytes") / limit_bytes)).otherwise(1).cast("long")
-    out = found.withColumn("part", F.pmod(F.col("text_hash"), parts))
-    if high == MAX_BITS:                                  # cut buckets get their own sums
-        sums = out.groupBy("depth", "bucket", "part").agg(F.sum("n_bytes").alias("part_bytes"))
-        out = out.join(sums, ["depth", "bucket", "part"]).withColumn("shard_bytes", F.col("part_bytes"))
+
+
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
+
+
+def _placed(docs: DataFrame, row: "F.Column", limit_bytes: int, key_col: str, text_col: str) -> DataFrame:
+    whole = [F.col(f"`{c}`") for c, kind in docs.dtypes if _hashable(kind)]
+    rows = materialise(docs.select(
+        row.alias("row"), F.lit(0).cast("long").alias("root"), hash_bits(F.col(key_col)).alias("bits"),
+        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
+        F.xxhash64(*whole).alias("row_hash"), F.monotonically_increasing_id().alias("row_no")), "shard-rows")
+    found, last = _leaves(rows, limit_bytes)
+    out = found.withColumn("part", F.lit(0).cast("long"))
+    if last:
+        over = (F.col("depth") == MAX_BITS) & (F.col("shard_bytes") > limit_bytes) & (F.col("shard_rows") > 1)
+        cut = materialise(found.where(over).select(
+            "row", F.col("bits").alias("root"), hash_bits(F.concat_ws(":", "row_hash", "row_no")).alias("bits"), "n_bytes"),
+            "shard-cut")
+        if not cut.isEmpty():
+            parts = _leaves(cut, limit_bytes)[0].select(
+                "row", "n_bytes", F.lit(MAX_BITS).alias("depth"), F.col("root").alias("bucket"), "shard_bytes",
+                F.expr("shiftleft(1L, depth) | bucket").alias("part"))
+            out = out.where(~over).select(parts.columns).unionByName(parts)
     return out.withColumn("shard_id", F.concat_ws("-", "depth", "bucket", "part"))
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -215,6 +216,27 @@ def test_shards_of_one_hot_key_and_awkward_rows(spark, tmp_path):
     assert back.count() == 12 and set(back.columns) == set(docs.columns) | {"shard_id"}
 
 
+def test_shards_of_one_key_with_skewed_and_identical_rows(spark, tmp_path):
+    sizes = [6000] * 30 + [40] * 900 + [20_000]            # one row alone is above the limit
+    rows = [(7, f"{i:06d}" + "x" * (n - 6)) for i, n in enumerate(sizes)]
+    rows += [(8, "same " * 20)] * 4000 + [(None, "no id, same text")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = E.shard(docs, 8000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((k, len(t)) for k, t in rows)
+    held = {}
+    for r in got:
+        held.setdefault(r["shard_id"], []).append(r)
+    for rs in held.values():
+        assert {r["shard_bytes"] for r in rs} == {sum(r["n_bytes"] for r in rs)}
+        assert rs[0]["shard_bytes"] <= 8000 or len(rs) == 1
+    assert len({r["shard_id"] for r in got if r["doc_id"] == 8}) >= 50
+    E.write_shards(docs, str(tmp_path / "out"), 8000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(rows)
+    worst = back.groupBy("shard_id").agg(E.F.sum(E.F.octet_length("text")).alias("b"), E.F.count("*").alias("n"))
+    assert worst.where("b > 8000 AND n > 1").isEmpty()
+
+
 # ----------------------------------------------------------------- neighbours
 
 def brute_neighbours(rows, k=10):
