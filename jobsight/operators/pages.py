@@ -167,7 +167,8 @@ def card_blocks(pages: DataFrame, families: Sequence, html: str = "html", keep:
     for family in reversed(list(families)):
         rx = selector_regex(family)
         parts = F.slice(F.split(h, f"(?={rx})"), 1, 2**31 - 1)
-        cards = F.filter(parts, lambda x: F.regexp_count(F.substring(x, 1, 400), F.lit(rx)) > 0)
+        # every card starts at a split point, however long its opening tag
+        cards = F.filter(parts, lambda x: F.rlike(x, F.lit(f"^(?:{rx})")))
         chosen = F.when(F.size(cards) > 0, cards).otherwise(chosen)
     return pages.select(*keep, F.posexplode(chosen).alias("card_no", "card"))
 

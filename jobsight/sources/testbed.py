@@ -247,13 +247,15 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing pages of the job boards, built from ``orders``: each order is one
     card of one of four markups (board = order key mod 4), ten or so cards of a
     customer make a page; some cards lack optional parts or wear look-alike
-    class names, some pages are challenge pages without cards."""
+    class names, some have an opening tag of over 400 characters, some pages are
+    challenge pages without cards."""
     k = "o_orderkey"
+    link = f"CASE WHEN {k} % 9 = 0 THEN concat('data-link=\"/rc/clk?q=', repeat('x', 450), '\" ') ELSE '' END"
     title = f"CASE {k} % 5 WHEN 0 THEN concat('<h2 class=\"jobTitle css-1h\"><span title=\"Role ', {k}, '\">Role ', {k}, '</span></h2>')" \
             f" WHEN 1 THEN concat('<a class=\"jcs-JobTitle\" href=\"/rc/', {k}, '\">Role ', {k}, '</a>')" \
             f" WHEN 2 THEN concat('<h2 class=\"title\"><a href=\"https://ex.org/', {k}, '\"> Role ', {k}, ' </a></h2>')" \
             f" WHEN 3 THEN concat('<a data-jk=\"', {k}, '\" href=\"/viewjob?jk=', {k}, '\"><span>Role ', {k}, '</span></a>') ELSE '' END"
-    indeed = f"""concat('<div class="', CASE {k} % 11 WHEN 0 THEN 'not-job_seen_beacon' ELSE 'cardOutline job_seen_beacon tapped' END, '">',
+    indeed = f"""concat('<div ', {link}, 'class="', CASE {k} % 11 WHEN 0 THEN 'not-job_seen_beacon' ELSE 'cardOutline job_seen_beacon tapped' END, '">',
       {title},
       CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<span data-testid="company-name">', concat('PT &amp; ', o_orderstatus), '</span>') END,
       CASE WHEN {k} % 7 = 0 THEN '<div class="companyLocation">Remote in Jakarta</div>' WHEN {k} % 2 = 0 THEN '<div data-testid="text-location">Bandung</div>' ELSE '' END,
@@ -261,7 +263,7 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN {k} % 6 = 0 THEN '<span class="date">Posted 3 days ago</span>' ELSE '' END,
       '<div class="job-snippet">Work ', CASE WHEN {k} % 13 = 0 THEN 'from home &amp; more' ELSE o_orderpriority END, '</div></div><!--card-->')"""
     old = f"""concat('<div class=\\'row jobsearch-SerpJobCard\\'><h2 class="title"><a href="/old/', {k}, '">Old role ', {k}, '</a></h2></div><!--card-->')"""
-    glints = f"""concat('<div class="JobCard"><h3>Role ', {k}, '</h3>',
+    glints = f"""concat('<div ', {link}, 'class="JobCard"><h3>Role ', {k}, '</h3>',
       CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<a data-testid="company">', CASE WHEN {k} % 5 = 0 THEN '  ' ELSE concat('PT &amp; ', o_orderstatus) END, '</a>') END,
       '<span class="tag">\\n\\t</span><span class="tag">Penuh Waktu</span>', CASE WHEN {k} % 2 = 0 THEN '<span class="tag">1 - 3 tahun</span><span class="tag">S1</span>' ELSE '<span class="tag">+2</span>' END,
       '<a class="card-link" href="/jobs/', {k}, '">x</a></div><!--card-->')"""

@@ -219,3 +219,13 @@ def test_blocked_pages_and_selector_boundaries(spark):
     ], "page_id int, html string")
     out = rows(PG.selector_counts(counts))
     assert out == [(1, 1, 1, 0, 0)]
+
+
+def test_card_with_a_long_opening_tag(spark):
+    from jobsight.operators import pages as PG
+
+    link = '<a data-link="/rc/clk?q=' + "x" * 900 + '" class="tapItem"><h2 class="title">%s</h2></a>'
+    pages = spark.createDataFrame(
+        [(1, "https://x.example/jobs", "<p>top</p>" + link % "One" + '<a class="tapItem"><h2 class="title">Two</h2></a>' + link % "Three")],
+        "page_id int, url string, html string")
+    assert rows(PG.card_records(pages, "Indeed"), "card_no", "job_title") == [(0, "One"), (1, "Two"), (2, "Three")]
