@@ -3,8 +3,12 @@
 Word counts and bigram counts come from all training documents, in Spark. The
 ``CORE`` most frequent words are clustered by the exchange algorithm: each word
 in turn moves to the class that raises the mutual information of adjacent
-classes most, until nothing moves (or ``SWEEPS``). Every other word belongs to
-one of ``SHAPES`` classes by its form; the end of a text is a class of its own.
+classes most, until nothing moves (or ``SWEEPS``). That is the seed. All other
+training words start in one of ``SHAPES`` classes by their form and then move,
+``WORD_SWEEPS`` times and all at once, to the class of the most gain (to first
+order) against the matrix of class bigrams; a sweep that lowers the information
+is not taken. Only words never seen in training keep the class of their form; the
+end of a text is a class of its own.
 
     P(text) = product over tokens of P(class | class before) * P(word | class)
     P(class | before) = (n(before, class) + 1) / (n(before) + classes)
@@ -12,7 +16,9 @@ one of ``SHAPES`` classes by its form; the end of a text is a class of its own.
 
 a text being entered from the end token. Counts of the ``HELD`` most frequent
 words travel to the tasks; a document's rarer words meet their counts in a
-join, pre-aggregated per document, so no vocabulary is ever held whole.
+join, pre-aggregated per document, so no vocabulary is ever held whole. Texts are
+kept as chunks of token numbers; the classes of a chunk's rarer words come from
+buckets of the vocabulary by 64-bit word hash (words of equal hash share a class).
 
 Edge cases: null and empty texts are one end token; with no training rows
 every count is 0; rows without id are learnt from and not held out; repeated
@@ -26,6 +32,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +41,24 @@ from jobsight.llm.common import materialise, slices, words
 
 #: Words clustered, their classes, and sweeps of the exchange algorithm.
 CORE, CLASSES, SWEEPS = 1024, 48, 10
-#: Classes of all other words, by form; the last class is the end of a text.
+#: Classes by form, where all other words start; the last class is the end of a text.
 SHAPES = 32
 END_CLASS = CLASSES + SHAPES
+#: Sweeps over all other words.
+WORD_SWEEPS = 2
+#: Contexts of a word: the class before it, the class after it.
+SLOTS = 2 * (END_CLASS + 1)
+#: Tokens of a chunk; tokens for each further bucket of the vocabulary; held words a block.
+CHUNK, BUCKET_TOKENS, BLOCK = 250_000, 8_000_000, 1024
+#: Class of a word never seen in training, in replies.
+UNSEEN = 255
 #: Words whose counts travel to the tasks.
 HELD = 65_536
 _FLUSH = 300_000
 
 
 def shape(word: bytes) -> int:
-    """Class of a word outside the core: length, digits, closing punctuation, script."""
+    """Class by form, where a word outside the core starts: length, digits, closing punctuation, script."""
     length = 0 if len(word) <= 3 else 1 if len(word) <= 6 else 2 if len(word) <= 10 else 3
     digit = any(48 <= b <= 57 for b in word)
     return CLASSES + length * 8 + digit * 4 + (word[-1:] in b".,;:!?\"')") * 2 + (not word.isascii())
@@ -72,45 +87,253 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def bigram_matrix(texts: DataFrame, core: list[bytes]) -> np.ndarray:
-    """Counts of adjacent tokens, over core words, shape classes and the end of a text."""
-    size = len(core) + SHAPES + 1
-    first = {w: i for i, w in enumerate(core)}
+class _Ranks(dict):
+    """Rank of held words; None for others."""
 
+    def __missing__(self, word: bytes) -> None:
+        return None
+
+
+CHUNKS = "chunk bigint, line binary, hashes binary, shapes binary"
+
+
+def chunked(texts: Iterator[str | None], ranks: dict) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+    """(texts, line, rare words) of chunks. A line has the rank of held words, len(ranks) + k
+    for the k-th rare word of the chunk, and -1 for the end of a text (and the start of the chunk)."""
+    held, line, rare, n = _Ranks(ranks), [-1], {}, 0
+    for text in texts:
+        ws = words(text)
+        got = list(map(held.__getitem__, ws))
+        if None in got:
+            got = [len(ranks) + rare.setdefault(w, len(rare)) if x is None else x for w, x in zip(ws, got)]
+        line.extend(got)
+        line.append(-1)
+        n += 1
+        if len(line) > CHUNK:
+            yield n, np.array(line, dtype=np.int32), list(rare)
+            line, rare, n = [-1], {}, 0
+    if n:
+        yield n, np.array(line, dtype=np.int32), list(rare)
+
+
+def _packed(line: np.ndarray) -> bytes:
+    """Integers by byte planes, compressed; their number first."""
+    planes = np.ascontiguousarray(line.view(np.uint8).reshape(-1, 4).T)
+    return len(line).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _line(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=4 * n, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
+def _columns(chunk: int, line: np.ndarray, rare: list[bytes]) -> list[pa.Array]:
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), dtype=np.uint64, count=len(rare))
+    shapes = np.fromiter(map(shape, rare), dtype=np.uint8, count=len(rare))
+    return [pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (_packed(line), hashes.tobytes(), shapes.tobytes()))]
+
+
+def training_chunks(texts: DataFrame, ranks: dict) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for _, line, rare in chunked((t for b in slices(batches) for t in b.column(0).to_pylist()), ranks):
+            yield pa.RecordBatch.from_arrays(_columns(chunk, line, rare), ["chunk", "line", "hashes", "shapes"])
+            chunk += 1
+
+    return materialise(texts.mapInArrow(run, CHUNKS), "word-lines")
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The records of batches, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [column[i].as_py() for column in batch.columns]
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its hashes)."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    for b, at in enumerate(np.split(order, ends[:-1])):
+        if len(at):
+            yield b, at
+
+
+def with_classes(chunks: DataFrame, vocabulary: DataFrame | None, buckets: int) -> DataFrame:
+    """Chunks with ``got``, the classes of their rare words a bucket (all by form without a vocabulary)."""
+    got = "array<struct<bucket:int,classes:binary>>"
+    if vocabulary is None:
+        return chunks.withColumn("got", F.lit(None).cast(got))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, hashes in _records(batches):
+            h = np.frombuffer(hashes, dtype=np.uint64)
+            parts = [(b, h[at].tobytes()) for b, at in _by_bucket(h, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()),
+                                              pa.array([x for _, x in parts], pa.binary())], ["bucket", "chunk", "hashes"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(known["hashes"].to_pylist()), dtype=np.uint64)
+        c = np.frombuffer(b"".join(known["classes"].to_pylist()), dtype=np.uint8)
+        out = []
+        for x in asked["hashes"].to_pylist():
+            x = np.frombuffer(x, dtype=np.uint64)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+                out.append(np.where(h[at] == x, c[at], UNSEEN).astype(np.uint8).tobytes())
+            else:
+                out.append(np.full(len(x), UNSEEN, dtype=np.uint8).tobytes())
+        return pa.table([asked["chunk"], asked["bucket"], pa.array(out, pa.binary())], ["chunk", "bucket", "classes"])
+
+    sent = chunks.select("chunk", "hashes").mapInArrow(send, "bucket int, chunk bigint, hashes binary")
+    replies = (sent.groupBy("bucket").cogroup(vocabulary.groupBy("bucket"))
+               .applyInArrow(answer, "chunk bigint, bucket int, classes binary")
+               .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "classes")).alias("got")))
+    return chunks.join(replies, "chunk", "left")
+
+
+def _rare_classes(hashes: np.ndarray, shapes: np.ndarray, got: list | None, buckets: int) -> np.ndarray:
+    out = shapes.copy()
+    answers = {x["bucket"]: np.frombuffer(x["classes"], dtype=np.uint8) for x in got or []}
+    for b, at in _by_bucket(hashes, buckets) if answers else ():
+        out[at] = np.where(answers[b] == UNSEEN, out[at], answers[b])
+    return out
+
+
+def _arrays(line: bytes, hashes: bytes, shapes: bytes, got: list | None, buckets: int) -> tuple:
+    h = np.frombuffer(hashes, dtype=np.uint64)
+    return _line(line), h, _rare_classes(h, np.frombuffer(shapes, dtype=np.uint8), got, buckets)
+
+
+def bigrams(chunks: DataFrame, held: np.ndarray, size: int, buckets: int, shift: int = 0) -> np.ndarray:
+    """Counts of adjacent classes, ``size`` of them, the last being the end of a text.
+    ``held``: class of each held word; rare words have theirs plus ``shift``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(first, len(core))
         total = np.zeros(size * size, dtype=np.int64)
-        for batch in slices(batches, 1024):
-            line = [size - 1]
-            for text in batch.column(0).to_pylist():
-                line.extend(map(number.__getitem__, words(text)))
-                line.append(size - 1)
-            a = np.array(line, dtype=np.int64)
-            codes, n = np.unique(a[:-1] * size + a[1:], return_counts=True)
+        for record in _records(batches):
+            line, _, rare = _arrays(*record, buckets)
+            x = np.concatenate([held, rare.astype(np.int64) + shift, [size - 1]])[line]
+            codes, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
             total[codes] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "n"])
 
-    sums = texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = (chunks.select("line", "hashes", "shapes", "got").mapInArrow(run, "pair bigint, n bigint")
+            .groupBy("pair").agg(F.sum("n").alias("n")))
     got = sums.toArrow()                                  # at most size^2 rows
     out = np.zeros(size * size)
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(size, size)
 
 
-class _Numbers(dict):
-    """Row of a token in the bigram matrix; forms of rare words are remembered a while."""
-
-    def __init__(self, first: dict, core: int):
-        super().__init__(first)
-        self.first, self.core = first, core
+def contexts(chunks: DataFrame, held: np.ndarray, core: int, buckets: int) -> DataFrame:
+    """(bucket, hashes, now, slots): the contexts of words outside the core. Rare words: bucket >= 0,
+    their hashes and classes, and word * SLOTS + slot of each token. Held words: bucket = -1 - block,
+    (rank in the block) * SLOTS + slot and its count (in ``now``), summed over the task."""
+    end = END_CLASS
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.first) + _FLUSH:
-            self.clear()
-            self.update(self.first)
-        value = self[word] = self.core + shape(word) - CLASSES
-        return value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (1, 2)),
+                pa.array([_packed(np.diff(r[3], prepend=np.int32(0))) for r in rows], pa.binary())], ["bucket", "hashes", "now", "slots"])
+
+        sums = np.zeros(len(held) * SLOTS, dtype=np.int32)
+        for record in _records(batches):
+            line, h, rare = _arrays(*record, buckets)
+            x = np.concatenate([held, rare.astype(np.int64), [end]])[line]
+            at = np.flatnonzero(line >= core)
+            word, before, after = line[at].astype(np.int64), x[at - 1], x[at + 1] + end + 1
+            own = word < len(held)
+            for slot in (before, after):
+                codes, n = np.unique(word[own] * SLOTS + slot[own], return_counts=True)
+                sums[codes] += n.astype(np.int32)
+            word, before, after = word[~own] - len(held), before[~own], after[~own]
+            order = np.argsort(word, kind="stable")
+            word, before, after = word[order], before[order], after[order]
+            rows = []
+            for b, places in _by_bucket(h, buckets):
+                number = np.full(len(h), -1, dtype=np.int64)
+                number[places] = np.arange(len(places))
+                k = number[word]
+                k, x1, x2 = k[k >= 0], before[k >= 0], after[k >= 0]
+                rows.append((b, h[places], rare[places], np.concatenate([k * SLOTS + x1, k * SLOTS + x2]).astype(np.int32)))
+            if rows:
+                yield out(rows)
+        rows, none = [], np.zeros(0, dtype=np.uint8)
+        for block in range(-(-len(held) // BLOCK)):
+            part = sums[block * BLOCK * SLOTS:(block + 1) * BLOCK * SLOTS]
+            at = np.flatnonzero(part)
+            if len(at):
+                rows.append((-1 - block, none, np.frombuffer(_packed(part[at]), dtype=np.uint8), at.astype(np.int32)))
+        if rows:
+            yield out(rows)
+
+    return chunks.select("line", "hashes", "shapes", "got").mapInArrow(
+        run, "bucket int, hashes binary, now binary, slots binary")
+
+
+def best_classes(codes: np.ndarray, v: np.ndarray, now: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the mutual information of ``n`` most; ``now``: their classes.
+    ``codes``: word * SLOTS + slot, ascending, of ``v`` tokens each; each word has some. The gain is
+    that of the exchange to first order (add-one counts), as all words move at once: the full gain
+    would send them all to the same empty class."""
+    out = now.astype(np.int64)
+    near = np.concatenate([n[:, :END_CLASS], n[:END_CLASS].T])  # slot x class: the cell that a token falls into
+    sums = np.repeat(np.stack([n.sum(axis=0), n.sum(axis=1)])[:, :END_CLASS], END_CLASS + 1, axis=0)
+    token = np.log(near + 1) - np.log(sums + END_CLASS + 1)
+    word, slot = codes // SLOTS, codes % SLOTS
+    starts = np.append(np.searchsorted(word, np.arange(0, len(now), 2048)), len(codes))
+    for first, i, j in zip(range(0, len(now), 2048), starts[:-1], starts[1:]):
+        a = out[first:first + 2048]
+        gain = np.add.reduceat(token[slot[i:j]] * v[i:j, None], np.searchsorted(word[i:j] - first, np.arange(len(a))), axis=0)
+        b, k = gain.argmax(axis=1), np.arange(len(a))
+        out[first:first + 2048] = np.where(gain[k, b] > gain[k, a] + 1e-9, b, a)
+    return out
+
+
+def assigned(seen: DataFrame, held: np.ndarray, core: int, n: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """(classes of held words, vocabulary of rare words (bucket, hashes ascending, classes))."""
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for bucket, counts, slots in _records(batches):
+            block = -1 - bucket
+            total = sums.setdefault(block, np.zeros(BLOCK * SLOTS, dtype=np.int64))
+            total[np.cumsum(_line(slots))] += _line(counts)
+        for block, total in sums.items():
+            codes = np.flatnonzero(total)
+            some = np.unique(codes // SLOTS)              # core words have no contexts here
+            dense = np.searchsorted(some, codes // SLOTS) * SLOTS + codes % SLOTS
+            got = best_classes(dense, total[codes], held[block * BLOCK + some], n)
+            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + some, pa.int32()), pa.array(got, pa.int32())], ["rank", "class"])
+
+    def bucket(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        hashes, first, number = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        now = np.frombuffer(b"".join(table["now"].to_pylist()), dtype=np.uint8)[first]
+        codes, start = [], 0
+        for x, slots in zip(parts, table["slots"].to_pylist()):
+            k = np.cumsum(_line(slots), dtype=np.int64)
+            codes.append(number[start + k // SLOTS] * SLOTS + k % SLOTS)
+            start += len(x)
+        codes, v = np.unique(np.concatenate(codes), return_counts=True)
+        got = best_classes(codes, v, now, n).astype(np.uint8)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([hashes.tobytes()], pa.binary()),
+                         pa.array([got.tobytes()], pa.binary())], ["bucket", "hashes", "classes"])
+
+    out = held.copy()
+    moved = (seen.where("bucket < 0").select("bucket", "now", "slots").repartition("bucket")
+             .mapInArrow(ranks, "rank int, class int").toArrow())   # one row a held word
+    out[moved["rank"].to_numpy()] = moved["class"].to_numpy()
+    rare = (seen.where("bucket >= 0").groupBy("bucket")
+            .applyInArrow(bucket, "bucket int, hashes binary, classes binary"))
+    return out, materialise(rare, "vocabulary")
+
+
+def information(n: np.ndarray) -> float:
+    """Mutual information of adjacent classes, up to constants."""
+    return float(_xlogx(n).sum() - _xlogx(n.sum(axis=0)).sum() - _xlogx(n.sum(axis=1)).sum())
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -163,11 +386,12 @@ def exchange(pairs: np.ndarray, core: int, classes: int = CLASSES, sweeps: int =
 
 
 class Model:
-    """What a task needs to score texts: bounded tables only."""
+    """What a task needs to score texts, bounded tables only, and the classes of rare words."""
 
-    def __init__(self, held: dict[bytes, tuple[int, float]], step: np.ndarray, end: float, v_total: int, n_total: int):
-        self.held, self.step, self.end = held, step, end
-        self.v_total, self.n_total = v_total, n_total
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, logs: np.ndarray, step: np.ndarray, end: float,
+                 v_total: int, n_total: int, vocabulary: DataFrame | None, buckets: int):
+        self.ranks, self.classes, self.logs, self.step, self.end = ranks, classes, logs, step, end
+        self.v_total, self.n_total, self.vocabulary, self.buckets = v_total, n_total, vocabulary, buckets
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -179,89 +403,109 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     n_total, v_total = total[0] + ends, total[1] + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(HELD).toArrow()
     top_words, top_c = [w.encode() for w in top["word"].to_pylist()], top["c"].to_pylist()
-    core = top_words[:CORE]
-    pairs = bigram_matrix(train, core)
-    own = exchange(pairs, len(core))
-    place = np.concatenate([own, CLASSES + np.arange(SHAPES + 1)])
-    member = np.zeros((len(pairs), END_CLASS + 1))
-    member[np.arange(len(pairs)), place] = 1
-    n = member.T @ pairs @ member
+    core = min(CORE, len(top_words))
+    ranks = {w: i for i, w in enumerate(top_words)}
+    shapes = np.array([shape(w) for w in top_words], dtype=np.int64)
+    buckets = 8 + n_total // BUCKET_TOKENS
+    chunks = training_chunks(train, ranks)
+    seeds = np.concatenate([np.arange(core), core + shapes[core:] - CLASSES])
+    own = exchange(bigrams(with_classes(chunks, None, buckets), seeds, core + SHAPES + 1, buckets, core - CLASSES), core)
+    held, vocabulary = np.concatenate([own, shapes[core:]]), None
+    lines = with_classes(chunks, None, buckets)
+    n = bigrams(lines, held, END_CLASS + 1, buckets)
+    for left in reversed(range(WORD_SWEEPS if n_total else 0)):
+        moved, words_moved = assigned(materialise(contexts(lines, held, core, buckets), "word-contexts"), held, core, n)
+        lines = with_classes(chunks, words_moved, buckets)
+        lines = materialise(lines, "word-lines") if left else lines
+        after = bigrams(lines, moved, END_CLASS + 1, buckets)
+        if information(after) <= information(n):
+            break
+        held, vocabulary, n = moved, words_moved, after
     class_tokens = n.sum(axis=0)                          # each token is once the second of a pair
-
-    core_set = frozenset(core)
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.zeros(SHAPES, dtype=np.int64)
-        for batch in slices(batches, 8192):
-            for w in batch.column(0).to_pylist():
-                w = w.encode()
-                if w not in core_set:
-                    kinds[shape(w) - CLASSES] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(kinds, pa.int64())], ["shape", "v"])
-
-    kinds = np.zeros(END_CLASS + 1)
-    kinds[:CLASSES] = np.bincount(own, minlength=CLASSES)[:CLASSES] if len(core) else 0
-    for row in counts.select("word").mapInArrow(shapes, "shape int, v bigint").groupBy("shape").agg(F.sum("v").alias("v")).collect():
-        kinds[CLASSES + row["shape"]] = row["v"]
+    kinds = np.bincount(held, minlength=END_CLASS + 1).astype(float)
     kinds[END_CLASS] = ends > 0
+    kinds += rare_kinds(counts, vocabulary, ranks)
     # log10 P(class | before) less the emission's denominator
     step = np.log10((n + 1) / (n.sum(axis=1, keepdims=True) + END_CLASS + 1)) - np.log10(class_tokens + kinds + 1)[None]
-    number = dict(zip(core, own.tolist()))
-    held = {w: (number[w] if w in number else shape(w), float(np.log10(c + 1))) for w, c in zip(top_words, top_c)}
-    return Model(held, step, float(np.log10(ends + 1)), v_total, n_total), counts
+    logs = np.log10(np.array(top_c, dtype=np.float64) + 1)
+    return Model(ranks, held, logs, step, float(np.log10(ends + 1)), v_total, n_total, vocabulary, buckets), counts
+
 
+def rare_kinds(counts: DataFrame, vocabulary: DataFrame | None, ranks: dict) -> np.ndarray:
+    """Number of rare training words of each class."""
+    def by_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield tally(shape(w.encode()) for b in slices(batches, 8192) for w in b.column(0).to_pylist() if w.encode() not in ranks)
 
-class _Known(dict):
-    """(class, log10(c + 1)) of held words; (class, None) of others, remembered a while."""
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield tally(c for (classes,) in _records(batches) for c in classes)
 
-    def __init__(self, held: dict):
-        super().__init__(held)
-        self.held = held
+    def tally(classes: Iterator[int]) -> pa.RecordBatch:
+        got = Counter(classes)
+        return pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int32()), pa.array(got.values(), pa.int64())], ["class", "v"])
 
-    def __missing__(self, word: bytes) -> tuple:
-        if len(self) > len(self.held) + _FLUSH:
-            self.clear()
-            self.update(self.held)
-        value = self[word] = (shape(word), None)
-        return value
+    found = (counts.select("word").mapInArrow(by_form, "class int, v bigint") if vocabulary is None
+             else vocabulary.select("classes").mapInArrow(learnt, "class int, v bigint"))
+    out = np.zeros(END_CLASS + 1)
+    for row in found.groupBy("class").agg(F.sum("v").alias("v")).collect():
+        out[row["class"]] = row["v"]
+    return out
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    ranks, classes, logs, step, end, buckets = model.ranks, model.classes, model.logs, model.step, model.end, model.buckets
+    names = ["n_tokens", "held_known", "held_logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, done = _Known(model.held), TaskContext.get().partitionId() << 33, 0
-        for batch in slices(batches):
-            n, k, s, t, rares = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ws = words(text)
-                got = list(map(known.__getitem__, ws))
-                line = np.fromiter((x[0] for x in got), dtype=np.int64, count=len(got))
-                line = np.concatenate([[END_CLASS], line, [END_CLASS]])
-                logs = [x[1] for x in got if x[1] is not None]
-                rare = Counter(w for w, x in zip(ws, got) if x[1] is None) if len(logs) < len(got) else {}
-                n.append(len(ws) + 1)
-                k.append(len(logs) + (model.end > 0))
-                s.append(sum(logs) + model.end)
-                t.append(float(model.step[line[:-1], line[1:]].sum()))
-                rares.append([{"word": w.decode(), "n": c} for w, c in rare.items()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(base + done, base + done + len(n)), pa.int64()), batch.column(0), pa.array(n, pa.int64()),
-                 pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(t, pa.float64()), pa.array(rares, rare_type)],
-                ["row", id_col, "n_tokens", "held_known", "held_logs", "steps", "rare"])
-            done += len(n)
-
-    rows = materialise(docs.select(id_col, text_col).mapInArrow(
-        run, f"row bigint, `{id_col}` {kind}, n_tokens bigint, held_known bigint, held_logs double, steps double,"
-             " rare array<struct<word:string,n:bigint>>"), "scored")
-    met = (rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
-           .groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_logs")))
-    logs = F.col("held_logs") + F.coalesce("rare_logs", F.lit(0.0))
+        chunk, ids = TaskContext.get().partitionId() << 33, []
+
+        def texts() -> Iterator[str | None]:
+            for b in slices(batches):
+                for i, text in zip(b.column(0), b.column(1).to_pylist()):
+                    ids.append(i)
+                    yield text
+
+        for n, line, rare in chunked(texts(), ranks):
+            own = (line >= 0) & (line < len(ranks))
+            row = np.cumsum(line < 0)[:-1] - 1            # of the token behind
+            second, own = line[1:], own[1:]
+            tokens = np.bincount(row, minlength=n)
+            known = np.bincount(row[own], minlength=n) + (end > 0)
+            sums = np.bincount(row[own], weights=logs[second[own]], minlength=n) + end
+            other = second >= len(ranks)
+            code, times = np.unique(row[other] * (len(rare) + 1) + second[other] - len(ranks), return_counts=True)
+            at, k = code // (len(rare) + 1), code % (len(rare) + 1)
+            rares = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([rare[i].decode() for i in k], pa.string()),
+                                                pa.array(times, pa.int64())], ["at", "word", "n"])
+            taken, ids[:] = pa.array([i.as_py() for i in ids[:n]], ids[0].type), ids[n:]
+            base = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (taken, *base, rares)]
+            yield pa.RecordBatch.from_arrays(_columns(chunk, line, rare) + lists,
+                                             ["chunk", "line", "hashes", "shapes", "ids", *names, "rare"])
+            chunk += 1
+
+    schema = (f"{CHUNKS}, ids array<{kind}>, n_tokens array<bigint>, held_known array<bigint>, held_logs array<double>,"
+              " rare array<struct<at:int,word:string,n:bigint>>")
+    chunks = materialise(docs.select(id_col, text_col).mapInArrow(run, schema), "scored")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, *record in _records(batches):
+            line, _, rare = _arrays(*record, buckets)
+            x = np.concatenate([classes, rare.astype(np.int64), [END_CLASS]])[line]
+            steps = np.bincount(np.cumsum(line < 0)[:-1] - 1, weights=step[x[:-1], x[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(steps), chunk), pa.int64()), pa.array(range(len(steps)), pa.int32()),
+                                              pa.array(steps, pa.float64())], ["chunk", "at", "steps"])
+
+    steps = (with_classes(chunks.select("chunk", "line", "hashes", "shapes"), model.vocabulary, buckets)
+             .mapInArrow(walk, "chunk bigint, at int, steps double"))
+    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", *names)).alias("at", "r")).select("chunk", "at", "r.*")
+    met = (chunks.select("chunk", F.explode("rare").alias("r")).select("chunk", "r.*").join(counts, "word")
+           .groupBy("chunk", "at").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_logs")))
+    logs_of = F.col("held_logs") + F.coalesce("rare_logs", F.lit(0.0))
     floor = float(np.log10(model.n_total + model.v_total + 1)) if model.n_total else 0.0
-    return rows.drop("rare").join(met, "row", "left").select(
+    return rows.withColumnRenamed("ids", id_col).join(steps, ["chunk", "at"]).join(met, ["chunk", "at"], "left").select(
         id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens",
         (F.col("held_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.n_total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (logs + F.col("steps")).alias("score"))
+        (logs_of - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (logs_of + F.col("steps")).alias("score"))

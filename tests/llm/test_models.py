@@ -57,6 +57,19 @@ def test_lm_of_awkward_rows(spark):
     assert B.score(empty, *B.learn(empty)).count() == 0
 
 
+def test_lm_learns_classes_of_all_training_words(spark, monkeypatch):
+    monkeypatch.setattr(B, "CORE", 8)
+    monkeypatch.setattr(B, "HELD", 60)                     # most words are neither clustered first nor held
+    r = np.random.default_rng(2)
+    a, b = ([f"{p}{chr(97 + i // 26)}{chr(97 + i % 26)}{q}" for i in range(150)] for p, q in (("qu", "r"), ("st", "v")))
+    rows = [(i, " ".join(w for _ in range(30) for w in (a[int(150 * r.random() ** 2)], b[int(150 * r.random() ** 2)]))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len({B.shape(w.encode()) for w in a + b}) == 1   # their forms tell nothing
+    got = [x for x in B.score(docs, *B.learn(docs)).collect() if x["held_out"]]
+    tokens = sum(x["n_tokens"] for x in got)
+    assert tokens > 1000 and sum(x["score"] - x["base_score"] for x in got) > 0.25 * tokens  # of log10(2) at best
+
+
 def test_exchange_raises_mutual_information():
     r = np.random.default_rng(4)
     group = np.arange(60) % 3                              # words of group g are followed by group g + 1
