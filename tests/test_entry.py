@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from testkit import SF_SMALL
 from oracle_check import digest
 from jobsight.session import TABLES, table_path
 
@@ -45,3 +45,17 @@ def test_oracle_spot(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(got) == len(want)
     assert digest(df.columns, got) == digest(ocols, want)
+
+
+def test_every_test_file_collects():
+    """No test module may hide behind another one of the same name."""
+    import pathlib
+    import subprocess
+    import sys
+
+    top = pathlib.Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "tests"],
+                         cwd=top, capture_output=True, text=True, timeout=300).stdout
+    assert "error" not in out.lower(), out[-2000:]
+    for file in (top / "tests").rglob("test_*.py"):
+        assert file.name in out, file

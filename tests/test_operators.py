@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from testkit import SF_SMALL, rows
 from jobsight.operators import aggregates as A
 from jobsight.operators import filters as W
 from jobsight.operators import ordering as T

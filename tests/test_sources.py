@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from conftest import rows
+from testkit import rows
 from jobsight import schemas as S
 from jobsight.operators.normalize import normalize_glints
 from jobsight.sinks.files import append_records, write_csv, write_documents, write_outputs

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from testkit import rows
 from jobsight.operators.filters import stream_is_live
 from jobsight.streaming import live as L
 from jobsight.streaming.events import file_job_stream, parse_events, to_events
@@ -127,7 +127,7 @@ def test_outputs_independent_of_session_time_zone(spark):
 
 
 def test_events_table_as_stream_source(spark, tmp_path):
-    from conftest import SF_SMALL
+    from testkit import SF_SMALL
     from jobsight.sources import testbed as TB
     values = TB.job_event_values_from(TB.job_event_rows_from(TB.events_stream(spark, SF_SMALL)))
     paths = L.LivePaths(str(tmp_path / "out"), str(tmp_path / "ckpt"))
