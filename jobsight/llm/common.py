@@ -6,6 +6,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices with at most ``limit`` bytes of text in ``column``, or one row; a
+    task's memory follows the limit or its longest text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, start, sent = np.cumsum(sizes, dtype=np.int64), 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(total, sent + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start, sent = stop, int(total[stop - 1])
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8.
     ``bytes.lower``/``bytes.split`` touch exactly these ASCII characters."""

@@ -82,9 +82,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.periodic_runs import periodic_runs, periodic_tail, run_digests
+
+    return run_digests(periodic_runs(read(spark, sf_dir, "documents"), rearrange=periodic_tail))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_mincut, op2_token_counts, op3_packing, op4_arc_to_warc, op5_brown_lm, op6_toxicity,
-    op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing)}
+    op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing, op13_periodic_runs)}
 
 ORACLE = {
     "op4_arc_to_warc": sql.OP4,
