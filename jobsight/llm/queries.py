@@ -4,9 +4,11 @@ parameters, to its whole table; DuckDB SQL where SQL can express it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobsight.llm.common import read
 from jobsight.llm import queries_sql as sql
+from jobsight.session import scratch_path
 
 #: Limit of a shard in ``op9``.
 SHARD_BYTES = 1 << 20
@@ -82,6 +84,16 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.wavelet import read_documents, write_shards
+
+    docs = read(spark, sf_dir, "documents")
+    manifest = write_shards(docs, scratch_path(spark, "wavelet"), vocabulary("byte_bpe_50k.json"),
+                            vocabulary("byte_bpe_50k.tiktoken"))
+    found = read_documents(manifest, docs.schema["doc_id"])
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.periodic_runs import periodic_runs, periodic_tail, run_digests
 
@@ -90,7 +102,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_html_mincut, op2_token_counts, op3_packing, op4_arc_to_warc, op5_brown_lm, op6_toxicity,
-    op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing, op13_periodic_runs)}
+    op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing, op11_wavelet_matrix,
+    op13_periodic_runs)}
 
 ORACLE = {
     "op4_arc_to_warc": sql.OP4,

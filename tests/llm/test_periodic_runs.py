@@ -35,7 +35,7 @@ def plain_row(key, text):
     n, h = len(w), zlib.crc32(str(key).encode())
     g = h // 10
     if key is not None and h % 10 == 0 and n:
-        a, = [g % n]
+        a = g % n
         p = 1 + (n - a) // (3 + g % 8)
         w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
     runs = plain_runs(w)
