@@ -94,6 +94,12 @@ def op11_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobsight.llm.collocations import collocations
+
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobsight.llm.periodic_runs import periodic_runs, periodic_tail, run_digests
 
@@ -103,11 +109,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_html_mincut, op2_token_counts, op3_packing, op4_arc_to_warc, op5_brown_lm, op6_toxicity,
     op7_ngram_jaccard_join, op8_posting_lists, op9_extendible_sharding, op10_winnowing, op11_wavelet_matrix,
-    op13_periodic_runs)}
+    op12_collocations, op13_periodic_runs)}
 
 ORACLE = {
     "op4_arc_to_warc": sql.OP4,
     "op7_ngram_jaccard_join": sql.OP7,
     "op9_extendible_sharding": sql.op9(SHARD_BYTES),
     "op10_winnowing": sql.OP10,
+    "op12_collocations": sql.OP12,
 }

@@ -68,3 +68,29 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) AS c USING (doc_id)
 """
+
+OP12 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+g AS (SELECT lang, k, array_to_string(list_slice(w, s + 1, s + k), ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS s
+            FROM p, (SELECT unnest([1, 2, 3]) AS k) AS sizes WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+parts AS (SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS lp, array_to_string(list_slice(w, j + 1, k), ' ') AS rp
+          FROM c, (SELECT unnest([1, 2]) AS j) AS places WHERE j < k),
+scored AS (SELECT x.lang, x.phrase, x.a, x.j, fl.f AS l, fr.f AS r,
+             CAST((CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+           FROM parts x JOIN f fl ON fl.lang = x.lang AND fl.phrase = x.lp JOIN f fr ON fr.lang = x.lang AND fr.phrase = x.rp),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(list_slice(w, s, s + 1), ' ') AS phrase, max(a) AS longest
+           FROM c, (SELECT unnest([1, 2]) AS s) AS ends WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE NOT coalesce(100 * longest >= 50 * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
