@@ -3,8 +3,10 @@ parameters, to its whole table; DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from jobsight.llm.common import read
 from jobsight.llm import queries_sql as sql
@@ -90,8 +92,7 @@ def op11_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     manifest = write_shards(docs, scratch_path(spark, "wavelet"), vocabulary("byte_bpe_50k.json"),
                             vocabulary("byte_bpe_50k.tiktoken"))
-    found = read_documents(manifest, docs.schema["doc_id"])
-    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_documents(manifest, docs.schema["doc_id"], ("ids_crc32", LongType(), zlib.crc32))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import uuid
 from collections import OrderedDict
 from typing import Iterator
@@ -37,16 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from jobsight.llm.common import byte_slices, materialise
-from jobsight.llm.packing import _WS_AFTER_SPACE, ByteBpe
 
 MAGIC = b"WMATRIX1"
 BLOCK = 1 << 16
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 SLICE_BYTES = 4 << 20
-#: Chunks whose ids a task remembers.
-MEMO_LIMIT = 300_000
+_WS_AFTER_SPACE = re.compile(r" \s")
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 
 
@@ -56,59 +56,92 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def special_strings(json_path: str) -> tuple[list[str], int]:
+    """The strings that the library turns into ids of their own, and the vocabulary's size."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(json_path)
+    return [t.content for t in whole.get_added_tokens_decoder().values()], whole.get_vocab_size()
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    return np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(counts.sum())), counts
+
+
 class TextIds:
-    """Ids of whole texts, slice by slice: texts are cut at single spaces (see
-    ``ByteBpe``), each distinct chunk of a slice is looked up once, and all ids
-    are gathered from a pool in one step."""
-
-    def __init__(self, json_path: str, rank_path: str | None, end_id: int):
-        self.bpe, self.end_id = ByteBpe(json_path, rank_path), end_id
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.pool, self.starts = np.array([self.end_id], dtype=np.uint32), np.array([0, 1], dtype=np.int64)
-
-    def _slots_of(self, chunks: list[str]) -> np.ndarray:
-        """Pool places of chunks; slot 0 is the end id."""
-        fresh = list(dict.fromkeys(c for c in chunks if c not in self.slots))
-        if fresh:
-            found = [self.bpe.encode(c) for c in fresh]
-            self.slots.update(zip(fresh, range(len(self.starts) - 1, len(self.starts) - 1 + len(fresh))))
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
-            self.pool = np.concatenate([self.pool, flat])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        return np.fromiter(map(self.slots.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+    """Ids of whole texts, slice by slice. A text is cut before single spaces, where no
+    pre-token can span; the distinct chunks of a slice are encoded in one call, whose
+    ids part where a token begins with a space, and all ids of the slice are gathered. Texts holding special strings or white space
+    beside a space go to ``tokenizers`` whole, loaded when the first one comes."""
+
+    def __init__(self, json_path: str, rank_path: str | None, end_id: int, special: list[str]):
+        self.json_path, self.end_id, self.special, self.library = json_path, end_id, special, None
+        self.spaced = None
+        if rank_path:
+            import base64
+
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            with open(rank_path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.spaced = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            self.spaced[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+        else:
+            self.encode = self.whole
+
+    def whole(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.json_path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all (non-empty) chunks, each behind a space, and how many each has."""
+        if self.spaced is not None and len(chunks):
+            ids = np.array(self.encode(" " + " ".join(chunks.to_numpy(zero_copy_only=False))), dtype=np.uint32)
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) == len(chunks):
+                return ids, np.diff(np.append(begins, len(ids)))
+        return _flat([self.encode(" " + c) for c in chunks.to_pylist()])
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        heads = coded.indices.to_numpy()[offsets[:-1]]
-        chunks = coded.dictionary.to_pylist()
-        if len(self.slots) > MEMO_LIMIT:
-            self._reset()
-        place = self._slots_of([" " + c for c in chunks])[coded.indices.to_numpy()]
-        place[offsets[:-1]] = self._slots_of([chunks[h] for h in heads])
-        place = np.insert(place, offsets[1:], 0)          # the end of every document
-        lengths = self.starts[place + 1] - self.starts[place]
+        chunks, index = coded.dictionary, coded.indices.to_numpy()
+        full = pc.not_equal(chunks, "").to_numpy(zero_copy_only=False)
+        ids, counts = self._chunks(chunks.filter(pa.array(full)))
+        # the pool: chunks, a single space, the texts' first chunks (no space before them), the end id
+        heads, head_counts = _flat([self.encode(t.partition(" ")[0]) for t in texts])
+        space = np.array(self.encode(" "), dtype=np.uint32)
+        pool = np.concatenate([ids, space, heads, np.array([self.end_id], dtype=np.uint32)])
+        sizes = np.concatenate([counts, [len(space)], head_counts, [1]])
+        starts = np.cumsum(sizes) - sizes
+        slot = np.where(full, np.cumsum(full) - 1, len(counts))
+        place = slot[index]
+        place[offsets[:-1]] = len(counts) + 1 + np.arange(len(texts))
+        place = np.insert(place, offsets[1:], len(sizes) - 1)
+        lengths = sizes[place]
         before = np.cumsum(lengths)
-        ids = self.pool[np.arange(before[-1]) + np.repeat(self.starts[place] - (before - lengths), lengths)]
         ends = before[offsets[1:] + np.arange(len(texts))]
-        return ids, np.diff(ends, prepend=0)
+        shift = np.repeat((starts[place] - (before - lengths)).astype(np.int32), lengths)
+        return pool[np.arange(before[-1], dtype=np.int32) + shift], np.diff(ends, prepend=0)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each document's (its end id included)."""
         texts = [t or "" for t in texts]
-        odd = [any(s in t for s in self.bpe.special) or _WS_AFTER_SPACE.search(t) is not None for t in texts]
+        odd = [any(s in t for s in self.special) or _WS_AFTER_SPACE.search(t) is not None for t in texts]
         ids, counts = self._plain([t for t, o in zip(texts, odd) if not o]) if not all(odd) else (None, [])
         if not any(odd):
             return ids, counts
         own, at, out, n = iter(counts), 0, [], []
         for text, whole in zip(texts, odd):
             if whole:
-                out.append(np.r_[np.frombuffer(self.bpe(text), dtype="<u4"), np.uint32(self.end_id)].astype(np.uint32))
+                out.append(np.array(self.whole(text) + [self.end_id], dtype=np.uint32))
             else:
                 size = int(next(own))
                 out.append(ids[at:at + size])
@@ -121,7 +154,7 @@ def planes_of(ids: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(zeros, bits) of every plane: each sorts the ids stably by one bit, zeros first."""
     a = ids.astype(np.uint16 if width <= 16 else np.uint32)
     for bit in range(width - 1, -1, -1):
-        b = (a >> a.dtype.type(bit)) & a.dtype.type(1) != 0
+        b = (a & a.dtype.type(1 << bit)) != 0
         low = a[~b]
         yield len(low), b
         a = np.concatenate([low, a[b]])
@@ -276,13 +309,12 @@ def write_shards(docs: DataFrame, folder: str, json_path: str, rank_path: str |
     """Writes the shard files under ``folder`` (a place all executors share); the manifest:
     shard (ascending in document order), path, n_docs, n_tokens."""
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
+    special, size = special_strings(json_path)
+    width = max(1, (max(size, end_id + 1) - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         part = TaskContext.get().partitionId()
-        encode = TextIds(json_path, rank_path, end_id)
-        width = max(1, (max(Tokenizer.from_file(json_path).get_vocab_size(), end_id + 1) - 1).bit_length())
+        encode = TextIds(json_path, rank_path, end_id, special)
         held, keys, counts, size, sent = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -346,22 +378,25 @@ def _over_files(manifest: DataFrame, schema: T.StructType | str, of) -> DataFram
     return manifest.repartitionByRange(tasks, "shard").mapInArrow(run, schema)
 
 
-def read_documents(manifest: DataFrame, id_field: T.StructField) -> DataFrame:
-    """From the files: id, start (ids of all documents before), n_tokens, ids (binary, little-endian uint32)."""
+def read_documents(manifest: DataFrame, id_field: T.StructField, derive: tuple | None = None) -> DataFrame:
+    """From the files: id, start (ids of all documents before), n_tokens, and ``ids``
+    (binary, little-endian uint32) or ``derive`` = (name, Spark type, function of these
+    bytes), worked out where the file is read."""
+    name, kind, of_ids = derive or ("ids", T.BinaryType(), bytes)
     schema = T.StructType([id_field, T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids", T.BinaryType())])
+                           T.StructField(name, kind)])
 
     def of(file: WaveletFile, row: dict) -> Iterator[pa.RecordBatch]:
         raw = memoryview(file.decode().astype("<u4").tobytes())
         keys, n = file.docs.column("id").combine_chunks(), file.docs.column("n_tokens").to_numpy()
         ends = np.cumsum(n)
         first = 0
-        while first < len(n):                             # batches of about 4 MB of ids
-            stop = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BYTES // 4)))
-            cut = [raw[4 * (e - m):4 * e] for e, m in zip(ends[first:stop].tolist(), n[first:stop].tolist())]
+        while first < len(n):                             # batches of about 1 MB of ids
+            stop = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 18))))
+            got = [of_ids(raw[4 * (e - m):4 * e]) for e, m in zip(ends[first:stop].tolist(), n[first:stop].tolist())]
             yield pa.RecordBatch.from_arrays([
                 keys.slice(first, stop - first), pa.array(row["start"] + ends[first:stop] - n[first:stop]),
-                pa.array(n[first:stop]), pa.array(cut, pa.binary())], schema.names)
+                pa.array(n[first:stop]), pa.array(got, to_arrow_type(kind))], schema.names)
             first = stop
 
     return _over_files(with_starts(manifest), schema, of)
