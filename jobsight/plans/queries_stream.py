@@ -18,6 +18,7 @@ from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached
 from jobsight.schemas import NOT_STATED
 from jobsight.session import app_key, read_table, scratch_path
+from jobsight.sinks.snapshots import current_folder
 from jobsight.sources import testbed as TB
 from jobsight.streaming import live as L
 from jobsight.streaming.events import file_job_stream, iso_utc, parse_events, utc_wall_clock, write_events
@@ -30,18 +31,17 @@ job_event_values = cached("events", TB.job_event_values)
 
 
 def _run_stepwise(spark, sf_dir):
-    """The events released in ``BATCHES`` files by time, one file a micro-batch
-    (X9), with a stop and a restart from the checkpoint in between (X7)."""
+    """The events released in ``BATCHES`` steps of many files each; the job takes a step
+    as one micro-batch, stops, and goes on from its checkpoint with the next (X7)."""
     key = (app_key(spark), sf_dir, "steps")
     if key not in _RUNS:
         base = scratch_path(spark, "steps")
         paths = L.LivePaths(f"{base}/out", f"{base}/checkpoints")
         rows = TB.job_event_rows(spark, sf_dir)
         step = F.pmod(F.col("event_id"), F.lit(BATCHES))
-        for half in (range(0, BATCHES // 2), range(BATCHES // 2, BATCHES)):
-            for i in half:                         # files in the order of release
-                write_events(TB.job_event_values_from(rows.where(step == i)).coalesce(1), f"{base}/events/step={i}")
-            stream = file_job_stream(spark, f"{base}/events/*", max_files_per_trigger=1)
+        for i in range(BATCHES):                   # steps in the order of release
+            write_events(TB.job_event_values_from(rows.where(step == i)), f"{base}/events/step={i}")
+            stream = file_job_stream(spark, f"{base}/events/*")
             L.run_until_idle(L.start_live(spark, stream, paths, available_now=True), timeout_s=600)
         _RUNS[key] = paths
     return _RUNS[key]
@@ -186,10 +186,10 @@ def x03_recent_jobs_last_batch(spark, sf_dir):
 @register("x07_recovered_batches", f"""SELECT metric, CAST({BATCHES - 1} AS BIGINT) AS last_batch FROM
 (VALUES ('platform_counts'), ('keyword_counts'), ('recent_jobs')) t(metric)""")
 def x07_recovered_batches(spark, sf_dir):
-    """X7 + X9: after the restart the batch ids go on where the first run stopped,
-    one file a batch."""
+    """After each restart the batch ids go on where the run before stopped, one
+    step a batch."""
     path = _run_stepwise(spark, sf_dir).summary
-    s = spark.read.parquet(f"{path}/*").where("metric <> 'windowed_platform'")
+    s = spark.read.parquet(*[current_folder(spark, f"{path}/{m}") for m in L.LIVE_TABLES])
     return s.select("metric", F.col("batch_id").alias("last_batch"))
 
 

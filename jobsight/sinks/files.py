@@ -43,6 +43,13 @@ def write_documents(docs: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("platform").parquet(path))
 
 
+def replace_documents(docs: DataFrame, path: str) -> int:
+    """K3 for readers at work: the collection's next version, put in place whole."""
+    from jobsight.sinks.snapshots import replace_table
+
+    return replace_table(docs, path, write_documents)
+
+
 def append_records(df: DataFrame, path: str) -> None:
     """K7: add a page's records to the raw file (append mode)."""
     write_csv(df, path, mode="append")

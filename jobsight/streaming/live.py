@@ -5,14 +5,15 @@ Two streaming queries share one parsed source:
 * ``live``: one ``foreachBatch`` computes the platform counts (X1), keyword
   top 20 (X2) and newest 50 postings (X3) of the micro-batch from one
   persisted copy of the batch (the topic is read once, not three times);
-  each non-empty batch overwrites the three live tables, an empty batch
-  leaves them (K5), and one summary row per table is added (K6).
+  each non-empty batch replaces the three live tables, an empty batch
+  leaves them (K5), and so is one summary row per table (K6).
 * ``windowed``: tumbling 1-minute counts per platform with a 2-minute
-  watermark, update mode (X4); each batch's updated windows replace their older
-  counts in the history and the 20 newest windows overwrite the live view (X5).
+  watermark, update mode (X4); each batch's updated windows are added to the
+  window log and the 20 newest windows replace the live view (X5).
 
-Every write overwrites what the batch determines, so a batch replayed after a
-failure rewrites the same data: restarts from the checkpoint are idempotent.
+Tables are replaced by versions (``sinks.snapshots``): a reader sees one whole
+version, whatever a writer does. A batch replayed after a failure writes the same
+data again, or nothing: restarts from the checkpoint are idempotent.
 A batch is persisted while it is written; ``maxFilesPerTrigger`` (files) or
 ``maxOffsetsPerTrigger`` (Kafka) of the source bound its size.
 """
@@ -26,10 +27,10 @@ from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from jobsight.operators.ordering import recent_k, top_k
 from jobsight.schemas import RECENT_COLUMNS
+from jobsight.sinks.snapshots import WindowLog, current_folder, read_table, replace_table
 from jobsight.streaming.events import parse_events, utc_wall_clock
 
 LIVE_TABLES = ("platform_counts", "keyword_counts", "recent_jobs")
@@ -99,33 +100,14 @@ def _now_iso() -> str:
 
 
 def _write_summary(paths: LivePaths, batch_id: int, outputs: dict) -> None:
-    """K6: one row per metric (rows written) with the update time, in a folder
-    of its own that every batch overwrites: the summary never grows, and the
+    """K6: one row per metric (rows written) with the update time, in a table
+    of its own that every batch replaces: the summary never grows, and the
     two queries, which own different metrics, never touch each other's."""
     now = _now_iso()
     for metric, out in outputs.items():
         row = out.agg(F.count(F.lit(1)).alias("value")).select(
             F.lit(metric).alias("metric"), "value", F.lit(now).alias("last_updated"), F.lit(int(batch_id)).cast("long").alias("batch_id"))
-        row.coalesce(1).write.mode("overwrite").parquet(f"{paths.summary}/{metric}")
-
-
-def merge_windows(batch: DataFrame, path: str) -> None:
-    """The batch's windows replace their older counts in the history, which is
-    partitioned by day: only the days that a batch touches are rewritten, so
-    the folders follow the days of the stream, not the number of batches. An
-    updated window carries its full count, so a replayed batch changes nothing."""
-    spark = batch.sparkSession
-    new = batch.withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
-    try:
-        old = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException:                # the first batch
-        merged = new
-    else:
-        days = new.select("day").distinct()
-        kept = old.join(days, "day", "left_semi").join(new.select("window_start", "platform"), ["window_start", "platform"], "left_anti")
-        merged = new.unionByName(kept)
-    (merged.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("day").parquet(path))
+        replace_table(row.coalesce(1), f"{paths.summary}/{metric}")
 
 
 def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50):
@@ -141,7 +123,7 @@ def live_batch_writer(paths: LivePaths, keywords_n: int = 20, recent_n: int = 50
         try:
             for name, out in outputs.items():
                 out.persist()           # small: <= platforms, 20 and 50 rows
-                out.coalesce(1).write.mode("overwrite").parquet(paths.table(name))
+                replace_table(out.coalesce(1), paths.table(name))
             _write_summary(paths, batch_id, outputs)
         finally:
             for out in outputs.values():
@@ -161,8 +143,8 @@ def windowed_batch_writer(paths: LivePaths, n: int = 20):
             return
         latest = latest_windows(batch, n).persist()
         try:
-            merge_windows(batch, paths.window_history)
-            latest.coalesce(1).write.mode("overwrite").parquet(paths.window_live)
+            WindowLog(batch.sparkSession, paths.window_history).append(batch, batch_id)
+            replace_table(latest.coalesce(1), paths.window_live)
             _write_summary(paths, batch_id, {"windowed_platform": latest})
         finally:
             latest.unpersist()
@@ -223,18 +205,20 @@ def run_live_forever(spark: SparkSession, queries) -> None:
 # --- readers -------------------------------------------------------------------------
 
 def read_live(spark: SparkSession, paths: LivePaths, name: str) -> DataFrame:
-    return spark.read.parquet(paths.table(name))
+    return read_table(spark, paths.table(name))
 
 
 def read_summary(spark: SparkSession, paths: LivePaths) -> DataFrame:
     """Latest value per metric and its update time."""
-    return spark.read.parquet(f"{paths.summary}/*").select("metric", "value", "last_updated")
+    metrics = [*LIVE_TABLES, "windowed_platform"]
+    folders = [f for f in (current_folder(spark, f"{paths.summary}/{m}") for m in metrics) if f]
+    return spark.read.parquet(*(folders or [f"{paths.summary}/data"])).select("metric", "value", "last_updated")
 
 
 def read_windowed_final(spark: SparkSession, paths: LivePaths) -> DataFrame:
     """Final count per (window, platform)."""
-    return spark.read.parquet(paths.window_history).drop("day")
+    return WindowLog(spark, paths.window_history).read()
 
 
 def read_windowed_latest(spark: SparkSession, paths: LivePaths) -> DataFrame:
-    return spark.read.parquet(paths.window_live)
+    return read_table(spark, paths.window_live)
