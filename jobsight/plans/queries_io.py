@@ -13,7 +13,7 @@ from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
 from jobsight.plans.oracle import JOB_COLS, q, with_jobs
 from jobsight.session import app_key, scratch_path
-from jobsight.sinks.files import append_records, write_csv, write_documents
+from jobsight.sinks.files import append_records, replace_documents, write_csv, write_documents
 from jobsight.sources import files as SRC
 from jobsight.sources.testbed import source_frame_full
 
@@ -82,10 +82,9 @@ def _source_files(spark, sf_dir):
             write_csv(df, f"{base}/{SLUGS[p]}")
         # a source with a record of too many fields
         glints = source_frame_full(raw, "Glints", RAW_SCHEMAS["Glints"])
-        row = F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in glints.columns])
-        head = spark.createDataFrame([(";".join(glints.columns),)], "value string")
-        many = F.when(F.col("job_id") % 100 == 0, F.concat(row, F.lit(";too;many"))).otherwise(row)
-        head.unionByName(glints.select(many.alias("value"))).coalesce(1).write.text(f"{base}/broken")
+        last = glints.columns[-1]
+        many = F.when(F.col("job_id") % 100 == 0, F.concat(F.coalesce(f"`{last}`", F.lit("")), F.lit(";too;many"))).otherwise(F.col(f"`{last}`"))
+        (glints.withColumn(last, many).write.options(sep=";", header="true", quote="\u0000").csv(f"{base}/broken"))
     return _once(spark, sf_dir, "sources", write)
 
 
@@ -110,6 +109,19 @@ def s04_load_first_available(spark, sf_dir):
     ], _with_id(S.JOBS))
 
 
+@register("s05_read_replaced_documents", with_jobs(
+    f"SELECT job_id, {JOB_COLS}, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL "
+    f"THEN (salary_min + salary_max) / 2 END AS salary_avg FROM jobs"))
+def s05_read_replaced_documents(spark, sf_dir):
+    """K3 + S5 by versions: the collection is put in place, then replaced by its next version."""
+    def write(path):
+        docs = job_documents(spark, sf_dir)
+        replace_documents(docs.where("job_id % 2 = 0"), path)
+        replace_documents(docs, path)
+    path = _once(spark, sf_dir, "replaced", write)
+    return flatten_documents(SRC.read_documents(spark, path))
+
+
 @register("s05_read_documents", with_jobs(
     f"SELECT job_id, {JOB_COLS}, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL "
     f"THEN (salary_min + salary_max) / 2 END AS salary_avg FROM jobs"))

@@ -1,9 +1,10 @@
 """File sources S1-S5, S7, S8.
 
 CSV files of the scrapers are ``;``-separated, have a header, may start with a
-UTF-8 BOM (Spark drops it) and may hold quoted multi-line text, so they are
-read with ``multiLine`` and ``"`` as the escape of a quote. pandas' default NA
-tokens become null on read (P7), like the cleaning job's reader.
+UTF-8 BOM (Spark drops it) and may hold quoted multi-line text with ``"`` as the
+escape of a quote. Records are put together by ``quoted_csv``, so one file is read
+by many tasks. pandas' default NA tokens become null on read (P7), like the
+cleaning job's reader.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from jobsight.operators.normalize import nullify_na
+from jobsight.sinks.snapshots import current_folder
+from jobsight.sources.quoted_csv import csv_records
 
 CSV_OPTIONS = {"sep": ";", "header": "true", "multiLine": "true", "escape": '"',
                "encoding": "UTF-8"}
@@ -32,37 +35,62 @@ def header_schema(columns: Sequence[str], schema: StructType) -> StructType:
     return StructType([StructField(c, kinds.get(c, StringType()), True) for c in columns])
 
 
-def _read_by_name(spark: SparkSession, path: str, schema: StructType, multi_line: bool) -> DataFrame:
+def _ddl(schema: StructType) -> str:
+    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in schema.fields)
+
+
+def _body(records: DataFrame, columns: Sequence[str], sep: str) -> DataFrame:
+    """The records behind each file's header; a header that differs from ``columns``
+    stops the reading."""
+    fields = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns) + 1)])
+    head = F.from_csv("value", _ddl(fields), {"sep": sep, "escape": '"', "multiLine": "true"})
+    same = F.array(*[F.lower(head[f"c{i}"]) for i in range(len(columns) + 1)]).eqNullSafe(
+        F.array(*[F.lit(c.lower()) for c in columns], F.lit(None).cast("string")))
+    wrong = F.raise_error(F.concat(F.lit("CSV header does not conform to the first file's: "), "value")).cast("boolean")
+    return records.where(F.when(F.col("first"), F.when(same, F.lit(False)).otherwise(wrong)).otherwise(F.lit(True)))
+
+
+def _parsed(records: DataFrame, columns: Sequence[str], schema: StructType, sep: str = ";") -> DataFrame:
+    row = F.from_csv("value", _ddl(schema), {"sep": sep, "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": "_broken"})
+    return _body(records, columns, sep).select(row.alias("row")).select("row.*")
+
+
+def _columns_of(spark: SparkSession, path: str, schema: StructType) -> list:
     columns = header_columns(spark, path)
     missing = [f.name for f in schema.fields if f.name not in columns]
     if missing:
         raise ValueError(f"{path} has no column {missing}")
-    # every part file's header must agree with the first one's
-    options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower(), "enforceSchema": "false"}
-    return spark.read.options(**options).schema(header_schema(columns, schema)).csv(path)
+    return columns
 
 
 def read_jobs_csv(spark: SparkSession, path: str, schema: StructType, na_tokens: bool = True,
-                  multi_line: bool = True) -> DataFrame:
+                  multi_line: bool = True, records: Optional[DataFrame] = None) -> DataFrame:
     """A ``;`` CSV read by header name: columns may stand in any order and
     further ones are left out; a missing one is an error. NA tokens -> null.
 
-    ``multi_line`` allows newlines inside quotes, for which Spark must read a
-    file in one task; switch it off for files without them, so that large
-    files are split."""
-    df = _read_by_name(spark, path, schema, multi_line).select(*[f"`{f.name}`" for f in schema.fields])
+    Quoted fields may hold newlines and a file is still read by many tasks
+    (``quoted_csv.csv_records``, whose result may be given as ``records``). For files
+    known to hold none, ``multi_line=False`` spares the pass over quote states."""
+    columns = _columns_of(spark, path, schema)
+    if multi_line:
+        records = csv_records(spark, path, ";") if records is None else records
+        df = _parsed(records, columns, header_schema(columns, schema))
+    else:                                                   # every part file's header must agree with the first one's
+        options = {**CSV_OPTIONS, "multiLine": "false", "enforceSchema": "false"}
+        df = spark.read.options(**options).schema(header_schema(columns, schema)).csv(path)
+    df = df.select(*[f"`{f.name}`" for f in schema.fields])
     return nullify_na(df) if na_tokens else df
 
 
-def has_broken_rows(spark: SparkSession, path: str, schema: StructType) -> bool:
+def has_broken_rows(spark: SparkSession, path: str, schema: StructType, records: Optional[DataFrame] = None) -> bool:
     """Whether a record has more fields than the header (which stops the batch
-    reader, so the source counts as unreadable). One pass, ended by the first hit."""
-    broken = StructField("_broken", StringType(), True)
+    reader, so the source counts as unreadable). Ended by the first hit."""
     columns = header_columns(spark, path)
-    full = StructType(header_schema(columns, schema).fields + [broken])
+    records = csv_records(spark, path, ";") if records is None else records
+    full = StructType(header_schema(columns, schema).fields + [StructField("_broken", StringType(), True)])
     fields = F.regexp_count(F.regexp_replace("_broken", '"[^"]*"', ""), F.lit(";")) + 1
-    # the reader keeps a broken record's text only beside other columns
-    rows = (spark.read.options(**CSV_OPTIONS, columnNameOfCorruptRecord="_broken").schema(full).csv(path)
+    # the parser keeps a broken record's text only beside other columns
+    rows = (_parsed(records, columns, full)
             .where(F.col("_broken").isNotNull() & (fields > len(columns)) & (F.length(F.concat_ws("", *[f"`{c}`" for c in columns])) >= 0)))
     return not rows.isEmpty()
 
@@ -87,8 +115,10 @@ def read_sources(spark: SparkSession, specs: Sequence[tuple]) -> Optional[DataFr
     frames = []
     for name, path, schema, normalize in specs:
         try:
-            if not has_broken_rows(spark, path, schema):
-                frames.append(normalize(read_jobs_csv(spark, path, schema)))
+            header_columns(spark, path)                     # a missing file ends here
+            records = csv_records(spark, path, ";")
+            if not has_broken_rows(spark, path, schema, records):
+                frames.append(normalize(read_jobs_csv(spark, path, schema, records=records)))
         except (AnalysisException, ValueError):
             continue
     return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
@@ -109,8 +139,9 @@ def load_first_available(spark: SparkSession, loaders: Iterable[Callable[[], Dat
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The job documents without store id and import stamp."""
-    df = spark.read.parquet(path)
+    """The job documents (of a plain folder, or the last version of a replaced
+    collection) without store id and import stamp."""
+    df = spark.read.parquet(current_folder(spark, path) or path)
     return df.drop(*[c for c in ("_id", "imported_at") if c in df.columns])
 
 
@@ -167,7 +198,7 @@ def count_records_detect_delim(spark: SparkSession, paths: Sequence[str]) -> Dat
         first = spark.read.text(path).limit(1)
         delimiter = first.select(detect_delimiter("value").alias("d")).first()
         delimiter = delimiter["d"] if delimiter else CANDIDATE_DELIMITERS[0]
-        rows = spark.read.options(header="true", multiLine="true", escape='"', sep=delimiter).csv(path)
+        rows = csv_records(spark, path, delimiter).where("NOT first")
         counts.append(rows.agg(F.count(F.lit(1)).alias("records")).select(
             F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("dataset"), F.lit(delimiter).alias("delimiter"), "records"))
     return reduce(lambda a, b: a.unionByName(b), counts)
