@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobsight import functions as R
+from jobsight.operators import elements as EL
 from jobsight.operators import filters as W
 from jobsight.operators import pages as PG
 from jobsight.operators.joins import enrich_with_detail, not_yet_ingested
@@ -467,3 +468,50 @@ SELECT c AS page_id, 'https://board' || board || '.example/jobs?q=x&page=' || (c
 FROM p WHERE n_cards = 0 AND (marker OR c % 3 = 0)""")
 def w11_blocked_pages_cards(spark, sf_dir):
     return _blocked(card_pages(spark, sf_dir))
+
+
+# --- P14, P15 over nested markup: element intervals ----------------------------------------
+
+_NESTED = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS page_id, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+all_cards AS (
+  SELECT page_id, k, 0 AS inside, CASE WHEN k % 4 = 0 THEN 'Role ' || k || ' & more' WHEN k % 4 = 1 THEN 'Leadrole' || k WHEN k % 4 = 2 THEN 'Plain ' || k
+      WHEN k % 7 = 0 THEN 'Inner ' || k END AS job_title,
+    CASE WHEN k % 3 <> 0 THEN 'PT' || st END AS company_name, CASE WHEN k % 5 = 0 THEN 'Remote inJakarta' END AS location,
+    CASE WHEN k % 2 = 0 THEN 'Rp 5jt' END AS salary_raw, CASE WHEN k % 6 = 0 THEN 'Posted' WHEN k % 7 = 0 THEN 'today' END AS post_date,
+    CASE WHEN k % 4 = 0 THEN 'https://id.indeed.com/rc/' || k WHEN k % 4 = 2 THEN 'https://ex.org/?a=1&k=' || k END AS job_url,
+    'Work ' || pr || ' daily tasks' AS skills, CASE WHEN k % 5 = 0 THEN 'Remote' ELSE '' END AS remote_flag FROM o
+  UNION ALL
+  SELECT page_id, k, 1 AS inside, 'Inner ' || k, NULL, NULL, NULL, 'today', NULL, NULL, '' FROM o WHERE k % 7 = 0),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k, inside) - 1 AS INTEGER) AS card_no FROM all_cards)
+"""
+
+
+@register("p14_nested_card_records", _NESTED + "SELECT * EXCLUDE (k, inside) FROM numbered WHERE job_title IS NOT NULL")
+def p14_nested_card_records(spark, sf_dir):
+    """The board's records where cards hold cards, and titles and companies hold tags."""
+    return EL.indeed_records(EL.element_table(TB.nested_card_pages(spark, sf_dir)))
+
+
+@register("a20_element_counts", _NESTED + """SELECT page_id, CAST(count(*) AS INTEGER) AS cards, CAST(sum(inside) AS INTEGER) AS nested_cards,
+  CAST(2 * sum(1 - inside) AS INTEGER) AS items FROM numbered GROUP BY page_id""")
+def a20_element_counts(spark, sf_dir):
+    """Selector counts over elements: markup in comments and scripts does not count."""
+    t = EL.element_table(TB.nested_card_pages(spark, sf_dir))
+    count = lambda s: F.size(F.array_distinct(EL.Selector(s).within(F.col("elements"))))
+    return t.select("page_id", count("div.job_seen_beacon").alias("cards"),
+                    count("div.job_seen_beacon div.job_seen_beacon").alias("nested_cards"), count(".job-snippet ul li").alias("items"))
+
+
+def _element_sql(name):
+    text = f"regexp_extract(html, '<{name}>([^<]*)</{name}>', 1)"
+    for reference, char in [("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")]:
+        text = f"replace({text}, '{reference}', {char})"
+    return f"nullif({strip(text)}, '')"
+
+
+@register("p15_element_text", f"SELECT page_id, {_element_sql('h1')} AS heading, {_element_sql('title')} AS title FROM pages")
+def p15_element_text(spark, sf_dir):
+    """First heading and title of the given pages, as texts of elements."""
+    t = EL.element_table(read_table(spark, sf_dir, "pages"))
+    text = lambda s: F.nullif(EL.text_of(F.col("texts"), EL.first_of(F.col("elements"), None, [s]), None), F.lit(""))
+    return t.select("page_id", text("h1").alias("heading"), text("title").alias("title"))

@@ -285,6 +285,28 @@ def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("o_custkey") % 3).cast("string")).alias("url"))
 
 
+def nested_card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages with nested markup, one page a customer and one card an order:
+    tags inside titles, companies and locations, a card inside every seventh card,
+    stray end tags, and card markup in comments and scripts."""
+    k = "o_orderkey"
+    card = f"""concat('<div class="x job_seen_beacon">',
+      CASE {k} % 4 WHEN 0 THEN concat('<h3 class="jobTitle"><a class="jcs-JobTitle" href="/rc/', {k}, '"><span title="Role ', {k}, ' &amp; more">Role <b>', {k}, '</b></span></a></h3>')
+        WHEN 1 THEN concat('<h2 class=\\'jobTitle css\\'><span>Lead <em>role</em> ', {k}, '</span></h2>')
+        WHEN 2 THEN concat('<h3 class="jobTitle"><a data-jk="', {k}, '" href="https://ex.org/?a=1&amp;k=', {k}, '"><span>Plain ', {k}, '</span></a></h3>') ELSE '<h3>no title</h3>' END,
+      CASE WHEN {k} % 3 = 0 THEN '' ELSE concat('<span data-testid="company-name">PT <i>', o_orderstatus, '</i></span>') END,
+      CASE WHEN {k} % 5 = 0 THEN '<div data-testid="text-location">Remote in <b>Jakarta</b></div></section>' ELSE '<!-- <div data-testid="text-location">x</div> -->' END,
+      CASE WHEN {k} % 2 = 0 THEN '<div class="metadata salary-snippet-container"><span>Rp 5</span> jt</div>' ELSE '' END,
+      CASE WHEN {k} % 6 = 0 THEN '<span class="date">Posted</span>' ELSE '' END,
+      '<div class="job-snippet"><ul><li>Work ', o_orderpriority, '</li><li>daily<br>tasks</ul></div>',
+      CASE WHEN {k} % 7 = 0 THEN concat('<div class="job_seen_beacon"><h2 class="jobTitle"><span title="Inner ', {k}, '">x</span></h2><span class="date">today</span></div>') ELSE '' END, '</div>')"""
+    cards = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr(card).alias("card"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "card"))), lambda x: x["card"]), "\n")
+    html = F.concat(F.lit("<html><body></p><script>var c = '<div class=\"job_seen_beacon\">';</script>"), body, F.lit("</body>"))
+    return cards.groupBy("o_custkey").agg(html.alias("html")).select(
+        F.col("o_custkey").alias("page_id"), F.concat(F.lit("https://board.example/"), "o_custkey").alias("url"), "html")
+
+
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 
 
