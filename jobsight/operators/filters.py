@@ -7,10 +7,11 @@ import re
 from functools import reduce
 from typing import Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsight.functions import py_strip
+from jobsight.functions.stemming import stems_sql
 
 # --- fixed values: markers of a blocked / challenge page --------------------------
 BLOCK_MARKERS = ["cloudflare", "security check", "challenge", "captcha"]
@@ -79,31 +80,25 @@ _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅ
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
-def search_tokens(text) -> Column:
-    """Folded tokens of a text without stop words, reduced to their plain form
-    (``plain_form``): the column a text index stores."""
+def search_words(text) -> Column:
+    """Folded words of a text, each once, without stop words."""
     words = F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN)), r"[^\p{L}\p{N}]+")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.array_distinct(F.transform(kept, plain_form))
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS)))
 
 
-# --- fixed values: endings of English words and what stays of them, in order ---------
-_ENDINGS = [
-    (r"^(.*ss)es$", "$1"), (r"^(..+)(?:ies|ied)$", "$1i"),                # classes, studies
-    (r"^(.*[aeiouy].*[^su])s$", "$1"),                                    # engineers
-    (r"^(.*[aeiouy].*[^e])(?:ingly|edly|ing|ed|er)$", "$1"),              # testing, tested, tester
-    (r"([bdfgmnprt])\1$", "$1"),                                          # runn(ing)
-    (r"(?<=...)e$", ""), (r"([^aeiou])y$", "$1i"),                        # manage, study
-]
+def with_search_tokens(df: DataFrame, fields=TEXT_FIELDS, name: str = "search_tokens") -> DataFrame:
+    """The table with the stems of its fields' words: what a text index stores."""
+    words = search_words(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    return df.withColumn(name, words).withColumn(name, F.expr(f"array_distinct({stems_sql(name)})"))
 
 
-def plain_form(w: Column) -> Column:
-    """A word without its inflection, by the first steps of the English stemming
-    rules (plural, -ed, -ing, -er and what they leave behind); one linear chain
-    of replacements. Text and query are treated alike, so both meet."""
-    for pattern, stay in _ENDINGS:
-        w = F.regexp_replace(w, pattern, stay)
-    return w
+def query_stems(spark: SparkSession, words: Sequence[str]) -> list:
+    """The stems of a query's words (letters and digits), found once and not beside every row."""
+    if not words:
+        return []
+    literals = ", ".join(f"'{w}'" for w in words)
+    row = spark.sql(f"SELECT {stems_sql('words')} AS s FROM VALUES (array({literals})) AS q(words)").first()
+    return list(dict.fromkeys(row["s"]))
 
 
 def parse_text_query(query: str):
@@ -131,32 +126,37 @@ def text_search(df: DataFrame, query: Optional[str], fields=TEXT_FIELDS, tokens:
     terms, phrases, negated = parse_text_query(query)
     if not terms and not phrases:          # only exclusions select nothing
         return df.where(F.lit(False))
-    own = F.col(tokens) if tokens else search_tokens(F.concat_ws(" ", *[F.col(f) for f in fields]))
+    name, columns = tokens or "__search_tokens", df.columns
+    if not tokens and (terms or negated):
+        df = with_search_tokens(df, fields, name)
 
     def any_token(words) -> Column:
-        return F.arrays_overlap(own, F.array(*[plain_form(F.lit(w)) for w in words]))
+        return F.arrays_overlap(F.col(name), F.array(*[F.lit(w) for w in query_stems(df.sparkSession, words)]))
 
     cond = any_token(terms) if terms else F.lit(True)
-    for p in phrases:
-        folded = [F.lower(F.translate(F.col(f), _ACCENTED, _PLAIN)).contains(p) for f in fields]
-        cond = cond & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in folded])
+    cond = cond & has_phrases(phrases, fields)
     if negated:
         cond = cond & ~any_token(negated)
-    return df.where(F.coalesce(cond, F.lit(False)))
+    return df.where(F.coalesce(cond, F.lit(False))).select(*[f"`{c}`" for c in columns])
 
 
-def with_search_tokens(df: DataFrame, fields=TEXT_FIELDS, name: str = "search_tokens") -> DataFrame:
-    """The table with its token column, made once when the cleaned table is written."""
-    return df.withColumn(name, search_tokens(F.concat_ws(" ", *[F.col(f) for f in fields])))
+def has_phrases(phrases: Sequence[str], fields: Sequence[str]) -> Column:
+    """Every phrase stands in some field, accents and case aside."""
+    cond = F.lit(True)
+    for p in phrases:
+        folded = [F.lower(F.translate(F.col(f), _ACCENTED, _PLAIN)).contains(p) for f in fields]
+        cond = cond & reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in folded])
+    return cond
 
 
 def search_jobs(df: DataFrame, query: Optional[str] = None, platforms=None, countries=None,
                 min_salary: float = 0, mode: str = "documents",
-                all_platforms=None, all_countries=None) -> DataFrame:
+                all_platforms=None, all_countries=None, index=None) -> DataFrame:
     """The job finder.
 
     ``mode="documents"``: an empty or complete selection means no filter (so
-    null platforms/countries stay), query is a text search (W7).
+    null platforms/countries stay), query is a text search (W7), through the
+    table's ``SearchIndex`` where one is given.
     ``mode="table"``: selections are plain IN filters (empty -> no rows, nulls
     never match), query is a case-insensitive regex on title/company (W6).
     """
@@ -170,7 +170,7 @@ def search_jobs(df: DataFrame, query: Optional[str] = None, platforms=None, coun
         out = value_in(df, "platform", sel(platforms, all_platforms))
         out = value_in(out, "country", sel(countries, all_countries))
         out = salary_at_least(out, min_salary)
-        return text_search(out, query)
+        return index.search(out, query) if index is not None else text_search(out, query)
     out = df.where(F.col("platform").isin(list(platforms or [])))
     out = out.where(F.col("country").isin(list(countries or [])))
     if query:

@@ -16,7 +16,7 @@ from jobsight.operators import ordering as T
 from jobsight.operators.dedup import dedup_keep_first, dedup_keep_last, dedup_normalized
 from jobsight.operators.normalize import flatten_documents, merge_master
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import cached_raw_jobs, cleaned_jobs, job_documents, unified_jobs, unified_jobs_by_union
+from jobsight.plans.jobs import cached_raw_jobs, cleaned_jobs, job_documents, jobs_index, unified_jobs, unified_jobs_by_union
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
 from jobsight.session import read_table
@@ -306,6 +306,14 @@ def w07_text_search(spark, sf_dir):
     return W.text_search(_table(spark, sf_dir), _SEARCH)
 
 
+@register("w07_indexed_search", with_jobs(
+    f"SELECT {_ALL} FROM jobs WHERE {_has(_TF, 'engineers?', 'analysts?', 'web', 'developers?')} "
+    f"AND {_phrase(_TF, 'data')} AND NOT {_has(_TF, 'qa')}"))
+def w07_indexed_search(spark, sf_dir):
+    """The same search through the inverted index."""
+    return jobs_index(spark, sf_dir).search(_table(spark, sf_dir), _SEARCH)
+
+
 # accented titles, and a phrase that only the seam of two fields would hold
 _RESUME = ("SELECT job_id, CASE mod(job_id, 3) WHEN 0 THEN 'Résumé Writers' WHEN 1 THEN 'Senior Data' ELSE 'Full stack dev' END AS job_title, "
            "CASE mod(job_id, 2) WHEN 0 THEN 'Engineer Works' END AS company_name, CAST(NULL AS VARCHAR) AS skills FROM jobs_raw")
@@ -343,6 +351,16 @@ def w08_search_jobs_documents(spark, sf_dir):
                          all_platforms=PLATFORMS, all_countries=countries)
 
 
+@register("w08_search_jobs_indexed", with_jobs(
+    f"SELECT {_ALL} FROM jobs WHERE platform IN ('Karir.com', 'Glints') AND country IN ('Indonesia', 'Japan') "
+    f"AND (coalesce(salary_min >= 5000000, false) OR coalesce(salary_max >= 5000000, false)) "
+    f"AND {_has(_TF, 'spark', 'python')}"))
+def w08_search_jobs_indexed(spark, sf_dir):
+    """The job finder over the cleaned table and its index."""
+    return W.search_jobs(_table(spark, sf_dir), query="spark python", platforms=["Karir.com", "Glints"],
+                         countries=["Indonesia", "Japan"], min_salary=5_000_000, index=jobs_index(spark, sf_dir))
+
+
 @register("w08_search_jobs_table", with_jobs(
     f"SELECT {_ALL} FROM jobs WHERE platform IN ('Karir.com', 'Glints', 'Indeed') "
     f"AND country IN ('Indonesia', 'Japan', 'Singapore') "
