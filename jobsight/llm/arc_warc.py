@@ -164,14 +164,15 @@ def convert(arcs: DataFrame, arc_col: str = "arc") -> DataFrame:
 def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``records`` with ``refers_to``: the smallest record_key of the same payload
     (of ``min_bytes`` or more) where that is another record, else null. Only keys
-    and digests are grouped; the payloads meet the few results by key."""
+    and digests are grouped; the payloads meet the few results by both, as a key may
+    stand for several payloads."""
     keys = records.where((F.col("warc_type") == "response") & F.col("record_key").isNotNull()
                          & (F.length("payload") >= min_bytes)).select("record_key", "payload_digest")
     first = (keys.groupBy("payload_digest").agg(F.min("record_key").alias("first"), F.max("record_key").alias("top"))
              .where("first < top").drop("top"))
     revisits = (keys.join(first, "payload_digest").where("record_key > first")
-                .select("record_key", F.col("first").alias("refers_to")).distinct())
-    return records.join(revisits, "record_key", "left")
+                .select("record_key", "payload_digest", F.col("first").alias("refers_to")).distinct())
+    return records.join(revisits, ["record_key", "payload_digest"], "left")
 
 
 # ------------------------------------------------------------------- WARC files

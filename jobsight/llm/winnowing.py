@@ -99,11 +99,11 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
             ids, need, slots, hits = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ws = item_words(text)
-                if not ws or key is None:
+                if not ws:
                     continue
                 kind = 0 if len(ws) >= WINDOW else len(ws)
                 for hit in _fingerprints(ws, hashes, [kind], None):
-                    ids.append(str(key))
+                    ids.append(None if key is None else str(key))
                     need.append(kind or WINDOW)
                     slots.append(int(_slot(kind, np.array([hit["fp"]], np.int64).view(np.uint64))[0]))
                     hits.append(hit)
@@ -112,7 +112,7 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
                 ["item", "need", "slot", "hit"])
 
     return (items.select(id_col, text_col).mapInArrow(run, f"item string, need int, slot bigint, hit {_HIT_SQL}")
-            .select("item", "need", "slot", "hit.*").drop("pos")
+            .select("item", "need", "slot", "hit.*").drop("pos").distinct()   # a repeated passage once
             .withColumnsRenamed({"before": "item_before", "after": "item_after"}))
 
 

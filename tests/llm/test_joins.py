@@ -14,7 +14,7 @@ from jobsight.llm import extendible_sharding as E
 from jobsight.llm import ngram_join as N
 from jobsight.llm import posting_ann as P
 from jobsight.llm.components import connected_components
-from jobsight.llm.winnowing import contamination
+from jobsight.llm.winnowing import contamination, item_fingerprints
 
 
 # ------------------------------------------------------------------- archives
@@ -132,6 +132,14 @@ def test_connected_components_of_a_path(spark):
     assert got == {**{i: 0 for i in range(1, 60)}, 101: 100}
 
 
+def test_one_id_with_several_payloads(spark):
+    rows = [(1, "B"), (2, "A"), (5, "A"), (5, "B"), (5, "C"), (5, "C"), (7, "C")]
+    pages = spark.createDataFrame([(k, "u", t) for k, t in rows], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in A.pages_through_warc(pages).collect())
+    first = {t: min(k for k, x in rows if x == t) for _, t in rows}
+    assert got == sorted((k, A.digest(t.encode()), "revisit" if k > first[t] else "response", first[t] if k > first[t] else None) for k, t in rows)
+
+
 # ------------------------------------------------------------- decontamination
 
 def brute_contamination(docs, items):
@@ -149,7 +157,7 @@ def brute_contamination(docs, items):
                 if found := wins.get((n, tuple(w[i:i + n]))):
                     hit.update(range(i, i + n))
                     own |= found
-        ids = ",".join(sorted(map(str, own)))
+        ids = ",".join(sorted(str(x) for x in own if x is not None))     # an item without id hits, and has no name
         out.append((-1 if r["doc_id"] is None else r["doc_id"], len(w), len(hit), len(own), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
@@ -174,12 +182,23 @@ def test_contamination_equals_brute_force(spark):
         assert got == brute_contamination(docs.collect(), some.collect())
 
 
+def test_repeated_words_on_both_sides(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000 + "end") for i in range(2)] + [(2, "word " * 9)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "word " * 1000), (2, "word " * 999 + "other")], "item_id bigint, text string")
+    assert item_fingerprints(items).count() < 60
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in contamination(docs, items).collect()}
+    assert got == {0: (2000, 2), 1: (2000, 2), 2: (0, 0)}
+
+
 def test_contamination_of_awkward_rows(spark):
     docs = awkward_docs(spark)
     items = spark.createDataFrame([(1, "ALPHA beta, gamma delta epsilon zeta eta theta iota kappa lambda"), (None, "one"), (2, "one")],
                                   "item_id bigint, text string")
     got = sorted((-1 if x["doc_id"] is None else x["doc_id"], *x[1:]) for x in contamination(docs, items).collect())
-    assert got == brute_contamination(docs.collect(), items.where("item_id IS NOT NULL").collect())
+    assert got == brute_contamination(docs.collect(), items.collect())
+    nameless = items.where("item_id IS NULL")
+    got = sorted((-1 if x["doc_id"] is None else x["doc_id"], *x[1:]) for x in contamination(docs, nameless).collect())
+    assert got == brute_contamination(docs.collect(), nameless.collect()) and any(x[-1] for x in got)
     assert contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert contamination(empty_docs(spark), items).count() == 0
 
