@@ -14,12 +14,14 @@ from jobsight.operators import aggregates as A
 from jobsight.operators import filters as W
 from jobsight.operators import ordering as T
 from jobsight.operators.dedup import dedup_keep_first, dedup_keep_last, dedup_normalized
+from jobsight.operators.master import Master
 from jobsight.operators.normalize import flatten_documents, merge_master
+from jobsight.operators.page_index import PageIndex
 from jobsight.plans.catalog import register
 from jobsight.plans.jobs import cached_raw_jobs, cleaned_jobs, job_documents, jobs_index, unified_jobs, unified_jobs_by_union
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
-from jobsight.session import read_table
+from jobsight.session import read_table, scratch_path
 from jobsight.sources.testbed import source_frame
 
 
@@ -487,6 +489,27 @@ def u02_merge_master(spark, sf_dir):
                         ["job_title", "company_name", "location"], "job_id")
 
 
+@register("u02_merge_master_incremental", with_jobs(
+    "SELECT * EXCLUDE (rn, batch) FROM (SELECT *, row_number() OVER (PARTITION BY job_title, company_name, "
+    "location ORDER BY batch DESC, job_id DESC) AS rn FROM "
+    "(SELECT *, mod(job_id, 3) AS batch FROM ka) b) r WHERE rn = 1", _KARIR))
+def u02_merge_master_incremental(spark, sf_dir):
+    """U2 by the bucketed master: three batches, of which only the new rows move."""
+    ka = source_frame(cached_raw_jobs(spark, sf_dir), "Karir.com")
+    master = Master(spark, scratch_path(spark, "master"), ["job_title", "company_name", "location"])
+    for i in range(3):
+        master.update(ka.where(F.pmod("job_id", F.lit(3)) == i), "job_id")
+    return master.read()
+
+
+@register("t03_page_index", with_jobs(
+    "SELECT job_id, salary_min FROM jobs ORDER BY salary_min NULLS FIRST, job_id LIMIT 500 OFFSET 9500"))
+def t03_page_index(spark, sf_dir):
+    """Page 20 through the page index: opens the files that hold it."""
+    j = _table(spark, sf_dir).select("job_id", "salary_min")
+    return PageIndex(spark, scratch_path(spark, "pages"), "salary_min").build(j).page(20, 500)
+
+
 @register("u03_facet_values", with_jobs(
     "SELECT DISTINCT country FROM jobs WHERE country IS NOT NULL"))
 def u03_facet_values(spark, sf_dir):
