@@ -21,6 +21,7 @@ from jobsight.session import app_key, read_table, scratch_path
 from jobsight.sinks.snapshots import current_folder
 from jobsight.sources import testbed as TB
 from jobsight.streaming import live as L
+from jobsight.streaming.message_log import log_job_stream, publish
 from jobsight.streaming.events import file_job_stream, iso_utc, parse_events, utc_wall_clock, write_events
 
 #: Message files (the topic's stand-in) of one micro-batch.
@@ -254,3 +255,34 @@ def w12_stream_is_live(spark, sf_dir):
             .when(k == 3, "2024-05-01T11:58:00+00:00").when(k == 4, "2024-05-01T11:59:59"))
     rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("last_updated"))
     return W.stream_is_live(rows, now).select("id", "is_live")
+
+
+@register("s06_message_log_latest", f"""SELECT platform, count(*) AS events FROM ({EVENTS_PARSED}) e
+WHERE mod(event_id, {BATCHES}) <> 0 GROUP BY platform""")
+def s06_message_log_latest(spark, sf_dir):
+    """S6 + X9 over the message log: the first step lies there before the job starts at
+    ``latest``, the second comes while it runs, the others before it goes on from its
+    checkpoint; offsets a trigger are bounded."""
+    key = (app_key(spark), sf_dir, "log")
+    if key not in _RUNS:
+        base = scratch_path(spark, "message-log")
+        rows = TB.job_event_rows(spark, sf_dir)
+        parts = [TB.job_event_values_from(rows.where(F.pmod(F.col("event_id"), F.lit(BATCHES)) == i)) for i in range(BATCHES)]
+
+        def run(before, during):
+            for part in before:
+                publish(part, f"{base}/log")
+            stream = log_job_stream(spark, f"{base}/log", max_offsets_per_trigger=50_000, progress=f"{base}/progress")
+            query = (parse_events(stream).writeStream.format("parquet").option("path", f"{base}/out")
+                     .option("checkpointLocation", f"{base}/checkpoint").trigger(processingTime="0 seconds").start())
+            try:
+                query.processAllAvailable()
+                for part in during:
+                    publish(part, f"{base}/log")
+                    query.processAllAvailable()
+            finally:
+                query.stop()
+        run(parts[:1], parts[1:2])
+        run(parts[2:], [])
+        _RUNS[key] = f"{base}/out"
+    return spark.read.parquet(_RUNS[key]).groupBy("platform").agg(F.count(F.lit(1)).alias("events"))

@@ -24,7 +24,7 @@ from jobsight.sources.quoted_csv import csv_records
 CSV_OPTIONS = {"sep": ";", "header": "true", "multiLine": "true", "escape": '"',
                "encoding": "UTF-8"}
 
-# --- fixed values: delimiters a header line is tested for, in tie order --------------
+# --- fixed values: delimiters of the scrapers' files, the usual one first -------------
 CANDIDATE_DELIMITERS = [";", ",", "\t", "|"]
 
 
@@ -177,14 +177,35 @@ def read_if_present(spark: SparkSession, path: str, schema: StructType) -> Optio
     return read_jobs_csv(spark, path, schema)
 
 
+# --- fixed values: signs taken as delimiters in this order, where nothing is quoted ------
+PREFERRED_DELIMITERS = [",", "\t", ";", " ", ":"]
+# --- fixed values: a quoted field between, before and behind a delimiter -----------------
+_QUOTED = [
+    r"""(?s)([^\w\n"'])( ?)(["']).*?\3\1""",
+    r"""(?s)^(["']).*?\1([^\w\n"'])( ?)""",
+    r"""(?s)([^\w\n"'])( ?)(["']).*?\3$""",
+]
+_QUOTED_GROUP = [1, 2, 1]
+
+
 def detect_delimiter(header) -> F.Column:
-    """The candidate delimiter occurring most often in a header line
-    (ties: earlier candidate)."""
+    """The delimiter of a header line, found as the counting script's sniffer finds it:
+    the sign that most often stands beside quoted fields; where none is quoted, every
+    sign of a single line is as consistent as any other, and the first of the preferred
+    ones that occurs is taken. Where none of these occurs the most frequent other sign
+    is (the sniffer would take the most frequent character, letters too); a line
+    without signs has the first candidate."""
     h = F.col(header) if isinstance(header, str) else header
-    best = F.greatest(*[F.struct(F.regexp_count(h, F.lit("\\" + d if d == "|" else d)).alias("n"),
-                                 F.lit(-i).alias("rank"), F.lit(d).alias("d"))
-                        for i, d in enumerate(CANDIDATE_DELIMITERS)])
-    return best["d"]
+
+    def most_frequent(found: F.Column) -> F.Column:
+        ranked = F.transform(F.array_distinct(found), lambda x: F.struct(
+            F.size(F.filter(found, lambda y: y == x)).alias("n"), (-F.array_position(found, x)).alias("first"), x.alias("sign")))
+        return F.array_max(ranked)["sign"]
+
+    quoted = [most_frequent(F.regexp_extract_all(h, F.lit(rx), g)) for rx, g in zip(_QUOTED, _QUOTED_GROUP)]
+    preferred = [F.when(h.contains(d), d) for d in PREFERRED_DELIMITERS]
+    other = most_frequent(F.regexp_extract_all(h, F.lit(r"([^\w\s\"'])"), 1))
+    return F.coalesce(*quoted, *preferred, other, F.lit(CANDIDATE_DELIMITERS[0]))
 
 
 def count_records_detect_delim(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

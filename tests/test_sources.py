@@ -101,3 +101,21 @@ def test_sinks(spark, tmp_path):
     folders = sorted(d for d in os.listdir(tmp_path / "docs") if d.startswith("platform="))
     assert folders == ["platform=Glints", "platform=Indeed"]
     assert SRC.read_documents(spark, str(tmp_path / "docs")).where(F.col("platform") == "Indeed").count() == 1
+
+
+HEADERS = ["a;b;c", "a,b", "a\tb\tc", "Judul Posisi;Nama Perusahaan;Lokasi", "x;y, z;w", "one two,three four five six",
+           "'a b';'c, d';'e'", '"a,b";"c,d";"e,f"', '"a b"|"c d"|"e"', 'name|"a, b"|"c, d"|x', "a:b:c", "k;v;'it''s';z",
+           "first name last name\tage", '"only one"', "date:time;zone", "a;b;c;d,e", '"q;r",s', "x=1;y=2,z=3"]
+
+
+def test_delimiters_equal_the_standard_sniffer(spark):
+    """On every header for which the sniffer finds a sign (it may also settle for a letter)."""
+    import csv
+
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(HEADERS)], "i int, h string").select("i", SRC.detect_delimiter("h").alias("d")).collect()
+    got = {HEADERS[r["i"]]: r["d"] for r in got}
+    want = {h: csv.Sniffer().sniff(h).delimiter for h in HEADERS}
+    assert {h: d for h, d in got.items() if not want[h].isalnum()} == {h: d for h, d in want.items() if not d.isalnum()}
+    assert sum(not d.isalnum() for d in want.values()) >= len(HEADERS) - 1
+    # headers in which the most frequent candidate is not the delimiter
+    assert want["x;y, z;w"] == "," and want["first name last name\tage"] == "\t" and got["name|\"a, b\"|\"c, d\"|x"] == "|"
