@@ -22,6 +22,7 @@ from jobsight.plans.jobs import cached_raw_jobs, cleaned_jobs, job_documents, jo
 from jobsight.plans.oracle import JOB_COLS, docs_cte, money, q, strip, top, with_jobs
 from jobsight.schemas import PLATFORMS, UNDISCLOSED_COMPANY
 from jobsight.session import read_table, scratch_path
+from jobsight.sinks.observed import write_documents_observed
 from jobsight.sources.testbed import source_frame
 
 
@@ -204,18 +205,27 @@ def a17_dashboard_kpis(spark, sf_dir):
     return A.dashboard_kpis(_jobs(spark, sf_dir))
 
 
-@register("a18_integration_report", with_jobs(
+_REPORT = with_jobs(
     f"""SELECT 'platform' AS section, platform AS item, count(*) AS count, CAST(NULL AS DOUBLE) AS pct
 FROM jobs GROUP BY platform
 UNION ALL
 SELECT * FROM (SELECT 'country' AS section, country AS item, count(*) AS count, CAST(NULL AS DOUBLE) AS pct
   FROM jobs GROUP BY country {top('count', 'item', n=5)})
 UNION ALL
-SELECT 'salary' AS section, 'with_salary' AS item, with_salary AS count, pct FROM ({_COVERAGE}) c"""))
+SELECT 'salary' AS section, 'with_salary' AS item, with_salary AS count, pct FROM ({_COVERAGE}) c""")
+
+
+@register("a18_integration_report", _REPORT)
 def a18_integration_report(spark, sf_dir):
     return A.integration_report(_jobs(spark, sf_dir), 5)
 
 
+@register("a18_report_while_writing", _REPORT)
+def a18_report_while_writing(spark, sf_dir):
+    """The same report from the counts that the clean write takes."""
+    return write_documents_observed(_jobs(spark, sf_dir), scratch_path(spark, "observed")).report(spark, 5)
+
+
 def _glints_dedup(spark, sf_dir):
     """Glints cards with the scraper's company default, deduplicated by the
     lower-cased (title, company, keyword) key, first card wins (N4)."""

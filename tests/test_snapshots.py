@@ -107,3 +107,20 @@ def test_window_log(spark, tmp_path):
         log.append(spark.createDataFrame([("99", "x", "replayed", 1)], schema), batch_id)
     got = {(a, c): n for a, _, c, n in rows(log.read(), "window_start", "window_end", "platform", "jobs_per_minute")}
     assert got == want and {x["level"] for x in runs} == {0, 1}
+
+
+def test_counts_taken_while_writing(spark, tmp_path):
+    from jobsight.operators.aggregates import integration_report
+    from jobsight.sinks.observed import write_documents_observed
+
+    r = random.Random(8)
+    data = [(r.choice(["Glints", "Indeed", "LinkedIn"]), r.choice(["Indonesia", "Japan", "Singapore"]), r.choice([None, 1.0]), "k") for _ in range(400)]
+    schema = "platform string, country string, salary_min double, keyword string"
+    for extra in ([], [("Another board", "Japan", 1.0, "k"), (None, None, None, None)]):
+        docs = spark.createDataFrame(data + extra, schema).repartition(5)
+        counts = write_documents_observed(docs, str(tmp_path / f"t{len(extra)}"))
+        assert (counts.total, counts.elsewhere) == (len(data + extra), len(extra))
+        assert sorted(rows(counts.report(spark)), key=repr) == sorted(rows(integration_report(docs)), key=repr)
+        assert spark.read.parquet(counts.path).count() == counts.total
+    empty = write_documents_observed(spark.createDataFrame([], schema), str(tmp_path / "empty"))
+    assert (empty.total, rows(empty.report(spark))) == (0, [("salary", "with_salary", 0, None)])
