@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from jobsight.llm.common import byte_slices, materialise
 
 #: Bytes of text that a task sorts at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Windows (before adding up equal ones) that a range holds, about; how many ranges at most.
-RANGE_WINDOWS, MAX_RANGES = 3_000_000, 65_536
+RANGE_WINDOWS, MAX_RANGES = 2_000_000, 65_536
 #: Rows of the sample (at least; one in 5,000), every how many words a window is taken, and a row's most.
 SAMPLE_ROWS, SAMPLE_STEP, SAMPLE_MOST = 512, 32, 1024
 BREAKS = b".,;:!?\n\x0b\x0c\r"
