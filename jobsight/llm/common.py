@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobsight.session import scratch_path
 
@@ -26,7 +27,51 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialised tables that nothing will read again. Only what
+    ``materialise`` returned itself has a folder; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            table.scratch = None
+
+
+#: Bits of the filter of ``near_keys``: 2^18 words of 64 bits, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def near_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` and ``__near``: true for every row whose ``column`` is among ``keys``, and for
+    few others. A bitmap over key hashes meets the rows as a broadcast table of at most
+    2^18 words (4 MB); as the keys grow it fills, and more others are near."""
+    def slot(c: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
+
+    words = materialise(
+        keys.where(F.col(column).isNotNull()).select(slot(F.col(column)).alias("__slot"))
+        .groupBy(F.shiftright("__slot", 6).alias("__at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__slot & 63 AS INT))")).alias("__word")), "key-filter")
+    own = slot(F.col(column))
+    met = rows.withColumn("__at", F.shiftright(own, 6)).join(F.broadcast(words), "__at", "left")
+    near = F.col("__word").isNotNull() & F.col(column).isNotNull() & (
+        F.call_function("getbit", F.coalesce("__word", F.lit(0)).cast("long"), own.bitwiseAND(63).cast("int")) == 1)
+    return met.select(*rows.columns, near.alias("__near"))
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is not among ``keys`` (null stays). Rows that are not near
+    stay where they are; only the others meet the keys in a join."""
+    met = near_keys(rows, keys, column)
+    return met.where("NOT __near").drop("__near").unionByName(
+        met.where("__near").drop("__near").join(keys, column, "left_anti").select(rows.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.llm.common import materialise
+from jobsight.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         twice = e.groupBy("u").count().where("count > 1")
         inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u", "left_semi")
         if twice.select("u").unionByName(inner).isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out.scratch = e.scratch
+            return out
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,4 +28,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = materialise(small, "small-star")
+        before, e = e, materialise(small, "small-star")
+        discard(before, large)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.llm.common import WordHashes, gram_hashes, materialise, slices, words
+from jobsight.llm.common import WordHashes, discard, gram_hashes, materialise, near_keys, slices, without, words
 from jobsight.llm.components import connected_components
 
 SHINGLE = 3
@@ -80,7 +80,7 @@ def word_count_table(docs: DataFrame) -> np.ndarray:
              pa.array([x.tobytes() for x in low], pa.binary())], ["part", "block", "counts"])
 
     schema = "part bigint, block int, counts binary"
-    tables = materialise(docs.select("text").mapInArrow(run, schema), "word-counts")
+    counted = tables = materialise(docs.select("text").mapInArrow(run, schema), "word-counts")
     parts = (tables.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // _FAN_IN)
@@ -89,6 +89,7 @@ def word_count_table(docs: DataFrame) -> np.ndarray:
     out = np.zeros((_BLOCKS, (1 << COUNT_BITS) // _BLOCKS), dtype=np.uint64)
     for _, block, counts in tables.collect():             # fixed size
         out[block] += np.frombuffer(counts, dtype=np.uint32)
+    discard(counted)
     return np.minimum(out.reshape(-1), 2**27).astype(np.uint32)
 
 
@@ -303,7 +304,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["nid", "items"])
 
-    return (docs.join(wanted, docs["doc"].eqNullSafe(wanted["label"])).select("nid", "node", "text")
+    # few texts are wanted: the others stay where they are
+    near = near_keys(docs, wanted.withColumnRenamed("label", "doc"), "doc").where("__near OR doc IS NULL").drop("__near")
+    return (near.join(wanted, near["doc"].eqNullSafe(wanted["label"])).select("nid", "node", "text")
             .mapInArrow(run, "nid bigint, items array<bigint>"))
 
 
@@ -339,8 +342,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
              .agg(F.min("doc").alias("label"), F.first("n").alias("n"), F.first("grp").alias("grp"),
                   F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
              .withColumn("nid", F.monotonically_increasing_id()))
-    nodes = materialise(nodes, "nodes")
-    lists = materialise(posting_lists(nodes, percent), "lists")
+    full = materialise(nodes, "nodes")
+    short = materialise(described.select("doc", "n", "node"), "documents")
+    discard(described)
+    lists = materialise(posting_lists(full, percent), "lists")
+    nodes = materialise(full.drop("prefix"), "nodes")
+    discard(full)
     comps, tested, refuted, most = None, None, None, 0
     while True:
         found = materialise(_candidates(_entries(lists, nodes, comps, refuted), percent, most), "candidates")
@@ -349,11 +356,15 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "label", "node"), "nid")
-            checked = materialise(_verify(pairs, materialise(_sets(docs, wanted), "sets"), percent), "checked")
+            wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+                                 .join(nodes.select("nid", "label", "node"), "nid"), "wanted")
+            sets = materialise(_sets(docs, wanted), "sets")
+            checked = materialise(_verify(pairs, sets, percent), "checked")
+            discard(wanted, sets, pairs)
             tested = checked if tested is None else tested.unionByName(checked)
             refuted = tested.where("NOT link").select("a", "b")
-            comps = connected_components(tested.where("link").select("a", "b"))
+            before, comps = comps, connected_components(tested.where("link").select("a", "b"))
+            discard(before)
         if tested is None:
             break
         # lists come again that stopped early, or (after the forest) that held a refuted pair
@@ -362,11 +373,14 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
             ends = found.where("NOT cut").select("token", "band", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             again = ends.join(refuted, ["a", "b"]).select("token", "band")
         again = materialise(again.distinct(), "again")
+        discard(found)
         if again.isEmpty():
             break
-        lists = materialise(lists.join(again, ["token", "band"]), "lists")
+        before, lists = lists, materialise(lists.join(again, ["token", "band"]), "lists")
+        discard(before, again)
         most = 8 * most or 4
 
+    discard(lists)
     classes = nodes.select("node", "nid", "label")
     if comps is not None:
         classes = classes.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
@@ -374,16 +388,17 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
         classes = classes.join(least, "comp")
     else:
         classes = classes.withColumn("component_id", F.col("label"))
-    return (described.select("doc", "n", "node").join(classes.select("node", "component_id"), "node", "left")
+    return (short.join(classes.select("node", "component_id"), "node", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of every component; a repeated row stays once.
-    Rows without an id always stay."""
+    Rows without an id always stay. Decisions are taken by id: where one id stands for
+    several texts and one of them belongs to another document, all its rows go."""
     gone = classes.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    kept = without(docs, gone, id_col)
     twice = materialise(classes.groupBy(id_col).count().where(f"count > 1 AND `{id_col}` IS NOT NULL").select(id_col), "repeated")
     if twice.isEmpty():
         return kept
