@@ -138,8 +138,9 @@ def lists_of_query(q: np.ndarray, c: np.ndarray, graph: list[list[int]], size: n
     as it takes to hold ``enough`` vectors."""
     found = walk(q, c, graph, max(8, int(WIDTH * len(c))))
     out, held = [], 0
+    nearest = next((d for d, _ in found if d > 0), 0.0)    # a query may be a centroid itself
     for d, j in found:
-        if d > PRUNE * found[0][0] and held >= enough:
+        if d > PRUNE * nearest and held >= enough:
             break
         out.append(j)
         held += int(size[j])
@@ -182,11 +183,14 @@ def _nearest(k: int):
             for start in range(0, len(q), 128):
                 part = q[start:start + 128]
                 d = _d2(part, x)
-                take = min(2 * k + 1, len(x))
-                near = np.argpartition(d, take - 1, axis=1)[:, :take]
-                for i, (own, row) in enumerate(zip(right["query_id"].to_numpy()[start:start + 128], near)):
+                last = min(k, len(x) - 1)                 # the query itself may be among them
+                # rounding of the expanded form: whatever may be as near as the last one is looked at exactly
+                far = np.partition(d, last, axis=1)[:, last] + 1e-15 * (x.shape[1] + 8) * ((part**2).sum(axis=1) + (x**2).sum(axis=1).max())
+                for i, own in enumerate(right["query_id"].to_numpy()[start:start + 128]):
+                    row = np.flatnonzero(d[i] <= far[i])
                     exact = np.sqrt(((x[row] - part[i]) ** 2).sum(axis=1))
-                    best = sorted((float(s), int(v)) for s, u in zip(exact, row.tolist()) for v in copies[u] if v != own)
+                    tied = exact <= np.partition(exact, last)[last]
+                    best = sorted((float(s), int(v)) for s, u in zip(exact[tied], row[tied].tolist()) for v in copies[u] if v != own)
                     out += [(int(own), v, s) for s, v in best[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -223,7 +227,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], ["query_id", "qvec", "lists"])
 
     queries = (v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-               .dropDuplicates(["query_id"])
+               .groupBy("query_id").agg(F.min("qvec").alias("qvec"))         # a repeated id asks with its smallest vector
                .mapInArrow(route, "query_id bigint, qvec array<double>, lists array<int>")
                .select("query_id", "qvec", F.explode("lists").alias("list")))
     queries = materialise(queries, "routed")

@@ -296,6 +296,15 @@ def test_neighbours_recall_and_order(spark):
     assert hits / total >= 0.9
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(i, [float(b) for b in f"{i:06b}"] + [2.0]) for i in range(1, 64)]            # corners of a cube
+    rows += [(100, [0.5] * 6 + [2.0]), (200, [0.5] * 6 + [1e8]), (201, [0.5] * 6 + [1e8 + 1]), (300, [9.0] * 7), (300, [0.5] * 6 + [2.5])]
+    got = P.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 100] == [300, *range(1, 10)]
+    assert [r["vec_id"] for r in got if r["query_id"] == 200 and r["rank"] == 1] == [201]
+    assert {r["query_id"] for r in got} == {100, 200, 300}
+
+
 def test_neighbours_of_few_vectors(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in P.search(df).collect())
