@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.llm.common import materialise, slices, words
+from jobsight.llm.common import discard, materialise, slices, words
 
 #: Words clustered, their classes, and sweeps of the exchange algorithm.
 CORE, CLASSES, SWEEPS = 1024, 48, 10
@@ -414,13 +414,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     lines = with_classes(chunks, None, buckets)
     n = bigrams(lines, held, END_CLASS + 1, buckets)
     for left in reversed(range(WORD_SWEEPS if n_total else 0)):
-        moved, words_moved = assigned(materialise(contexts(lines, held, core, buckets), "word-contexts"), held, core, n)
+        seen = materialise(contexts(lines, held, core, buckets), "word-contexts")
+        moved, words_moved = assigned(seen, held, core, n)
+        discard(seen, lines)
         lines = with_classes(chunks, words_moved, buckets)
         lines = materialise(lines, "word-lines") if left else lines
         after = bigrams(lines, moved, END_CLASS + 1, buckets)
         if information(after) <= information(n):
+            discard(words_moved)
             break
+        discard(vocabulary)
         held, vocabulary, n = moved, words_moved, after
+    discard(lines, chunks)
     class_tokens = n.sum(axis=0)                          # each token is once the second of a pair
     kinds = np.bincount(held, minlength=END_CLASS + 1).astype(float)
     kinds[END_CLASS] = ends > 0
