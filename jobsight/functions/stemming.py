@@ -1,4 +1,4 @@
-"""English word stems by the Snowball rules, as one native expression.
+"""English word stems by the Snowball rules, as a native expression and as a column function.
 
 The rules work on regions: R1 begins behind the first non-vowel that follows a
 vowel, R2 likewise inside R1; both are found once and kept while endings are
@@ -6,10 +6,22 @@ replaced. Each step looks for the longest ending it knows and changes it only
 where the ending lies in the step's region. Every step is bound to a name by a
 one-element ``transform``, so the expression stays linear in the number of rules
 although each rule names its word many times.
+
+``stems`` gives the same stems for a whole column: a batch's distinct words are
+stemmed once and remembered by the task, where the expression would go through
+all rules for every word of every row.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # --- fixed values: words with stems of their own, and words that stay -------------------
 IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
              "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -111,3 +123,104 @@ def stem_sql(word: str) -> str:
 def stems_sql(words: str) -> str:
     """SQL text of the stems of an array (given by name) of lower-case words."""
     return f"transform({words}, w0 -> {stem_sql('w0')})"
+
+
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_ANY_VOWEL_S = re.compile(f"{_V}.+s$")
+_EED = re.compile("eed(?:ly)?$")
+_ING = re.compile("(?:ed|edly|ing|ingly)$")
+_VOWEL_ING = re.compile(f"{_V}.*(?:ed|edly|ing|ingly)$")
+_SHORT = re.compile(f"{_N}{_V}[^aeiouywxY]$|^{_V}{_N}$")
+_REGION = re.compile(f"{_N}*{_V}+{_N}")
+_BEGINNINGS = re.compile("|".join(R1_BEGINNINGS))
+
+
+def _by_length(rules) -> list:
+    return sorted(rules, key=lambda r: -len(r[0]))
+
+
+_RULES_2, _RULES_3, _RULES_4 = _by_length(STEP_2), _by_length(STEP_3), _by_length([(e, "") for e in STEP_4])
+
+
+def _changed(w: str, rules: list, region: int, regions: dict) -> str:
+    """``_endings`` of one word."""
+    for ending, put in rules:
+        if w.endswith(ending):
+            n = len(w) - len(ending)
+            before = BEFORE.get(ending)
+            inside = n >= regions.get(ending, region) and (before is None or (n > 0 and w[n - 1] in before))
+            return w[:n] + put if inside else w
+    return w
+
+
+def stem(word: str) -> str:
+    """The stem of a lower-case word: ``stem_sql`` rule by rule."""
+    if len(word) <= 2 or word in INVARIANT:
+        return word
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    m = re.sub(f"({_V})y", r"\1Y", re.sub("^y", "Y", word))
+    found = _BEGINNINGS.match(m) or _REGION.match(m)
+    r1 = found.end() if found else len(m)
+    found = _REGION.match(m[r1:])
+    r2 = r1 + found.end() if found else len(m)
+    if m.endswith("sses"):
+        w = m[:-2]
+    elif m.endswith(("ied", "ies")):
+        w = m[:-2] if len(m) > 4 else m[:-1]
+    elif m.endswith(("us", "ss")) or not _ANY_VOWEL_S.search(m):
+        w = m
+    else:
+        w = m[:-1]
+    if w not in INVARIANT_AFTER_PLURAL:
+        if _EED.search(w):
+            base = _EED.sub("", w)
+            w = base + "ee" if len(base) >= r1 else w
+        elif _VOWEL_ING.search(w):
+            w = _ING.sub("", w)
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif w.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+                w = w[:-1]
+            elif len(w) <= r1 and _SHORT.search(w):
+                w += "e"
+        w = re.sub("(?<=.[^aeiouy])[yY]$", "i", w)
+        w = _changed(w, _RULES_2, r1, {})
+        w = _changed(w, _RULES_3, r1, {"ative": max(r1, r2)})
+        w = _changed(w, _RULES_4, r2, {})
+        if w.endswith("e"):
+            if len(w) > r2 or (len(w) > r1 and not _SHORT.search(w[:-1])):
+                w = w[:-1]
+        elif w.endswith("ll") and len(w) > r2:
+            w = w[:-1]
+    return w.replace("Y", "y")
+
+
+class Stems(dict):
+    """Stems of words, remembered. Emptied when full, so a task's memory stays bounded
+    whatever the vocabulary."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = stem(word)
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
+def stems(words: Column) -> Column:
+    """The stems of a column of arrays of lower-case words, in their order."""
+    memo = Stems()
+
+    def of_batch(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().dictionary_encode()
+        known = pa.array([None if w is None else memo[w] for w in flat.dictionary.to_pylist()], pa.string())
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+        return pa.ListArray.from_arrays(offsets, known.take(flat.indices), mask=lists.is_null())
+    return F.arrow_udf(of_batch, "array<string>")(words)

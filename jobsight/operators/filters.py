@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsight.functions import py_strip
-from jobsight.functions.stemming import stems_sql
+from jobsight.functions.stemming import stems, stems_sql
 
 # --- fixed values: markers of a blocked / challenge page --------------------------
 BLOCK_MARKERS = ["cloudflare", "security check", "challenge", "captcha"]
@@ -89,7 +89,7 @@ def search_words(text) -> Column:
 def with_search_tokens(df: DataFrame, fields=TEXT_FIELDS, name: str = "search_tokens") -> DataFrame:
     """The table with the stems of its fields' words: what a text index stores."""
     words = search_words(F.concat_ws(" ", *[F.col(f) for f in fields]))
-    return df.withColumn(name, words).withColumn(name, F.expr(f"array_distinct({stems_sql(name)})"))
+    return df.withColumn(name, F.array_distinct(stems(words)))
 
 
 def query_stems(spark: SparkSession, words: Sequence[str]) -> list:
