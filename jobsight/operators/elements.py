@@ -1,12 +1,11 @@
 """Nested markup (P14, P15, P16, A20): HTML as an element interval table.
 
-A tag scan gives the tags of a page and the texts between them as arrays; each
-tag becomes a row, and window sums over the page's tags (one shuffle by page,
-four orders) pair every end tag with its start: per tag name a running depth
-that stray end tags cannot lower, and within a depth the next end tag. An
-element without an end tag ends with the element around it. Counting elements
-along the page gives each one its pre-order numbers ``[enter, leave)``: its
-descendants are the elements with numbers between, a slice of the page's list.
+A tag scan gives the tags of a page and the texts between them as arrays, and one
+pass over the page's tag names pairs every end tag with its start, inside the
+page's row: no tag is shuffled or sorted. An element without an end tag ends with
+the element around it. Counting elements along the page gives each one its
+pre-order numbers ``[enter, leave)``: its descendants are the elements with
+numbers between, a slice of the page's list.
 
 Selectors then are interval containment, evaluated inside the page's row: a
 descendant step slices the list behind each hit, so the work follows the nesting
@@ -16,20 +15,26 @@ another card beside it, and a card inside a card is a card of its own.
 Differences from a browser: no end tags are implied (``<li>`` in ``<li>`` nests), an
 end tag ends the elements of its own name only, and ``>`` counts the elements that
 have end tags. Comments, scripts and styles hold no elements and no text. A null
-page has no elements. Everything is native; memory follows the longest page.
+page has no elements. All but the pairing is native; memory follows the longest page.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from functools import reduce
 from typing import Callable, Optional, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsight.functions import absolute_url, py_strip, remote_flag
 
+# executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values: elements without content --------------------------------------------
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
 # --- fixed values: character references and their characters, ampersand last -----------
@@ -44,50 +49,83 @@ def element_table(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
     """One row per page: ``keep``, ``texts`` (the text behind each tag) and ``elements`` in
     page order: enter, leave, depth, pos (its tag's number), until (its end tag's), name, tag."""
     source = F.coalesce(F.col(html), F.lit(""))
-    base = pages.select(*keep, F.monotonically_increasing_id().alias("__row"), source.alias("__html"))
-    # a closing row stands behind the last tag: pages without tags keep their row, open elements an end
-    split = base.select(*keep, "__row", F.posexplode(F.arrays_zip(
-        F.concat(F.array(F.lit("")), F.regexp_extract_all("__html", F.lit(TAG), 0), F.array(F.lit(""))).alias("tag"),
-        F.concat(F.split("__html", TAG), F.array(F.lit(""))).alias("text"))).alias("pos", "x"))
-    name = F.lower(F.regexp_extract("x.tag", r"^</?([a-zA-Z][^\s/>]*)", 1))
-    t = split.select(*keep, "__row", "pos", name.alias("name"), "x.tag", "x.text")
-    empty = F.col("name").isin(VOID + _RAW.split("|")) | F.col("tag").endswith("/>")
-    is_end = F.col("tag").startswith("</")
-    t = t.withColumn("step", F.when(F.col("name") == "", 0).when(is_end, F.when(F.col("name").isin(VOID), 0).otherwise(-1)).when(empty, 0).otherwise(1))
-    t = t.withColumn("is_element", (F.col("name") != "") & ~is_end)
-    page = Window.partitionBy("__row").orderBy("pos")
-    by_name = Window.partitionBy("__row", "name").orderBy("pos")
-    t = t.withColumn("count", F.sum(F.col("is_element").cast("int")).over(page))
-    t = t.withColumn("sum", F.sum("step").over(by_name)).withColumn("low", F.least(F.lit(0), F.min("sum").over(by_name)))
-    stray = (F.col("step") == -1) & (F.col("sum") < F.coalesce(F.lag("low").over(by_name), F.lit(0)))
-    t = t.withColumn("stray", stray)
-    # the depth an element has among those of its name, on its start and on its end tag
-    t = t.withColumn("slot", F.when(F.col("step") == 1, F.col("sum") - F.col("low"))
-                     .when((F.col("step") == -1) & ~F.col("stray"), F.col("sum") - F.col("low") + 1))
-    partner = F.lead(F.struct("step", "pos", "count")).over(Window.partitionBy("__row", "name", "slot").orderBy("pos"))
-    t = t.withColumn("partner", F.when((F.col("step") == 1) & F.col("slot").isNotNull(), partner))
-    t = t.withColumn("paired", F.when(F.col("partner.step") == -1, F.col("partner")))
-    level = F.sum(F.when(F.col("paired").isNotNull(), 1).when(F.col("slot").isNotNull() & (F.col("step") == -1), -1).otherwise(0)).over(page)
-    t = t.withColumn("level", level)
-    opened = (F.col("step") == 1) & F.col("paired").isNull()
-    ends = (F.col("step") == -1) & ~F.col("stray")
-    # an open element ends where the paired element around it does, or with the page
-    t = t.withColumn("ring", F.when(opened, F.col("level")).when(ends, F.col("level") + 1))
-    after = Window.partitionBy("__row", "ring").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    around = F.min(F.when(ends, F.struct("pos", "count"))).over(after)
-    last = F.max(F.struct("pos", "count")).over(Window.partitionBy("__row"))
-    close = F.when(opened, F.coalesce(F.when(F.col("level") > 0, around), last)).when(
-        F.col("paired").isNotNull(), F.struct(F.col("paired.pos").alias("pos"), F.col("paired.count").alias("count")))
-    t = t.withColumn("close", close)
-    enter = F.col("count") - 1
-    element = F.struct(
-        enter.cast("int").alias("enter"), F.coalesce(F.col("close.count"), F.col("count")).cast("int").alias("leave"),
-        F.when(F.col("paired").isNotNull(), F.col("level") - 1).otherwise(F.col("level")).cast("int").alias("depth"),
-        F.col("pos"), F.coalesce(F.col("close.pos"), F.col("pos")).alias("until"), F.col("name"), F.col("tag"))
-    token = F.struct("pos", "text", F.when(F.col("is_element"), element).alias("element"))
-    rows = t.groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], F.sort_array(F.collect_list(token)).alias("tokens"))
-    return rows.select(*keep, F.col("tokens.text").alias("texts"),
-                       F.filter("tokens.element", lambda e: e.isNotNull()).alias("elements"))
+    # an empty tag stands before the first text, another behind the last: pages without tags keep one, open elements an end
+    split = pages.select(*keep, F.concat(F.split(source, TAG), F.array(F.lit(""))).alias("texts"),
+                         F.concat(F.array(F.lit("")), F.regexp_extract_all(source, F.lit(TAG), 0), F.array(F.lit(""))).alias("__tags"))
+
+    def mark(tag: Column) -> Column:
+        """name of a start tag, name/ of an element without content, /name of an end tag; names hold no /."""
+        def of(name: Column) -> Column:
+            return (F.when(name == "", "").when(tag.startswith("</"), F.when(name.isin(VOID), "").otherwise(F.concat(F.lit("/"), name)))
+                    .when(name.isin(VOID + _RAW.split("|")) | tag.endswith("/>"), F.concat(name, F.lit("/"))).otherwise(name))
+        return once(F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1)), of)
+
+    marked = split.withColumn("__marks", F.transform("__tags", mark))
+    paired = marked.withColumn("__spans", F.arrow_udf(_spans, SPANS)(F.col("__marks")))
+    element = F.transform("__spans", lambda s: F.struct(
+        s["enter"].alias("enter"), s["leave"].alias("leave"), s["depth"].alias("depth"), s["pos"].alias("pos"), s["until"].alias("until"),
+        F.translate(F.get(F.col("__marks"), s["pos"]), "/", "").alias("name"), F.get(F.col("__tags"), s["pos"]).alias("tag")))
+    return paired.select(*keep, "texts", element.alias("elements"))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+SPANS = "array<struct<enter: int, leave: int, depth: int, pos: int, until: int>>"
+
+
+def pair_tags(marks: Sequence[str]) -> list[list[int]]:
+    """[enter, leave, depth, pos, until] of a page's elements from its ``marks``. An end tag
+    ends the last open element of its name; without one it is stray. What no end tag
+    ends, ends with the element around it, or with the page."""
+    open_by_name: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}                               # end tag: its start tag
+    for pos, m in enumerate(marks):
+        if m and m[-1] != "/":
+            if m[0] != "/":
+                open_by_name.setdefault(m, []).append(pos)
+            elif open_by_name.get(m[1:]):
+                ends[pos] = open_by_name[m[1:]].pop()
+    paired = set(ends.values())
+    elements, by_pos, level = [], {}, 0
+    unended: dict[int, list] = {}                           # by the level around them
+    for pos, m in enumerate(marks):
+        if not m:
+            continue
+        if m[0] != "/":
+            n = len(elements)
+            if pos in paired:
+                e = by_pos[pos] = [n, n + 1, level, pos, pos]
+                level += 1
+            else:
+                e = [n, n + 1, level, pos, pos]
+                if m[-1] != "/":
+                    unended.setdefault(level, []).append(e)
+            elements.append(e)
+        elif pos in ends:
+            for e in [by_pos[ends[pos]], *unended.pop(level, [])]:
+                e[1], e[4] = len(elements), pos
+            level -= 1
+    for e in (e for left in unended.values() for e in left):
+        e[1], e[4] = len(elements), len(marks) - 1
+    return elements
+
+
+def _spans(marks: pa.Array) -> pa.Array:
+    found = marks.flatten().dictionary_encode()
+    names = found.dictionary.to_pylist()                    # one string a name, not one a tag
+    every = [names[i] for i in found.indices.to_numpy().tolist()]
+    sizes = marks.value_lengths().to_numpy(zero_copy_only=False).tolist()
+    offsets, flat, at = [0], [], 0
+    for n in sizes:
+        flat += pair_tags(every[at:at + n])
+        at += n
+        offsets.append(len(flat))
+    columns = zip(*flat) if flat else [[]] * 5
+    spans = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["enter", "leave", "depth", "pos", "until"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
 
 
 class Selector:
@@ -124,10 +162,13 @@ class Selector:
             return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
         return test
 
-    def within(self, elements: Column, scope: Optional[Column] = None) -> Column:
-        """The hits below ``scope`` (or in the page), in page order for one-step selectors."""
+    def within(self, elements: Column, scope: Optional[Column] = None, inside: Optional[Column] = None) -> Column:
+        """The hits below ``scope`` (or in the page), in page order for one-step selectors.
+        ``inside``: the elements below the scope, where they are at hand."""
         (_, first), *rest = self.steps
-        found = F.filter(descendants(elements, scope) if scope is not None else elements, first)
+        if inside is None:
+            inside = descendants(elements, scope) if scope is not None else elements
+        found = F.filter(inside, first)
         for child, test in rest:
             found = F.flatten(F.transform(found, self._below(elements, child, test)))
         return found
@@ -139,8 +180,9 @@ class Selector:
             return F.filter(inside, (lambda e: (e["depth"] == up["depth"] + 1) & test(e)) if child else test)
         return hits
 
-    def first(self, elements: Column, scope: Optional[Column] = None) -> Column:
-        return F.get(F.array_sort(self.within(elements, scope)) if len(self.steps) > 1 else self.within(elements, scope), F.lit(0))
+    def first(self, elements: Column, scope: Optional[Column] = None, inside: Optional[Column] = None) -> Column:
+        found = self.within(elements, scope, inside)
+        return F.get(F.array_sort(found) if len(self.steps) > 1 else found, F.lit(0))
 
 
 def attribute_pattern(name: str, value: str) -> str:
@@ -156,8 +198,10 @@ def descendants(elements: Column, scope: Column) -> Column:
 def attribute(e: Column, name: str) -> Column:
     """The attribute's text, null where the element has none."""
     rx = rf"(?s)\s{re.escape(name)}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    got = F.concat(*[F.regexp_extract(e["tag"], rx, i) for i in (1, 2, 3)])
-    return F.when(e["tag"].rlike(rx), decoded(got))
+
+    def of(tag: Column) -> Column:
+        return F.when(tag.rlike(rx), decoded(F.concat(*[F.regexp_extract(tag, rx, i) for i in (1, 2, 3)])))
+    return once(e["tag"], of)
 
 
 def decoded(text: Column) -> Column:
@@ -172,24 +216,25 @@ def strings(texts: Column, e: Column) -> Column:
 def text_of(texts: Column, e: Column, separator: Optional[str] = "") -> Column:
     """``separator``: texts are stripped, blank ones left out and the rest joined by it;
     None: all texts as they stand, stripped at the ends."""
-    if separator is None:
-        return F.when(e.isNotNull(), py_strip(F.array_join(strings(texts, e), "")))
-    kept = F.filter(F.transform(strings(texts, e), lambda s: py_strip(s)), lambda s: s != "")
-    return F.when(e.isNotNull(), F.array_join(kept, separator))
+    def of(found: Column) -> Column:
+        if separator is None:
+            return F.when(found.isNotNull(), py_strip(F.array_join(strings(texts, found), "")))
+        kept = F.filter(F.transform(strings(texts, found), lambda s: py_strip(s)), lambda s: s != "")
+        return F.when(found.isNotNull(), F.array_join(kept, separator))
+    return once(e, of)
 
 
-def first_of(elements: Column, scope: Optional[Column], selectors: Sequence[str]) -> Column:
+def first_of(elements: Column, scope: Optional[Column], selectors: Sequence[str], inside: Optional[Column] = None) -> Column:
     """The first selector that hits gives the element."""
-    return F.coalesce(*[Selector(s).first(elements, scope) for s in selectors])
+    return F.coalesce(*[Selector(s).first(elements, scope, inside) for s in selectors])
 
 
 def first_family(elements: Column, selectors: Sequence[str]) -> Column:
     """All hits of the first selector that has any."""
-    found = Selector(selectors[-1]).within(elements)
-    for s in reversed(selectors[:-1]):
-        own = Selector(s).within(elements)
-        found = F.when(F.size(own) > 0, own).otherwise(found)
-    return found
+    own = Selector(selectors[0]).within(elements)
+    if len(selectors) == 1:
+        return own
+    return once(own, lambda hits: F.when(F.size(hits) > 0, hits).otherwise(first_family(elements, selectors[1:])))
 
 
 # --- fixed values: the boards' selectors, in fallback order ------------------------------
@@ -222,14 +267,21 @@ def indeed_records(table: DataFrame, keep: Sequence[str] = ("page_id",)) -> Data
     el, tx = F.col("elements"), F.col("texts")
 
     def record(card: Column) -> Column:
+        return once(descendants(el, card), lambda inside: fields(card, inside))
+
+    def fields(card: Column, inside: Column) -> Column:
+        def found(name: str) -> Column:
+            return first_of(el, card, INDEED[name], inside)
+
         def field(name: str, separator: str = "") -> Column:
-            return text_of(tx, first_of(el, card, INDEED[name]), separator)
+            return text_of(tx, found(name), separator)
+
+        def title(e: Column) -> Column:
+            return F.coalesce(once(attribute(e, "title"), lambda t: F.when(t != "", t)), text_of(tx, e))
 
-        title = first_of(el, card, INDEED["title"])
-        named = F.nullif(attribute(title, "title"), F.lit(""))
-        return F.struct(F.coalesce(named, text_of(tx, title)).alias("job_title"), field("company").alias("company_name"),
+        return F.struct(once(found("title"), title).alias("job_title"), field("company").alias("company_name"),
                         field("location").alias("location"), field("salary").alias("salary_raw"), field("date").alias("post_date"),
-                        absolute_url(attribute(first_of(el, card, INDEED["link"]), "href"), INDEED_ORIGIN).alias("job_url"),
+                        once(attribute(found("link"), "href"), lambda h: absolute_url(h, INDEED_ORIGIN)).alias("job_url"),
                         field("snippet", " ").alias("skills"))
 
     out = _per_card(table, first_family(el, INDEED["cards"]), record, keep)
