@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+from contextlib import contextmanager
 from dataclasses import dataclass
-from typing import Optional
+from typing import Iterator, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ from jobsight.schemas import RECENT_COLUMNS
 from jobsight.sinks.snapshots import WindowLog, current_folder, read_table, replace_table
 from jobsight.streaming.events import parse_events, utc_wall_clock
 
+#: Partitions of the windows' state. Each task reports the state metrics of all partitions
+#: to the driver, so these bytes follow the square of this number. The state holds a
+#: count a window and platform within the watermark, whatever the number of events.
+STATE_PARTITIONS = 16
+
 LIVE_TABLES = ("platform_counts", "keyword_counts", "recent_jobs")
 
 
@@ -152,6 +158,20 @@ def windowed_batch_writer(paths: LivePaths, n: int = 20):
     return write
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """A streaming query copies the session's configuration when it starts (and keeps the
+    number of its state's partitions in its checkpoint): queries started inside have at
+    most ``n``; the session has its own number back behind it."""
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    spark.conf.set(name, str(min(n, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def start_live(spark: SparkSession, raw_stream: DataFrame, paths: LivePaths,
                available_now: bool = False, live_trigger: str = "5 seconds",
                window_trigger: str = "10 seconds", window: str = "1 minute",
@@ -167,12 +187,13 @@ def start_live(spark: SparkSession, raw_stream: DataFrame, paths: LivePaths,
               .option("checkpointLocation", f"{paths.checkpoint_dir}/live")
               .trigger(**trig(live_trigger)).queryName(f"live_{os.path.basename(paths.out_dir)}")
               .start())
-    q_win = (windowed_counts(events, window, watermark).writeStream
-             .foreachBatch(windowed_batch_writer(paths))
-             .outputMode("update")
-             .option("checkpointLocation", f"{paths.checkpoint_dir}/windowed")
-             .trigger(**trig(window_trigger)).queryName(f"windowed_{os.path.basename(paths.out_dir)}")
-             .start())
+    with state_partitions(spark, STATE_PARTITIONS):
+        q_win = (windowed_counts(events, window, watermark).writeStream
+                 .foreachBatch(windowed_batch_writer(paths))
+                 .outputMode("update")
+                 .option("checkpointLocation", f"{paths.checkpoint_dir}/windowed")
+                 .trigger(**trig(window_trigger)).queryName(f"windowed_{os.path.basename(paths.out_dir)}")
+                 .start())
     return [q_live, q_win]
 
 
