@@ -10,12 +10,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from jobsight import schemas as S
 from jobsight.operators.normalize import NORMALIZERS, flatten_documents
 from jobsight.plans.catalog import register
-from jobsight.plans.jobs import cached_raw_jobs, job_documents, unified_jobs
+from jobsight.plans.jobs import job_documents, unified_jobs
 from jobsight.plans.oracle import JOB_COLS, q, with_jobs
 from jobsight.session import app_key, scratch_path
 from jobsight.sinks.files import append_records, replace_documents, write_csv, write_documents
 from jobsight.sources import files as SRC
-from jobsight.sources.testbed import source_frame_full
+from jobsight.sources.testbed import raw_jobs, source_frame_full
 
 _FILES: dict = {}
 
@@ -74,7 +74,7 @@ def s02_read_jobs_csv_inferred(spark, sf_dir):
 
 def _source_files(spark, sf_dir):
     def write(base):
-        raw = cached_raw_jobs(spark, sf_dir)
+        raw = raw_jobs(spark, sf_dir, many=True)
         for p, schema in RAW_SCHEMAS.items():
             df = source_frame_full(raw, p, schema)
             if p == "LinkedIn":                    # columns in another order, and one more
@@ -148,7 +148,7 @@ def s07_record_counts(spark, sf_dir):
 
 def _sniff_files(spark, sf_dir):
     def write(base):
-        raw = cached_raw_jobs(spark, sf_dir)
+        raw = raw_jobs(spark, sf_dir, many=True)
         for p, d in SNIFF_DELIMITERS.items():
             df = source_frame_full(raw, p, RAW_SCHEMAS[p])
             df.write.mode("overwrite").options(sep=d, header="true", escape='"').csv(f"{base}/{SLUGS[p]}")
@@ -173,7 +173,7 @@ def s08_count_records_detect_delim(spark, sf_dir):
 def k07_append_records(spark, sf_dir):
     """K7: a source's records appended page by page (three writes), read back."""
     def write(path):
-        rows = source_frame_full(cached_raw_jobs(spark, sf_dir), "LinkedIn", S.LINKEDIN_RAW)
+        rows = source_frame_full(raw_jobs(spark, sf_dir, many=True), "LinkedIn", S.LINKEDIN_RAW)
         for page in range(3):
             append_records(rows.where(F.pmod("job_id", F.lit(3)) == page), path)
     path = _once(spark, sf_dir, "appended", write)

@@ -50,20 +50,23 @@ class SQL:
         self.text = text
 
 
-def _orders_customer_nation(spark: SparkSession, sf_dir: str, order_cols) -> DataFrame:
+def _orders_customer_nation(spark: SparkSession, sf_dir: str, order_cols, many: bool = False) -> DataFrame:
     """orders ⋈ customer ⋈ nation, fact table first: the dimensions are the
     build sides (broadcast when the planner's size check allows, shuffle
-    join otherwise) and the probe side keeps the orders partitioning."""
+    join otherwise) and the probe side keeps the orders partitioning.
+
+    ``many``: for callers that write the join in several jobs. The customers are
+    then shuffled, as each job's broadcast would take all of them through the driver."""
     orders = read_table(spark, sf_dir, "orders").select(*order_cols)
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = orders.join(customer, orders.o_custkey == customer.c_custkey, "inner")
+    j = orders.join(customer.hint("merge") if many else customer, orders.o_custkey == customer.c_custkey, "inner")
     return j.join(nation, j.c_nationkey == nation.n_nationkey, "inner")
 
 
-def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_jobs(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:
     """One raw posting per order (FIXTURES.md section 5); ``job_id`` is unique."""
-    j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    j = _orders_customer_nation(spark, sf_dir, ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"], many)
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     salary = _pick("o_orderkey", 13, [
         None,
