@@ -328,14 +328,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def _scored(rows: DataFrame, net: Network | None) -> DataFrame:
-    """(row, score) of rows (row, text)."""
+def _scored(rows: DataFrame, net: Network | None, field: int | None = None) -> DataFrame:
+    """(row, score) of rows (row, text), or of rows (row) whose text is that field of the row."""
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net is not None else None
         for batch in slices(batches, 128):
-            texts = batch.column(1).to_pylist()
+            texts = (batch.column(1) if field is None else batch.column(0).field(field)).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scorer(texts) if scorer else [0.0] * len(texts), pa.float64())], ["row", "score"])
 
@@ -343,8 +343,9 @@ def _scored(rows: DataFrame, net: Network | None) -> DataFrame:
 
 
 def score_rows(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """(row, score): whole rows of ``docs`` as one struct, so no column name can clash."""
-    return _scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")), net)
+    """(row, score): whole rows of ``docs`` as one struct, so no column name can clash. The
+    text goes to the task's Python once, inside its row."""
+    return _scored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), net, docs.columns.index(text_col))
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
