@@ -1,9 +1,9 @@
 """Nested markup (P14, P15, P16, A20): HTML as an element interval table.
 
-A tag scan gives the tags of a page and the texts between them as arrays, and one
-pass over the page's tag names pairs every end tag with its start, inside the
-page's row: no tag is shuffled or sorted. An element without an end tag ends with
-the element around it. Counting elements along the page gives each one its
+A tag scan gives the tags of a page and the texts between them as arrays. One pass
+over the page's tags names them (a batch's distinct ones once) and pairs every end
+tag with its start, inside the page's row: no tag is shuffled or sorted. An element
+without an end tag ends with the element around it. Counting elements along the page gives each one its
 pre-order numbers ``[enter, leave)``: its descendants are the elements with
 numbers between, a slice of the page's list.
 
@@ -15,7 +15,8 @@ another card beside it, and a card inside a card is a card of its own.
 Differences from a browser: no end tags are implied (``<li>`` in ``<li>`` nests), an
 end tag ends the elements of its own name only, and ``>`` counts the elements that
 have end tags. Comments, scripts and styles hold no elements and no text. A null
-page has no elements. All but the pairing is native; memory follows the longest page.
+page has no elements. All but the pairing is native; memory follows an Arrow batch
+or the longest page.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import sys
 from functools import reduce
 from typing import Callable, Optional, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -53,19 +55,7 @@ def element_table(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
     split = pages.select(*keep, F.concat(F.split(source, TAG), F.array(F.lit(""))).alias("texts"),
                          F.concat(F.array(F.lit("")), F.regexp_extract_all(source, F.lit(TAG), 0), F.array(F.lit(""))).alias("__tags"))
 
-    def mark(tag: Column) -> Column:
-        """name of a start tag, name/ of an element without content, /name of an end tag; names hold no /."""
-        def of(name: Column) -> Column:
-            return (F.when(name == "", "").when(tag.startswith("</"), F.when(name.isin(VOID), "").otherwise(F.concat(F.lit("/"), name)))
-                    .when(name.isin(VOID + _RAW.split("|")) | tag.endswith("/>"), F.concat(name, F.lit("/"))).otherwise(name))
-        return once(F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1)), of)
-
-    marked = split.withColumn("__marks", F.transform("__tags", mark))
-    paired = marked.withColumn("__spans", F.arrow_udf(_spans, SPANS)(F.col("__marks")))
-    element = F.transform("__spans", lambda s: F.struct(
-        s["enter"].alias("enter"), s["leave"].alias("leave"), s["depth"].alias("depth"), s["pos"].alias("pos"), s["until"].alias("until"),
-        F.translate(F.get(F.col("__marks"), s["pos"]), "/", "").alias("name"), F.get(F.col("__tags"), s["pos"]).alias("tag")))
-    return paired.select(*keep, "texts", element.alias("elements"))
+    return split.select(*keep, "texts", F.arrow_udf(_elements, ELEMENTS)(F.col("__tags")).alias("elements"))
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,7 +63,19 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-SPANS = "array<struct<enter: int, leave: int, depth: int, pos: int, until: int>>"
+ELEMENTS = "array<struct<enter: int, leave: int, depth: int, pos: int, until: int, name: string, tag: string>>"
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)", re.ASCII)
+
+
+def mark(tag: str) -> str:
+    """name of a start tag, name/ of an element without content, /name of an end tag; names hold no /."""
+    found = _NAME.match(tag)
+    if not found:
+        return ""
+    name = found[1].lower()
+    if tag[1] == "/":
+        return "" if name in VOID else "/" + name
+    return name + "/" if name in VOID or name in ("script", "style") or tag.endswith("/>") else name
 
 
 def pair_tags(marks: Sequence[str]) -> list[list[int]]:
@@ -113,19 +115,23 @@ def pair_tags(marks: Sequence[str]) -> list[list[int]]:
     return elements
 
 
-def _spans(marks: pa.Array) -> pa.Array:
-    found = marks.flatten().dictionary_encode()
-    names = found.dictionary.to_pylist()                    # one string a name, not one a tag
-    every = [names[i] for i in found.indices.to_numpy().tolist()]
-    sizes = marks.value_lengths().to_numpy(zero_copy_only=False).tolist()
-    offsets, flat, at = [0], [], 0
-    for n in sizes:
-        flat += pair_tags(every[at:at + n])
+def _elements(tags: pa.Array) -> pa.Array:
+    flat = tags.flatten()
+    found = flat.dictionary_encode()
+    marks = [mark(t) for t in found.dictionary.to_pylist()]     # of each distinct tag once
+    names = pa.array([m.strip("/") for m in marks], pa.string())
+    every = [marks[i] for i in found.indices.to_numpy().tolist()]
+    offsets, rows, at = [0], [np.empty((0, 6), dtype=np.int32)], 0
+    for n in tags.value_lengths().to_numpy(zero_copy_only=False).tolist():
+        page = np.array(pair_tags(every[at:at + n]), dtype=np.int32).reshape(-1, 5)
+        rows.append(np.column_stack([page, page[:, 3] + at]).astype(np.int32, copy=False))
         at += n
-        offsets.append(len(flat))
-    columns = zip(*flat) if flat else [[]] * 5
-    spans = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["enter", "leave", "depth", "pos", "until"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+        offsets.append(offsets[-1] + len(page))
+    rows = np.concatenate(rows)
+    columns, places = [pa.array(rows[:, i]) for i in range(5)], pa.array(rows[:, 5])
+    columns += [names.take(found.indices.take(places)), flat.take(places)]
+    elements = pa.StructArray.from_arrays(columns, ["enter", "leave", "depth", "pos", "until", "name", "tag"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), elements)
 
 
 class Selector:
