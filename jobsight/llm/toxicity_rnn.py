@@ -133,9 +133,15 @@ class Network:
 
     def word_inputs(self, ws: list[bytes]) -> list[np.ndarray]:
         """Inputs of both directions for any number of words, in bounded memory; row 0 is padding."""
-        parts = [self.inputs(np.zeros((1, EMBED), np.float32))]
-        parts += [self.inputs(self.embed(self.features(c))) for c in in_chunks(ws)]
-        return [np.concatenate(x) for x in zip(*parts)]
+        out = [np.empty((len(ws) + 1, 3 * HIDDEN), np.float32) for _ in "fb"]
+        for x, pad in zip(out, self.inputs(np.zeros((1, EMBED), np.float32))):
+            x[:1] = pad
+        end = 1
+        for c in in_chunks(ws):
+            for x, part in zip(out, self.inputs(self.embed(self.features(c)))):
+                x[end:end + len(c)] = part
+            end += len(c)
+        return out
 
     def steps(self, d: str, x: np.ndarray, at: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Attention logits and output terms [windows, SPAN] of one direction; ``x`` are
@@ -213,14 +219,22 @@ class Network:
 
 def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Network | None:
     """A network fitted to labelled texts; None without both labels."""
-    docs = [text_words(t) for t in texts]
-    docs, y = [d for d in docs if d], np.array([t for d, t in zip(docs, toxic) if d], np.float32)
+    # each distinct word is kept once; a text is the numbers of its words
+    number: dict[bytes, int] = {}
+    rows, y = [], []
+    for text, label in zip(texts, toxic):
+        ws = text_words(text)
+        if ws:
+            rows.append(np.array([number.setdefault(w, len(number)) for w in ws], dtype=np.int32))
+            y.append(label)
+    y = np.array(y, np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    words = sorted(set().union(*docs))
-    number = {w: i for i, w in enumerate(words)}
-    rows = [np.array([number[w] for w in d], dtype=np.int32) for d in docs]
-    del docs, number
+    words = sorted(number)
+    place = np.empty(len(words), dtype=np.int32)
+    place[[number[w] for w in words]] = np.arange(len(words))
+    rows = [place[r] for r in rows]
+    del number, place
     # words and n-grams of at least three texts have a parameter of their own
     seen = np.zeros((2, len(words)))
     slot, count = (np.concatenate(x) for x in zip(*map(char_ngrams, in_chunks(words))))
@@ -252,6 +266,7 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS, seed: int = 7)
                 part = wins[i:i + 64]
                 flat = net.logits(x, np.concatenate(part))
                 best += [int(f.argmax()) for f in np.split(flat, np.cumsum([len(w) for w in part])[:-1])]
+            del x
         at, target = [], []
         for w, b, label in zip(wins, best, y):
             take = [b] if label else {b, *rng.integers(0, len(w), 2).tolist()}
@@ -322,10 +337,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
+    """A network trained by one task on the bounded sample; only its parameters reach the driver."""
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
-    rows = training_sample(docs, labels).select("text", "toxic").distinct().collect()     # a copy teaches nothing new
-    rows.sort(key=lambda r: (r["text"], r["toxic"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = list(batches)
+        net = train((t.as_py() for b in sample for t in b.column(0)), [y for b in sample for y in b.column(1).to_pylist()])
+        if net is not None:
+            arrays = {"known": net.known} | net.p
+            yield pa.RecordBatch.from_arrays([pa.array([list(net.vocab)], pa.list_(pa.binary())), pa.array([list(arrays)]),
+                                              pa.array([[x.tobytes() for x in arrays.values()]], pa.list_(pa.binary()))], ["words", "names", "arrays"])
+
+    rows = training_sample(docs, labels).select("text", F.col("toxic").cast("int").alias("toxic")).distinct()     # a copy teaches nothing new
+    got = (rows.repartition(1).sortWithinPartitions("text", "toxic")
+           .mapInArrow(run, "words array<binary>, names array<string>, arrays array<binary>").first())
+    if got is None:
+        return None
+    arrays = {k: np.frombuffer(x, np.float32).copy() for k, x in zip(got["names"], got["arrays"])}
+    net = Network({bytes(w): i + 1 for i, w in enumerate(got["words"])}, arrays.pop("known"))
+    net.p = {k: x.reshape(net.p[k].shape) for k, x in arrays.items()}
+    return net
 
 
 def _scored(rows: DataFrame, net: Network | None, field: int | None = None) -> DataFrame:
