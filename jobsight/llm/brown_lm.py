@@ -27,17 +27,17 @@ rows are learnt from and scored row by row.
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsight.llm.common import discard, materialise, slices, words
+from jobsight.llm.common import byte_slices, discard, materialise
 
 #: Words clustered, their classes, and sweeps of the exchange algorithm.
 CORE, CLASSES, SWEEPS = 1024, 48, 10
@@ -54,66 +54,97 @@ CHUNK, BUCKET_TOKENS, BLOCK = 250_000, 8_000_000, 1024
 UNSEEN = 255
 #: Words whose counts travel to the tasks.
 HELD = 65_536
-_FLUSH = 300_000
+#: Bytes of texts split at once; of words counted or chunked at once.
+SLICE_BYTES, COUNT_BYTES = 1 << 20, 1 << 23
+
+
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?\"')"))
+
+
+def shapes(ws: pa.Array) -> np.ndarray:
+    """Class by form of each word, where words outside the core start: length, digits, closing
+    punctuation, script. Words are not empty and not null."""
+    if not len(ws):
+        return np.zeros(0, dtype=np.uint8)
+    edge = np.frombuffer(ws.buffers()[1], dtype=np.int32)[ws.offset:ws.offset + len(ws) + 1]
+    data, starts = np.frombuffer(ws.buffers()[2], dtype=np.uint8)[edge[0]:edge[-1]], edge[:-1] - edge[0]
+    length = np.searchsorted(np.array([3, 6, 10]), np.diff(edge))
+    digit = np.logical_or.reduceat((data >= 48) & (data <= 57), starts)
+    other = np.maximum.reduceat(data, starts) > 127
+    return (CLASSES + length * 8 + digit * 4 + _CLOSING[data[edge[1:] - edge[0] - 1]] * 2 + other).astype(np.uint8)
 
 
 def shape(word: bytes) -> int:
-    """Class by form, where a word outside the core starts: length, digits, closing punctuation, script."""
-    length = 0 if len(word) <= 3 else 1 if len(word) <= 6 else 2 if len(word) <= 10 else 3
-    digit = any(48 <= b <= 57 for b in word)
-    return CLASSES + length * 8 + digit * 4 + (word[-1:] in b".,;:!?\"')") * 2 + (not word.isascii())
+    return int(shapes(pa.array([word], pa.binary()))[0])
 
 
 def training_rows(docs: DataFrame, id_col: str) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 != 2, F.lit(True))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, words of each text): as ``common.words``, null texts having none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, edge = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)           # white space at an end leaves an empty word
+    kept = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    return flat.filter(full), np.diff(kept[edge - edge[0]])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) of all texts; counted per task first, in bounded tables."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "c"])
-
-        held: Counter = Counter()
-        for batch in slices(batches, 64):
-            for text in batch.column(0).to_pylist():
-                held.update(words(text))
-            if len(held) > _FLUSH:
+            found = pc.value_counts(pa.concat_arrays(held))
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
+
+        held, size = [], 0
+        for batch in byte_slices(batches, 0, SLICE_BYTES):
+            held.append(split_words(batch.column(0))[0])
+            size += held[-1].nbytes
+            if size > COUNT_BYTES:
                 yield out()
-                held.clear()
-        yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     return texts.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Ranks(dict):
-    """Rank of held words; None for others."""
-
-    def __missing__(self, word: bytes) -> None:
-        return None
-
-
 CHUNKS = "chunk bigint, line binary, hashes binary, shapes binary"
 
 
-def chunked(texts: Iterator[str | None], ranks: dict) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-    """(texts, line, rare words) of chunks. A line has the rank of held words, len(ranks) + k
+def chunked(texts: Iterator[pa.Array], top: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(texts, line, rare words) of chunks. A line has the rank of held words, len(top) + k
     for the k-th rare word of the chunk, and -1 for the end of a text (and the start of the chunk)."""
-    held, line, rare, n = _Ranks(ranks), [-1], {}, 0
-    for text in texts:
-        ws = words(text)
-        got = list(map(held.__getitem__, ws))
-        if None in got:
-            got = [len(ranks) + rare.setdefault(w, len(rare)) if x is None else x for w, x in zip(ws, got)]
-        line.extend(got)
-        line.append(-1)
-        n += 1
-        if len(line) > CHUNK:
-            yield n, np.array(line, dtype=np.int32), list(rare)
-            line, rare, n = [-1], {}, 0
-    if n:
-        yield n, np.array(line, dtype=np.int32), list(rare)
+    def out() -> tuple[int, np.ndarray, pa.Array]:
+        lens = np.concatenate(lengths)
+        found = pa.concat_arrays(held).dictionary_encode()
+        rank = pc.index_in(found.dictionary, value_set=top)
+        rare = found.dictionary.filter(rank.is_null())
+        number = pc.fill_null(rank, -1).to_numpy().copy()
+        number[number < 0] = len(top) + np.arange(len(rare))
+        line = np.full(lens.sum() + len(lens) + 1, -1, dtype=np.int32)
+        line[np.arange(lens.sum()) + np.repeat(np.arange(len(lens)), lens) + 1] = number[found.indices.to_numpy()]
+        return len(lens), line, rare
+
+    held, lengths, size = [], [], 1
+    for array in texts:
+        ws, lens = split_words(array)
+        while len(lens):
+            ends = size + np.cumsum(lens + 1)
+            stop = int(np.searchsorted(ends, CHUNK, side="right")) + 1      # the text that fills the chunk is its last
+            taken = int(lens[:stop].sum())
+            held.append(ws[:taken])
+            lengths.append(lens[:stop])
+            if stop > len(lens):
+                size = int(ends[-1])
+            else:
+                yield out()
+                held, lengths, size = [], [], 1
+            ws, lens = ws[taken:], lens[stop:]
+    if lengths:
+        yield out()
 
 
 def _packed(line: np.ndarray) -> bytes:
@@ -128,16 +159,15 @@ def _line(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
 
 
-def _columns(chunk: int, line: np.ndarray, rare: list[bytes]) -> list[pa.Array]:
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), dtype=np.uint64, count=len(rare))
-    shapes = np.fromiter(map(shape, rare), dtype=np.uint8, count=len(rare))
-    return [pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (_packed(line), hashes.tobytes(), shapes.tobytes()))]
+def _columns(chunk: int, line: np.ndarray, rare: pa.Array) -> list[pa.Array]:
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, rare.to_pylist()), dtype=np.uint64, count=len(rare))
+    return [pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (_packed(line), hashes.tobytes(), shapes(rare).tobytes()))]
 
 
-def training_chunks(texts: DataFrame, ranks: dict) -> DataFrame:
+def training_chunks(texts: DataFrame, top: pa.Array) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 33
-        for _, line, rare in chunked((t for b in slices(batches) for t in b.column(0).to_pylist()), ranks):
+        for _, line, rare in chunked((b.column(0) for b in byte_slices(batches, 0, SLICE_BYTES)), top):
             yield pa.RecordBatch.from_arrays(_columns(chunk, line, rare), ["chunk", "line", "hashes", "shapes"])
             chunk += 1
 
@@ -388,9 +418,9 @@ def exchange(pairs: np.ndarray, core: int, classes: int = CLASSES, sweeps: int =
 class Model:
     """What a task needs to score texts, bounded tables only, and the classes of rare words."""
 
-    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, logs: np.ndarray, step: np.ndarray, end: float,
+    def __init__(self, top: pa.Array, classes: np.ndarray, logs: np.ndarray, step: np.ndarray, end: float,
                  v_total: int, n_total: int, vocabulary: DataFrame | None, buckets: int):
-        self.ranks, self.classes, self.logs, self.step, self.end = ranks, classes, logs, step, end
+        self.top, self.classes, self.logs, self.step, self.end = top, classes, logs, step, end
         self.v_total, self.n_total, self.vocabulary, self.buckets = v_total, n_total, vocabulary, buckets
 
 
@@ -402,15 +432,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_total, v_total = total[0] + ends, total[1] + (ends > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(HELD).toArrow()
-    top_words, top_c = [w.encode() for w in top["word"].to_pylist()], top["c"].to_pylist()
-    core = min(CORE, len(top_words))
-    ranks = {w: i for i, w in enumerate(top_words)}
-    shapes = np.array([shape(w) for w in top_words], dtype=np.int64)
+    top, top_c = pa.concat_arrays([pa.array([], pa.string()), *top["word"].cast(pa.string()).chunks]), top["c"].to_numpy()
+    core = min(CORE, len(top))
+    forms = shapes(top).astype(np.int64)
     buckets = 8 + n_total // BUCKET_TOKENS
-    chunks = training_chunks(train, ranks)
-    seeds = np.concatenate([np.arange(core), core + shapes[core:] - CLASSES])
+    chunks = training_chunks(train, top)
+    seeds = np.concatenate([np.arange(core), core + forms[core:] - CLASSES])
     own = exchange(bigrams(with_classes(chunks, None, buckets), seeds, core + SHAPES + 1, buckets, core - CLASSES), core)
-    held, vocabulary = np.concatenate([own, shapes[core:]]), None
+    held, vocabulary = np.concatenate([own, forms[core:]]), None
     lines = with_classes(chunks, None, buckets)
     n = bigrams(lines, held, END_CLASS + 1, buckets)
     for left in reversed(range(WORD_SWEEPS if n_total else 0)):
@@ -429,24 +458,27 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     class_tokens = n.sum(axis=0)                          # each token is once the second of a pair
     kinds = np.bincount(held, minlength=END_CLASS + 1).astype(float)
     kinds[END_CLASS] = ends > 0
-    kinds += rare_kinds(counts, vocabulary, ranks)
+    kinds += rare_kinds(counts, vocabulary, top)
     # log10 P(class | before) less the emission's denominator
     step = np.log10((n + 1) / (n.sum(axis=1, keepdims=True) + END_CLASS + 1)) - np.log10(class_tokens + kinds + 1)[None]
     logs = np.log10(np.array(top_c, dtype=np.float64) + 1)
-    return Model(ranks, held, logs, step, float(np.log10(ends + 1)), v_total, n_total, vocabulary, buckets), counts
+    return Model(top, held, logs, step, float(np.log10(ends + 1)), v_total, n_total, vocabulary, buckets), counts
 
 
-def rare_kinds(counts: DataFrame, vocabulary: DataFrame | None, ranks: dict) -> np.ndarray:
+def rare_kinds(counts: DataFrame, vocabulary: DataFrame | None, top: pa.Array) -> np.ndarray:
     """Number of rare training words of each class."""
     def by_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield tally(shape(w.encode()) for b in slices(batches, 8192) for w in b.column(0).to_pylist() if w.encode() not in ranks)
+        yield tally(shapes(w.filter(pc.invert(pc.is_in(w, value_set=top)))) for w in (b.column(0).cast(pa.string()) for b in batches))
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield tally(c for (classes,) in _records(batches) for c in classes)
+        yield tally(np.frombuffer(classes, dtype=np.uint8) for (classes,) in _records(batches))
 
-    def tally(classes: Iterator[int]) -> pa.RecordBatch:
-        got = Counter(classes)
-        return pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int32()), pa.array(got.values(), pa.int64())], ["class", "v"])
+    def tally(classes: Iterator[np.ndarray]) -> pa.RecordBatch:
+        total = np.zeros(END_CLASS + 1, dtype=np.int64)
+        for c in classes:
+            total += np.bincount(c, minlength=END_CLASS + 1)
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["class", "v"])
 
     found = (counts.select("word").mapInArrow(by_form, "class int, v bigint") if vocabulary is None
              else vocabulary.select("classes").mapInArrow(learnt, "class int, v bigint"))
@@ -459,31 +491,31 @@ def rare_kinds(counts: DataFrame, vocabulary: DataFrame | None, ranks: dict) ->
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema[id_col].dataType.simpleString()
-    ranks, classes, logs, step, end, buckets = model.ranks, model.classes, model.logs, model.step, model.end, model.buckets
+    top, classes, logs, step, end, buckets = model.top, model.classes, model.logs, model.step, model.end, model.buckets
     names = ["n_tokens", "held_known", "held_logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, ids = TaskContext.get().partitionId() << 33, []
 
-        def texts() -> Iterator[str | None]:
-            for b in slices(batches):
-                for i, text in zip(b.column(0), b.column(1).to_pylist()):
-                    ids.append(i)
-                    yield text
+        def texts() -> Iterator[pa.Array]:
+            for b in byte_slices(batches, 1, SLICE_BYTES):
+                ids.append(b.column(0))
+                yield b.column(1)
 
-        for n, line, rare in chunked(texts(), ranks):
-            own = (line >= 0) & (line < len(ranks))
+        for n, line, rare in chunked(texts(), top):
+            own = (line >= 0) & (line < len(top))
             row = np.cumsum(line < 0)[:-1] - 1            # of the token behind
             second, own = line[1:], own[1:]
             tokens = np.bincount(row, minlength=n)
             known = np.bincount(row[own], minlength=n) + (end > 0)
             sums = np.bincount(row[own], weights=logs[second[own]], minlength=n) + end
-            other = second >= len(ranks)
-            code, times = np.unique(row[other] * (len(rare) + 1) + second[other] - len(ranks), return_counts=True)
+            other = second >= len(top)
+            code, times = np.unique(row[other] * (len(rare) + 1) + second[other] - len(top), return_counts=True)
             at, k = code // (len(rare) + 1), code % (len(rare) + 1)
-            rares = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array([rare[i].decode() for i in k], pa.string()),
+            rares = pa.StructArray.from_arrays([pa.array(at, pa.int32()), rare.take(pa.array(k)),
                                                 pa.array(times, pa.int64())], ["at", "word", "n"])
-            taken, ids[:] = pa.array([i.as_py() for i in ids[:n]], ids[0].type), ids[n:]
+            waiting = pa.concat_arrays(ids)
+            taken, ids[:] = waiting[:n], [waiting[n:]]
             base = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64())]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (taken, *base, rares)]
             yield pa.RecordBatch.from_arrays(_columns(chunk, line, rare) + lists,
@@ -499,7 +531,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             line, _, rare = _arrays(*record, buckets)
             x = np.concatenate([classes, rare.astype(np.int64), [END_CLASS]])[line]
             steps = np.bincount(np.cumsum(line < 0)[:-1] - 1, weights=step[x[:-1], x[1:]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(steps), chunk), pa.int64()), pa.array(range(len(steps)), pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(steps), chunk), pa.int64()), pa.array(np.arange(len(steps)), pa.int32()),
                                               pa.array(steps, pa.float64())], ["chunk", "at", "steps"])
 
     steps = (with_classes(chunks.select("chunk", "line", "hashes", "shapes"), model.vocabulary, buckets)

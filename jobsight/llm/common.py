@@ -34,14 +34,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame | None) -> None:
     """Deletes materialised tables that nothing will read again. Only what
-    ``materialise`` returned itself has a folder; other frames are left alone."""
+    ``materialise`` returned itself has a folder; other frames are left alone.
+
+    Spark deletes the shuffle files of ended jobs when the driver's JVM collects their
+    plans, which a driver with memory to spare puts off: it is asked to do so here, as what
+    the tables were made by is no longer needed either."""
+    gone = None
     for table in tables:
         path = getattr(table, "scratch", None)
         if path:
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            gone = table.sparkSession
+            folder = gone._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(gone.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
             table.scratch = None
+    if gone is not None:
+        gone._jvm.System.gc()
 
 
 #: Bits of the filter of ``near_keys``: 2^18 words of 64 bits, whatever the number of keys.
