@@ -75,10 +75,12 @@ def near_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """``rows`` whose ``column`` is not among ``keys`` (null stays). Rows that are not near
-    stay where they are; only the others meet the keys in a join."""
+    stay where they are; only the others meet the keys in a join. That is an outer join, as
+    Spark moves an anti join below the filter, where it would deal out all rows."""
     met = near_keys(rows, keys, column)
+    named = keys.select(column, F.lit(True).alias("__among"))
     return met.where("NOT __near").drop("__near").unionByName(
-        met.where("__near").drop("__near").join(keys, column, "left_anti").select(rows.columns))
+        met.where("__near").drop("__near").join(named, column, "left").where("__among IS NULL").select(rows.columns))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsight.llm.common import WordHashes, discard, gram_hashes, materialise, near_keys, slices, without, words
@@ -251,22 +251,23 @@ def posting_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """(token, band, old, grp, n, pos, m): inverted index over groups, of the lists that hold
     two members of fitting sizes; ``m`` members in all. ``old``: the group's own band is
     the one below."""
-    groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    # one narrow row a posting: token, group, size and position packed, members
+    # few nodes share their prefix: the others are groups of their own, where they lie
+    repeated = nodes.groupBy("grp").count().where("count > 1").select("grp")
+    met = near_keys(nodes.select("grp", "n", "prefix"), repeated, "grp")
+    groups = (met.where("NOT __near").select("grp", "n", "prefix", F.lit(1).cast("long").alias("members"))
+              .unionByName(met.where("__near").groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("members"))))
+    # one narrow row a posting, dealt once: by token, size and position packed, members
     postings = (groups.select("grp", "n", "members", F.posexplode("prefix").alias("pos", "token"))
-                .select("token", "grp", F.expr("n * 4294967296 + pos").alias("at"), F.col("members").cast("int").alias("members"))
-                .repartition("token"))                    # serves the counts and the join
-    shared = postings.groupBy("token").agg(F.sum("members").alias("m")).where("m > 1").select("token")
+                .select("token", "grp", F.expr("n * 4294967296 + pos").alias("at"), F.col("members").cast("int").alias("members")))
+    of_token, of_list = Window.partitionBy("token"), Window.partitionBy("token", "band")
     width = math.log(100 / percent) * 1.001               # sizes of a link differ by less than one band
     own_band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
-    lists = (postings.join(shared, "token")
+    lists = (postings.withColumn("m", F.sum("members").over(of_token)).where("m > 1")
              .select("token", "grp", F.expr("at DIV 4294967296").alias("n"), F.expr("cast(at % 4294967296 AS INT)").alias("pos"), "members")
              .withColumn("old", F.explode(F.array(F.lit(False), F.lit(True))))
              .withColumn("band", own_band + F.col("old").cast("int")))
-    lists = lists.repartition("token", "band")
-    open_lists = (lists.groupBy("token", "band").agg(F.sum("members").alias("m"), F.min("old").alias("only_old"))
-                  .where("m > 1 AND NOT only_old").drop("only_old"))
-    return lists.drop("members").join(open_lists, ["token", "band"])
+    return (lists.withColumn("m", F.sum("members").over(of_list)).withColumn("only_old", F.min("old").over(of_list))
+            .where("m > 1 AND NOT only_old").drop("members", "only_old"))
 
 
 def _entries(lists: DataFrame, nodes: DataFrame, comps: DataFrame | None, refuted: DataFrame | None) -> DataFrame:
